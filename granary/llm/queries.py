@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from granary.llm.html_extract import extract_pages
+from granary.llm.quality_rules import learn_rules, quality_verdicts
+from granary.llm.secrets import scan_secrets
 from granary.llm.substring_dedup import dedup_substrings
 
 
@@ -15,8 +18,25 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"), length=200, keep_text=False)
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(_table(spark, sf_dir, "pages"))
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    verdicts = quality_verdicts(docs, learn_rules(docs, _table(spark, sf_dir, "labels")))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_html_extract": op2_html_extract,
+    "op6_secret_scan": op6_secret_scan,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 ORACLES: dict[str, str] = {}
