@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm.html_extract import extract_pages
+from granary.llm.line_dedup import dedup_lines
 from granary.llm.quality_rules import learn_rules, quality_verdicts
 from granary.llm.secrets import scan_secrets
 from granary.llm.substring_dedup import dedup_substrings
@@ -22,6 +23,10 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, keep_text=False)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extract": op2_html_extract,
+    "op4_line_dedup": op4_line_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op9_quality_rules": op9_quality_rules,
 }
