@@ -15,8 +15,8 @@ the whole corpus can't be sharded, so suffixes are first brought to where their
    blocks of whole gram groups; each block builds the suffix order of its positions, truncated at
    `length`, by prefix doubling. Previous smaller (and next smaller) positions of that order give the
    truncated LPF: whether an equal window starts earlier, or anywhere else.
-4. A gram with more than `hot` different contexts isn't collected: its windows are hashed and counted
-   by a shuffle with map-side combining.
+4. A gram with more than `hot` different contexts (about 7 MB of them) isn't collected: its windows are
+   hashed and counted by a shuffle with map-side combining.
 
 Nothing is capped; the union of the spans is exact up to 64-bit (in blocks: no) hash equality.
 """
@@ -212,7 +212,7 @@ def _window_rows(length: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False, hot: int = 2000) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False, hot: int = 20_000) -> DataFrame:
     """(uid, start, end): bytes of a row covered by strings of `length` bytes that also start elsewhere.
 
     With keep_first only the later copies: those for which an equal string starts at a smaller (uid,
@@ -230,7 +230,7 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False,
     mixed = repeated.filter("mixed").select("uid", "pos", "gram", "context")
     groups = mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     many = groups.groupBy("gram").agg((F.count("*") > hot).alias("hot"))
-    marked = checkpointed(mixed.join(groups, ["gram", "context"]).join(many, "gram"))
+    marked = checkpointed(mixed.join(groups.join(many, "gram"), ["gram", "context"]))
     is_first = place == F.col("first")
     settled = marked.filter(F.col("n") > 1)
     if keep_first:
