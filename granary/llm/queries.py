@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm.html_extract import extract_pages
+from granary.llm.license_scan import scan_licenses
 from granary.llm.line_dedup import dedup_lines
 from granary.llm.quality_rules import learn_rules, quality_verdicts
 from granary.llm.secrets import scan_secrets
+from granary.llm.source_mixing import mix_sources
 from granary.llm.substring_dedup import dedup_substrings
 
 
@@ -27,10 +29,18 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, keep_text=False)
 
 
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"), entropy_share=0.97, max_repeats=4.0, budget_share=1.0)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     verdicts = quality_verdicts(docs, learn_rules(docs, _table(spark, sf_dir, "labels")))
@@ -41,7 +51,9 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extract": op2_html_extract,
     "op4_line_dedup": op4_line_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op6_secret_scan": op6_secret_scan,
+    "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
 }
 
