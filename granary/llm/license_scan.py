@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import text_rows
+from granary.llm.common import text_rows, with_ids
 
 #: What parts words: every ASCII character but digits and letters; text is lower-cased first.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -69,7 +69,7 @@ def scan_licenses(
     Templates have two words or more. Null, empty and wordless texts have n_words 0 and no label. Repeated rows
     and null ids stay rows of their own; other columns are ignored.
     """
-    rows = text_rows(docs, id_col, text_col)
+    rows = with_ids(text_rows(docs, id_col, text_col), docs.schema[id_col].dataType.simpleString())
     listed = rows.select("uid", "id", words(F.col("text")).alias("words")).select("uid", "id", F.size("words").alias("n_words"), "words")
     pairs = listed.select("uid", "id", "n_words", F.posexplode_outer(F.arrays_zip(F.col("words").alias("a"), F.slice("words", 2, F.greatest(F.col("n_words"), F.lit(1))).alias("b"))).alias("pos", "w"))
     pairs = pairs.select("uid", "id", "n_words", "pos", F.col("w.a").alias("a"), F.col("w.b").alias("b"), F.xxhash64("w.a", "w.b").alias("pair"))

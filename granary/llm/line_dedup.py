@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import LOWER, SPACE, byte_prefix, checkpointed, segment_hash, text_rows, tiles
+from granary.llm.common import LOWER, SPACE, byte_prefix, checkpointed, segment_hash, text_rows, tiles, with_ids
 
 def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, number in the row, start, end) of every line of a tile, split at line feeds."""
@@ -191,5 +191,5 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_te
     rows = text_rows(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"uid long, id {kind}, n_lines long, n_dropped long" + ", kept_sha256 string" * digest + ", kept_text string" * keep_text
-    cut = rows.join(drop_bitmaps(rows, min_docs, min_chars), "uid", "left").select("uid", "id", "text", "bitmap").mapInArrow(_cut_rows(keep_text, digest), schema)
+    cut = with_ids(rows.join(drop_bitmaps(rows, min_docs, min_chars), "uid", "left"), kind).select("uid", "id", "text", "bitmap").mapInArrow(_cut_rows(keep_text, digest), schema)
     return cut.drop("uid").withColumnRenamed("id", id_col)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from granary.llm.html_extract import extract_pages
 from granary.llm.license_scan import scan_licenses
@@ -11,6 +12,7 @@ from granary.llm.quality_rules import learn_rules, quality_verdicts
 from granary.llm.secrets import scan_secrets
 from granary.llm.source_mixing import mix_sources
 from granary.llm.substring_dedup import dedup_substrings
+from granary.llm.toxicity import held_out, score_texts, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,12 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = score_texts(docs, train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -53,6 +61,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_secret_scan": op6_secret_scan,
+    "op7_toxicity": op7_toxicity,
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
 }

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import byte_prefix, checkpointed, mix, powers, rolling_hash, segment_hash, sliding_minimum, text_rows, tiles
+from granary.llm.common import byte_prefix, checkpointed, mix, powers, rolling_hash, segment_hash, sliding_minimum, text_rows, tiles, with_ids
 
 _PLACE = np.uint64((1 << 24) - 1)
 SPANS = "array<struct<start:int,end:int>>"
@@ -301,4 +301,4 @@ def dedup_substrings(docs: DataFrame, length: int = 200, keep_first: bool = Fals
     spans = repeated_spans(rows, length, keep_first).groupBy("uid").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * keep_text
-    return rows.join(spans, "uid", "left").select("id", "text", "spans").mapInArrow(_cut_rows(keep_text), schema).withColumnRenamed("id", id_col)
+    return with_ids(rows.join(spans, "uid", "left"), kind).select("id", "text", "spans").mapInArrow(_cut_rows(keep_text), schema).withColumnRenamed("id", id_col)
