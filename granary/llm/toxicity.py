@@ -1,7 +1,8 @@
 """Toxicity: a support vector machine over a gap-weighted subsequence string kernel with Nyström landmarks.
 
-The kernel of two tokens counts the letter triples they share as subsequences, each occurrence weighted by
-decay ** (letters left out), so a stem with letters put in between still matches. Landmarks are strings that
+The kernel of two tokens counts the letter triples they share as subsequences, each weighted by
+decay ** (letters left out) at its tightest place, so a stem with letters put in between still matches and
+repetition adds nothing. Landmarks are strings that
 are frequent in toxic and rare in other training texts. A token maps to its kernel values with the landmarks, and the
 Nyström map (the inverse root of the landmarks' kernel matrix) makes these vectors comparable for a
 linear machine. A sentence is as toxic as its most toxic token, and a labelled text is a bag of those: a
@@ -30,6 +31,7 @@ LETTERS = 28  # a-z, one for any other letter, one for the start of a token
 START = "^"
 # Digits and signs that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+EDGES = "!?.,;:$@&%#*|<>()[]{}\"'-_=+/\\~^`"
 SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
 
 
@@ -46,7 +48,7 @@ _FOLD = _fold_table()
 
 def fold(token: str) -> str:
     """Lower-case letters without accents; lookalikes become letters, trailing marks and other signs go."""
-    return token.rstrip("!?.,;:").translate(_FOLD)
+    return token.strip(EDGES).translate(_FOLD)
 
 
 def gaps(reach: int, decay: float) -> list[tuple[int, int, float]]:
@@ -90,10 +92,12 @@ class Model:
         for j, mark in enumerate(self.landmarks):
             for code, whole, weight in triples(codes([mark]), self.pattern):
                 if whole[0]:
-                    self.table[code[0], j] += weight
+                    self.table[code[0], j] = max(weight, self.table[code[0], j])
         norms = (self.table.astype(np.float64) ** 2).sum(0)
         self.scaled = (self.table / np.where(norms, norms, 1)).astype(np.float32)
         self.known = self.table.any(1)
+        # a kernel value of `least` needs triples of this weight together
+        self.fewest = self.least * float((norms / np.maximum(self.table.max(0), 1e-9)).min(initial=np.inf, where=norms > 0)) * 0.999
 
     def kernel(self, tokens: list[str]) -> np.ndarray:
         """Kernel values of folded tokens with the landmarks, over the landmarks' own; 1 for a landmark itself."""
@@ -104,10 +108,27 @@ class Model:
         for lo in range(0, len(order), 4096):
             some = order[lo : lo + 4096]
             matrix = codes([tokens[i] for i in some])
-            # first the share of known triples: most tokens hold too few for any landmark
-            for code, whole, weight in triples(matrix, self.pattern):
-                hit = np.flatnonzero(whole & self.known[np.where(whole, code, 0)])
-                out[some[hit]] += np.float32(weight) * self.scaled[code[hit]]
+            token, code, weight = [], [], []
+            for found, whole, w in triples(matrix, self.pattern):
+                hit = np.flatnonzero(whole & self.known[np.where(whole, found, 0)])
+                token.append(hit)
+                code.append(found[hit])
+                weight.append(np.full(len(hit), w, np.float32))
+            if not token:
+                continue
+            token, code, weight = (np.concatenate(x) for x in (token, code, weight))
+            key = token.astype(np.int64) * LETTERS**3 + code
+            order_in = np.lexsort((-weight, key))
+            key = key[order_in]
+            first = order_in[np.r_[True, key[1:] != key[:-1]]] if len(key) else order_in
+            token, code, weight = token[first], code[first], weight[first]
+            # most tokens hold too few known triples to reach any landmark
+            mass = np.bincount(token, weight, len(some))
+            ok = mass[token] >= self.fewest
+            token, code, weight = token[ok], code[ok], weight[ok]
+            if len(token):
+                start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+                out[some[token[start]]] = np.add.reduceat(weight[:, None] * self.scaled[code], start, axis=0)
         return out
 
     def map(self) -> np.ndarray:
@@ -193,7 +214,7 @@ def choose_landmarks(toxic: Counter, counts: dict[str, tuple[int, int]], n_toxic
     chosen: list[str] = []
     left = Counter(toxic)
     while strings and len(chosen) < most:
-        worth = {s: (sum(left[t] for t in ts) - least_ratio * counts[s][1] * n_toxic / n_clean, len(s), s) for s, ts in strings.items()}
+        worth = {s: ((sum(left[t] for t in ts) - least_ratio * counts[s][1] * n_toxic / n_clean) * (1 + 0.03 * len(s)), s) for s, ts in strings.items()}
         best = max(worth, key=worth.get)
         if worth[best][0] < enough:
             break
