@@ -114,18 +114,20 @@ class Items:
         return maybe[which], np.repeat(lo, n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
 
 
-def consistent(item_values: np.ndarray, doc_values: np.ndarray, slots: np.ndarray) -> bool:
-    """Whether the slots map item values one to one onto document values."""
+def conflicts(item_values: np.ndarray, doc_values: np.ndarray, slots: np.ndarray) -> list[int]:
+    """The slots, in order, that break a one-to-one map from item values to document values."""
     there: dict[int, int] = {}
     back: dict[int, int] = {}
-    for a, b in zip(item_values[slots].tolist(), doc_values[slots].tolist(), strict=True):
+    out = []
+    for k in np.flatnonzero(slots).tolist():
+        a, b = int(item_values[k]), int(doc_values[k])
         if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
-            return False
-    return True
+            out.append(k)
+    return out
 
 
 def matches(items: Items, row: np.ndarray, kind: np.ndarray, key: np.ndarray, value: np.ndarray, at: np.ndarray, h: np.ndarray) -> dict[tuple[int, int], set[int]]:
-    """(row, item) -> places of the item's words that consistent aligned windows cover."""
+    """(row, item) -> places of the item's words that aligned windows with consistent slots cover."""
     own, other = items.found(h)
     runs: dict[tuple[int, int, int], list[int]] = defaultdict(list)
     for w, t in zip(at[own].tolist(), other.tolist(), strict=True):
@@ -133,17 +135,12 @@ def matches(items: Items, row: np.ndarray, kind: np.ndarray, key: np.ndarray, va
         runs[int(row[w]), int(items.item[t]), w - place].append(place)
     covered: dict[tuple[int, int], set[int]] = defaultdict(set)
     for (r, item, diagonal), places in runs.items():
-        places = np.unique(places)
-        words = np.unique((places[:, None] + np.arange(items.width)).ravel())
-        slots = items.kinds[item][words] != LITERAL
-        doc = value[words + diagonal]
-        if consistent(items.values[item][words], doc, slots):
-            covered[r, item].update(words.tolist())
-        else:  # the alignment as a whole differs; keep the windows that agree by themselves
-            for p in places.tolist():
-                span = np.arange(p, p + items.width)
-                if consistent(items.values[item][span], value[span + diagonal], items.kinds[item][span] != LITERAL):
-                    covered[r, item].update(span.tolist())
+        starts = np.unique(places)
+        words = np.unique((starts[:, None] + np.arange(items.width)).ravel())
+        bad = words[conflicts(items.values[item][words], value[words + diagonal], items.kinds[item][words] != LITERAL)]
+        for p in starts.tolist():
+            if not ((bad >= p) & (bad < p + items.width)).any():
+                covered[r, item].update(range(p, p + items.width))
     return covered
 
 

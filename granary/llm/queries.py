@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.llm.decontamination import find_contaminated
 from granary.llm.html_extract import extract_pages
+from granary.llm.jaccard_join import jaccard_components
 from granary.llm.license_scan import scan_licenses
 from granary.llm.line_dedup import dedup_lines
 from granary.llm.quality_rules import learn_rules, quality_verdicts
@@ -28,6 +29,10 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, keep_text=False)
 
@@ -64,6 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_html_extract": op2_html_extract,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_line_dedup": op4_line_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_secret_scan": op6_secret_scan,
