@@ -1,3 +1,84 @@
-"""The corpus pipeline: STAGES over documents, each written as Parquet and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
-STAGES: list = []
+Stages take (spark, docs, sf_dir) and work on all rows that the stage before kept. All but the last return the
+columns of documents; the last adds what it decides about each document.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from granary.llm.common import checkpoint_dir
+from granary.llm.decontamination import find_contaminated
+from granary.llm.jaccard_join import jaccard_components
+from granary.llm.line_dedup import dedup_lines
+from granary.llm.source_mixing import mix_sources
+from granary.llm.toxicity import score_texts, train
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a toxicity score of 0.5 or more go; the machine is trained on labelled documents."""
+    model = train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return score_texts(docs, model, docs.columns).filter("score < 0.5").drop("score")
+
+
+def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines found in ten documents or more go everywhere; n_chars follows the text.
+
+    A document that consists of such lines only keeps its row, with an empty text.
+    """
+    others = [c for c in docs.columns if c != "text"]
+    # the other columns travel with the id, so that cutting needs the one join that brings the bitmaps
+    cut = dedup_lines(docs, min_docs=10, digest=False, extra=[c for c in others if c != "doc_id"])
+    kept = cut.withColumnRenamed("kept_text", "text").drop("n_lines", "n_dropped")
+    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    found = jaccard_components(docs, words=5, percent=80)
+    gone = found.filter("doc_id != component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return find_contaminated(docs, _table(spark, sf_dir, "benchmark"), keep=docs.columns).filter(F.size("items") == 0).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its source's weight and its copies in the mix; no document is left out."""
+    return mix_sources(docs, entropy_share=0.99, max_repeats=4.0, keep=[c for c in docs.columns if c not in ("doc_id", "source")])
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_common_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("source_mixing", mix),
+]
+
+#: Learned, hashed and iterative stages have no SQL; tests hold them against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to documents; what lies between them is Parquet in the shared checkpoint folder."""
+    docs = _table(spark, sf_dir, "documents")
+    checkpoint_dir(docs)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    for number, (name, stage) in enumerate(STAGES):
+        path = f"{folder}/{number}-{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs

@@ -149,18 +149,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(uid, text) of every row, null texts as empty, and id where it differs from uid.
+def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
+    """(uid, text, extra columns) of every row, null texts as empty, and id where it differs from uid.
 
     uid is the id where ids are whole numbers, unique and not null. Otherwise rows are numbered once and the
     numbered rows are checkpointed, so that every later pass sees the same number; each row stays a
     document of its own. with_ids() brings the ids back.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *(c.alias(n) for n, c in (extra or {}).items()))
     if docs.schema[id_col].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint") and rows.groupBy("id").count().filter("count > 1 or id is null").isEmpty():
         # the filter drops nothing; with it, inner and outer joins on uid share one exchange of the texts
-        return rows.select(F.col("id").cast("long").alias("uid"), "text").filter("uid is not null")
-    return checkpointed(rows.select(F.monotonically_increasing_id().alias("uid"), "text", "id")).filter("uid is not null")
+        return rows.select(F.col("id").cast("long").alias("uid"), "text", *(extra or {})).filter("uid is not null")
+    return checkpointed(rows.select(F.monotonically_increasing_id().alias("uid"), "text", "id", *(extra or {}))).filter("uid is not null")
 
 
 def with_ids(rows: DataFrame, kind: str) -> DataFrame:

@@ -145,7 +145,7 @@ def matches(items: Items, row: np.ndarray, kind: np.ndarray, key: np.ndarray, va
 
 
 def _scan_rows(items: Items, literals: int, least_words: int, least_share: float):
-    """Adds a block's findings to the columns id, text, items, n_shared_words."""
+    """Adds a block's findings to the columns items and n_shared_words, after text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,15 +159,15 @@ def _scan_rows(items: Items, literals: int, least_words: int, least_share: float
                         before[i + r] = [*before[i + r], items.ids[item]]
                         most[i + r] = max(most[i + r], len(words))
             found = pa.array([sorted(set(x)) for x in before], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), found, pa.array(most, pa.int64())], ["id", "text", "items", "n_shared_words"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], found, pa.array(most, pa.int64())], batch.schema.names)
 
     return run
 
 
 def find_contaminated(
-    docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 4, least_words: int = 13, least_share: float = 0.5, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id"
+    docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 4, least_words: int = 13, least_share: float = 0.5, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: list[str] | None = None
 ) -> DataFrame:
-    """id, items (sorted ids of the benchmark items in the text) and n_shared_words (most words of one item), per row of docs.
+    """id (or the columns `keep`), items (sorted ids of the benchmark items in the text) and n_shared_words (most words of one item), per row of docs.
 
     An item is in a text if aligned windows with consistent slots cover at least least_words of its words and
     least_share of them, or all of a shorter item. Items of fewer than `width` words have no window and are never
@@ -177,13 +177,16 @@ def find_contaminated(
     The benchmark goes through in blocks of about block_items items, each read by itself, so what is sent to
     executors at once stays bounded however large the benchmark is.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_shared_words"))
+    keep = keep or [id_col]
+    names = [f"c{i}" for i in range(len(keep))]
+    kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)]
+    schema = ", ".join([*kinds, "text string, items array<long>, n_shared_words long"])
+    rows = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep, strict=True)), F.col(text_col).cast("string").alias("text"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_shared_words"))
     listed = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null and text is not null").distinct()
     blocks = max(1, -(-listed.count() // block_items))
     for block in range(blocks):
         part = listed.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
         if part:
             items = Items([r.id for r in part], [r.text for r in part], width, literals)
-            rows = rows.mapInArrow(_scan_rows(items, literals, least_words, least_share), f"id {kind}, text string, items array<long>, n_shared_words long")
-    return rows.select(F.col("id").alias(id_col), "items", "n_shared_words")
+            rows = rows.mapInArrow(_scan_rows(items, literals, least_words, least_share), schema)
+    return rows.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "items", "n_shared_words")

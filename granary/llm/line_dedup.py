@@ -149,8 +149,8 @@ def drop_bitmaps(rows: DataFrame, min_docs: int = 10, min_chars: int = 1) -> Dat
     return settled.groupBy("uid").agg(F.collect_list("line").alias("lines")).mapInArrow(_pack_rows, "uid long, bitmap binary")
 
 
-def _cut_rows(keep_text: bool, digest: bool):
-    names = ["uid", "id", "n_lines", "n_dropped", *["kept_sha256"] * digest, *["kept_text"] * keep_text]
+def _cut_rows(keep_text: bool, digest: bool, extra: list[str]):
+    names = ["uid", "id", *extra, "n_lines", "n_dropped", *["kept_sha256"] * digest, *["kept_text"] * keep_text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +171,7 @@ def _cut_rows(keep_text: bool, digest: bool):
                         totals.append(text.count(b"\n") + 1)
                     gone.append(dropped)
                     kept_texts.append(text)
-                out = [batch.column(c).slice(i, j - i) for c in ("uid", "id")] + [pa.array(totals, pa.int64()), pa.array(gone, pa.int64())]
+                out = [batch.column(c).slice(i, j - i) for c in ("uid", "id", *extra)] + [pa.array(totals, pa.int64()), pa.array(gone, pa.int64())]
                 if digest:
                     out.append(pa.array([hashlib.sha256(x).hexdigest() for x in kept_texts], pa.string()))
                 if keep_text:
@@ -181,15 +181,19 @@ def _cut_rows(keep_text: bool, digest: bool):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_text: bool = True, digest: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_text: bool = True, digest: bool = True, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
     """Drops every line whose key (stripped, A-Z lower-cased, of min_chars code points or more) is in min_docs documents.
 
-    Returns id, n_lines (before dropping), n_dropped, and kept_sha256 or kept_text if asked for, one row per row
+    Returns id, the columns `extra`, n_lines (before dropping), n_dropped, and kept_sha256 or kept_text if asked for, one row per row
     of docs. A null or empty text is one empty line, which always stays. Repeated rows and null ids count as
     documents of their own. Other columns are ignored; an empty table gives no rows.
     """
-    rows = text_rows(docs, id_col, text_col)
+    extra = extra or []
+    names = [f"x{i}" for i in range(len(extra))]
+    rows = text_rows(docs, id_col, text_col, {n: F.col(c) for n, c in zip(names, extra, strict=True)})
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"uid long, id {kind}, n_lines long, n_dropped long" + ", kept_sha256 string" * digest + ", kept_text string" * keep_text
-    cut = with_ids(rows.join(drop_bitmaps(rows, min_docs, min_chars), "uid", "left"), kind).select("uid", "id", "text", "bitmap").mapInArrow(_cut_rows(keep_text, digest), schema)
-    return cut.drop("uid").withColumnRenamed("id", id_col)
+    kinds = [f"uid long, id {kind}", *(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, extra, strict=True)), "n_lines long, n_dropped long"]
+    schema = ", ".join(kinds + ["kept_sha256 string"] * digest + ["kept_text string"] * keep_text)
+    maps = drop_bitmaps(rows, min_docs, min_chars)
+    cut = with_ids(rows.join(maps, "uid", "left"), kind).select("uid", "id", *names, "text", "bitmap").mapInArrow(_cut_rows(keep_text, digest, names), schema)
+    return cut.drop("uid").withColumnsRenamed({"id": id_col} | dict(zip(names, extra, strict=True)))

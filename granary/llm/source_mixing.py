@@ -68,9 +68,9 @@ def temperature(totals: DataFrame, entropy_share: float, max_repeats: float, bud
 
 
 def mix_sources(
-    docs: DataFrame, entropy_share: float = 0.97, max_repeats: float = 4.0, budget_share: float | None = None, block_tokens: int = 100_000, max_blocks: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, entropy_share: float = 0.97, max_repeats: float = 4.0, budget_share: float | None = None, block_tokens: int = 100_000, max_blocks: int = 4096, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: list[str] | None = None
 ) -> DataFrame:
-    """One row per row of docs: id, source, n_tokens, weight (of its source) and copies (how often it is taken).
+    """One row per row of docs: id, source, the columns `keep`, n_tokens, weight (of its source) and copies (how often it is taken).
 
     budget_share is the size of the mix as a share of all tokens; without one it is the smallest size that
     takes every document at least once. Per source, what is taken is at most its target and below
@@ -78,12 +78,13 @@ def mix_sources(
     Texts without tokens belong to no target and are taken once. Repeated rows and null ids are rows of
     their own; an empty table gives no rows.
     """
-    counted = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(F.coalesce(F.col(text_col), F.lit(""))).alias("n_tokens"))
+    counted = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(F.coalesce(F.col(text_col), F.lit(""))).alias("n_tokens"), F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep or [])), F.lit(0).alias("none")).alias("kept"))
+    kept_columns = [F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep or [])]
     totals = checkpointed(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"))
     alpha = temperature(totals, entropy_share, max_repeats, budget_share)
     total, z, widest = totals.agg(F.sum("tokens").alias("t"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(alpha))).alias("z"), F.max(F.col("tokens") / F.pow(F.col("tokens").cast("double"), F.lit(alpha))).alias("w")).first()
     if total is None:
-        return counted.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "n_tokens", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("copies"))
+        return counted.select(F.col("id").alias(id_col), F.col("source").alias(source_col), *kept_columns, "n_tokens", F.lit(0.0).alias("weight"), F.lit(1).cast("long").alias("copies"))
     budget = widest * z if budget_share is None else budget_share * total
     weight = F.pow(F.col("tokens").cast("double"), F.lit(alpha)) / F.lit(z)
     blocks_of = F.least(F.lit(max_blocks), F.greatest(F.lit(1), F.ceil(F.col("tokens") / block_tokens))).cast("long")
@@ -104,4 +105,4 @@ def mix_sources(
     inside = Window.partitionBy("source", "block").orderBy("spread", "id").rowsBetween(Window.unboundedPreceding, 0)
     split = joined.filter(crossing).withColumn("more", (F.sum("n_tokens").over(inside) <= F.col("left")).cast("long"))
     copies = F.when(F.col("weight").isNull() | (F.col("n_tokens") == 0), 1).otherwise(F.col("passes") + F.col("more")).cast("long")
-    return whole.unionByName(split).select(F.col("id").alias(id_col), F.col("source").alias(source_col), "n_tokens", F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("weight"), copies.alias("copies"))
+    return whole.unionByName(split).select(F.col("id").alias(id_col), F.col("source").alias(source_col), *kept_columns, "n_tokens", F.round(F.coalesce("weight", F.lit(0.0)), 9).alias("weight"), copies.alias("copies"))
