@@ -56,23 +56,19 @@ def gaps(reach: int, decay: float) -> list[tuple[int, int, float]]:
     return [(a, b, decay ** (a + b - 2)) for a in range(1, reach) for b in range(1, reach - a)]
 
 
-def codes(tokens: list[str]) -> np.ndarray:
-    """A row of letter codes for each token, padded with -1."""
-    out = np.full((len(tokens), max(map(len, tokens), default=0)), -1, np.int32)
-    for i, t in enumerate(tokens):
-        x = np.frombuffer(t.encode("utf-32-le"), np.uint32).astype(np.int32) - 97
-        out[i, : len(x)] = np.where((x >= 0) & (x < 26), x, np.where(x == ord(START) - 97, 27, 26))
-    return out
+def codes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The letter codes of all tokens in a row, and the token that each belongs to."""
+    x = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32).astype(np.int32) - 97
+    x = np.where((x >= 0) & (x < 26), x, np.where(x == ord(START) - 97, 27, 26))
+    return x, np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
 
 
-def triples(matrix: np.ndarray, pattern: list[tuple[int, int, float]]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(triple code, is whole, weight) for each place and pattern, over all rows at once."""
-    width = matrix.shape[1]
-    for i in range(width):
-        for a, b, weight in pattern:
-            if i + a + b < width:
-                last = matrix[:, i + a + b]
-                yield (matrix[:, i] * LETTERS + matrix[:, i + a]) * LETTERS + last, last >= 0, weight
+def triples(letters: np.ndarray, token: np.ndarray, pattern: list[tuple[int, int, float]]) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
+    """(triple code at each place, whether it lies in one token, weight) for each pattern."""
+    for a, b, weight in pattern:
+        n = len(letters) - a - b
+        if n > 0:
+            yield (letters[:n] * LETTERS + letters[a : a + n]) * LETTERS + letters[a + b :], token[:n] == token[a + b :], weight
 
 
 @dataclass
@@ -90,9 +86,8 @@ class Model:
         self.pattern = gaps(self.reach, self.decay)
         self.table = np.zeros((LETTERS**3, max(1, len(self.landmarks))), np.float32)
         for j, mark in enumerate(self.landmarks):
-            for code, whole, weight in triples(codes([mark]), self.pattern):
-                if whole[0]:
-                    self.table[code[0], j] = max(weight, self.table[code[0], j])
+            for code, _, weight in triples(*codes([mark]), self.pattern):
+                np.maximum.at(self.table[:, j], code, np.float32(weight))
         norms = (self.table.astype(np.float64) ** 2).sum(0)
         self.scaled = (self.table / np.where(norms, norms, 1)).astype(np.float32)
         self.known = self.table.any(1)
@@ -104,14 +99,13 @@ class Model:
         out = np.zeros((len(tokens), self.table.shape[1]), np.float32)
         if not tokens:
             return out
-        order = np.argsort([len(t) for t in tokens], kind="stable")
-        for lo in range(0, len(order), 4096):
-            some = order[lo : lo + 4096]
-            matrix = codes([tokens[i] for i in some])
+        for lo in range(0, len(tokens), 16_384):
+            some = tokens[lo : lo + 16_384]
+            letters, owner = codes(some)
             token, code, weight = [], [], []
-            for found, whole, w in triples(matrix, self.pattern):
-                hit = np.flatnonzero(whole & self.known[np.where(whole, found, 0)])
-                token.append(hit)
+            for found, whole, w in triples(letters, owner, self.pattern):
+                hit = np.flatnonzero(self.known[found] & whole)
+                token.append(owner[hit])
                 code.append(found[hit])
                 weight.append(np.full(len(hit), w, np.float32))
             if not token:
@@ -128,7 +122,7 @@ class Model:
             token, code, weight = token[ok], code[ok], weight[ok]
             if len(token):
                 start = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-                out[some[token[start]]] = np.add.reduceat(weight[:, None] * self.scaled[code], start, axis=0)
+                out[lo + token[start]] = np.add.reduceat(weight[:, None] * self.scaled[code], start, axis=0)
         return out
 
     def map(self) -> np.ndarray:
@@ -332,6 +326,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, reach: int =
     marks = choose_landmarks(toxic, seen, n_toxic, n_clean)
     if not marks:
         return empty
+    model = fitted(chosen, marks, seen, n_toxic, n_clean, reach, decay, least, matches)
+    # landmarks that the machine gives no weight were chance; without them scoring is cheaper and surer
+    kept = [m for m, w in zip(marks, model.weights, strict=True) if w >= 0.25 * model.weights.max()]
+    return fitted(chosen, kept, seen, n_toxic, n_clean, reach, decay, least, matches) if len(kept) < len(marks) and model.weights.max() > 0 else model
+
+
+def fitted(chosen: DataFrame, marks: list[str], seen: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, reach: int, decay: float, least: float, matches: int) -> Model:
+    """The machine over given landmarks, trained on the chosen texts and labels."""
     model = Model(marks, reach, decay, least, np.zeros(len(marks)), 0.0, 1.0, 0.0)
     rows = chosen.mapInArrow(_vector_rows(model, matches), "label int, vectors array<array<float>>").toPandas()
     zero = np.zeros((1, len(marks)))
