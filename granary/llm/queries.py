@@ -11,6 +11,7 @@ from granary.llm.html_extract import extract_pages
 from granary.llm.jaccard_join import jaccard_components
 from granary.llm.license_scan import scan_licenses
 from granary.llm.line_dedup import dedup_lines
+from granary.llm.oracles import ORACLES  # noqa: F401
 from granary.llm.quality_rules import learn_rules, quality_verdicts
 from granary.llm.secrets import scan_secrets
 from granary.llm.source_mixing import mix_sources
@@ -84,5 +85,3 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "pipeline": pipeline,
 }
-
-ORACLES: dict[str, str] = {}
