@@ -1,0 +1,410 @@
+"""The operators against brute force, exact round trips and held-out accuracy, with nulls, ties, repeats and clashing names."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from granary.llm import common, html_extract, jaccard_join, line_dedup, quality_rules, secrets, substring_dedup, toxicity
+from granary.llm.decontamination import find_contaminated
+from granary.llm.license_scan import scan_licenses
+from granary.llm.source_mixing import mix_sources
+
+ODD = [None, "", " ", "\n", "a", "a", "A b", "é", "x\x00y", "tab\tand\x0bmore", "long " * 20_000]
+#: Columns that operators use inside, as extra columns of the input.
+CLASHING = ["id", "uid", "spans", "bitmap", "score", "items", "weight", "group", "n", "tokens"]
+
+
+def documents(spark, texts, ids=None):
+    rows = list(zip(ids if ids is not None else range(len(texts)), texts, strict=True))
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("x") for c in CLASHING})
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m[0].lower(), text)
+
+
+def words(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+
+# substring dedup
+
+
+def removed(texts, length, keep_first):
+    data = [(t or "").encode() for t in texts]
+    places = defaultdict(list)
+    for d, b in enumerate(data):
+        for s in range(len(b) - length + 1):
+            places[b[s : s + length]].append((d, s))
+    cover = [np.zeros(len(b), bool) for b in data]
+    for found in places.values():
+        if len(found) > 1:
+            for d, s in found:
+                if not keep_first or (d, s) != min(found):
+                    cover[d][s : s + length] = True
+    out = []
+    for d, (b, c) in enumerate(zip(data, cover, strict=True)):
+        runs = sum(1 for i in range(len(c)) if c[i] and (i == 0 or not c[i - 1]))
+        out.append((d, len(b), int(c.sum()), runs, hashlib.sha256(bytes(x for x, g in zip(b, c, strict=True) if not g)).hexdigest()))
+    return out
+
+
+def copied_texts(seed):
+    rng = random.Random(seed)
+    base = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 160))) for _ in range(10)]
+    texts = ["".join(rng.choice(base)[rng.randint(0, 40) :][: rng.randint(5, 120)] if rng.random() < 0.6 else "".join(rng.choice("abcdefg") for _ in range(25)) for _ in range(rng.randint(0, 5))) for _ in range(60)]
+    return [*texts, texts[3], texts[3], "a" * 250, *ODD[:-1]]
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+@pytest.mark.parametrize("length", [9, 40])
+def test_substrings_match_brute_force(spark, length, keep_first):
+    texts = copied_texts(length)
+    got = substring_dedup.dedup_substrings(documents(spark, texts), length, keep_first)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == removed(texts, length, keep_first)
+
+
+@pytest.mark.parametrize("keep_first", [False, True])
+def test_substrings_of_hot_groups_take_the_shuffle_path(spark, monkeypatch, keep_first):
+    whole = substring_dedup.repeated_spans
+    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda rows, length, first: whole(rows, length, first, hot=1))
+    texts = copied_texts(5)
+    got = substring_dedup.dedup_substrings(documents(spark, texts), 30, keep_first, keep_text=False)
+    assert sorted(map(tuple, got.collect())) == removed(texts, 30, keep_first)
+
+
+def test_substrings_keep_repeated_and_unnamed_rows_apart(spark):
+    text = "".join(random.Random(2).choice("abcdef") for _ in range(300))
+    rows = substring_dedup.dedup_substrings(documents(spark, [text, text, text], [1, 1, None]), 200).collect()
+    assert [r.n_removed for r in rows] == [300, 300, 300]
+    assert substring_dedup.dedup_substrings(documents(spark, []), 200).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.text("ab", max_size=30), max_size=6), st.integers(3, 9))
+def test_truncated_order_finds_equal_prefixes(texts, length):
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    starts = np.arange(max(0, len(data) - length + 1))
+    if not len(starts):
+        return
+    rank = substring_dedup.truncated_ranks(data, starts, length)
+    pieces = [data[s : s + length].tobytes() for s in starts]
+    assert [pieces[i] for i in np.argsort(rank, kind="stable")] == sorted(pieces)
+    earlier, later = substring_dedup.lpf_marks(rank, np.zeros(len(starts), int), starts)
+    assert earlier.tolist() == [p in pieces[:i] for i, p in enumerate(pieces)]
+    assert later.tolist() == [p in pieces[i + 1 :] for i, p in enumerate(pieces)]
+
+
+# html
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var x = "</p>";</script></head><body>
+<header><a href=/>Site</a></header><nav><ul><li><a href=1>One</a><li><a href=2>Two</a></ul></nav>%s
+<footer>&copy; site</footer></body></html>"""
+LONG = "A paragraph with a good many words in it, so that it is plainly text &amp; not furniture."
+
+
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        (f"<article><h1>Title</h1><p>{LONG}<p>Short.<aside>x</aside><div class='ad'>Buy</div></article>", ["Title", LONG, "Short."]),
+        (f"<div class='post'><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div><div id='sidebar'><p>{LONG}</p></div>", ["Title", LONG, LONG]),
+        (f"<main><p>{LONG}</p><form><p>{LONG}</p></form></main><section class='comments'><p>{LONG}</p></section>", [LONG]),
+        (f"<article><p>{LONG}</p></article><article class='comment'><p>{LONG}</p></article>", [LONG]),
+        (f"<div role='alert'>{LONG}</div><div hidden><p>{LONG}</p></div><article><p>a  b\n c&#233; {LONG}</p></article>", ["a b cé " + LONG]),
+    ],
+)
+def test_pages(body, text):
+    assert html_extract.extract(PAGE % body) == "\n".join(text).replace("&amp;", "&")
+
+
+def test_odd_pages(spark):
+    pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "v", "<p>a<p>b"), (3, "w", "<" * 3000), (3, "w", "no markup")], "page_id long, url string, html string").withColumn("text", F.lit("x"))
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract_pages(pages).collect()]
+    assert got[:3] == [(1, "u", "", 0), (2, None, "", 0), (None, "v", "a\nb", 3)]
+    assert got[4][2] == "no markup"
+
+
+# jaccard
+
+
+def clusters(texts, n, percent):
+    sets = []
+    for t in texts:
+        w = words(lower(t or ""))
+        sets.append({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else ({tuple(w)} if w else set()))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                x, y = find(i), find(j)
+                root[max(x, y)] = min(x, y)
+    return [(i, len(s), find(i)) for i, s in enumerate(sets)]
+
+
+def near_copies(seed):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(200)]
+    texts = []
+    for size in [2, 5, 12, 40, 120, 300] * 4:
+        base = [rng.choice(vocabulary) for _ in range(size)]
+        for _ in range(rng.choice([1, 2, 6])):
+            x = list(base)
+            for _ in range(int(size * rng.random() * 0.06)):
+                x[rng.randrange(size)] = rng.choice(vocabulary)
+            texts.append(" ".join(x))
+    group = [rng.choice(vocabulary) for _ in range(120)]
+    for _ in range(60):
+        x = list(group)
+        for _ in range(rng.randint(0, 6)):
+            x[rng.randrange(len(x))] = rng.choice(vocabulary)
+        texts.append("  ".join(x).title())
+    texts += ODD
+    rng.shuffle(texts)
+    return texts
+
+
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize(("rows", "shingles"), [(4096, 4_000_000), (8, 2000)])
+def test_components_match_brute_force(spark, n, percent, rows, shingles):
+    texts = near_copies(percent)
+    got = jaccard_join.jaccard_components(documents(spark, texts), n, percent, rows, shingles)
+    assert sorted(map(tuple, got.collect())) == clusters(texts, n, percent)
+
+
+def test_components_of_repeated_and_missing_ids(spark):
+    got = jaccard_join.jaccard_components(documents(spark, ["a b c d", "a b c d", "a b c d", ""], [7, 7, None, 9]), 3, 90).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got) == [(-1, 2, 7), (7, 2, 7), (7, 2, 7), (9, 0, 9)]
+    assert jaccard_join.jaccard_components(documents(spark, []), 3, 90).count() == 0
+
+
+# lines
+
+
+def kept_lines(texts, least):
+    def key(line):
+        return lower(line.strip(" \t\n\x0b\x0c\r"))
+
+    held = defaultdict(set)
+    for i, t in enumerate(texts):
+        for x in (t or "").split("\n"):
+            held[key(x)].add(i)
+    out = []
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        kept = [x for x in lines if not (key(x) and len(held[key(x)]) >= least)]
+        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("partitions", [1, 13])
+def test_lines_match_brute_force(spark, partitions):
+    rng = random.Random(partitions)
+    pool = ["", " ", "A b", "a B ", "é", "É", "x y z", "\ta b\x0b", *(f"u{i}" for i in range(40))]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(0, 12))) for _ in range(150)] + ODD
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        for least in (2, 10, 40):
+            got = line_dedup.dedup_lines(documents(spark, texts), least, keep_text=False).collect()
+            assert sorted(map(tuple, got)) == kept_lines(texts, least)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_lines_of_repeated_rows_count_as_documents(spark):
+    got = line_dedup.dedup_lines(documents(spark, ["a\nb", "a", "a"], [1, 1, None]), 3).collect()
+    assert sorted(r.kept_text for r in got) == ["", "", "b"]
+    assert line_dedup.dedup_lines(documents(spark, []), 3).count() == 0
+
+
+@given(st.lists(st.integers(0, 200), min_size=1, max_size=50))
+def test_bitmaps_round_trip(dropped):
+    keep = line_dedup.unpack(line_dedup.pack(np.array(dropped)), 300)
+    assert np.flatnonzero(~keep).tolist() == sorted(set(dropped))
+
+
+# mixing
+
+
+def test_mix_meets_targets_and_keeps_odd_rows(spark):
+    texts = ["w " * (50 if i % 3 == 0 else 5) for i in range(300)] + [None, ""]
+    docs = documents(spark, texts).withColumn("source", F.when(F.col("doc_id") % 7 == 0, F.lit(None)).otherwise(F.substring(F.lit("abc"), (F.col("doc_id") % 3 + 1).cast("int"), F.lit(1))))
+    rows = mix_sources(docs, 0.99, 3.0, 1.0, block_tokens=50).toPandas()
+    assert len(rows) == len(texts)
+    total = rows.n_tokens.sum()
+    taken = (rows.n_tokens * rows.copies).groupby(rows.source.fillna("null")).sum()
+    target = rows.groupby(rows.source.fillna("null")).weight.max() * total
+    assert (taken <= target + 1e-3).all() and (taken > target - 120).all()
+    assert rows[rows.n_tokens == 0].copies.tolist() == [1, 1]
+    whole = mix_sources(docs, 0.99, 3.0, None).toPandas()
+    assert whole.copies.min() >= 1
+    assert mix_sources(docs.limit(0)).count() == 0
+
+
+def test_mix_without_a_need_is_the_natural_one(spark):
+    docs = documents(spark, ["a b c"] * 40).withColumn("source", (F.col("doc_id") % 4).cast("string"))
+    assert set(r.copies for r in mix_sources(docs, 0.9, 4.0, 1.0).collect()) == {1}
+
+
+# secrets
+
+
+def base(text):
+    out = []
+    for m in re.finditer(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.ASCII):
+        if len(m[2]) >= 8:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    return sorted(out)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["password", "PassWD", "secret", "token", "api_key", "apikey", "=", ":", " ", '"', "'", "AKIA", "ABCDEFGH1234", "0123456789abcdef", "x", "é", "\n", "toKen", "hunter2+/"]), max_size=14).map("".join))
+def test_base_spans_match_the_patterns(text):
+    found, added = secrets.scan(text)
+    assert found == base(text)
+    assert all(k == 3 for _, k, _ in added)
+
+
+def test_lexer_follows_constants_and_scores_names():
+    text = 'seed = "zYx9kkQ81pLm"\nclientSecret = seed\ncolour: "zYx9kkQ81pLm"\npassword = "changeme"\n"api-key" => "aB3" + "xY9Qw7Zt"'
+    spans = [text[s:e] for s, _, e in secrets.scan(text)[1]]
+    assert spans[0] == "zYx9kkQ81pLm" and len(spans) == 2 and spans[1].startswith("aB3")
+    assert secrets.literal_score("colour", "zYx9kkQ81pLm") == 0
+
+
+def test_secret_rows(spark):
+    rows = secrets.scan_secrets(documents(spark, ODD)).collect()
+    assert len(rows) == len(ODD)
+    assert rows[0].base_sha256 == hashlib.sha256(b"").hexdigest() and rows[0].spans == ""
+
+
+# quality
+
+
+def counts(text):
+    w = words(text)
+    windows = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    marked = {i + k for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for k in range(3)}
+    seen, dups = set(), 0
+    for line in text.split("\n"):
+        if words(line):
+            dups += line in seen
+            seen.add(line)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text), dups, len(marked)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text("ab \n\té#", max_size=60), min_size=1, max_size=8))
+def test_statistics_match_brute_force(texts):
+    got = []
+    for _, _, data, offsets in common.tiles(pa.array(texts), 40):
+        found = quality_rules.statistics(data, offsets)
+        got += list(zip(*(found[c].tolist() for c in quality_rules.COUNTS[:5]), strict=True))
+    assert got == [counts(t) for t in texts]
+
+
+def test_rules_are_found_and_prune_noise():
+    rng = np.random.default_rng(3)
+    x = rng.random((2000, 4))
+    bad = (x[:, 0] > 0.8) | ((x[:, 1] < 0.2) & (x[:, 2] > 0.5))
+    noisy = bad ^ (rng.random(2000) < 0.02)
+    rules = quality_rules.learn(x, noisy)
+    hit = np.zeros(2000, bool)
+    for r in rules:
+        hit |= quality_rules._covered(x, r)
+    assert (hit == bad).mean() > 0.93
+
+
+def test_verdicts_of_odd_rows(spark):
+    rows = quality_rules.quality_verdicts(documents(spark, ODD), []).collect()
+    assert len(rows) == len(ODD)
+    assert all(r.base_failed and not r.kept for r in rows[:10])
+    assert rows[10].n_words == 20_000 and rows[10].base_failed
+
+
+# toxicity
+
+
+def test_toxicity_is_learned_and_tolerates_gaps(spark):
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choice(["la", "mi", "to", "re", "sun", "bir"]) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    rude = ["gronk", "snarf", "blikvort"]
+    texts, labels = [], []
+    for i in range(600):
+        body = [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))]
+        bad = i % 5 == 0
+        if bad:
+            body.insert(rng.randrange(len(body)), rng.choice(rude) + rng.choice(["", ".", "s"]))
+        texts.append(" ".join(body))
+        labels.append((i, int(bad)))
+    docs = documents(spark, texts)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scored = {r.doc_id: r.score for r in toxicity.score_texts(docs, model, ["doc_id"]).collect()}
+    right = sum((scored[i] >= 0.5) == bool(y) for i, y in labels)
+    assert right >= 590
+    probes = ["you g-r-o-n-k", "a gronk!", "la mi snarf", "g r o n k it", "la mi to", None, ""]
+    got = [r.score >= 0.5 for r in toxicity.score_texts(documents(spark, probes), model, ["doc_id"]).collect()]
+    assert got == [True, True, True, True, False, False, False]
+
+
+def test_toxicity_without_labels(spark):
+    docs = documents(spark, ODD)
+    model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert all(0 <= r.score < 0.5 for r in toxicity.score_texts(docs, model, docs.columns, name="own").select(F.col("own").alias("score")).collect())
+
+
+# licenses
+
+
+def test_licenses(spark):
+    texts = [*ODD[:10], "All Rights Reserved. x all rights reserved", "licensed under CC-BY 4.0", "this is released, under the mit License", "Licensed under the Apache License, Version 2.0.", "under the terms of the GNU General Public License, as duly published by the Free Software Foundation", "General public", "all rights are reserved"]
+    rows = {r.doc_id: r for r in scan_licenses(documents(spark, texts)).collect()}
+    assert len(rows) == len(texts)
+    at = lambda i: (rows[i].n_base, rows[i].first_word, rows[i].last_word, rows[i].base_labels, rows[i].labels)
+    assert at(0) == (0, None, None, "", "") and rows[0].n_words == 0
+    assert at(10) == (2, 0, 4, "reserved", "reserved")
+    assert at(11)[:4] == (1, 2, 2, "cc-by") and "cc-by-4.0" in rows[11].labels
+    assert rows[12].labels == "mit" and rows[13].labels == "apache-2.0"
+    assert rows[14].labels == "gpl" and rows[14].n_base == 1
+    assert rows[15].labels == "" and rows[16].n_base == 0
+    assert scan_licenses(documents(spark, [])).count() == 0
+
+
+# decontamination
+
+
+def test_decontamination(spark):
+    benchmark = spark.createDataFrame(
+        [(1, "If John has 12 apples and gives 5 kg to Mary how many apples does he have left after giving 5 away today"), (2, None), (3, "short one"), (2**40, "the quick brown fox jumps over the lazy dog again and again until 7 pm comes around")],
+        "item_id long, text string",
+    )
+    texts = [
+        "x If Anna has 30 apples and gives 9 lb to Bert how many apples does he have left after giving 9 away today y",
+        "THE QUICK brown fox jumps over the lazy dog again and again until 8 pm comes around",
+        "the quick brown fox jumps over something else entirely and nothing more is shared here",
+        *ODD,
+    ]
+    for block in (1, 20_000):
+        rows = find_contaminated(documents(spark, texts), benchmark, block_items=block).orderBy("doc_id").collect()
+        assert [r["items"] for r in rows[:3]] == [[1], [2**40], []]
+        assert len(rows) == len(texts) and not any(r["items"] for r in rows[3:])
+    assert find_contaminated(documents(spark, ODD), benchmark.limit(0)).count() == len(ODD)
