@@ -236,6 +236,12 @@ def split_by_assertion(source: str) -> list[str]:
     return out
 
 
+def replace_assertion(source: str, new: str, name: str = "assertEquals") -> str:
+    """The test with its first assertion of a name replaced by another statement."""
+    found = next((a for a in assertions(source) if a["name"] == name), None)
+    return source if found is None else source[: found["start"]] + new.rstrip(";") + ";" + source[found["end"] :]
+
+
 def assertion_prefixes(source: str) -> list[dict]:
     """For each assertion the text up to it with earlier assertions blanked, closed: assertion, ut."""
     found = assertions(source)

@@ -117,3 +117,14 @@ def confidence(tokens: DataFrame) -> DataFrame:
 
 def contained_not_in_prefix(output: Column, expected: Column, prefix: Column) -> Column:
     return F.contains(output, expected) & ~F.contains(prefix, expected)
+
+
+def without_judge(rows: DataFrame) -> DataFrame:
+    """Accuracy of answers, apart for values that the prompt already shows. rows: expected, response, prompt.
+
+    Rows that expect true or false but whose answer has neither word are left out.
+    """
+    spelled = F.contains("response", F.lit("true")) | F.contains("response", F.lit("false"))
+    kept = rows.filter(~F.col("expected").isin("true", "false") | spelled)
+    shown, right = F.contains("prompt", F.col("expected")), F.contains("response", F.col("expected"))
+    return kept.agg(F.count("*").alias("total"), share(right).alias("accuracy"), F.count_if(shown).alias("shown"), F.count_if(shown & right).alias("shown_correct"), F.count_if(~shown & right).alias("hidden_correct"))

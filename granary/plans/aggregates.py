@@ -165,3 +165,15 @@ def metric_contained_not_in_prefix(spark, sf_dir):
     word = lambda k: F.split_part("text", F.lit(" "), F.lit(k))
     test = m.contained_not_in_prefix(F.col("text"), word(3), word(1))
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count_if(test).alias("correct"), F.count("*").alias("total"))
+
+
+@query(
+    "WITH r AS (SELECT CASE WHEN event_type = 'view' THEN 'true' ELSE event_type END AS expected, CASE WHEN event_id % 3 = 0 THEN 'x true' ELSE event_type END AS response, event_type || user_id::VARCHAR AS prompt FROM events), "
+    "k AS (SELECT * FROM r WHERE expected NOT IN ('true', 'false') OR contains(response, 'true') OR contains(response, 'false')) "
+    "SELECT count(*) AS total, round(avg(contains(response, expected)::INT), 9) AS accuracy, count(*) FILTER (contains(prompt, expected)) AS shown, count(*) FILTER (contains(prompt, expected) AND contains(response, expected)) AS shown_correct, count(*) FILTER (NOT contains(prompt, expected) AND contains(response, expected)) AS hidden_correct FROM k"
+)
+def metric_without_judge(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    kind = F.col("event_type")
+    rows = e.select(F.when(kind == "view", "true").otherwise(kind).alias("expected"), F.when(F.col("event_id") % 3 == 0, "x true").otherwise(kind).alias("response"), F.concat(kind, F.col("user_id").cast("string")).alias("prompt"))
+    return _flat(m.without_judge(rows))

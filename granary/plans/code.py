@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from granary.agents import client, discussion, prompts
 from granary.functions import java
+from granary.operators import projects
 from granary.plans import views
 from granary.plans.registry import query
 from granary.plans.texts import _values
@@ -127,3 +128,43 @@ def agents_prompts(spark, sf_dir):
 def agents_debate_selection(spark, sf_dir):
     answers = views.votes(spark, sf_dir).select(F.col("id").cast("string").alias("id"), "member", "answer", "correct")
     return discussion.to_debate(answers)
+
+
+FILES = [
+    ("src/Stack.java", "Stack.java", "package a; public class Stack { int n; public void push(int x) {\n n++;\n a[n] = x;\n b();\n c();\n d();\n} public int getN() { return n; } }"),
+    ("test/StackTest.java", "StackTest.java", "public class StackTest extends TestCase { public void testPush() { Stack s = new Stack(); s.push(1); assertEquals(1, s.n); assertTrue(s.ok()); } void helper() {} }"),
+    ("test/note.java", "note.java", "// nothing"),
+]
+
+
+def _classes(spark):
+    return projects.classes(spark.createDataFrame(FILES, "path string, name string, text string"))
+
+
+@query("SELECT 2::BIGINT AS classes, 4::BIGINT AS methods")
+def project_totals(spark, sf_dir):
+    return projects.totals(_classes(spark))
+
+
+@query(_values("class_name, name, variants", ("StackTest", "testPush", 3)))
+def project_tests(spark, sf_dir):
+    found = projects.variants(projects.tests(_classes(spark)))
+    return found.groupBy("class_name", "name").agg(F.count("*").cast("int").alias("variants"))
+
+
+@query(_values("name, focal_name", ("testPush", "push")))
+def project_focal_methods(spark, sf_dir):
+    found = _classes(spark)
+    sources = found.filter("path like 'src/%'")
+    return projects.focal_methods(projects.tests(found), sources).select("name", "focal_name")
+
+
+@query(_values("class_name, name", ("Stack", "push")))
+def project_candidates(spark, sf_dir):
+    return projects.candidates(_classes(spark).filter("path like 'src/%'")).select("class_name", "name")
+
+
+@query(_values("bug_id, n", ("b1", 2), ("b2", 1)))
+def project_corpus(spark, sf_dir):
+    rows = spark.createDataFrame([("b1", "k1", "t"), ("b1", "k1", "u"), ("b1", "k2", "v"), ("b2", "k1", "w")], "bug_id string, key string, test string")
+    return projects.corpus(rows).select("bug_id", F.size("uts").alias("n"))

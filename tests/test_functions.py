@@ -49,3 +49,8 @@ def test_unary_subject():
     assert java.unary_subject(['"m"', "x"]) == "x"
     assert java.unary_subject(["x", '"m"']) == "x"
     assert java.unary_subject(["a", "b", "c"]) is None
+
+
+def test_replace_assertion():
+    assert java.replace_assertion("void t() { f(); assertEquals(1, g()); }", "assertEquals(2, g())") == "void t() { f(); assertEquals(2, g()); }"
+    assert java.replace_assertion("none", "x") == "none"
