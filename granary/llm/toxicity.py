@@ -296,13 +296,13 @@ def _vector_rows(model: Model, most: int):
                 out = []
                 for v in reader.vectors([t or "" for t in part.column("text").to_pylist()]):
                     top = np.argsort(-v.max(1), kind="stable")[:most] if len(v) else []
-                    out.append([x.tolist() for x in v[top]] if len(v) else [])
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(out, pa.list_(pa.list_(pa.float32())))], ["label", "vectors"])
+                    out.append(v[top].ravel() if len(v) else np.zeros(0, np.float32))
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(out, pa.list_(pa.float32()))], ["label", "vectors"])
 
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, reach: int = 6, decay: float = 0.7, least: float = 0.4, tokens: int = 20_000, matches: int = 16, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, reach: int = 6, decay: float = 0.7, least: float = 0.4, tokens: int = 10_000, matches: int = 12, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Trains on at most `sample` labelled rows of the training folds, the first by a hash of the id.
 
     The sample bounds what is broadcast (ids and labels) and, with `tokens` (tokens kept by class) and
@@ -335,10 +335,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, reach: int =
 def fitted(chosen: DataFrame, marks: list[str], seen: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, reach: int, decay: float, least: float, matches: int) -> Model:
     """The machine over given landmarks, trained on the chosen texts and labels."""
     model = Model(marks, reach, decay, least, np.zeros(len(marks)), 0.0, 1.0, 0.0)
-    rows = chosen.mapInArrow(_vector_rows(model, matches), "label int, vectors array<array<float>>").toPandas()
+    rows = chosen.mapInArrow(_vector_rows(model, matches), "label int, vectors array<float>").toArrow()
     zero = np.zeros((1, len(marks)))
-    bags = [np.array([list(x) for x in v], float).reshape(-1, len(marks)) if len(v) else zero for v in rows["vectors"]]
-    y = np.where(rows["label"].to_numpy() > 0, 1.0, -1.0)
+    bags = []
+    for v in rows.column("vectors").iterchunks():
+        flat, at = v.values.to_numpy(zero_copy_only=False), v.offsets.to_numpy()
+        bags += [flat[a:b].astype(float).reshape(-1, len(marks)) if b > a else zero for a, b in zip(at[:-1], at[1:], strict=True)]
+    y = np.where(rows.column("label").to_numpy() > 0, 1.0, -1.0)
     mapped = model.map()
     # a toxic text without any match can't teach the machine; it counts in the scaling below
     matched = [b.any() or t < 0 for b, t in zip(bags, y, strict=True)]
@@ -374,12 +377,12 @@ def _score_rows(model: Model):
     return run
 
 
-def score_texts(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of every row and its score, 0 to 1; a map without a shuffle.
+def score_texts(docs: DataFrame, model: Model, keep: list[str], text_col: str = "text", name: str = "score") -> DataFrame:
+    """The columns `keep` of every row and its score (in the column `name`), 0 to 1; a map without a shuffle.
 
     Null, empty and wordless texts get the score of a text without any match. Repeated rows are kept.
     """
     names = [f"c{i}" for i in range(len(keep))]
     rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).cast("string").alias("text_to_score"))
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True))
-    return rows.mapInArrow(_score_rows(model), f"{schema}, score double").toDF(*keep, "score")
+    return rows.mapInArrow(_score_rows(model), f"{schema}, score double").toDF(*keep, name)
