@@ -11,16 +11,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpoint_dir
+from granary.llm.common import checkpoint_dir, checkpointed, packed, sized, unpacked
 from granary.llm.decontamination import find_contaminated
 from granary.llm.jaccard_join import jaccard_components
 from granary.llm.line_dedup import dedup_lines
 from granary.llm.source_mixing import mix_sources
 from granary.llm.toxicity import score_texts, train
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,36 +25,48 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a toxicity score of 0.5 or more go; the machine is trained on labelled documents."""
     model = train(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return score_texts(docs, model, docs.columns).filter("score < 0.5").drop("score")
+    return score_texts(docs, model, docs.columns, name="_toxicity").filter("_toxicity < 0.5").drop("_toxicity")
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in ten documents or more go everywhere; n_chars follows the text.
 
-    A document that consists of such lines only keeps its row, with an empty text.
+    A document that consists of such lines only keeps its row, with an empty text, as a null text does.
     """
-    others = [c for c in docs.columns if c != "text"]
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     # the other columns travel with the id, so that cutting needs the one join that brings the bitmaps
-    cut = dedup_lines(docs, min_docs=10, digest=False, extra=[c for c in others if c != "doc_id"])
-    kept = cut.withColumnRenamed("kept_text", "text").drop("n_lines", "n_dropped")
-    return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cut = dedup_lines(docs.select("doc_id", "text", packed(others).alias("rest")), min_docs=10, digest=False, extra=["rest"])
+    return cut.select("doc_id", F.col("kept_text").alias("text"), F.length("kept_text").cast("long").alias("n_chars"), *unpacked("rest", others)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays."""
-    found = jaccard_components(docs, words=5, percent=80)
-    gone = found.filter("doc_id != component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays.
+
+    Of rows with the same doc_id that belong together one stays, and rows without a doc_id all stay.
+    """
+    found = checkpointed(jaccard_components(docs, words=5, percent=80))
+    gone = checkpointed(found.filter("doc_id != component_id").select("doc_id"))
+    kept = docs.join(sized(gone), "doc_id", "left_anti")
+    repeated = checkpointed(found.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if not repeated.isEmpty():
+        twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(twice)
+    return kept.select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return find_contaminated(docs, _table(spark, sf_dir, "benchmark"), keep=docs.columns).filter(F.size("items") == 0).select(*docs.columns)
+    found = find_contaminated(docs, _table(spark, sf_dir, "benchmark"), keep=docs.columns, names=("_items", "_shared"))
+    return found.filter(F.size("_items") == 0).drop("_items", "_shared")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document with its source's weight and its copies in the mix; no document is left out."""
-    return mix_sources(docs, entropy_share=0.99, max_repeats=4.0, keep=[c for c in docs.columns if c not in ("doc_id", "source")])
+    """Every document with its source's weight and its copies in the mix; no document is left out.
+
+    Columns of documents named like one of the added ones are replaced by it.
+    """
+    others = [c for c in docs.columns if c not in ("doc_id", "source", "n_tokens", "weight", "copies")]
+    return mix_sources(docs, entropy_share=0.99, max_repeats=4.0, keep=others)
 
 
 STAGES = [

@@ -168,6 +168,19 @@ def with_ids(rows: DataFrame, kind: str) -> DataFrame:
     return rows if "id" in rows.columns else rows.withColumn("id", F.col("uid").cast(kind))
 
 
-def ascii_lower(column: Column) -> Column:
-    """Lower-cases A-Z only."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+def sized(df: DataFrame, most_rows: int = 1_000_000) -> DataFrame:
+    """A narrow, already stored side of a join: broadcast if it has at most most_rows rows, else joined by a shuffle.
+
+    At two or three numbers a row the bound is some 30 MB. It saves moving texts while the side is small.
+    """
+    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+
+
+def packed(columns: list[str]) -> Column:
+    """Columns as one struct of numbered fields, so that no name can clash; unpacked() names them again."""
+    return F.struct(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)), F.lit(0).alias("none"))
+
+
+def unpacked(column: str, columns: list[str]) -> list[Column]:
+    return [F.col(f"{column}.k{i}").alias(c) for i, c in enumerate(columns)]
+

@@ -165,9 +165,9 @@ def _scan_rows(items: Items, literals: int, least_words: int, least_share: float
 
 
 def find_contaminated(
-    docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 4, least_words: int = 13, least_share: float = 0.5, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: list[str] | None = None
+    docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 4, least_words: int = 13, least_share: float = 0.5, block_items: int = 20_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: list[str] | None = None, names: tuple[str, str] = ("items", "n_shared_words")
 ) -> DataFrame:
-    """id (or the columns `keep`), items (sorted ids of the benchmark items in the text) and n_shared_words (most words of one item), per row of docs.
+    """id (or the columns `keep`), items (sorted ids of the benchmark items in the text) and n_shared_words (most words of one item), under `names`, per row of docs.
 
     An item is in a text if aligned windows with consistent slots cover at least least_words of its words and
     least_share of them, or all of a shorter item. Items of fewer than `width` words have no window and are never
@@ -178,10 +178,10 @@ def find_contaminated(
     executors at once stays bounded however large the benchmark is.
     """
     keep = keep or [id_col]
-    names = [f"c{i}" for i in range(len(keep))]
-    kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, keep, strict=True)]
+    held = [f"c{i}" for i in range(len(keep))]
+    kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(held, keep, strict=True)]
     schema = ", ".join([*kinds, "text string, items array<long>, n_shared_words long"])
-    rows = docs.select(*(F.col(c).alias(n) for n, c in zip(names, keep, strict=True)), F.col(text_col).cast("string").alias("text"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_shared_words"))
+    rows = docs.select(*(F.col(c).alias(n) for n, c in zip(held, keep, strict=True)), F.col(text_col).cast("string").alias("text"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_shared_words"))
     listed = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null and text is not null").distinct()
     blocks = max(1, -(-listed.count() // block_items))
     for block in range(blocks):
@@ -189,4 +189,4 @@ def find_contaminated(
         if part:
             items = Items([r.id for r in part], [r.text for r in part], width, literals)
             rows = rows.mapInArrow(_scan_rows(items, literals, least_words, least_share), schema)
-    return rows.select(*(F.col(n).alias(c) for n, c in zip(names, keep, strict=True)), "items", "n_shared_words")
+    return rows.toDF(*held, "text", "items", "n_shared_words").select(*(F.col(n).alias(c) for n, c in zip(held, keep, strict=True)), F.col("items").alias(names[0]), F.col("n_shared_words").alias(names[1]))

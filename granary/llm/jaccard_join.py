@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import LOWER, byte_prefix, checkpointed, mix, segment_hash, text_rows, tiles, with_ids, words_of
+from granary.llm.common import LOWER, byte_prefix, checkpointed, mix, segment_hash, sized, text_rows, tiles, with_ids, words_of
 
 WIDEST = 1 << 14
 FANOUT = 16
@@ -352,7 +352,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, most_
     candidates = stars.repartition("group").sortWithinPartitions("group").mapInArrow(_group_rows(percent, False), "a long, b long")
     blocks = connected(candidates)
     blocks = blocks.select("uid", F.col("root").alias("group")).unionAll(blocks.select(F.col("root").alias("uid"), F.col("root").alias("group")).distinct())
-    sets = rows.select("uid", "text").join(blocks, "uid").select("group", "uid", "text").mapInArrow(_set_rows(words), "group long, uid long, n long, bits binary, tokens binary")
+    blocks = checkpointed(blocks)
+    sets = rows.select("uid", "text").join(sized(blocks), "uid").select("group", "uid", "text").mapInArrow(_set_rows(words), "group long, uid long, n long, bits binary, tokens binary")
     weighed = checkpointed(blocks.join(summary.select("uid", "n"), "uid"))
     large = not weighed.groupBy("group").agg(F.sum("n").alias("w")).filter(F.col("w") > most_shingles).isEmpty()
     tiled = dealt(checkpointed(sets), "n", most_shingles, percent).select("group", "uid", "n", "bits", "tokens") if large else sets

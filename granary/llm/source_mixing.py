@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpointed
+from granary.llm.common import checkpointed, packed, sized, unpacked
 
 SECTIONS = 64
 
@@ -78,8 +78,8 @@ def mix_sources(
     Texts without tokens belong to no target and are taken once. Repeated rows and null ids are rows of
     their own; an empty table gives no rows.
     """
-    counted = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(F.coalesce(F.col(text_col), F.lit(""))).alias("n_tokens"), F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(keep or [])), F.lit(0).alias("none")).alias("kept"))
-    kept_columns = [F.col(f"kept.k{i}").alias(c) for i, c in enumerate(keep or [])]
+    counted = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), token_count(F.coalesce(F.col(text_col), F.lit(""))).alias("n_tokens"), packed(keep or []).alias("kept"))
+    kept_columns = unpacked("kept", keep or [])
     totals = checkpointed(counted.groupBy("source").agg(F.sum("n_tokens").alias("tokens")).filter("tokens > 0"))
     alpha = temperature(totals, entropy_share, max_repeats, budget_share)
     total, z, widest = totals.agg(F.sum("tokens").alias("t"), F.sum(F.pow(F.col("tokens").cast("double"), F.lit(alpha))).alias("z"), F.max(F.col("tokens") / F.pow(F.col("tokens").cast("double"), F.lit(alpha))).alias("w")).first()
@@ -92,14 +92,15 @@ def mix_sources(
     plan = plan.withColumn("passes", F.floor(F.col("target") / F.col("tokens")).cast("long")).withColumn("rest", F.col("target") - F.col("passes") * F.col("tokens"))
 
     spread = counted.withColumn("spread", keyed(seed, F.lit("block"), F.col("id"), F.col("n_tokens")))
-    with_plan = spread.join(plan.select("source", "weight", "passes", "rest", "blocks"), spread["source"].eqNullSafe(plan["source"]), "left").drop(plan["source"])
+    plan = checkpointed(plan.select("source", "weight", "passes", "rest", "blocks"))
+    with_plan = spread.join(sized(plan), spread["source"].eqNullSafe(plan["source"]), "left").drop(plan["source"])
     placed = with_plan.withColumn("block", F.pmod(F.col("spread"), F.coalesce(F.col("blocks"), F.lit(1))))
     blocks = placed.filter("weight is not null").groupBy("source", "block", "rest").agg(F.sum("n_tokens").alias("block_tokens"))
     order = Window.partitionBy("source").orderBy(keyed(seed, F.lit("order"), F.col("source"), F.col("block")), "block")
     upto = blocks.withColumn("upto", F.sum("block_tokens").over(order))
     # what of the rest is left for the block, at most all of it
-    left = upto.select(F.col("source").alias("s"), F.col("block").alias("b"), "block_tokens", (F.col("rest") - (F.col("upto") - F.col("block_tokens"))).alias("left"))
-    joined = placed.join(left, placed["source"].eqNullSafe(left["s"]) & (placed["block"] == left["b"]), "left").drop("s", "b")
+    left = checkpointed(upto.select(F.col("source").alias("s"), F.col("block").alias("b"), "block_tokens", (F.col("rest") - (F.col("upto") - F.col("block_tokens"))).alias("left")))
+    joined = placed.join(sized(left, 200_000), placed["source"].eqNullSafe(left["s"]) & (placed["block"] == left["b"]), "left").drop("s", "b")
     crossing = (F.col("left") > 0) & (F.col("left") < F.col("block_tokens"))
     whole = joined.filter(~F.coalesce(crossing, F.lit(False))).withColumn("more", F.coalesce(F.col("left") >= F.col("block_tokens"), F.lit(False)).cast("long"))
     inside = Window.partitionBy("source", "block").orderBy("spread", "id").rowsBetween(Window.unboundedPreceding, 0)
