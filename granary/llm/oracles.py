@@ -8,6 +8,18 @@ from granary.llm.source_mixing import SECTIONS
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+SUBSTRINGS = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, 2 * i + 1, 400)) AS k FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 199, 0))) AS i FROM d)),
+r AS (SELECT k FROM w GROUP BY k HAVING count(*) > 1),
+s AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200, true) AS fresh FROM w SEMI JOIN r USING (k)),
+g AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+p AS (SELECT doc_id, run, min(i) AS lo, max(i) + 200 AS hi FROM g GROUP BY ALL),
+q AS (SELECT doc_id, run, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before FROM p),
+a AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo) AS n_removed, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY run) || substr(any_value(h), 2 * max(hi) + 1) AS kept FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, (len(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN a USING (doc_id)
+"""
+
 LINES = f"""
 WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
 k AS (SELECT *, translate(trim(line, {SPACES}), '{UPPER}', '{LOWER}') AS key FROM l),
@@ -83,4 +95,4 @@ def mixing(entropy_share: float = 0.97, max_repeats: float = 4.0, budget_share:
     )
 
 
-ORACLES = {"op3_jaccard_join": JACCARD, "op4_line_dedup": LINES, "op5_source_mixing": mixing(), "op8_license_scan": LICENSES}
+ORACLES = {"op1_suffix_dedup": SUBSTRINGS, "op3_jaccard_join": JACCARD, "op4_line_dedup": LINES, "op5_source_mixing": mixing(), "op8_license_scan": LICENSES}
