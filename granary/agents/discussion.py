@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from granary.agents import client, prompts
 from granary.functions.text import expected_kind
 from granary.operators.votes import last_message, majority
+from granary.storage import stored
 
 
 def last(history: Column) -> Column:
@@ -49,10 +50,10 @@ def _settled(rows: DataFrame) -> DataFrame:
 def consensus(questions: DataFrame, members: list[str], factory: Callable, most_rounds: int = 3) -> DataFrame:
     """(id, response, rounds): the answer once all agree, else after the last round the majority's.
 
-    Rounds are checkpointed: model calls are never repeated because a later stage lost its input.
+    Rounds are stored: model calls are never repeated because a later stage lost its input.
     """
     order = F.create_map(*[F.lit(x) for i, m in enumerate(members) for x in (m, i)])
-    rows = _kept(first_round(questions, members, factory))
+    rows = stored(first_round(questions, members, factory))
     done = None
     for number in range(most_rounds + 1):
         agreed = _settled(rows).withColumn("rounds", F.lit(number))
@@ -60,21 +61,11 @@ def consensus(questions: DataFrame, members: list[str], factory: Callable, most_
         rows = rows.join(agreed.select("id"), "id", "left_anti")
         if number == most_rounds or rows.isEmpty():
             break
-        rows = _kept(refined(rows, factory))
+        rows = stored(refined(rows, factory))
     votes = rows.select("id", F.element_at(order, F.col("member")).alias("ord"), F.trim(last(F.col("history"))).alias("answer"))
     return done.unionByName(majority(votes).select("id", F.col("answer").alias("response"), F.lit(number).alias("rounds")))
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """Writes a round where executors share it; sets a folder of its own only if none is named."""
-    import tempfile
-
-    context = rows.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(rows.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-rounds-"))
-    return rows.checkpoint()
-
-
 def judged(rows: DataFrame, factory: Callable) -> DataFrame:
     """(id, verdict, explanation): a judge reads all members' last answers."""
     per = rows.groupBy("id").agg(
@@ -88,8 +79,8 @@ def judged(rows: DataFrame, factory: Callable) -> DataFrame:
 
 def judged_discussion(questions: DataFrame, members: list[str], factory: Callable, judge: Callable) -> DataFrame:
     """(id, response): the judge's explanation on YES; else members refine and the judge speaks last."""
-    first = _kept(first_round(questions, members, factory))
-    verdicts = _kept(judged(first, judge))
+    first = stored(first_round(questions, members, factory))
+    verdicts = stored(judged(first, judge))
     again = refined(first.join(verdicts.filter("verdict = 'NO'").select("id"), "id", "left_semi"), factory)
     return verdicts.filter("verdict = 'YES'").select("id", F.col("explanation").alias("response")).unionByName(judged(again, judge).select("id", F.col("explanation").alias("response")))
 

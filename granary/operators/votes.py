@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from granary.storage import stored
+
 
 def majority(votes: DataFrame) -> DataFrame:
     """(id, answer, n): the most frequent answer; of equal ones the first in member order. votes: id, ord, answer."""
@@ -27,9 +29,13 @@ def top_k(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame
 
 
 def running_index(rows: DataFrame, order: str, name: str = "idx") -> DataFrame:
-    """0, 1, ... in an order, without a single-task window: ranges are sorted apart and offset by their sizes."""
+    """0, 1, ... in an order, without a single-task window: ranges are sorted apart and offset by their sizes.
+
+    Ranges come from a sample, which another run of the same plan would draw anew; so they are stored before their sizes
+    are counted.
+    """
     ranged = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order)
-    tagged = ranged.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m"))
+    tagged = stored(ranged.select("*", F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_m")))
     sizes = tagged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = F.broadcast(sizes.select("_p", before.alias("_before")))

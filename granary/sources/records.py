@@ -30,7 +30,9 @@ def number_lines(lines: DataFrame, name: str = "line_no", start: int = 0) -> Dat
     """Dense numbers in file order, without bringing rows together.
 
     lines comes from a file source with _metadata. Each block of a file counts its rows; the running
-    totals of blocks (a row a block) give the number of a block's first line.
+    totals of blocks (a row a block) give the number of a block's first line. Both scans of the query must cut files
+    alike, which holds where files are large for the cluster (blocks of maxPartitionBytes) or the cluster keeps its
+    size during the query.
     """
     tagged = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
     blocks = tagged.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
