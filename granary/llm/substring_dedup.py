@@ -222,7 +222,8 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False,
     anchors = rows.select("uid", "text").mapInArrow(_anchor_rows(length), "uid long, pos int, gram long, context long")
     place = F.struct("uid", "pos")
     kinds = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"), *([F.min(place).alias("first")] if keep_first else []))
-    kinds = kinds.filter("n > 1").select("gram", (F.col("c0") != F.col("c1")).alias("mixed"), *(["first"] if keep_first else []))
+    # stored, both sides of the joins below are plain shuffles, which AQE splits where a gram is hot
+    kinds = checkpointed(kinds.filter("n > 1").select("gram", (F.col("c0") != F.col("c1")).alias("mixed"), *(["first"] if keep_first else [])))
     repeated = checkpointed(anchors.join(kinds, "gram"))
     inner = repeated.filter("not mixed")
     if keep_first:
@@ -230,7 +231,7 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False,
     mixed = repeated.filter("mixed").select("uid", "pos", "gram", "context")
     groups = mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"))
     many = groups.groupBy("gram").agg((F.count("*") > hot).alias("hot"))
-    marked = checkpointed(mixed.join(groups.join(many, "gram"), ["gram", "context"]))
+    marked = checkpointed(mixed.join(checkpointed(groups.join(many, "gram")), ["gram", "context"]))
     is_first = place == F.col("first")
     settled = marked.filter(F.col("n") > 1)
     if keep_first:

@@ -81,6 +81,21 @@ def test_substrings_of_hot_groups_take_the_shuffle_path(spark, monkeypatch, keep
     assert sorted(map(tuple, got.collect())) == removed(texts, 30, keep_first)
 
 
+def test_anchors_of_very_long_rows_are_found_piece_by_piece(monkeypatch):
+    """Positions are packed beside hashes; rows beyond the packed range are walked in overlapping pieces."""
+    rng = random.Random(8)
+    text = "".join(rng.choice("abc") for _ in range(3000)).encode()
+    data = np.frombuffer(text + text[1000:1800] + text, np.uint8)
+    for place in (255, 4095):
+        monkeypatch.setattr(substring_dedup, "_PLACE", np.uint64(place))
+        row, pos, gram, _ = substring_dedup.find_anchors(data, np.array([0, len(data)]), 60)
+        at = set(pos.tolist())
+        # every window has an anchor within it
+        gaps = np.diff(sorted(at))
+        assert gaps.max() <= 41 and min(at) <= 40 and max(at) >= len(data) - 60
+        assert len(row) == len(gram) == len(at)
+
+
 def test_substrings_keep_repeated_and_unnamed_rows_apart(spark):
     text = "".join(random.Random(2).choice("abcdef") for _ in range(300))
     rows = substring_dedup.dedup_substrings(documents(spark, [text, text, text], [1, 1, None]), 200).collect()
@@ -126,6 +141,17 @@ def test_pages(body, text):
     assert html_extract.extract(PAGE % body) == "\n".join(text).replace("&amp;", "&")
 
 
+@pytest.mark.parametrize("name", ["page-footer", "comments", "comment-list", "sidebar-left", "cookieNotice", "ad-slot", "main_nav", "newsletter-form", "post-comments", "site-header"])
+def test_furniture_by_name(name):
+    assert html_extract.extract(PAGE % f"<div class=post><p>{LONG}</p><p>{LONG}</p></div><div class='{name}'><p>{LONG}</p></div>") == "\n".join([LONG.replace("&amp;", "&")] * 2)
+    assert html_extract.named_furniture(None, name)
+
+
+@pytest.mark.parametrize("name", ["content-with-sidebar", "has-menu", "entry-header", "post tag-social", "no-footer", "body", "loader", "reading"])
+def test_content_by_name(name):
+    assert not html_extract.named_furniture(name, None)
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "v", "<p>a<p>b"), (3, "w", "<" * 3000), (3, "w", "no markup")], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract_pages(pages).collect()]
