@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from granary.llm.common import checkpointed
+
 PIECE = 24
 LETTERS = 28  # a-z, one for any other letter, one for the start of a token
 START = "^"
@@ -311,7 +313,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, reach: int =
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).filter("id is not null and label is not null")
     known = known.filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "label")
+    # the sample is stored: training reads it several times, the corpus once
+    chosen = checkpointed(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("text", "label"))
     counts = chosen.mapInArrow(_token_rows, "token string, label int").groupBy("token").agg(F.sum(F.col("label").cast("long")).alias("toxic"), F.sum(1 - F.col("label").cast("long")).alias("clean"))
     sizes = {r.label: r["count"] for r in known.groupBy("label").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
