@@ -33,29 +33,51 @@ DROPPED = frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 FURNITURE = frozenset(
-    "ad ads adbox advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner sidebar sidenav menu nav navbar "
+    "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner sidebar sidenav menu nav navbar "
     "navigation topbar breadcrumb breadcrumbs footer header masthead cookie cookies consent gdpr notice notices notification alert popup modal "
     "overlay newsletter subscribe subscription signup login paywall social share sharing related recommended recommendations trending popular "
-    "comment comments commentlist replies reply disqus respond reactions widget toolbar pagination pager copyright legal disclaimer skip tags "
-    "byline search form".split()
+    "comment comments commentlist replies reply disqus respond reactions widget toolbar pagination pager copyright skip search form".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
-#: An element that is named for the content as well is a layout, not furniture.
-LAYOUT = frozenset("content main article body post entry story wrapper container page layout with has no text".split())
+#: Names that say how a page is laid out around its furniture, not that something is furniture.
+LAYOUT = frozenset("with without has no layout open".split())
+#: Classes of the content itself, and what a header of the content is named after.
+CONTENT = frozenset("post entry article content main story hentry post-content entry-content article-content article-body post-body story-body main-content".split())
+OF_CONTENT = frozenset("post entry article story content".split())
 #: What an end tag of these may not close beyond.
 SCOPES = frozenset("article aside nav header footer form table td th section main div li ul ol dialog body".split())
 
 
-def _names(value: str | None) -> set[str]:
+def _parts(name: str) -> list[str]:
+    """The lower-case words of one class name or id."""
     out: list[str] = []
     word = ""
-    for c in value or "":
+    for c in name:
         if c.isalnum() and not (c.isupper() and word and word[-1].islower()):
             word += c
         else:
             out.append(word.lower())
             word = c if c.isalnum() else ""
-    return {*out, word.lower()} - {""}
+    return [x for x in [*out, word.lower()] if x]
+
+
+def named_furniture(classes: str | None, element_id: str | None) -> bool:
+    """Whether an element's class names or id call it page furniture.
+
+    The first or the last word of a name decides: page-footer and comments-list are furniture,
+    content-with-sidebar is a layout, and a header of an article belongs to the article.
+    """
+    names = [*(classes or "").split(), *([element_id] if element_id else [])]
+    if any(x.lower() in CONTENT for x in names):
+        return False
+    for name in names:
+        parts = _parts(name)
+        if not parts or LAYOUT & set(parts):
+            continue
+        found = {parts[0], parts[-1]} & FURNITURE
+        if found and not (found == {"header"} and OF_CONTENT & set(parts)):
+            return True
+    return False
 
 
 class _Blocks(HTMLParser):
@@ -88,20 +110,15 @@ class _Blocks(HTMLParser):
             return True
         if tag == "header":
             return not inside
-        if not attrs or tag in ("html", "body", "main", "article"):
-            names = _names(dict(attrs).get("class")) if tag == "article" else set()
-            return bool(names & {"comment", "comments", "reply", "ad", "advert", "sponsored", "promo", "related"})
+        if not attrs or tag in ("html", "body", "main"):
+            return False
         named = dict(attrs)
         style = (named.get("style") or "").replace(" ", "").lower()
         if "hidden" in named or named.get("aria-hidden") == "true" or "display:none" in style or "visibility:hidden" in style:
             return True
-        if (named.get("role") or "").lower() in FURNITURE_ROLES:
+        if (named.get("role") or "").lower() in FURNITURE_ROLES or named.get("itemprop") == "comment":
             return True
-        names = _names(named.get("class")) | _names(named.get("id"))
-        found = names & FURNITURE
-        if tag in HEADINGS or (inside and found <= {"header"}):
-            return False
-        return bool(found) and not names & LAYOUT
+        return tag not in HEADINGS and named_furniture(named.get("class"), named.get("id"))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
