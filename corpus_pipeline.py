@@ -29,13 +29,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines found in ten documents or more go everywhere; n_chars follows the text.
+    """Lines found in ten documents or more stay in one of them; n_chars follows the text.
 
-    A document that consists of such lines only keeps its row, with an empty text, as a null text does.
+    Whole copies of a text count as one document and keep the same lines: they are left to the next stage, which keeps
+    one of them, instead of losing all their text here. A document that consists of such lines only keeps its row,
+    with an empty text, as a null text does.
     """
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     # the other columns travel with the id, so that cutting needs the one join that brings the bitmaps
-    cut = dedup_lines(docs.select("doc_id", "text", packed(others).alias("rest")), min_docs=10, digest=False, extra=["rest"])
+    cut = dedup_lines(docs.select("doc_id", "text", packed(others).alias("rest")), min_docs=10, digest=False, extra=["rest"], keep_first=True, copies_once=True)
     return cut.select("doc_id", F.col("kept_text").alias("text"), F.length("kept_text").cast("long").alias("n_chars"), *unpacked("rest", others)).select(*docs.columns)
 
 

@@ -1,4 +1,4 @@
-"""Line dedup: lines whose key occurs in many documents lose all their lines everywhere.
+"""Line dedup: lines whose key occurs in many documents go everywhere, or everywhere but in the first of them.
 
 1. One map pass turns every non-empty line into (key hash of 128 bits, document, line number); texts
    stay where they are.
@@ -50,7 +50,9 @@ def stripped(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return np.where(empty, start, first), np.where(empty, start, last)
 
 
-def _line_rows(min_chars: int):
+def _line_rows(min_chars: int, copies_once: bool):
+    """(key hash, doc, uid, line) of the lines; doc is what counts as one document, the row or its text."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column("uid").to_numpy(zero_copy_only=False)
@@ -60,9 +62,10 @@ def _line_rows(min_chars: int):
                 points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 long = points[end] - points[start] >= max(1, min_chars)
                 row, number, start, end = row[long], number[long], start[long], end[long]
+                doc = segment_hash(byte_prefix(data), offsets[:-1], offsets[1:]).view(np.int64) if copies_once else uids[i:j]
                 data = LOWER[data]
                 hashes = [pa.array(segment_hash(byte_prefix(data, k), start, end).view(np.int64)) for k in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*hashes, pa.array(uids[i:j][row]), pa.array(number.astype(np.int32))], ["h1", "h2", "uid", "line"])
+                yield pa.RecordBatch.from_arrays([*hashes, pa.array(doc[row]), pa.array(uids[i:j][row]), pa.array(number.astype(np.int32))], ["h1", "h2", "doc", "uid", "line"])
 
     return run
 
@@ -76,20 +79,20 @@ def _stream_runs(min_docs: int):
     """
 
     def out(piece: tuple, is_open: bool) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
-        return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(piece, kinds, strict=True)), pa.array(np.full(len(piece[0]), is_open))], ["h1", "h2", "uid", "line", "first", "open"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_())
+        return pa.RecordBatch.from_arrays([*(pa.array(x, t) for x, t in zip(piece, kinds, strict=True)), pa.array(np.full(len(piece[0]), is_open))], ["h1", "h2", "doc", "uid", "line", "first", "open"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, last_uid, docs, held, end_of_range = None, None, 0, [], True
+        key, last_doc, docs, held, end_of_range = None, None, 0, [], True
         for batch in batches:
             if not batch.num_rows:
                 continue
-            h1, h2, uid, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "uid", "line"))
+            h1, h2, doc, uid, line = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("h1", "h2", "doc", "uid", "line"))
             new = np.concatenate([[key != (h1[0], h2[0])], (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])])
-            first = np.concatenate([[new[0] or uid[0] != last_uid], new[1:] | (uid[1:] != uid[:-1])])
+            first = np.concatenate([[new[0] or doc[0] != last_doc], new[1:] | (doc[1:] != doc[:-1])])
             bounds = np.concatenate([[0], np.flatnonzero(new[1:]) + 1, [len(uid)]])
             counts = np.add.reduceat(first.astype(np.int64), bounds[:-1])
-            columns = (h1, h2, uid, line, first)
+            columns = (h1, h2, doc, uid, line, first)
             runs = len(counts)
             for b in sorted({0, runs - 1}):
                 if (b or new[0]) and key is not None:  # the run before has ended
@@ -108,7 +111,7 @@ def _stream_runs(min_docs: int):
                     yield from (out(x, False) for x in held)
                     held = []
                 key = (h1[bounds[b]], h2[bounds[b]])
-            last_uid = uid[-1]
+            last_doc = doc[-1]
         yield from (out(x, True) for x in held)
 
     return run
@@ -137,15 +140,22 @@ def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("uid"), pa.array(maps, pa.binary())], ["uid", "bitmap"])
 
 
-def drop_bitmaps(rows: DataFrame, min_docs: int = 10, min_chars: int = 1) -> DataFrame:
+def drop_bitmaps(rows: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, copies_once: bool = False) -> DataFrame:
     """(uid, bitmap) of the rows that lose lines; rows has uid (unique, not null) and text."""
-    lines = rows.select("uid", "text").mapInArrow(_line_rows(min_chars), "h1 long, h2 long, uid long, line int")
-    ranged = lines.repartitionByRange("h1", "h2", "uid").sortWithinPartitions("h1", "h2", "uid", "line")
-    found = checkpointed(ranged.mapInArrow(_stream_runs(min_docs), "h1 long, h2 long, uid long, line int, first boolean, open boolean"))
+    lines = rows.select("uid", "text").mapInArrow(_line_rows(min_chars, copies_once), "h1 long, h2 long, doc long, uid long, line int")
+    ranged = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "uid", "line")
+    found = checkpointed(ranged.mapInArrow(_stream_runs(min_docs), "h1 long, h2 long, doc long, uid long, line int, first boolean, open boolean"))
     # at most two keys a range are open, each in fewer than min_docs documents there
     ends = found.filter("open").select("h1", "h2").distinct()
     split = found.join(F.broadcast(ends), ["h1", "h2"]).groupBy("h1", "h2").agg(F.sum(F.col("first").cast("long")).alias("docs")).filter(F.col("docs") >= min_docs)
-    settled = found.filter("not open").select("uid", "line").unionAll(found.filter("open").join(F.broadcast(split), ["h1", "h2"]).select("uid", "line"))
+    kept = ["h1", "h2", "doc", "uid", "line"]
+    settled = found.filter("not open").select(kept).unionAll(found.filter("open").join(F.broadcast(split), ["h1", "h2"]).select(kept))
+    if keep_first:
+        # the first document of a key keeps the first of its lines, as does every copy of it where copies count once
+        settled = checkpointed(settled)
+        firsts = checkpointed(settled.groupBy("h1", "h2").agg(F.min("doc").alias("doc")))
+        saved = checkpointed(settled.join(firsts, ["h1", "h2", "doc"]).groupBy("h1", "h2", "uid").agg(F.min("line").alias("line")))
+        settled = settled.join(saved, ["h1", "h2", "uid", "line"], "left_anti")
     return settled.groupBy("uid").agg(F.collect_list("line").alias("lines")).mapInArrow(_pack_rows, "uid long, bitmap binary")
 
 
@@ -181,12 +191,14 @@ def _cut_rows(keep_text: bool, digest: bool, extra: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_text: bool = True, digest: bool = True, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_text: bool = True, digest: bool = True, id_col: str = "doc_id", text_col: str = "text", extra: list[str] | None = None, keep_first: bool = False, copies_once: bool = False) -> DataFrame:
     """Drops every line whose key (stripped, A-Z lower-cased, of min_chars code points or more) is in min_docs documents.
 
     Returns id, the columns `extra`, n_lines (before dropping), n_dropped, and kept_sha256 or kept_text if asked for, one row per row
     of docs. A null or empty text is one empty line, which always stays. Repeated rows and null ids count as
-    documents of their own. Other columns are ignored; an empty table gives no rows.
+    documents of their own. Other columns are ignored; an empty table gives no rows. With keep_first one document keeps
+    the line (the one with the smallest id, or text hash with copies_once), once. With copies_once texts that are equal
+    byte by byte count as one document and keep the same lines, so that whole copies are left to a later stage.
     """
     extra = extra or []
     names = [f"x{i}" for i in range(len(extra))]
@@ -194,6 +206,6 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_te
     kind = docs.schema[id_col].dataType.simpleString()
     kinds = [f"uid long, id {kind}", *(f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(names, extra, strict=True)), "n_lines long, n_dropped long"]
     schema = ", ".join(kinds + ["kept_sha256 string"] * digest + ["kept_text string"] * keep_text)
-    maps = drop_bitmaps(rows, min_docs, min_chars)
+    maps = drop_bitmaps(rows, min_docs, min_chars, keep_first, copies_once)
     cut = with_ids(rows.join(maps, "uid", "left"), kind).select("uid", "id", *names, "text", "bitmap").mapInArrow(_cut_rows(keep_text, digest, names), schema)
     return cut.drop("uid").withColumnsRenamed({"id": id_col} | dict(zip(names, extra, strict=True)))

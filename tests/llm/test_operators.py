@@ -254,6 +254,18 @@ def test_lines_match_brute_force(spark, partitions):
             spark.conf.set(k, v)
 
 
+def test_first_document_can_keep_its_line_and_copies_count_once(spark):
+    texts = ["a\nb\na", "a\nc", "a\nd", "e\ne", "e\ne", "e\ne"]
+    kept = lambda **options: [r.kept_text for r in line_dedup.dedup_lines(documents(spark, texts), 3, **options).orderBy("doc_id").collect()]
+    assert kept() == ["b", "c", "d", "", "", ""]
+    assert kept(keep_first=True) == ["a\nb", "c", "d", "e", "", ""]
+    once = kept(copies_once=True)
+    assert once == ["b", "c", "d", "e\ne", "e\ne", "e\ne"]
+    first = kept(keep_first=True, copies_once=True)
+    assert first[3:] == ["e\ne"] * 3 and sorted("a" in x for x in first[:3]) == [False, False, True]
+    assert not any(x.count("a") > 1 for x in first)
+
+
 def test_lines_of_repeated_rows_count_as_documents(spark):
     got = line_dedup.dedup_lines(documents(spark, ["a\nb", "a", "a"], [1, 1, None]), 3).collect()
     assert sorted(r.kept_text for r in got) == ["", "", "b"]
