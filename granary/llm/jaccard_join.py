@@ -149,76 +149,111 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
-def components(size: np.ndarray, maps: list[bytes], percent: int, sets: list[np.ndarray] | None = None) -> np.ndarray:
+def components(size: np.ndarray, maps: list[bytes], percent: int, sets: list[np.ndarray] | None = None, seeds: int = 128) -> np.ndarray:
     """Component of each row (its smallest row number) under candidate links, or under true ones if sets are given.
 
-    A component grows from one row: the frontier is matched with the rows in no component yet, what links
-    leaves the rest and is the next frontier. Rows of one component are never compared with one another again.
+    Rows are matched in batches with all rows that had no turn yet: first those that a link has reached, one
+    component at a time and only with rows outside it, so that rows of a component are hardly compared with one another;
+    when none is left, a batch of rows that nothing has reached. Every pair of rows of different components is
+    decided once.
     """
     n = len(size)
-    label = np.full(n, -1)
+    if n <= 8:
+        return _few(size, maps, percent, sets)
     order = np.argsort(size, kind="stable")
+    back = np.empty(n, np.int64)
+    back[order] = np.arange(n)
+    size, maps = size[order], [maps[i] for i in order]
+    sets = [sets[i] for i in order] if sets is not None else None
     widths = np.array([len(m) for m in maps])
-    classes = {w: np.flatnonzero(widths == w) for w in np.unique(widths)}
-    # a tree for each width: rows of that width and, folded, of the next
-    trees: dict[int, tuple[Tree, np.ndarray]] = {}
-    for w, own in classes.items():
+    # a tree for each width: rows of that width and, folded, of the wider ones that sizes allow for
+    reach = 2 ** math.ceil(math.log2(100 / percent))
+    trees: list[tuple[Tree, np.ndarray, np.ndarray]] = []
+    for w in np.unique(widths):
         bits = np.zeros((n, w // 8), np.uint64)
-        bits[own] = np.frombuffer(b"".join(maps[i] for i in own), np.uint64).reshape(len(own), -1)
-        wider = classes.get(2 * w)
-        if wider is not None:
-            bits[wider] = fold(np.frombuffer(b"".join(maps[i] for i in wider), np.uint64).reshape(len(wider), -1), w // 8)
-        trees[w] = Tree(size, bits, percent / 100), own if wider is None else np.union1d(own, wider)
-    position = np.empty(n, np.int64)
-    position[order] = np.arange(n)
-    ids = None
-    if sets is not None:
-        ids = sets
-    for seed in order:
-        if label[seed] >= 0:
-            continue
-        label[seed] = seed
-        frontier = np.array([seed])
-        while len(frontier):
-            reached: list[np.ndarray] = []
-            for tree, members in trees.values():
-                f = np.intersect1d(frontier, members)
-                r = members[label[members] < 0]
-                if not len(f) or not len(r):
-                    continue
-                f, r = f[np.argsort(position[f])], r[np.argsort(position[r])]
-                for a, b in tree.candidates(f, r):
-                    open_ = label[b] < 0
-                    a, b = a[open_], b[open_]
-                    if ids is None:
-                        b = np.unique(b)
-                    else:
-                        b = np.array(linked(a, b, ids, percent), np.int64)
-                    if len(b):
-                        label[b] = seed
-                        reached.append(b)
-            frontier = np.concatenate(reached) if reached else np.zeros(0, np.int64)
-    # name components by their smallest row
-    smallest = np.full(n, n)
-    np.minimum.at(smallest, label, np.arange(n))
-    return smallest[label]
-
-
-def linked(a: np.ndarray, b: np.ndarray, sets: list[np.ndarray], percent: int) -> list[int]:
-    """The rows of b that truly link to one of their candidates in a; each is verified until one does."""
-    done: set[int] = set()
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        if y in done:
-            continue
-        p, q = sets[x], sets[y]
-        if len(p) > len(q):
-            p, q = q, p
-        at = np.searchsorted(q, p)
-        at[at == len(q)] = 0
-        common = int((q[at] == p).sum())
-        if 100 * common >= percent * (len(p) + len(q) - common):
-            done.add(y)
-    return sorted(done)
+        members = (widths >= w) & (widths <= reach * w)
+        for wide in np.unique(widths[members]):
+            at = np.flatnonzero(widths == wide)
+            bits[at] = fold(np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1), w // 8)
+        trees.append((Tree(size, bits, percent / 100), widths == w, members))
+    label = np.arange(n)
+    done, reached = np.zeros(n, bool), np.zeros(n, bool)
+    while not done.all():
+        waiting = np.flatnonzero(reached & ~done)
+        if len(waiting):
+            one = label[waiting[0]]
+            batch = waiting[label[waiting] == one][:seeds]
+            rest = ~done & (label != one)
+        else:
+            batch = np.flatnonzero(~done)[:seeds]
+            rest = ~done
+        chosen = np.zeros(n, bool)
+        chosen[batch] = True
+        for tree, own, members in trees:
+            # pairs of one width belong to its own tree, pairs of two to that of the smaller
+            for side, other in ((own, members), (members & ~own, own)):
+                f, r = np.flatnonzero(chosen & side), np.flatnonzero(rest & other)
+                if len(f) and len(r):
+                    for a, b in tree.candidates(f, r):
+                        _link(a, b, label, reached, sets, percent)
+        done |= chosen
+    least = np.full(n, n)
+    np.minimum.at(least, label, order)
+    return least[label][back]
+
+
+def _link(a: np.ndarray, b: np.ndarray, label: np.ndarray, reached: np.ndarray, sets: list[np.ndarray] | None, percent: int) -> None:
+    """Merges the components of linked pairs; a pair within one component is passed over undecided."""
+    while True:
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+        if not len(a):
+            return
+        # one pair a row at a time: what it merges decides many of the others
+        first = np.unique(b, return_index=True)[1]
+        x, y = a[first], b[first]
+        a, b = np.delete(a, first), np.delete(b, first)
+        for p, q in zip(x.tolist(), y.tolist(), strict=True):
+            if label[p] != label[q] and (sets is None or linked(sets[p], sets[q], percent)):
+                lo, hi = sorted((label[p], label[q]))
+                label[label == hi] = lo
+                reached[p] = reached[q] = True
+
+
+def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    common = int((q[at] == p).sum())
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def _few(size: np.ndarray, maps: list[bytes], percent: int, sets: list[np.ndarray] | None) -> np.ndarray:
+    """components() of a handful of rows, pair by pair on whole numbers."""
+    n, least = len(size), percent / 100
+    share = least / (1 + least)
+    sizes = size.tolist()
+    numbers = [int.from_bytes(m, "little") for m in maps]
+    label = list(range(n))
+    for j in range(1, n):
+        for i in range(j):
+            if label[i] == label[j] or min(sizes[i], sizes[j]) < least * max(sizes[i], sizes[j]) - 1e-9:
+                continue
+            a, b, wa, wb = numbers[i], numbers[j], len(maps[i]), len(maps[j])
+            while wa > wb:
+                wa //= 2
+                a = (a & ((1 << 8 * wa) - 1)) | (a >> 8 * wa)
+            while wb > wa:
+                wb //= 2
+                b = (b & ((1 << 8 * wb) - 1)) | (b >> 8 * wb)
+            if min(sizes[i] - (a & ~b).bit_count(), sizes[j] - (b & ~a).bit_count()) < share * (sizes[i] + sizes[j]) - 1e-9:
+                continue
+            if sets is None or linked(sets[i], sets[j], percent):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    return np.array(label)
 
 
 def _group_rows(percent: int, exact: bool):
@@ -298,16 +333,18 @@ def dealt(rows: DataFrame, weight: str, most: int, percent: int) -> DataFrame:
 def connected(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
     """(uid, root) of every vertex but the roots: the smallest vertex that edges (a, b) reach.
 
-    Alternates large-star and small-star steps; each halves the distance to the smallest vertex. Rounds are
-    checkpointed; the loop ends when the edges no longer change.
+    Alternates large-star and small-star steps; each halves the distance to the smallest vertex. Minima are stored
+    before they are joined, so that AQE can split the edges of a vertex with very many. The loop ends when the
+    edges no longer change.
     """
     edges = checkpointed(edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     for _ in range(most_rounds):
         both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        least = checkpointed(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")))
         large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = checkpointed(large)
+        least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         edges = checkpointed(small)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
@@ -344,7 +381,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, most_
     own_ids = "id" not in rows.columns
     summary = checkpointed(rows.select("uid", "text").mapInArrow(_summary_rows(words, percent), "uid long, n long, s1 long, s2 long, tokens array<long>, bits binary"))
     full = summary.filter("n > 0")
-    reps = full.groupBy("s1", "s2").agg(F.min("uid").alias("rep"))
+    # stored, as a join with a stored side is a plain shuffle on both sides, which AQE splits where a set has many copies
+    reps = checkpointed(full.groupBy("s1", "s2").agg(F.min("uid").alias("rep")))
     heads = full.join(reps.select(F.col("rep").alias("uid")), "uid")
 
     by_token = heads.select("uid", "n", F.explode("tokens").alias("group"), "bits")

@@ -204,7 +204,7 @@ def near_copies(seed):
     return texts
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80), (1, 40)])
 @pytest.mark.parametrize(("rows", "shingles"), [(4096, 4_000_000), (8, 2000)])
 def test_components_match_brute_force(spark, n, percent, rows, shingles):
     texts = near_copies(percent)
