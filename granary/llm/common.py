@@ -7,6 +7,7 @@ worker follows the tile (or the longest single document), not the Arrow batch.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -149,6 +150,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored_table(df: DataFrame) -> DataFrame:
+    """As checkpointed(), but as a Parquet table of its own in that folder: columnar, compressed and with known size."""
+    checkpoint_dir(df)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """(uid, text, extra columns) of every row, null texts as empty, and id where it differs from uid.
 

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import byte_prefix, checkpointed, mix, powers, rolling_hash, segment_hash, sliding_minimum, text_rows, tiles, with_ids
+from granary.llm.common import byte_prefix, checkpointed, mix, powers, rolling_hash, segment_hash, sliding_minimum, stored_table, text_rows, tiles, with_ids
 
 _PLACE = np.uint64((1 << 24) - 1)
 SPANS = "array<struct<start:int,end:int>>"
@@ -224,14 +224,14 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False,
     kinds = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"), *([F.min(place).alias("first")] if keep_first else []))
     # stored, both sides of the joins below are plain shuffles, which AQE splits where a gram is hot
     kinds = checkpointed(kinds.filter("n > 1").select("gram", (F.col("c0") != F.col("c1")).alias("mixed"), *(["first"] if keep_first else [])))
-    repeated = checkpointed(anchors.join(kinds, "gram"))
+    repeated = stored_table(anchors.join(kinds, "gram").select("uid", "pos", "mixed", *(F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("gram", "context")), *(["first"] if keep_first else [])))
     inner = repeated.filter("not mixed")
     if keep_first:
         inner = inner.filter(place != F.col("first"))
     mixed = repeated.filter("mixed").select("uid", "pos", "gram", "context")
-    groups = mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("first"))
-    many = groups.groupBy("gram").agg((F.count("*") > hot).alias("hot"))
-    marked = checkpointed(mixed.join(checkpointed(groups.join(many, "gram")), ["gram", "context"]))
+    groups = stored_table(mixed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(place).alias("first")))
+    many = stored_table(groups.groupBy("gram").agg((F.count("*") > hot).alias("hot")))
+    marked = stored_table(mixed.join(stored_table(groups.join(many, "gram")), ["gram", "context"]))
     is_first = place == F.col("first")
     settled = marked.filter(F.col("n") > 1)
     if keep_first:
