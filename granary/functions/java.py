@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 TOKEN = re.compile(r'(?P<comment>//[^\n]*|/\*.*?\*/)|(?P<text>"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\')|(?P<number>\d[\w.]*)|(?P<name>[A-Za-z_$][\w$]*)|(?P<sign>->|::|&&|\|\||[<>=!+\-*/%&|^]=|\+\+|--|\S)', re.S)
 # The assertion names of the usual test library.
-ASSERTIONS = tuple("assertEquals assertTrue assertFalse assertNull assertNotNull assertSame assertNotSame assertArrayEquals assertThat assertThrows fail".split())
+ASSERTIONS = tuple("assertEquals assertTrue assertFalse assertNull assertNotNull assertThat assertArrayEquals assertNotEquals assertThrows assertSame assertNotSame".split())
 MODIFIERS = frozenset("public protected private static final abstract synchronized native default strictfp transient volatile".split())
 NOT_CALLS = frozenset("if for while switch catch return new synchronized super this throw assert else do try".split())
 OPENING, CLOSING = "([{", ")]}"
@@ -65,13 +65,16 @@ def arguments(source: str, found: list[Token], opening: int, end: int) -> list[s
     return [*parts, last] if parts or last else []
 
 
-def assertions(source: str) -> list[dict]:
-    """Assertion statements in order: ord, start, end, statement (with its semicolon), name, args."""
+def assertions(source: str, any_name: bool = False) -> list[dict]:
+    """Assertion statements in order: ord, start, end, statement (with its semicolon), name, args.
+
+    any_name takes every call whose name begins with assert, in any case, not only the known ones.
+    """
     found = tokens(source)
     out = []
     i = 0
     while i < len(found) - 1:
-        if found[i].kind == "name" and found[i].text in ASSERTIONS and found[i + 1].text == "(":
+        if found[i].kind == "name" and (found[i].text.lower().startswith("assert") if any_name else found[i].text in ASSERTIONS) and found[i + 1].text == "(":
             end = closing(found, i + 1)
             if end < 0:
                 break
@@ -134,7 +137,7 @@ def unary_subject(args: list[str]) -> str | None:
     if len(args) == 1:
         return args[0]
     if len(args) == 2:
-        return args[0] if argument_kind(args[1]) in ("string", "concat") and argument_kind(args[0]) != "string" else args[1]
+        return args[0] if argument_kind(args[1]) == "string" else args[1]
     return None
 
 
@@ -221,18 +224,31 @@ def local_variables(source: str) -> list[str]:
     return [s for s in body_statements(source) if re.match(r"(?:final\s+)?[A-Za-z_$][\w$.]*(?:<[^=;]*>)?(?:\[\])*\s+[A-Za-z_$][\w$]*\s*(?:=|;|,)", s) and not re.match(r"(?:return|throw|new|else)\b", s)]
 
 
+def without_blank_runs(text: str) -> str:
+    """Keeps the first blank line of each run, and none at the start."""
+    kept: list[str] = []
+    for line in text.split("\n"):
+        if line.strip() or (kept and kept[-1].strip()):
+            kept.append(line)
+    return "\n".join(kept)
+
+
 def split_by_assertion(source: str) -> list[str]:
-    """The test itself and, unless it has exactly one assertion, one variant for each, the other assertions removed."""
-    found = assertions(source)
-    if len(found) == 1:
-        return [source]
+    """The test itself and, unless it has exactly one assertion, one variant for each, the others removed.
+
+    A removed statement goes wherever its text stands; a variant whose own assertion goes with it is left out.
+    """
+    found = assertions(source, any_name=True)
     out = [source]
+    if len(found) == 1:
+        return out
     for kept in found:
         text = source
-        for x in reversed(found):
+        for x in found:
             if x is not kept:
-                text = text[: x["start"]] + text[x["end"] :]
-        out.append(re.sub(r"\n\s*\n+", "\n", text))
+                text = text.replace(x["statement"], "")
+        if kept["statement"] in text:
+            out.append(without_blank_runs(text))
     return out
 
 
@@ -243,14 +259,12 @@ def replace_assertion(source: str, new: str, name: str = "assertEquals") -> str:
 
 
 def assertion_prefixes(source: str) -> list[dict]:
-    """For each assertion the text up to it with earlier assertions blanked, closed: assertion, ut."""
-    found = assertions(source)
-    out = []
-    for k, x in enumerate(found):
-        text = source[: x["end"]]
-        for earlier in reversed(found[:k]):
-            text = text[: earlier["start"]] + text[earlier["end"] :]
-        out.append({"assertion": x["statement"], "ut": re.sub(r"\n\s*\n+", "\n", text) + "\n}"})
+    """For each assertion the lines up to it, the lines of earlier ones blank, with a closing bracket: assertion, ut."""
+    lines, out = source.split("\n"), []
+    for x in assertions(source):
+        first, last = source.count("\n", 0, x["start"]), source.count("\n", 0, x["end"])
+        out.append({"assertion": x["statement"], "ut": "\n".join(lines[: last + 1]) + "\n}"})
+        lines[first : last + 1] = [""] * (last + 1 - first)
     return out
 
 
@@ -351,6 +365,21 @@ def getters(found: Column) -> Column:
     return F.filter(found, lambda m: F.array_contains(m["modifiers"], "public") & m["name"].startswith("get") & (m["name"] != "get"))
 
 
+def generated_assertion(lines: list[str]) -> str:
+    """The assertion in a model's fenced lines: a single line as it is, else the first call that begins with assert; '' without one."""
+    if len(lines) == 1:
+        return lines[0].strip()
+    found = assertions("\n".join(lines), any_name=True)
+    return found[0]["statement"] if found else ""
+
+
 def first_assertion(code: Column) -> Column:
     """The statement of the first assertion; '' without one."""
     return F.coalesce(F.try_element_at(F.transform(assertions_of(code), lambda a: a["statement"]), F.lit(1)), F.lit(""))
+
+
+def answered_assertion(answer: Column) -> Column:
+    """The assertion in a model's answer, without white space outside of literals; '' without one."""
+    from granary.functions.text import fenced_lines, strip_outside_literals
+
+    return strip_outside_literals(_each(lambda lines: generated_assertion(list(lines)), "string")(fenced_lines(answer)))

@@ -5,20 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The pattern of identifier parts, the classes of primitive types, and the values that a type suggests.
+PARTS = r"[A-Z]+(?=[A-Z][a-z0-9]|[0-9]|$)|[A-Z]?[a-z0-9]+|[A-Z]+|[0-9]+"
+PRIMITIVES = {
+    "B": "java.lang.byte", "C": "java.lang.character", "D": "java.lang.double", "F": "java.lang.float", "I": "java.lang.integer", "J": "java.lang.long",
+    "Z": "java.lang.boolean", "S": "java.lang.short",
+}
+BOXED = {"char": "java.lang.character", "int": "java.lang.integer", "char[]": "java.lang.character[]", "int[]": "java.lang.integer[]"}
+CANDIDATES = {"number": "0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 200, 404, 500", "boolean": "true, false"}
+
 LITERAL = r'"(?:\\.|[^"\\])*"|' + r"'(?:\\.|[^'\\])*'"
 
 
 def camel_parts(token: Column) -> Column:
-    """Parts of an identifier at case and digit borders; a token that begins with a quote stays whole."""
-    parts = F.regexp_extract_all(token, F.lit(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+"), F.lit(0))
-    return F.when(token.startswith('"'), F.array(token)).otherwise(parts)
+    """Parts of an identifier at case and digit borders; a token that begins with a double quote stays whole.
+
+    Signs have no parts.
+    """
+    return F.when(token.startswith('"'), F.array(token)).otherwise(F.regexp_extract_all(token, F.lit(PARTS), F.lit(0)))
 
 
 def code_tokens(code: Column) -> Column:
-    """Lower-case identifier parts, literals and numbers of source text."""
-    raw = F.regexp_extract_all(code, F.lit(rf"({LITERAL}|[A-Za-z_$][A-Za-z0-9_$]*|[0-9][0-9A-Za-z_.]*|[^\sA-Za-z0-9_$])"), F.lit(1))
-    parts = F.flatten(F.transform(raw, lambda t: F.when(t.rlike("^[A-Za-z_$]"), camel_parts(t)).otherwise(F.array(t))))
-    return F.filter(F.transform(parts, lambda x: F.lower(x)), lambda t: t != "")
+    """Lower-case identifier parts, numbers and literals of source text; comments and signs have none."""
+    plain = F.regexp_replace(code, rf"({LITERAL})|//[^\n]*|/\*(?s:.*?)\*/", "$1 ")
+    raw = F.regexp_extract_all(plain, F.lit(rf"({LITERAL}|[A-Za-z_$][A-Za-z0-9_$]*|[0-9][0-9A-Za-z_.]*)"), F.lit(1))
+    return F.filter(F.transform(F.flatten(F.transform(raw, camel_parts)), lambda t: F.lower(t)), lambda t: t != "")
 
 
 def space_tokens(text: Column) -> Column:
@@ -45,32 +56,49 @@ def replace_first(text: Column, old: Column, new: Column) -> Column:
     return F.when(at > 0, F.concat(F.substring(text, F.lit(1), at - 1), new, F.substr(text, at + F.length(old)))).otherwise(text)
 
 
-def fenced_blocks(answer: Column) -> Column:
-    """The bodies of all fenced blocks; a fence stands at the start of a line, an unclosed one has no body."""
-    return F.regexp_extract_all(answer, F.lit(r"(?ms)^```[^\n]*\n(.*?)\n?^```"), F.lit(1))
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def _fenced(lines: Column, only_first: bool) -> Column:
+    """Lines between fences, a fence being a line that begins with three backticks; an unclosed fence reaches to the end."""
+    start = F.struct(F.lit(0).alias("fences"), F.array().cast("array<string>").alias("kept"))
+
+    def step(state: Column, line: Column) -> Column:
+        is_fence = line.startswith("```")
+        inside = state["fences"] == 1 if only_first else state["fences"] % 2 == 1
+        return F.struct((state["fences"] + is_fence.cast("int")).alias("fences"), F.when(inside & ~is_fence, F.array_append(state["kept"], line)).otherwise(state["kept"]).alias("kept"))
+
+    return F.aggregate(lines, start, step, lambda state: state["kept"])
+
+
+def fenced_lines(answer: Column) -> Column:
+    """The lines of all fenced blocks."""
+    return _fenced(F.split(answer, "\n"), only_first=False)
 
 
 def fenced_joined(answer: Column) -> Column:
     """All blocks as one text; '' without any."""
-    return F.array_join(fenced_blocks(answer), "\n")
+    return F.array_join(fenced_lines(answer), "\n")
 
 
 def fenced_first_stripped(answer: Column) -> Column:
-    """The first block with its lines trimmed; a leading class name of seven characters is cut from lines like Assert.x."""
-    lines = F.transform(F.split(F.coalesce(F.try_element_at(fenced_blocks(answer), F.lit(1)), F.lit("")), "\n"), lambda x: F.trim(x))
+    """The first block with its lines trimmed before fences are looked for; seven characters are cut from lines that begin with Assert."""
+    lines = _fenced(F.transform(F.split(answer, "\n"), lambda x: trimmed(x)), only_first=True)
     return F.array_join(F.transform(lines, lambda x: F.when(x.startswith("Assert"), F.substr(x, F.lit(8))).otherwise(x)), "\n")
 
 
 def fenced_first(answer: Column) -> Column:
-    """The first block as it is, else the whole answer."""
-    return F.coalesce(F.try_element_at(fenced_blocks(answer), F.lit(1)), answer)
+    """The first block as it is; '' without one."""
+    return F.array_join(_fenced(F.split(answer, "\n"), only_first=True), "\n")
 
 
 def import_lines(source: Column) -> Column:
-    """Import lines of a source text, the package turned into a wildcard import in front."""
-    lines = F.transform(F.split(source, "\n"), lambda x: F.trim(x))
-    package = F.transform(F.filter(lines, lambda x: x.startswith("package ")), lambda x: F.concat(F.lit("import "), F.regexp_extract(x, r"^package\s+([\w.]+)", 1), F.lit(".*;")))
-    return F.concat(package, F.filter(lines, lambda x: x.startswith("import ")))
+    """The import lines of a source text in order, its package as a wildcard import; lines must begin with the word."""
+    taken = F.filter(F.split(source, "\n"), lambda x: x.startswith("package") | x.startswith("import"))
+    wildcard = lambda x: F.concat(F.lit("import"), F.replace(F.substr(x, F.lit(8)), F.lit(";"), F.lit(".*;")))
+    return F.array_join(F.transform(taken, lambda x: F.when(x.startswith("package"), wildcard(x)).otherwise(trimmed(x))), "\n")
 
 
 def is_number(text: Column) -> Column:
@@ -78,13 +106,17 @@ def is_number(text: Column) -> Column:
 
 
 def collapse_blank_lines(text: Column) -> Column:
-    return F.regexp_replace(text, r"\n\s*\n+", "\n")
+    """Keeps the first blank line of each run, and none at the start."""
+    lines = F.split(text, "\n")
+    blank = lambda x: ~x.rlike(r"\S")
+    kept = F.filter(lines, lambda x, i: ~blank(x) | ((i > 0) & ~blank(F.element_at(lines, F.greatest(i, F.lit(1))))))
+    return F.array_join(kept, "\n")
 
 
 def newline_count(text: Column) -> Column:
-    """Lines of a trimmed text, less one."""
-    trimmed = F.trim(text)
-    return F.length(trimmed) - F.length(F.replace(trimmed, F.lit("\n"), F.lit("")))
+    """Line breaks of a trimmed text, less one: the lines of a method without its head and its last bracket."""
+    whole = trimmed(text)
+    return F.length(whole) - F.length(F.replace(whole, F.lit("\n"), F.lit(""))) - 1
 
 
 def prefix_of(value: Column, separator: str = "_") -> Column:
@@ -98,35 +130,34 @@ def split_at_last(value: Column, separator: str = ".") -> tuple[Column, Column]:
     return before, after
 
 
-def signature_path(signature: Column, root: str, extension: str = ".java") -> Column:
-    """The source path of a class signature; inner classes belong to their outer class."""
-    outer = F.split_part(signature, F.lit("$"), F.lit(1))
-    return F.concat(F.lit(root.rstrip("/") + "/"), F.replace(outer, F.lit("."), F.lit("/")), F.lit(extension))
+def signature_path(signature: Column) -> Column:
+    """The source path of a class or method signature (class::method)."""
+    return F.concat(F.replace(F.split_part(signature, F.lit("::"), F.lit(1)), F.lit("."), F.lit("/")), F.lit(".java"))
 
 
 def descriptor_types(descriptor: Column) -> Column:
-    """Parameter types of a method descriptor, as simple names with [] for arrays."""
-    inside = F.regexp_extract(descriptor, r"\((.*)\)", 1)
-    items = F.regexp_extract_all(inside, F.lit(r"\[*(?:L[^;]+;|[BCDFIJSZ])"), F.lit(0))
-    # The letters of primitive types.
-    primitive = F.create_map(*[F.lit(x) for pair in zip("BCDFIJSZ", "byte char double float int long short boolean".split(), strict=True) for x in pair])
+    """Parameter types of a method descriptor as lower-case class names, primitives by their class, with [] for arrays."""
+    items = F.regexp_extract_all(F.regexp_extract(descriptor, r"\((.*)\)", 1), F.lit(r"\[*(?:L[^;]+;|[BCDFIJSZ])"), F.lit(0))
+    classes = F.create_map(*[F.lit(x) for pair in PRIMITIVES.items() for x in pair])
 
     def name(item: Column) -> Column:
         base = F.replace(item, F.lit("["), F.lit(""))
-        plain = F.when(base.startswith("L"), F.element_at(F.split(F.regexp_replace(base, "^L|;$", ""), "[/$]"), -1)).otherwise(F.try_element_at(primitive, base))
-        return F.concat(plain, F.repeat(F.lit("[]"), F.length(item) - F.length(base)))
+        plain = F.when(base.startswith("L"), F.replace(F.regexp_replace(base, "^L|;$", ""), F.lit("/"), F.lit("."))).otherwise(F.try_element_at(classes, base))
+        return F.lower(F.concat(plain, F.repeat(F.lit("[]"), F.length(item) - F.length(base))))
 
     return F.transform(items, name)
 
 
 def parameter_matches(declared: Column, found: Column) -> Column:
-    """Whether a declared parameter type can be the type found in a descriptor; generics are erased, chars may be ints."""
-    plain = F.regexp_replace(declared, "<.*>", "")
-    return plain.endswith(found) | found.endswith(plain) | (plain.rlike("^[A-Z]$")) | ((plain == "char") & (found == "int")) | ((plain == "int") & (found == "char"))
+    """Whether a declared parameter type can be a type of descriptor_types(): by its lower-case ending, generics erased, or as a primitive's class."""
+    full = F.regexp_replace(found, "^L(.*);$", "$1")
+    erased = F.regexp_replace(declared, "<.*$", "")
+    special = F.array(*(F.lit(f"{a} {b}") for a, b in BOXED.items()))
+    return full.endswith(F.lower(declared)) | full.endswith(F.lower(erased)) | F.array_contains(special, F.concat(declared, F.lit(" "), full))
 
 
 def expected_kind(expected: Column) -> Column:
-    return F.when(F.lower(expected).isin("true", "false", "asserttrue", "assertfalse"), "Boolean").when(F.lower(expected).isin("null", "assertnull", "assertnotnull"), "NullValues").otherwise("Equals")
+    return F.when(expected.isin("assertTrue", "assertFalse"), "Boolean").when(expected.isin("assertNull", "assertNotNull"), "NullValues").otherwise("Equals")
 
 
 def boolean_equivalent(expected: Column, text: Column) -> Column:
@@ -135,5 +166,5 @@ def boolean_equivalent(expected: Column, text: Column) -> Column:
 
 
 def candidate_values(kind: Column) -> Column:
-    """The answers that a kind allows; null where any value can be."""
-    return F.when(kind == "Boolean", F.array(F.lit("assertTrue"), F.lit("assertFalse"))).when(kind == "NullValues", F.array(F.lit("assertNull"), F.lit("assertNotNull")))
+    """The values to choose from for a type; null where there are none."""
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in CANDIDATES.items() for x in pair]), kind)
\ No newline at end of file

@@ -79,10 +79,20 @@ def range_hits(points: DataFrame, ranges: DataFrame, width: int = 64) -> DataFra
 
 
 def signature_match(wanted: DataFrame, found: DataFrame) -> DataFrame:
-    """Descriptors with the package, class, method and number of parameters of a signature, types matching one by one."""
+    """(package, class, method, params, d): the descriptor of a signature.
+
+    A method that is there once needs no look at its parameters, one with a single overload of that number of them none at
+    their types; else all types must match, and the first descriptor by text is taken. wanted: package, class, method, params;
+    found: package, class, method, types, d.
+    """
     from granary.functions.text import parameter_matches
 
-    w = wanted.withColumn("arity", F.size("params"))
-    f = found.withColumn("arity", F.size("types"))
-    joined = w.join(f, ["package", "class", "method", "arity"])
-    return joined.filter(F.forall(F.zip_with("params", "types", parameter_matches), lambda ok: ok))
+    name = ["package", "class", "method"]
+    joined = wanted.join(found, name)
+    same_arity = F.size("params") == F.size("types")
+    fits = same_arity & F.forall(F.zip_with("params", "types", parameter_matches), lambda ok: F.coalesce(ok, F.lit(False)))
+    per = joined.groupBy(*name, "params").agg(
+        F.count("*").alias("n"), F.min("d").alias("only"), F.count_if(same_arity).alias("n_arity"), F.min(F.when(same_arity, F.col("d"))).alias("of_arity"), F.min(F.when(fits, F.col("d"))).alias("of_types"),
+    )
+    d = F.when(F.col("n") == 1, F.col("only")).when(F.col("n_arity") == 1, F.col("of_arity")).otherwise(F.col("of_types"))
+    return per.select(*name, "params", d.alias("d")).filter("d is not null")

@@ -56,6 +56,6 @@ def focal_methods(found: DataFrame, source_classes: DataFrame) -> DataFrame:
 def candidates(source_classes: DataFrame, least_lines: int = 5) -> DataFrame:
     """(path, class_name, name, focal_method): methods worth a test, neither plain getters nor shorter than least_lines."""
     rows = source_classes.select("path", F.col("facts.name").alias("class_name"), F.explode("facts.methods").alias("m"))
-    lines = F.col("m.end_line") - F.col("m.start_line")
+    lines = F.col("m.end_line") - F.col("m.start_line") - 1
     dropped = filters.short_or_getter(F.col("m.name"), java.single_return(F.col("m.text")), lines, least_lines)
     return rows.filter(~dropped).select("path", "class_name", F.col("m.name").alias("name"), F.col("m.text").alias("focal_method"))

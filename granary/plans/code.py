@@ -83,6 +83,12 @@ def code_first_assertion(spark, sf_dir):
     return spark.createDataFrame([(1, "int y; assertTrue(x); assertNull(y);"), (2, "none")], "id int, code string").select("id", java.first_assertion(F.col("code")).alias("first"))
 
 
+@query(_values("id, found", (1, ""), (2, "assertTrue(x);"), (3, 'assertEquals("a b",y);'), (4, ""), (5, "x=1;")))
+def code_answered_assertion(spark, sf_dir):
+    rows = [(1, "no fence"), (2, "```java\nassertTrue( x );\n```"), (3, '```\nint y;\nassertEquals("a b", y);\n```\n```\nassertNull(z);\n```'), (4, "```\nint a;\nint b;\n```"), (5, "```\nx = 1;")]
+    return spark.createDataFrame(rows, "id int, answer string").select("id", java.answered_assertion(F.col("answer")).alias("found"))
+
+
 def _questions(spark, sf_dir):
     return views.votes(spark, sf_dir).filter("ord = 0").select(F.col("id").cast("string").alias("id"), F.col("expected").alias("expected_value"), F.lit("int f() { return 1; }").alias("focal_method"), F.lit("assertEquals(<expected_value>, f());").alias("test_prefix"))
 

@@ -93,11 +93,16 @@ def join_line_in_range(spark, sf_dir):
 
 
 @query(
-    "WITH w AS (SELECT n_name AS method, ['List<A>', 'int'] AS params FROM nation WHERE n_nationkey % 2 = 0), f AS (SELECT n_name AS method, n_nationkey AS d, CASE WHEN n_nationkey % 4 = 0 THEN ['List', 'int'] ELSE ['Map', 'int'] END AS types FROM nation) SELECT method, d FROM w JOIN f USING (method) WHERE d % 4 = 0"
+    "SELECT n_name AS method, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey WHEN n_nationkey % 3 = 1 THEN 100 + n_nationkey ELSE 200 + n_nationkey END AS d FROM nation WHERE n_nationkey % 5 <> 4 OR n_nationkey % 3 <> 2"
 )
 def join_signature_match(spark, sf_dir):
+    """One overload; two of which one has the arity; two of which one has the types, or none for every fifth."""
+    k = F.col("n_nationkey")
     nation = table(spark, sf_dir, "nation")
     names = [F.lit("p").alias("package"), F.lit("C").alias("class"), F.col("n_name").alias("method")]
-    wanted = nation.filter("n_nationkey % 2 = 0").select(*names, F.array(F.lit("List<A>"), F.lit("int")).alias("params"))
-    found = nation.select(*names, F.col("n_nationkey").alias("d"), F.when(F.col("n_nationkey") % 4 == 0, F.array(F.lit("List"), F.lit("int"))).otherwise(F.array(F.lit("Map"), F.lit("int"))).alias("types"))
-    return joins.signature_match(wanted, found).select("method", "d")
+    types = lambda *x: F.array(*map(F.lit, x))
+    wanted = nation.select(*names, F.when(k % 5 == 4, types("Set", "int")).otherwise(types("List<A>", "int")).alias("params"))
+    one = nation.filter(k % 3 == 0).select(*names, types("java.lang.long").alias("types"), k.alias("d"))
+    by_arity = nation.filter(k % 3 == 1).select(*names, F.explode(F.array(F.struct(types().cast("array<string>").alias("types"), k.alias("d")), F.struct(types("x", "y").alias("types"), (k + 100).alias("d")))).alias("o")).select("package", "class", "method", "o.types", "o.d")
+    by_type = nation.filter(k % 3 == 2).select(*names, F.explode(F.array(F.struct(types("java.util.map", "java.lang.integer").alias("types"), k.alias("d")), F.struct(types("java.util.list", "java.lang.integer").alias("types"), (k + 200).alias("d")))).alias("o")).select("package", "class", "method", "o.types", "o.d")
+    return joins.signature_match(wanted, one.unionByName(by_arity).unionByName(by_type)).select("method", "d")

@@ -32,14 +32,14 @@ def _values(names: str, *rows: tuple) -> str:
 IDENTIFIERS = {1: "camelCase", 2: "HTTPServer2", 3: "parseXMLDoc", 4: "x1Y2", 5: "_a_b", 6: '"quoted Literal"', 7: ""}
 
 
-@query(_values("id, parts", (1, ["camel", "Case"]), (2, ["HTTP", "2"]), (3, ["parse", "XML", "Doc"]), (4, ["x", "1", "Y", "2"]), (5, ["a", "b"]), (6, ['"quoted Literal"']), (7, [])).replace("['HTTP', '2']", "['HTTP', 'Server', '2']"))
+@query(_values("id, parts", (1, ["camel", "Case"]), (2, ["HTTP", "Server2"]), (3, ["parse", "XML", "Doc"]), (4, ["x1", "Y", "2"]), (5, ["a", "b"]), (6, ['"quoted Literal"']), (7, [])))
 def text_camel_parts(spark, sf_dir):
     return _fixture(spark, list(IDENTIFIERS.items()), "id int, token string").select("id", t.camel_parts(F.col("token")).alias("parts"))
 
 
-@query(_values("id, tokens", (1, ["assert", "equals", "(", '"a b"', ",", "x", ".", "get", "name", "(", ")", ")", ";"]), (2, [])))
+@query(_values("id, tokens", (1, ["assert", "equals", '"a b // c"', "x", "get", "name", "1", "5"]), (2, [])))
 def text_code_tokens(spark, sf_dir):
-    return _fixture(spark, [(1, 'assertEquals("A b", x.getName());'), (2, "")], "id int, code string").select("id", t.code_tokens(F.col("code")).alias("tokens"))
+    return _fixture(spark, [(1, 'assertEquals("A b // C", x.getName(), /* no */ 1.5); // none'), (2, "")], "id int, code string").select("id", t.code_tokens(F.col("code")).alias("tokens"))
 
 
 @query("SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS tokens FROM documents")
@@ -63,16 +63,16 @@ def text_replace(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.replace_first(F.col("text"), F.lit("the"), F.lit("<x>")).alias("once"), F.replace("text", F.lit("the"), F.lit("<x>")).alias("every"))
 
 
-ANSWERS = [(1, "no fence"), (2, "a\n```java\nassertTrue(x);\n```\nb"), (3, "```\none\n two\n```\nmid\n```java\nthree\n```"), (4, "```java\nopen"), (5, "```\nAssert.assertNull(y);\n```")]
+ANSWERS = [(1, "no fence"), (2, "a\n```java\nassertTrue(x);\n```\nb"), (3, "```\none\n two\n```\nmid\n```java\nthree\n```"), (4, "```java\nopen"), (5, "  ```\nAssert.assertNull(y);\n```")]
 
 
-@query(_values("id, joined, first_stripped, first", (1, "", "", "no fence"), (2, "assertTrue(x);", "assertTrue(x);", "assertTrue(x);"), (3, "one\n two\nthree", "one\ntwo", "one\n two"), (4, "", "", "```java\nopen"), (5, "Assert.assertNull(y);", "assertNull(y);", "Assert.assertNull(y);")))
+@query(_values("id, joined, first_stripped, first", (1, "", "", ""), (2, "assertTrue(x);", "assertTrue(x);", "assertTrue(x);"), (3, "one\n two\nthree", "one\ntwo", "one\n two"), (4, "open", "open", "open"), (5, "", "assertNull(y);", "")))
 def text_fenced_blocks(spark, sf_dir):
     a = F.col("answer")
     return _fixture(spark, ANSWERS, "id int, answer string").select("id", t.fenced_joined(a).alias("joined"), t.fenced_first_stripped(a).alias("first_stripped"), t.fenced_first(a).alias("first"))
 
 
-@query(_values("id, imports", (1, ["import a.b.*;", "import java.util.List;", "import static x.Y.z;"]), (2, [])))
+@query(_values("id, imports", (1, "import a.b.*;\nimport java.util.List;"), (2, "")))
 def text_import_lines(spark, sf_dir):
     rows = [(1, "package a.b;\nimport java.util.List;\n import static x.Y.z;\nclass C {}"), (2, "class D {}")]
     return _fixture(spark, rows, "id int, source string").select("id", t.import_lines(F.col("source")).alias("imports"))
@@ -85,10 +85,14 @@ def text_is_number(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", t.is_number(v).alias("is_number"))
 
 
-@query("SELECT doc_id, regexp_replace(replace(text, '. ', chr(10) || ' ' || chr(10)), '\\n\\s*\\n+', chr(10), 'g') AS text, length(text) - length(replace(text, chr(10), '')) AS newlines FROM (SELECT doc_id, trim(text) AS text FROM documents)")
+@query(_values("id, text", (1, "a\n\nb\n \nc"), (2, "x"), (3, "a\n")))
 def text_blank_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("text", F.trim("text"))
-    return d.select("doc_id", t.collapse_blank_lines(F.replace("text", F.lit(". "), F.lit("\n \n"))).alias("text"), t.newline_count(F.col("text")).cast("long").alias("newlines"))
+    return _fixture(spark, [(1, "a\n\n\nb\n \n\nc"), (2, "\n\nx"), (3, "a\n\n")], "id int, text string").select("id", t.collapse_blank_lines(F.col("text")).alias("text"))
+
+
+@query("SELECT doc_id, length(w) - length(replace(w, chr(10), '')) - 1 AS newlines FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS w FROM documents)")
+def text_newline_count(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", t.newline_count(F.col("text")).cast("long").alias("newlines"))
 
 
 @query("SELECT page_id, split_part(url, '/', 1) AS prefix, regexp_extract(url, '^(.*)\\.[^.]*$', 1) AS before, split_part(url, '.', -1) AS after FROM pages")
@@ -97,12 +101,12 @@ def text_split_parts(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", t.prefix_of(F.col("url"), "/").alias("prefix"), before.alias("before"), after.alias("after"))
 
 
-@query(_values("id, path", (1, "src/a/b/C.java"), (2, "src/D.java")))
+@query(_values("id, path", (1, "a/b/C.java"), (2, "D.java")))
 def text_signature_path(spark, sf_dir):
-    return _fixture(spark, [(1, "a.b.C$Inner"), (2, "D")], "id int, s string").select("id", t.signature_path(F.col("s"), "src").alias("path"))
+    return _fixture(spark, [(1, "a.b.C::run"), (2, "D")], "id int, s string").select("id", t.signature_path(F.col("s")).alias("path"))
 
 
-@query(_values("id, types", (1, []), (2, ["int", "String"]), (3, ["long[][]", "List", "boolean[]"])))
+@query(_values("id, types", (1, []), (2, ["java.lang.integer", "java.lang.string"]), (3, ["java.lang.long[][]", "java.util.list", "java.lang.boolean[]"])))
 def text_descriptor_types(spark, sf_dir):
     rows = [(1, "()V"), (2, "(ILjava/lang/String;)V"), (3, "([[JLjava/util/List;[Z)I")]
     return _fixture(spark, rows, "id int, d string").select("id", t.descriptor_types(F.col("d")).alias("types"))
@@ -111,14 +115,15 @@ def text_descriptor_types(spark, sf_dir):
 @query("SELECT event_id, CASE event_type WHEN 'view' THEN 'Boolean' WHEN 'click' THEN 'Boolean' WHEN 'error' THEN 'NullValues' ELSE 'Equals' END AS kind, event_type IN ('view', 'click') AS same FROM events")
 def text_expected_kind(spark, sf_dir):
     e = F.col("event_type")
-    expected = F.when(e == "view", "true").when(e == "click", "false").when(e == "error", "null").otherwise(e)
+    expected = F.when(e == "view", "assertTrue").when(e == "click", "assertFalse").when(e == "error", "assertNull").otherwise(e)
+    truth = F.when(e == "view", "true").when(e == "click", "false").otherwise(e)
     answer = F.when(e == "view", "assertTrue(x)").when(e == "click", "assertFalse(x)").otherwise("y")
-    return table(spark, sf_dir, "events").select("event_id", t.expected_kind(expected).alias("kind"), t.boolean_equivalent(expected, answer).alias("same"))
+    return table(spark, sf_dir, "events").select("event_id", t.expected_kind(expected).alias("kind"), t.boolean_equivalent(truth, answer).alias("same"))
 
 
-@query(_values("kind, answers", ("Boolean", ["assertTrue", "assertFalse"]), ("Equals", None), ("NullValues", ["assertNull", "assertNotNull"])))
+@query(_values("kind, answers", ("boolean", "true, false"), ("number", "0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 200, 404, 500"), ("string", None)))
 def text_candidate_values(spark, sf_dir):
-    return _fixture(spark, [("Boolean",), ("NullValues",), ("Equals",)], "kind string").select("kind", t.candidate_values(F.col("kind")).alias("answers"))
+    return _fixture(spark, [("boolean",), ("number",), ("string",)], "kind string").select("kind", t.candidate_values(F.col("kind")).alias("answers"))
 
 
 @query("SELECT event_id, json_extract_string(to_json({'k': CAST(json_extract_string(props, '$.k') AS BIGINT), 't': event_type}), '$.t') AS t FROM events")
@@ -128,8 +133,8 @@ def text_json_round_trip(spark, sf_dir):
 
 
 LOGS = [
-    (1, "A.java:12: error: missing ;\nA.java:13: warning: x\nB.java:7: error: cannot find symbol\nNote: y", "--- a.B::testC\njunit.framework.AssertionFailedError: 1\n\tat x\n--- a.B::testD\njava.lang.Error", "Failing tests: 2\n  - a.B::testC", "COMPILATION ERROR : x"),
-    (2, "", "", "none", "Tests run: 3, Failures: 1\nThere are test failures"),
+    (1, "start\nerror: in\n  [javac] A.java:12: error: missing ;: x\n  [javac] A.java:13: warning: error: x\n  [exec] B.java:7: error: cannot find symbol\n  [javac] Note: y", "--- a.B::testC\njunit.framework.AssertionFailedError: 1\n\tat x\n--- a.B::testD\njava.lang.Error", "Failing tests: 2\n  - a.B::testC", "x\n[ERROR] COMPILATION ERROR : x"),
+    (2, "", None, "none", "Tests run: 3, Failures: 1\nBUILD FAILURE"),
     (3, "ok", "java.lang.NullPointerException\n  AssertionX", "Failing tests: 0", "BUILD SUCCESS"),
 ]
 
@@ -148,9 +153,9 @@ def log_failing_tests(spark, sf_dir):
     return _logs(spark).select("id", F.explode(logs.failing_tests(F.col("failing"))).alias("f")).select("id", "f.name", "f.reason")
 
 
-@query(_values("id, n, failure, build", (1, 2, "AssertionFailure", "compile-error"), (2, None, None, "test-failure"), (3, 0, "Error", "success")))
+@query(_values("id, n, failure, compiled, tested", (1, 2, "assertion_error", "compilation failure", None), (2, None, "no_failing_test_file", "success", "Failed Execution"), (3, 0, "other", "success", "Passed")))
 def log_status(spark, sf_dir):
-    return _logs(spark).select("id", logs.failing_count(F.col("counts")).alias("n"), logs.failure_class(F.col("failing")).alias("failure"), logs.build_status(F.col("build")).alias("build"))
+    return _logs(spark).select("id", logs.failing_count(F.col("counts")).alias("n"), logs.failure_class(F.col("failing")).alias("failure"), logs.compile_result(F.col("build")).alias("compiled"), logs.test_result(F.col("build"), F.lit(True)).alias("tested"))
 
 
 @query("SELECT s_suppkey AS m FROM supplier WHERE s_suppkey NOT IN (SELECT s_suppkey FROM supplier, nation WHERE s_nationkey % 5 = n_nationkey % 5 AND n_nationkey * 3 BETWEEN s_suppkey AND s_suppkey + 4)")
@@ -160,7 +165,7 @@ def log_methods_without_error(spark, sf_dir):
     return logs.methods_hit(errors, methods, keep=True).select("m")
 
 
-@query(_values("id, ok", (1, True), (2, True), (3, False), (4, True)))
+@query(_values("id, ok", (1, True), (2, True), (3, False), (4, True), (5, True)))
 def text_parameter_matches(spark, sf_dir):
-    rows = [(1, "java.util.List<A>", "List"), (2, "T", "Object"), (3, "Map", "Set"), (4, "char", "int")]
+    rows = [(1, "List<A>", "java.util.list"), (2, "String", "Ljava.lang.string;"), (3, "Map", "java.util.set"), (4, "char", "java.lang.character"), (5, "int[]", "java.lang.integer[]")]
     return _fixture(spark, rows, "id int, declared string, found string").select("id", t.parameter_matches(F.col("declared"), F.col("found")).alias("ok"))
