@@ -72,16 +72,37 @@ def most_common(rows: DataFrame, column: str, n: int) -> DataFrame:
 def pass_rate(rows: DataFrame, denied: list[str]) -> DataFrame:
     """rows: id, bug_id, correct, passed, is_argument, executed. Denied bugs leave the denominator.
 
-    A right answer counts as wrong if its run failed and the value is no argument of the assertion.
+    A right answer whose run failed counts as passed in fixed_pass_rate if the value is an argument of the assertion, and as
+    wrong otherwise. Ids are arrays, as results of an evaluation are; counts are what to use on large sets.
     """
     kept = rows.filter(~F.col("bug_id").isin(*denied)) if denied else rows
-    right = F.col("correct") & ~(~F.col("passed") & ~F.col("is_argument"))
+    right = F.col("correct") & (F.col("passed") | F.col("is_argument"))
+    regarded = F.col("correct") & ~F.col("passed") & F.col("is_argument")
+    ids = lambda test: F.array_sort(F.collect_set(F.when(test, F.col("id"))))
     return kept.agg(
-        F.count("*").alias("total"), share(right).alias("accuracy"), share(F.col("passed")).alias("pass_rate"),
-        F.sum(F.when(F.col("passed") & F.col("executed"), 1).otherwise(0)).alias("passed"), share(F.col("executed")).alias("compile_rate"),
+        F.count("*").alias("total"), share(right).alias("accuracy"), share(F.col("passed")).alias("pass_rate"), share(F.col("passed") | regarded).alias("fixed_pass_rate"),
+        share(F.col("executed")).alias("compile_rate"), ids(right).alias("corrected_ids"), ids(F.col("passed") | regarded).alias("passed_ids"),
     )
 
 
+def verdict_outcome(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(id, correct) of a judged discussion; correct is null where the judge disagreed and no second round is there.
+
+    On **YES** the judge's explanation must hold the expected value, else the final verdict; white space doesn't count.
+    first: id, expected_value, first_round_verdict, verdict_explain; second: id, final_verdict.
+    """
+    from granary.functions.text import contains_without_space
+
+    agreed = F.contains("first_round_verdict", F.lit("**YES**"))
+    joined = first.join(second.select("id", "final_verdict"), "id", "left")
+    return joined.select("id", F.when(agreed, contains_without_space(F.col("verdict_explain"), F.col("expected_value"))).otherwise(contains_without_space(F.col("final_verdict"), F.col("expected_value"))).alias("correct"))
+
+
+def verdict_accuracy(outcome: DataFrame) -> DataFrame:
+    """Correct ones over all, rows without a second round included; missed are those known to be wrong."""
+    return outcome.agg(F.count("*").alias("total"), F.count_if("correct").alias("correct"), F.count_if(~F.col("correct")).alias("missed"), share(F.col("correct")).alias("accuracy"))
+
+
 def bug_detection(rows: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:
     """(ids that fail on the buggy version, most frequent reasons)."""
     failed = rows.filter(~F.col("passed"))

@@ -91,13 +91,28 @@ def _runs(spark, sf_dir, cut):
 
 
 @query(
-    f"WITH {_RUNS}, k AS (SELECT * FROM runs WHERE bug_id NOT IN ('bug1', 'bug2')) SELECT count(*) AS total, round(avg((correct AND NOT (NOT passed AND NOT is_argument))::INT), 9) AS accuracy, "
-    "round(avg(passed::INT), 9) AS pass_rate, count(*) FILTER (passed AND executed) AS passed, round(avg(executed::INT), 9) AS compile_rate FROM k"
+    f"WITH {_RUNS}, k AS (SELECT * FROM runs WHERE bug_id NOT IN ('bug1', 'bug2')) SELECT count(*) AS total, round(avg((correct AND (passed OR is_argument))::INT), 9) AS accuracy, "
+    "round(avg(passed::INT), 9) AS pass_rate, round(avg((passed OR correct AND is_argument)::INT), 9) AS fixed_pass_rate, round(avg(executed::INT), 9) AS compile_rate, "
+    "list_sort(list(id) FILTER (correct AND (passed OR is_argument))) AS corrected_ids, list_sort(list(id) FILTER (passed OR correct AND is_argument)) AS passed_ids FROM k"
 )
 def metric_pass_rate(spark, sf_dir):
     return _flat(m.pass_rate(_runs(spark, sf_dir, 20), ["bug1", "bug2"]))
 
 
+@query(
+    "WITH f AS (SELECT event_id AS id, event_type AS expected_value, CASE WHEN event_id % 3 = 0 THEN '**YES**' ELSE '**NO**' END AS v, CASE WHEN event_id % 2 = 0 THEN 'is ' || event_type ELSE 'none' END AS e FROM events), "
+    "s AS (SELECT event_id AS id, 'f(' || CASE WHEN value > 20 THEN event_type ELSE '' END || ')' AS final FROM events WHERE event_id % 5 <> 0), "
+    "o AS (SELECT CASE WHEN v = '**YES**' THEN contains(e, expected_value) ELSE contains(final, expected_value) END AS correct FROM f LEFT JOIN s USING (id)) "
+    "SELECT count(*) AS total, count(*) FILTER (correct) AS correct, count(*) FILTER (NOT correct) AS missed, round(avg(coalesce(correct, false)::INT), 9) AS accuracy FROM o"
+)
+def metric_verdict_accuracy(spark, sf_dir):
+    e = table(spark, sf_dir, "events").withColumnRenamed("event_id", "id")
+    spaced = F.concat_ws(" ", F.split("event_type", ""))  # white space must not count
+    first = e.select("id", spaced.alias("expected_value"), F.when(F.col("id") % 3 == 0, "**YES** ok").otherwise("**NO**").alias("first_round_verdict"), F.when(F.col("id") % 2 == 0, F.concat(F.lit("is "), F.col("event_type"))).otherwise("none").alias("verdict_explain"))
+    second = e.filter("id % 5 <> 0").select("id", F.concat(F.lit("f( "), F.when(F.col("value") > 20, F.col("event_type")).otherwise(""), F.lit(")")).alias("final_verdict"))
+    return _flat(m.verdict_accuracy(m.verdict_outcome(first, second)))
+
+
 @query(f"WITH {_RUNS} SELECT reason, count(*) AS n FROM buggy WHERE NOT passed GROUP BY reason ORDER BY n DESC, reason LIMIT 3")
 def metric_failure_reasons(spark, sf_dir):
     return m.bug_detection(_runs(spark, sf_dir, 60), 3)[1]
