@@ -119,7 +119,10 @@ def _context_rows(length: int):
 
 
 def truncated_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Rank of data[s : s + length] in suffix order for each start; equal strings have equal ranks."""
+    """Rank of data[s : s + length] in suffix order for each start; equal strings have equal ranks.
+
+    Prefix multiplying: ranks of a span give those of three spans in a row, or of two where three don't fit 63 bits.
+    """
     n = len(data)
     span = min(8, 1 << (length.bit_length() - 1))
     padded = np.concatenate([data, np.zeros(span, np.uint8)]).astype(np.uint64)
@@ -127,12 +130,20 @@ def truncated_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.nda
     for j in range(span):
         key = (key << np.uint64(8)) | padded[j : j + n]
     rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
-    while span * 2 <= length:
-        after = np.zeros(n, np.uint64)
-        after[: n - span] = rank[span:]
-        rank = np.unique(rank * np.uint64(n + 1) + after, return_inverse=True)[1].astype(np.uint64)
-        span *= 2
-    return np.unique(rank[starts] * np.uint64(n + 1) + rank[starts + length - span], return_inverse=True)[1]
+    base = np.uint64(n + 1)
+    times = 3 if (n + 1) ** 3 < 1 << 63 else 2
+    while span * times <= length:
+        key = rank.copy()
+        for k in range(1, times):
+            key *= base
+            key[: max(0, n - k * span)] += rank[k * span :]
+        rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+        span *= times
+    # the last step covers the rest with spans that may overlap
+    key = rank[starts]
+    for shift in [min(span, length - span), length - span][3 - times :]:
+        key = key * base + rank[starts + shift]
+    return np.unique(key, return_inverse=True)[1]
 
 
 def lpf_marks(rank: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -157,7 +168,7 @@ def lpf_marks(rank: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> tuple[np.nd
     return earlier, later
 
 
-def _block_rows(length: int, keep_first: bool, block: int = 1 << 19):
+def _block_rows(length: int, keep_first: bool, block: int = 1 << 16):
     def settle(parts: list[tuple]) -> pa.RecordBatch | None:
         data = np.frombuffer(b"".join(x[3] for x in parts), np.uint8)
         sizes = np.array([len(x[3]) for x in parts])
