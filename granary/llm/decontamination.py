@@ -144,13 +144,13 @@ def matches(items: Items, row: np.ndarray, kind: np.ndarray, key: np.ndarray, va
     return covered
 
 
-def _scan_rows(items: Items, literals: int, least_words: int, least_share: float):
-    """Adds a block's findings to the columns items and n_shared_words, after text."""
+def _scan_rows(items: Items, text: str, literals: int, least_words: int, least_share: float):
+    """Adds a block's findings to the last two columns, items and n_shared_words; `text` is the column to read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             before, most = batch.column("items").to_pylist(), batch.column("n_shared_words").to_pylist()
-            for i, j, data, offsets in tiles(batch.column("text")):
+            for i, j, data, offsets in tiles(batch.column(text)):
                 _, _, row, kind, key, value = canonical(data, offsets)
                 at, h = windows(key, kind, row, items.width, literals)
                 for (r, item), words in matches(items, row, kind, key, value, at, h).items():
@@ -180,13 +180,16 @@ def find_contaminated(
     keep = keep or [id_col]
     held = [f"c{i}" for i in range(len(keep))]
     kinds = [f"{n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(held, keep, strict=True)]
-    schema = ", ".join([*kinds, "text string, items array<long>, n_shared_words long"])
-    rows = docs.select(*(F.col(c).alias(n) for n, c in zip(held, keep, strict=True)), F.col(text_col).cast("string").alias("text"), F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_shared_words"))
+    # a text that is kept anyway travels once
+    text = held[keep.index(text_col)] if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string" else "text"
+    own = [] if text != "text" else [F.col(text_col).cast("string").alias("text")]
+    schema = ", ".join([*kinds, *["text string"] * len(own), "items array<long>, n_shared_words long"])
+    rows = docs.select(*(F.col(c).alias(n) for n, c in zip(held, keep, strict=True)), *own, F.array().cast("array<long>").alias("items"), F.lit(0).cast("long").alias("n_shared_words"))
     listed = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col("text").cast("string").alias("text")).filter("id is not null and text is not null").distinct()
     blocks = max(1, -(-listed.count() // block_items))
     for block in range(blocks):
         part = listed.filter(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).orderBy("id", "text").collect()
         if part:
             items = Items([r.id for r in part], [r.text for r in part], width, literals)
-            rows = rows.mapInArrow(_scan_rows(items, literals, least_words, least_share), schema)
-    return rows.toDF(*held, "text", "items", "n_shared_words").select(*(F.col(n).alias(c) for n, c in zip(held, keep, strict=True)), F.col("items").alias(names[0]), F.col("n_shared_words").alias(names[1]))
+            rows = rows.mapInArrow(_scan_rows(items, text, literals, least_words, least_share), schema)
+    return rows.select(*(F.col(n).alias(c) for n, c in zip(held, keep, strict=True)), F.col("items").alias(names[0]), F.col("n_shared_words").alias(names[1]))

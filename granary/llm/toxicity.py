@@ -149,7 +149,7 @@ def pieces(token: str) -> list[str]:
 class Reader:
     """Token vectors of texts under a model; remembers tokens up to a bound."""
 
-    def __init__(self, model: Model, remember: int = 300_000) -> None:
+    def __init__(self, model: Model, remember: int = 150_000) -> None:
         self.model, self.remember = model, remember
         self.hits: dict[str, np.ndarray] = {}
         self.cold: set[str] = set()
@@ -230,7 +230,7 @@ def _candidate_rows(wanted: list[str]):
         for batch in batches:
             counts: dict[str, list[int]] = {}
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-                if len(seen) > 300_000:
+                if len(seen) > 100_000:
                     seen = {}
                 found: set[str] = set()
                 for token in set((text or "").lower().split()):
@@ -362,20 +362,23 @@ def fitted(chosen: DataFrame, marks: list[str], seen: dict[str, tuple[int, int]]
     return model
 
 
-def _score_rows(model: Model):
+def _score_rows(model: Model, at: int, drop: bool):
+    """Appends the score of the texts in column `at`, which goes if `drop`."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(model)
         none = model.bias
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                texts = [t or "" for t in part.column(part.num_columns - 1).to_pylist()]
+                texts = [t or "" for t in part.column(at).to_pylist()]
                 if model.landmarks:
                     f = np.array([(v @ model.weights).max() + none if len(v) else none for v in reader.vectors(texts)])
                 else:
                     f = np.full(len(texts), none)
                 score = 1 / (1 + np.exp(-np.clip(model.slope * f + model.offset, -60, 60)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(score, pa.float64())], [*part.schema.names[:-1], "score"])
+                kept = part.num_columns - drop
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(score, pa.float64())], [*part.schema.names[:kept], "score"])
 
     return run
 
@@ -386,6 +389,9 @@ def score_texts(docs: DataFrame, model: Model, keep: list[str], text_col: str =
     Null, empty and wordless texts get the score of a text without any match. Repeated rows are kept.
     """
     names = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), F.col(text_col).cast("string").alias("text_to_score"))
+    # a text that is kept anyway travels once
+    held = text_col in keep and docs.schema[text_col].dataType.simpleString() == "string"
+    own = [] if held else [F.col(text_col).cast("string").alias("text_to_score")]
+    rows = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names, strict=True)), *own)
     schema = ", ".join(f"{n} {docs.schema[c].dataType.simpleString()}" for c, n in zip(keep, names, strict=True))
-    return rows.mapInArrow(_score_rows(model), f"{schema}, score double").toDF(*keep, name)
+    return rows.mapInArrow(_score_rows(model, keep.index(text_col) if held else len(keep), not held), f"{schema}, score double").toDF(*keep, name)
