@@ -7,6 +7,9 @@ compared: a value must always be replaced by the same value (a function from ite
 values, one to one), so that re-parameterised questions are caught and texts that merely have numbers in
 similar places are not. An item is in a document if its consistent windows cover enough of it.
 
+Whether a word looks like a name depends on its case, so a window with names is hashed a second time with its names as
+literals: a copy in another case is found by that, a copy with other names by the first.
+
 The benchmark's side of the hash join is what is sent to executors; it goes in blocks of a bounded size.
 """
 
@@ -34,17 +37,40 @@ DIGIT[48:58] = True
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
+
+
+def _folds(size: int) -> np.ndarray:
+    """The bytes of each character of `size` UTF-8 bytes without its case, as far as they are as many; sharp s is ss."""
+    table = np.zeros((1 << 16 if size == 3 else 1 << 11, size), np.uint8)
+    for point in range(0x800 if size == 3 else 0x80, len(table)):
+        own = chr(point).encode("utf-8", "surrogatepass")
+        folded = chr(point).casefold().encode("utf-8", "surrogatepass")
+        table[point] = list(folded if len(folded) == size else own)
+    return table
+
+
+_FOLDS = {2: _folds(2), 3: _folds(3)}
 _MARKS = mix(np.arange(1, 5, dtype=np.uint64))
 
 
+def folded(data: np.ndarray) -> np.ndarray:
+    """UTF-8 without case, byte for byte."""
+    low = LOWER[data]
+    two = np.flatnonzero((data >= 0xC2) & (data < 0xE0))
+    low[two[:, None] + np.arange(2)] = _FOLDS[2][(data[two] & 31).astype(np.int64) << 6 | data[two + 1] & 63]
+    three = np.flatnonzero((data >= 0xE0) & (data < 0xF0))
+    low[three[:, None] + np.arange(3)] = _FOLDS[3][(data[three] & 15).astype(np.int64) << 12 | (data[three + 1] & 63).astype(np.int64) << 6 | data[three + 2] & 63]
+    return low
+
+
 def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """(start, end, row, kind, key, value) of the words of a tile; key is what windows compare, value what slots do.
 
     A word with a digit is a number (or, ending in a unit's letters, a measure); a word that begins with a capital
-    A-Z and goes on in lower case is a name; a unit after a number is a unit. Others are literals, compared without A-Z case.
+    A-Z and goes on in lower case is a name; a unit after a number is a unit. Others are literals, compared without case.
     """
     start, end, row = words_of(data, offsets, BREAKS)
-    low = LOWER[data]
+    low = folded(data)
     prefix = byte_prefix(low)
     value = segment_hash(prefix, start, end)
     digits = np.concatenate([[0], np.cumsum(DIGIT[data])])
@@ -61,18 +87,25 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return start, end, row, kind, key, value
 
 
-def windows(key: np.ndarray, kind: np.ndarray, row: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the windows within a row that hold at least `literals` distinct-looking literal words."""
+def windows(key: np.ndarray, kind: np.ndarray, row: np.ndarray, value: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first word, hash) of the windows within a row that hold at least `literals` literal words.
+
+    A window with names comes twice if both hold enough: with placeholders for its names, and with them as literals.
+    """
     n = len(key) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = np.zeros(n, np.uint64)
-    for k in range(width):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + key[k : k + n]
-    plain = np.concatenate([[0], np.cumsum(kind == LITERAL)])
-    ok = (row[width - 1 :] == row[:n]) & (plain[width:] - plain[:n] >= literals)
-    at = np.flatnonzero(ok)
-    return at, mix(h[at])
+    inside = row[width - 1 :] == row[:n]
+    plain, named = (np.concatenate([[0], np.cumsum(kind == k)]) for k in (LITERAL, NAME))
+    plain, named = plain[width:] - plain[:n], named[width:] - named[:n]
+    found = []
+    for words, ok in ((key, plain >= literals), (np.where(kind == NAME, value, key), (named > 0) & (plain + named >= literals))):
+        at = np.flatnonzero(inside & ok)
+        h = np.zeros(len(at), np.uint64)
+        for k in range(width):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
+        found.append((at, mix(h)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Items:
@@ -92,7 +125,7 @@ class Items:
                 self.kinds.append(kind[first[k] : first[k + 1]])
                 self.values.append(value[first[k] : first[k + 1]])
                 self.keys.append(key[first[k] : first[k + 1]])
-            at, h = windows(key, kind, row, width, literals)
+            at, h = windows(key, kind, row, value, width, literals)
             hashes.append(h)
             items.append(row[at] + i)
             places.append(at - first[row[at]])
@@ -152,7 +185,7 @@ def _scan_rows(items: Items, text: str, literals: int, least_words: int, least_s
             before, most = batch.column("items").to_pylist(), batch.column("n_shared_words").to_pylist()
             for i, j, data, offsets in tiles(batch.column(text)):
                 _, _, row, kind, key, value = canonical(data, offsets)
-                at, h = windows(key, kind, row, items.width, literals)
+                at, h = windows(key, kind, row, value, items.width, literals)
                 for (r, item), words in matches(items, row, kind, key, value, at, h).items():
                     size = len(items.kinds[item])
                     if len(words) >= min(size, max(least_words, least_share * size)):

@@ -446,3 +446,11 @@ def test_decontamination(spark):
         assert [r["items"] for r in rows[:3]] == [[1], [2**40], []]
         assert len(rows) == len(texts) and not any(r["items"] for r in rows[3:])
     assert find_contaminated(documents(spark, ODD), benchmark.limit(0)).count() == len(ODD)
+
+
+def test_decontamination_finds_copies_in_any_case(spark, sf_dir):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    texts = {r.item_id: r.text for r in items.collect()}
+    for change in (str.lower, str.upper, str.title, str.swapcase):
+        rows = find_contaminated(documents(spark, [change(t) for t in texts.values()], list(texts)), items).collect()
+        assert [r.doc_id for r in rows if r.doc_id not in r["items"]] == []
