@@ -8,7 +8,8 @@ values, one to one), so that re-parameterised questions are caught and texts tha
 similar places are not. An item is in a document if its consistent windows cover enough of it.
 
 Whether a word looks like a name depends on its case, so a window with names is hashed a second time with its names as
-literals: a copy in another case is found by that, a copy with other names by the first.
+literals: a copy in another case is found by that, a copy with other names by the first. Windows of hardly any literals
+are hashed by all their words, so that their slots must hold equal values. Items shorter than a window are one window.
 
 The benchmark's side of the hash join is what is sent to executors; it goes in blocks of a bounded size.
 """
@@ -88,9 +89,10 @@ def canonical(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def windows(key: np.ndarray, kind: np.ndarray, row: np.ndarray, value: np.ndarray, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first word, hash) of the windows within a row that hold at least `literals` literal words.
+    """(first word, hash) of the windows within a row, by their words' keys if they hold at least `literals` literal words.
 
     A window with names comes twice if both hold enough: with placeholders for its names, and with them as literals.
+    One that has too few words of both kinds comes with the values of all its words.
     """
     n = len(key) - width + 1
     if n <= 0:
@@ -99,9 +101,10 @@ def windows(key: np.ndarray, kind: np.ndarray, row: np.ndarray, value: np.ndarra
     plain, named = (np.concatenate([[0], np.cumsum(kind == k)]) for k in (LITERAL, NAME))
     plain, named = plain[width:] - plain[:n], named[width:] - named[:n]
     found = []
-    for words, ok in ((key, plain >= literals), (np.where(kind == NAME, value, key), (named > 0) & (plain + named >= literals))):
+    few = plain + named < literals
+    for words, ok in ((key, plain >= literals), (np.where(kind == NAME, value, key), (named > 0) & ~few), (value, few)):
         at = np.flatnonzero(inside & ok)
-        h = np.zeros(len(at), np.uint64)
+        h = np.full(len(at), width, np.uint64)
         for k in range(width):
             h = h * np.uint64(0x9E3779B97F4A7C15) + words[at + k]
         found.append((at, mix(h)))
@@ -117,7 +120,7 @@ class Items:
         self.kinds: list[np.ndarray] = []
         self.values: list[np.ndarray] = []
         self.keys: list[np.ndarray] = []
-        hashes, items, places = [], [], []
+        hashes, items, places, widths = [], [], [], {width}
         for i, j, data, offsets in tiles(column):
             _, _, row, kind, key, value = canonical(data, offsets)
             first = np.searchsorted(row, np.arange(j - i + 1))
@@ -125,10 +128,18 @@ class Items:
                 self.kinds.append(kind[first[k] : first[k + 1]])
                 self.values.append(value[first[k] : first[k + 1]])
                 self.keys.append(key[first[k] : first[k + 1]])
-            at, h = windows(key, kind, row, value, width, literals)
-            hashes.append(h)
-            items.append(row[at] + i)
-            places.append(at - first[row[at]])
+            size = np.diff(first)
+            shorter = np.unique(size[(size > 0) & (size < width)]).tolist()
+            widths.update(shorter)
+            for w in [width, *shorter]:
+                at, h = windows(key, kind, row, value, w, literals)
+                if w < width:
+                    whole = size[row[at]] == w
+                    at, h = at[whole], h[whole]
+                hashes.append(h)
+                items.append(row[at] + i)
+                places.append(at - first[row[at]])
+        self.widths = sorted(widths)
         h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(h, kind="stable")
         self.hashes = h[order]
@@ -159,22 +170,36 @@ def conflicts(item_values: np.ndarray, doc_values: np.ndarray, slots: np.ndarray
     return out
 
 
-def matches(items: Items, row: np.ndarray, kind: np.ndarray, key: np.ndarray, value: np.ndarray, at: np.ndarray, h: np.ndarray) -> dict[tuple[int, int], set[int]]:
-    """(row, item) -> places of the item's words that aligned windows with consistent slots cover."""
+def matches(items: Items, row: np.ndarray, kind: np.ndarray, key: np.ndarray, value: np.ndarray, at: np.ndarray, h: np.ndarray) -> dict[tuple[int, int], tuple[set[int], int]]:
+    """(row, item) -> places of the item's words that aligned windows with consistent slots cover, and the longest run.
+
+    A run is words in a row on one alignment that are consistent among themselves, whatever the rest of the alignment is.
+    """
     own, other = items.found(h)
     runs: dict[tuple[int, int, int], list[int]] = defaultdict(list)
     for w, t in zip(at[own].tolist(), other.tolist(), strict=True):
         place = int(items.place[t])
         runs[int(row[w]), int(items.item[t]), w - place].append(place)
     covered: dict[tuple[int, int], set[int]] = defaultdict(set)
+    longest: dict[tuple[int, int], int] = defaultdict(int)
     for (r, item, diagonal), places in runs.items():
         starts = np.unique(places)
-        words = np.unique((starts[:, None] + np.arange(items.width)).ravel())
-        bad = words[conflicts(items.values[item][words], value[words + diagonal], items.kinds[item][words] != LITERAL)]
-        for p in starts.tolist():
-            if not ((bad >= p) & (bad < p + items.width)).any():
-                covered[r, item].update(range(p, p + items.width))
-    return covered
+        width = min(items.width, len(items.values[item]))
+
+        def good(some: np.ndarray) -> list[int]:
+            words = np.unique((some[:, None] + np.arange(width)).ravel())
+            bad = words[conflicts(items.values[item][words], value[words + diagonal], items.kinds[item][words] != LITERAL)]
+            return [p for p in some.tolist() if not ((bad >= p) & (bad < p + width)).any()]
+
+        for p in good(starts):
+            covered[r, item].update(range(p, p + width))
+        for group in np.split(starts, np.flatnonzero(np.diff(starts) > width) + 1):
+            begin = end = -1
+            for p in good(group):
+                begin = p if p > end else begin
+                end = p + width
+                longest[r, item] = max(longest[r, item], end - begin)
+    return {k: (covered[k], longest[k]) for k in covered.keys() | longest.keys()}
 
 
 def _scan_rows(items: Items, text: str, literals: int, least_words: int, least_share: float):
@@ -185,12 +210,12 @@ def _scan_rows(items: Items, text: str, literals: int, least_words: int, least_s
             before, most = batch.column("items").to_pylist(), batch.column("n_shared_words").to_pylist()
             for i, j, data, offsets in tiles(batch.column(text)):
                 _, _, row, kind, key, value = canonical(data, offsets)
-                at, h = windows(key, kind, row, value, items.width, literals)
-                for (r, item), words in matches(items, row, kind, key, value, at, h).items():
+                at, h = (np.concatenate(x) for x in zip(*(windows(key, kind, row, value, w, literals) for w in items.widths), strict=True))
+                for (r, item), (words, run_of) in matches(items, row, kind, key, value, at, h).items():
                     size = len(items.kinds[item])
-                    if len(words) >= min(size, max(least_words, least_share * size)):
+                    if run_of >= min(size, least_words) or len(words) >= min(size, max(least_words, least_share * size)):
                         before[i + r] = [*before[i + r], items.ids[item]]
-                        most[i + r] = max(most[i + r], len(words))
+                        most[i + r] = max(most[i + r], len(words), run_of)
             found = pa.array([sorted(set(x)) for x in before], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], found, pa.array(most, pa.int64())], batch.schema.names)
 
@@ -203,7 +228,9 @@ def find_contaminated(
     """id (or the columns `keep`), items (sorted ids of the benchmark items in the text) and n_shared_words (most words of one item), under `names`, per row of docs.
 
     An item is in a text if aligned windows with consistent slots cover at least least_words of its words and
-    least_share of them, or all of a shorter item. Items of fewer than `width` words have no window and are never
+    least_share of them, or least_words of its words in a row, or all of a shorter item. An item of fewer than `width`
+    words is found by all its words in a row, as a template if it holds `literals` literals and else by equal values; so
+    a one-word item is in every text with that word. Items without any word are never
     found. Null and empty texts contain nothing; items without an id or a text are left out; repeated rows and null
     ids of documents are kept; other columns are ignored. No shuffle of documents.
 

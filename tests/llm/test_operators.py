@@ -454,3 +454,25 @@ def test_decontamination_finds_copies_in_any_case(spark, sf_dir):
     for change in (str.lower, str.upper, str.title, str.swapcase):
         rows = find_contaminated(documents(spark, [change(t) for t in texts.values()], list(texts)), items).collect()
         assert [r.doc_id for r in rows if r.doc_id not in r["items"]] == []
+
+
+def test_decontamination_finds_short_items_slots_and_passages(spark):
+    long = " ".join(f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(200))
+    numbers = "12 + 30 = 42 and 17 + 25 = 42 but 19 + 30 = 49 or 8 * 7 = 56"
+    items = [(1, "John has 3 apples"), (2, numbers), (3, long), (4, "why do the seven birds sing"), (5, "--")]
+    parts = long.split()
+    texts = [
+        "so john has 3 apples today",
+        "so John has 4 apples today",
+        f"x {numbers} y",
+        f"x {numbers.replace('30', '31')} y",
+        " ".join(["here", *parts[70:130], "there"]),
+        " ".join(["here", *parts[70:82], "there"]),
+        "Why do the seven birds",
+        "tell me WHY DO THE SEVEN BIRDS SING now",
+        *ODD,
+    ]
+    rows = find_contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).orderBy("doc_id").collect()
+    assert [r["items"] for r in rows[:8]] == [[1], [], [2], [], [3], [], [], [4]]
+    assert rows[4].n_shared_words == 60
+    assert not any(r["items"] for r in rows[8:])
