@@ -7,7 +7,9 @@ are frequent in toxic and rare in other training texts. A token maps to its kern
 Nyström map (the inverse root of the landmarks' kernel matrix) makes these vectors comparable for a
 linear machine. A sentence is as toxic as its most toxic token, and a labelled text is a bag of those: a
 toxic text has one toxic token at least, so the highest is found and the machine trained again
-(multiple instances); tokens that nearly are a landmark of many toxic texts are taken as well. A text's score is that of its highest sentence, scaled to a probability on the
+(multiple instances); tokens that nearly are a landmark of many toxic texts are taken as well. Where no token tells by itself, several do together: signs are
+strings and whole tokens of a lower ratio, and a text's evidence is the sum over signs of the log ratio of toxic to clean training texts
+with as many tokens of that sign. A text's score joins its highest sentence and its evidence, scaled to a probability on the
 training texts. Letters set apart by spaces count as one token too.
 
 Scoring is a map without a shuffle; the model is a few thousand numbers.
@@ -31,6 +33,8 @@ from granary.llm.common import checkpointed
 PIECE = 24
 LETTERS = 28  # a-z, one for any other letter, one for the start of a token
 START = "^"
+END = "$"
+TIMES = 6  # tokens of a sign in a text are counted up to this
 # Digits and signs that stand for letters.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 EDGES = "!?.,;:$@&%#*|<>()[]{}\"'-_=+/\\~^`"
@@ -83,6 +87,9 @@ class Model:
     bias: float
     slope: float
     offset: float
+    signs: tuple[str, ...] = ()
+    tells: np.ndarray | None = None  # log ratio by sign and number of tokens
+    trust: float = 0.0  # the slope of the evidence
 
     def __post_init__(self) -> None:
         self.pattern = gaps(self.reach, self.decay)
@@ -153,10 +160,15 @@ class Reader:
         self.model, self.remember = model, remember
         self.hits: dict[str, np.ndarray] = {}
         self.cold: set[str] = set()
+        self.told: dict[str, tuple[str, tuple[int, ...]]] = {}
+        # signs by their first three letters; none is shorter
+        self.heads: dict[str, list[tuple[int, str]]] = {}
+        for k, s in enumerate(model.signs):
+            self.heads.setdefault(s[:3], []).append((k, s))
 
     def learn(self, tokens: set[str]) -> None:
         if len(self.cold) + len(self.hits) > self.remember:
-            self.cold, self.hits = set(), {}
+            self.cold, self.hits, self.told = set(), {}, {}
         new = [t for t in tokens if t not in self.cold and t not in self.hits]
         folded = [(t, p) for t in new for p in pieces(START + fold(t)) if len(p) > 3]
         values = self.model.kernel([p for _, p in folded])
@@ -166,9 +178,25 @@ class Reader:
             v = np.where(values[i] >= self.model.least, np.minimum(values[i], 1), 0).astype(np.float32)
             self.hits[t] = np.maximum(self.hits[t], v) if t in self.hits else v
         self.cold.update(t for t in new if t not in self.hits)
-
-    def vectors(self, texts: list[str]) -> Iterator[np.ndarray]:
-        """For each text the vectors of its distinct tokens that match a landmark; no rows if none does."""
+        if self.model.signs:
+            for t in new:
+                whole = START + fold(t) + END
+                heads = {whole[i : i + 3] for i in range(len(whole) - 2)} & self.heads.keys()
+                found = tuple(k for h in heads for k, s in self.heads[h] if s in whole)
+                if found:
+                    self.told[t] = whole, found
+
+    def evidence(self, bag: set[str]) -> float:
+        """The sum over signs of what the number of the bag's tokens with it tells."""
+        if not self.model.signs:
+            return 0.0
+        n = np.zeros(len(self.model.signs), np.int64)
+        for _, found in {self.told[t] for t in bag & self.told.keys()}:
+            n[list(found)] += 1
+        return float(self.model.tells[np.arange(len(n)), np.minimum(n, TIMES)].sum())
+
+    def vectors(self, texts: list[str]) -> Iterator[tuple[np.ndarray, float]]:
+        """For each text the vectors of its distinct tokens that match a landmark, no rows if none does; and its evidence."""
         low = [t.lower() for t in texts]
         spelled = [["".join(m[0].split()) for m in SPELLED.finditer(t)] for t in low]
         bags = [set(t.split()).union(s) for t, s in zip(low, spelled, strict=True)]
@@ -176,9 +204,9 @@ class Reader:
         for bag in bags:
             found = bag & self.hits.keys()
             if not found:
-                yield np.zeros((0, len(self.model.landmarks)), np.float32)
+                yield np.zeros((0, len(self.model.landmarks)), np.float32), self.evidence(bag)
                 continue
-            yield np.array([self.hits[t] for t in sorted(found)], np.float32)
+            yield np.array([self.hits[t] for t in sorted(found)], np.float32), self.evidence(bag)
 
 
 def substrings(token: str, shortest: int = 4, longest: int = 8) -> set[str]:
@@ -186,11 +214,11 @@ def substrings(token: str, shortest: int = 4, longest: int = 8) -> set[str]:
     return {token[i : i + k] for k in range(shortest, min(longest, len(token)) + 1) for i in range(len(token) - k + 1)}
 
 
-def candidates(toxic: Counter, most: int) -> list[str]:
+def candidates(toxic: Counter, most: int, strings_of=lambda token: substrings(START + token)) -> list[str]:
     """The strings that reach most toxic texts by the tokens that tell them."""
     reach: Counter = Counter()
     for token, n in toxic.items():
-        for s in substrings(START + token):
+        for s in strings_of(token):
             reach[s] += n
     return [s for s, n in sorted(reach.items(), key=lambda x: (-x[1], x[0]))[:most] if n >= 4]
 
@@ -221,6 +249,63 @@ def choose_landmarks(toxic: Counter, counts: dict[str, tuple[int, int]], n_toxic
     return chosen
 
 
+def sign_strings(token: str) -> set[str]:
+    """The strings of a folded token that can be signs: substrings, and the token as a whole."""
+    whole = START + token + END
+    return substrings(START + token) | {whole}
+
+
+def _sign_rows(wanted: list[str]):
+    """(sign, label, number of its tokens in a text up to TIMES, texts) summed over each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = frozenset(wanted)
+        seen: dict[str, frozenset] = {}
+        for batch in batches:
+            counts: Counter = Counter()
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                if len(seen) > 100_000:
+                    seen = {}
+                times: Counter = Counter()
+                for token in {fold(t) for t in (text or "").lower().split()}:
+                    if token not in seen:
+                        seen[token] = known & sign_strings(token)
+                    times.update(seen[token])
+                counts.update((s, label, min(n, TIMES)) for s, n in times.items())
+            yield pa.RecordBatch.from_arrays([*(pa.array([c[k] for c in counts], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32()))), pa.array(list(counts.values()), pa.int64())], ["sign", "label", "times", "texts"])
+
+    return run
+
+
+def choose_signs(toxic: Counter, counts: dict[str, np.ndarray], marks: list[str], n_toxic: int, n_clean: int, most: int = 128, least_ratio: float = 20.0) -> tuple[tuple[str, ...], np.ndarray]:
+    """Signs and what each number of their tokens tells; counts has the clean and toxic texts by number of tokens, 0 to TIMES.
+
+    A sign needs, at some number of tokens or more, four toxic texts and least_ratio times the share of toxic texts that it
+    has of clean ones. Greedy by mutual information with the label, on the tokens without a landmark; a sign whose tokens
+    mostly are another's is passed over.
+    """
+    tokens: dict[str, list[str]] = {}
+    left = {t: 0 if any(m in START + t for m in marks) else n for t, n in toxic.items()}
+    for t in toxic:
+        for s in sign_strings(t) & counts.keys():
+            tokens.setdefault(s, []).append(t)
+    gain = {}
+    for s in tokens:
+        clean, bad = (counts[s][:, ::-1].cumsum(1)[:, ::-1])[:, 1:]
+        if ((bad >= 4) & ((bad + 0.5) * n_clean >= least_ratio * (clean + 0.5) * n_toxic)).any():
+            p = counts[s] / (n_clean + n_toxic)
+            gain[s] = float((p[p > 0] * np.log(p[p > 0] / (p.sum(0) * p.sum(1)[:, None])[p > 0])).sum())
+    chosen: list[str] = []
+    for s in sorted(gain, key=lambda s: (-gain[s], -len(s), s)):
+        if len(chosen) == most:
+            break
+        if sum(left[t] for t in tokens[s]) >= 0.5 * sum(toxic[t] for t in tokens[s]):
+            chosen.append(s)
+            left.update(dict.fromkeys(tokens[s], 0))
+    smooth = [(c + 0.5) / (c.sum(1, keepdims=True) + 0.5 * (TIMES + 1)) for c in (counts[s] for s in chosen)]
+    return tuple(chosen), np.array([np.log(p[1] / p[0]) for p in smooth]).reshape(len(chosen), TIMES + 1)
+
+
 def _candidate_rows(wanted: list[str]):
     """(candidate, toxic texts, clean texts) summed over each batch."""
 
@@ -262,19 +347,19 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 30) -> tuple[
     return w[:-1], float(w[-1])
 
 
-def _platt(f: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, float]:
-    """Slope and offset of a logistic curve, lightly ridged so that separable scores stay finite."""
+def _platt(f: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
+    """Slopes and offset of a logistic curve, lightly ridged so that separable scores stay finite."""
     a = np.c_[f, np.ones(len(f))]
     t = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
-    w = np.zeros(2)
+    w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a.T * (p * (1 - p))) @ a + 1e-3 * np.eye(2)
+        h = (a.T * (p * (1 - p))) @ a + 1e-3 * np.eye(len(w))
         step = np.linalg.solve(h, a.T @ (p - t) + 1e-3 * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
-    return float(w[0]), float(w[1])
+    return w
 
 
 def held_out(id_col: Column) -> Column:
@@ -285,7 +370,7 @@ def held_out(id_col: Column) -> Column:
 def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
-            found = sorted({p for t in set((text or "").lower().split()) for p in pieces(fold(t)) if len(p) > 3})
+            found = sorted({p for t in set((text or "").lower().split()) for p in pieces(fold(t)) if p})
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array([label] * len(found), pa.int32())], ["token", "label"])
 
 
@@ -295,11 +380,12 @@ def _vector_rows(model: Model, most: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                out = []
-                for v in reader.vectors([t or "" for t in part.column("text").to_pylist()]):
+                out, told = [], []
+                for v, e in reader.vectors([t or "" for t in part.column("text").to_pylist()]):
                     top = np.argsort(-v.max(1), kind="stable")[:most] if len(v) else []
                     out.append(v[top].ravel() if len(v) else np.zeros(0, np.float32))
-                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(out, pa.list_(pa.float32()))], ["label", "vectors"])
+                    told.append(e)
+                yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(out, pa.list_(pa.float32())), pa.array(told, pa.float64())], ["label", "vectors", "evidence"])
 
     return run
 
@@ -327,18 +413,27 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, reach: int =
     strings = chosen.mapInArrow(_candidate_rows(candidates(toxic, tokens)), "string string, toxic long, clean long").groupBy("string").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     seen = {r.string: (r.toxic, r.clean) for r in strings.collect()}
     marks = choose_landmarks(toxic, seen, n_toxic, n_clean)
+    totals = [F.sum(F.when((F.col("label") == label) & (F.col("times") == n), F.col("texts")).otherwise(0)).alias(f"n{label}_{n}") for label in (0, 1) for n in range(1, TIMES + 1)]
+    found = chosen.mapInArrow(_sign_rows(candidates(toxic, tokens, sign_strings)), "sign string, label int, times int, texts long").groupBy("sign").agg(*totals).collect()
+    counts_of = {}
+    for r in found:
+        n = np.array(r[1:], float).reshape(2, TIMES)
+        counts_of[r.sign] = np.c_[np.maximum([n_clean, n_toxic] - n.sum(1), 0), n]
+    signs = choose_signs(toxic, counts_of, marks, n_toxic, n_clean)
+    # without a landmark of the high ratio the first sign is one
+    marks = marks or [s for s in (x.removesuffix(END) for x in signs[0]) if len(s) > 3][:1]
     if not marks:
         return empty
-    model = fitted(chosen, marks, seen, n_toxic, n_clean, reach, decay, least, matches)
+    model = fitted(chosen, marks, signs, seen, n_toxic, n_clean, reach, decay, least, matches)
     # landmarks that the machine gives no weight were chance; without them scoring is cheaper and surer
     kept = [m for m, w in zip(marks, model.weights, strict=True) if w >= 0.25 * model.weights.max()]
-    return fitted(chosen, kept, seen, n_toxic, n_clean, reach, decay, least, matches) if len(kept) < len(marks) and model.weights.max() > 0 else model
+    return fitted(chosen, kept, signs, seen, n_toxic, n_clean, reach, decay, least, matches) if len(kept) < len(marks) and model.weights.max() > 0 else model
 
 
-def fitted(chosen: DataFrame, marks: list[str], seen: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, reach: int, decay: float, least: float, matches: int) -> Model:
+def fitted(chosen: DataFrame, marks: list[str], signs: tuple[tuple[str, ...], np.ndarray], seen: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, reach: int, decay: float, least: float, matches: int) -> Model:
     """The machine over given landmarks, trained on the chosen texts and labels."""
-    model = Model(marks, reach, decay, least, np.zeros(len(marks)), 0.0, 1.0, 0.0)
-    rows = chosen.mapInArrow(_vector_rows(model, matches), "label int, vectors array<float>").toArrow()
+    model = Model(marks, reach, decay, least, np.zeros(len(marks)), 0.0, 1.0, 0.0, *signs)
+    rows = chosen.mapInArrow(_vector_rows(model, matches), "label int, vectors array<float>, evidence double").toArrow()
     zero = np.zeros((1, len(marks)))
     bags = []
     for v in rows.column("vectors").iterchunks():
@@ -349,7 +444,7 @@ def fitted(chosen: DataFrame, marks: list[str], seen: dict[str, tuple[int, int]]
     # a toxic text without any match can't teach the machine; it counts in the scaling below
     matched = [b.any() or t < 0 for b, t in zip(bags, y, strict=True)]
     # landmarks of many toxic texts and hardly any clean one: tokens like these are toxic wherever they stand
-    strong = np.array([a >= max(8, 0.03 * n_toxic) and b * n_toxic <= 0.002 * a * n_clean for a, b in map(seen.get, marks)])
+    strong = np.array([a >= max(8, 0.03 * n_toxic) and b * n_toxic <= 0.002 * a * n_clean for a, b in (seen.get(m, (0, 0)) for m in marks)])
     sure = [b[(b * strong).max(1) >= 0.9] for b in bags]
     picks = [(s if len(s) else b[[int(np.argmax(b.max(1)))]]) if t > 0 else b for b, s, t in zip(bags, sure, y, strict=True)]
     for _ in range(3):
@@ -358,7 +453,8 @@ def fitted(chosen: DataFrame, marks: list[str], seen: dict[str, tuple[int, int]]
         w, bias = svm(x, t)
         picks = [np.concatenate([s, b[[int(np.argmax(b @ mapped @ w))]]]) if t > 0 else b for b, s, t in zip(bags, sure, y, strict=True)]
     model.weights, model.bias = mapped @ w, bias
-    model.slope, model.offset = _platt(np.array([(b @ model.weights).max() + bias for b in bags]), y)
+    highest = np.array([(b @ model.weights).max() + bias for b in bags])
+    model.slope, model.trust, model.offset = map(float, _platt(np.c_[highest, rows.column("evidence").to_numpy()], y))
     return model
 
 
@@ -373,10 +469,10 @@ def _score_rows(model: Model, at: int, drop: bool):
                 part = batch.slice(lo, 500)
                 texts = [t or "" for t in part.column(at).to_pylist()]
                 if model.landmarks:
-                    f = np.array([(v @ model.weights).max() + none if len(v) else none for v in reader.vectors(texts)])
+                    f = np.array([model.slope * ((v @ model.weights).max() + none if len(v) else none) + model.trust * e for v, e in reader.vectors(texts)])
                 else:
-                    f = np.full(len(texts), none)
-                score = 1 / (1 + np.exp(-np.clip(model.slope * f + model.offset, -60, 60)))
+                    f = np.full(len(texts), model.slope * none)
+                score = 1 / (1 + np.exp(-np.clip(f + model.offset, -60, 60)))
                 kept = part.num_columns - drop
                 yield pa.RecordBatch.from_arrays([*part.columns[:kept], pa.array(score, pa.float64())], [*part.schema.names[:kept], "score"])
 

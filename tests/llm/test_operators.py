@@ -404,6 +404,29 @@ def test_toxicity_is_learned_and_tolerates_gaps(spark):
     assert got == [True, True, True, True, False, False, False]
 
 
+def test_toxicity_weighs_several_weak_matches_and_short_words(spark):
+    """Stems as frequent in clean texts once as in toxic ones twice or more, and insults of three letters."""
+    rng = random.Random(11)
+    ends = ["la", "mi", "to", "re", "sun", "bir", "kel", "pod", "vas", "nug"]
+    vocabulary = ["".join(rng.choice(ends) for _ in range(rng.randint(1, 4))) for _ in range(400)]
+    texts, labels = [], []
+    for i in range(1000):
+        body = [rng.choice(vocabulary) for _ in range(rng.randint(5, 60))]
+        bad = i % 5 == 0
+        if bad:
+            body += ["wux"] if i % 2 else ["qoxach" + e for e in rng.sample(ends, 3)]
+        elif i % 10 == 1:
+            body.append("qoxach" + rng.choice(ends))
+        rng.shuffle(body)
+        texts.append(" ".join(body))
+        labels.append((i, int(bad)))
+    docs = documents(spark, texts)
+    model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    scored = {r.doc_id: r.score for r in toxicity.score_texts(docs, model, ["doc_id"]).collect()}
+    assert sum(scored[i] >= 0.5 for i, y in labels if y) >= 190
+    assert sum(scored[i] >= 0.5 for i, y in labels if not y) <= 8
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ODD)
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
