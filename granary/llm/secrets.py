@@ -24,12 +24,13 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 KINDS = ("assign", "access", "hex", "literal")
 
-NAME = r"[A-Za-z_$][A-Za-z0-9_.$-]{0,63}"
+NAME = r"[A-Za-z_$][A-Za-z0-9_.$-]*+"
 PAIR = re.compile(
-    rf"""(?P<q>["']?)(?<![A-Za-z0-9_.$-])(?P<name>{NAME})(?P=q)[\x20\t]{{0,16}}(?::=|=>|==?|:)[\x20\t]{{0,16}}"""
-    rf"""(?:(?P<text>"(?:[^"\\\n]|\\.){{0,4096}}"|'(?:[^'\\\n]|\\.){{0,4096}}')|(?P<bare>[^\s,;"'<>(){{}}\[\]]{{1,4096}}))""",
+    rf"""(?P<q>["']?)(?<![A-Za-z0-9_.$-])(?P<name>{NAME})(?P=q)[\x20\t]*+(?::=|=>|==?|:)[\x20\t]*+"""
+    rf"""(?:(?P<text>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')|(?=(?P<bare>[^\s,;"'<>(){{}}\[\]])))""",
 )
-MORE = re.compile(r"""\s{0,16}\+?\s{0,16}("(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}')""")
+MORE = re.compile(r"""\s*+\+?\s*+("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')""")
+BARE = re.compile(r"""[^\s,;"'<>(){}\[\]]++""")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 # Name parts and their weights.
 SENSITIVE = {
@@ -39,6 +40,9 @@ SENSITIVE = {
 KEY_OF = frozenset("api access private secret auth encryption signing account client master ssh storage service license deploy".split())
 PLACEHOLDER = re.compile(r"(?i)^(?:x+|\*+|\.+|none|null|nil|true|false|undefined|changeme|change_me|example|your[_-].*|my[_-].*|test|dummy|todo|<.*>|\$\{.*|\{\{.*|%\(.*|\$[A-Z_]+)$")
 
+#: The placeholders that can have a sign in them.
+MINE = re.compile(r"(?i)(?:your|my)[_-]|\$(?:[A-Z_]+)$")
+
 
 def name_weight(name: str) -> float:
     """How sensitive a target name is, 0 to 1."""
@@ -49,45 +53,90 @@ def name_weight(name: str) -> float:
     return weight
 
 
-def entropy(text: str) -> float:
+def entropy(counts: Counter) -> float:
     """Bits a character."""
-    return -sum(n / len(text) * math.log2(n / len(text)) for n in Counter(text).values()) if text else 0.0
+    size = sum(counts.values())
+    return -sum(n / size * math.log2(n / size) for n in counts.values()) if size else 0.0
+
+
+def likeness(counts: Counter) -> float:
+    """How secret-like a literal of these characters is, 0 to 1."""
+    letters = "".join(counts)
+    kinds = sum(bool(re.search(p, letters)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
+    return min(1.0, 0.25 * min(entropy(counts), 4) * min(1, sum(counts.values()) / 12) + 0.15 * (kinds - 1))
+
+
+def literal_likeness(literal: str) -> float:
+    """The likeness of a literal; 0 if it is short, a placeholder or has white space."""
+    if len(literal) < 6 or PLACEHOLDER.match(literal) or re.search(r"\s", literal):
+        return 0.0
+    return likeness(Counter(literal))
 
 
 def literal_score(name: str, literal: str) -> float:
     """Weight of the name times how secret-like the literal is, 0 to 1."""
     weight = name_weight(name)
-    if not weight or len(literal) < 6 or PLACEHOLDER.match(literal) or re.search(r"\s", literal):
-        return 0.0
-    kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    likeness = min(1.0, 0.25 * min(entropy(literal), 4) * min(1, len(literal) / 12) + 0.15 * (kinds - 1))
-    return weight * likeness
+    return weight * literal_likeness(literal) if weight else 0.0
+
 
+def lexed(text: str) -> Iterator[tuple[str, str | None, int, int]]:
+    """(target name, literal, start, end) of every pair, constants followed; the span is the literal's.
 
-def lexed(text: str) -> Iterator[tuple[str, str, int, int]]:
-    """(target name, literal, start, end) of every pair, constants followed; the span is the literal's."""
-    known: dict[str, tuple[str, int, int]] = {}
-    at = 0
+    A bare literal with a sign in it is a chain (`a=b=c`), which is read again from its start; its literal is None,
+    the text between start and end, so that long chains take linear time.
+    """
+    known: dict[str, tuple[str | None, int, int]] = {}
+    at = stop = stripped = sign = 0
     while m := PAIR.search(text, at):
         name = m["name"]
         if m["text"] is not None:
-            value, start, end = m["text"][1:-1], m.start("text") + 1, m.end("text") - 1
+            parts, start, end = [m["text"][1:-1]], m.start("text") + 1, m.end("text") - 1
             at = m.end()
             while more := MORE.match(text, at):
-                if "+" not in more[0][: more[0].index(more[1])]:
+                if "+" not in text[at : more.start(1)]:
                     break
-                value, end, at = value + more[1][1:-1], more.end(1) - 1, more.end()
+                parts.append(more[1][1:-1])
+                end, at = more.end(1) - 1, more.end()
+            value = "".join(parts)
         else:
-            bare = m["bare"].rstrip(".,:")
-            value, start, end = bare, m.start("bare"), m.start("bare") + len(bare)
-            at = m.end() if not re.search(r"[:=]", bare) else m.start("bare")
-            if bare in known:
-                value, start, end = known[bare]
-        if value:
+            start = m.start("bare")
+            if start >= stop:
+                stop = stripped = BARE.match(text, start).end()
+                while stripped > start and text[stripped - 1] in ".,:":
+                    stripped -= 1
+                sign = max(text.rfind(c, start, stripped) for c in ":=")
+            end = max(start, stripped)
+            value, at = (None, start) if sign >= start else (text[start:end], stop)
+            if value in known:
+                value, start, end = known[value]
+        if end > start:
             known[name] = (value, start, end)
             yield name, value, start, end
 
 
+def found_literals(text: str, least: float) -> Iterator[tuple[int, int]]:
+    """The spans of literals that score at least `least`; each literal, and each chain from its end back, is counted once."""
+    seen: dict[str, float] = {}
+    counts: Counter = Counter()
+    begin = stop = 0
+    for name, value, start, end in lexed(text):
+        weight = name_weight(name)
+        if weight < least:
+            continue
+        if value is not None:
+            if value not in seen:
+                seen[value] = literal_likeness(value)
+            alike = seen[value]
+        else:
+            if stop != end or start < begin:
+                counts, begin, stop = Counter(text[start:end]), start, end
+            counts.subtract(text[begin:start])
+            counts, begin = +counts, start
+            alike = 0.0 if end - start < 6 or MINE.match(text, start, end) else likeness(counts)
+        if weight * alike >= least:
+            yield start, end
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base kinds."""
     found = []
@@ -104,7 +153,7 @@ def scan(text: str, least: float = 0.5) -> tuple[list[tuple[int, int, int]], lis
     base = sorted(base_spans(text))
     added = set()
     if ":" in text or "=" in text:
-        added = {(start, 3, end) for name, value, start, end in lexed(text) if literal_score(name, value) >= least}
+        added = {(start, 3, end) for start, end in found_literals(text, least)}
     return base, sorted(added)
 
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -329,6 +330,24 @@ def test_lexer_follows_constants_and_scores_names():
     assert secrets.literal_score("colour", "zYx9kkQ81pLm") == 0
 
 
+def test_lexer_has_no_length_limits():
+    rng = random.Random(3)
+    key = "".join(rng.choice("abcdefXYZ0123456789+/") for _ in range(4400))
+    spans = lambda text: [text[s:e] for s, _, e in secrets.scan(text)[1]]
+    assert spans(f'private_key = "{key}"') == [key] and spans(f"private_key = {key}") == [key]
+    assert spans(f'{"section." * 20}pwd = "zYx9kkQ81pLm"') == ["zYx9kkQ81pLm"]
+    assert spans(f'pwd{" " * 40}={" " * 40}"zYx9kkQ81pLm"') == ["zYx9kkQ81pLm"]
+    assert spans(f'pwd = "zYx9kk"{" " * 40}+{" " * 40}"Q81pLm"') == [f'zYx9kk"{" " * 40}+{" " * 40}"Q81pLm']
+
+
+@pytest.mark.parametrize("part", ["pwd=", "my_pwd=", "x:", "a='", 'k="\\', "pwd ", "a.b-", "=", "pwd='a'+"])
+def test_lexer_takes_linear_time(part):
+    text = part * (400_000 // len(part))
+    start = time.process_time()
+    secrets.scan(text)
+    assert time.process_time() - start < 20
+
+
 def test_secret_rows(spark):
     rows = secrets.scan_secrets(documents(spark, ODD)).collect()
     assert len(rows) == len(ODD)
