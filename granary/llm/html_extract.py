@@ -4,8 +4,8 @@ The standard library's parser sends start, end and text events; nothing of the m
 each text block ("line"), its text, the tags seen in it and its place among containers. Blocks inside
 what is never content (navigation, forms, adverts, ...) are dropped at once. The text-to-tag
 ratio of the others is smoothed with a Gaussian kernel in page order and split by a threshold into
-two clusters. The content region is the element that holds the text of the dense cluster; all its
-blocks are returned, short ones too. Declared article or main elements that hold dense text are
+two clusters. The content region is the smallest container that holds all blocks of the dense cluster; all its
+blocks are returned, short ones and linked ones too (of a whole body, linked ones only between dense ones). Declared article or main elements that hold dense text are
 preferred to a guessed region.
 """
 
@@ -39,6 +39,8 @@ FURNITURE = frozenset(
     "comment comments commentlist replies reply disqus respond reactions widget toolbar pagination pager copyright skip search form".split()
 )
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
+#: Blocks of text, which hold no region by themselves.
+TEXT_BLOCKS = HEADINGS | frozenset("p li dt dd td th tr tbody thead tfoot caption pre blockquote address figcaption legend summary hr option optgroup".split())
 #: Names that say how a page is laid out around its furniture, not that something is furniture.
 LAYOUT = frozenset("with without has no layout open".split())
 #: Classes of the content itself, and what a header of the content is named after.
@@ -88,6 +90,7 @@ class _Blocks(HTMLParser):
         self.blocks: list[tuple[str, int, int, tuple]] = []
         self.stack: list[tuple[str, int, bool]] = []  # tag, element number, furniture
         self.kinds: dict[int, str] = {}
+        self.containers: dict[int, str] = {}
         self.number = 0
         self.hidden = 0
         self.links = 0
@@ -145,6 +148,8 @@ class _Blocks(HTMLParser):
             self._flush()
         if tag in ("article", "main") or dict(attrs).get("role") == "main" or dict(attrs).get("itemprop") == "articleBody":
             self.kinds[self.number] = "article" if tag == "article" else "main"
+        if tag in BLOCK and tag not in TEXT_BLOCKS:
+            self.containers[self.number] = tag
         self.stack.append((tag, self.number, furniture))
         self.hidden += furniture
         self.links += tag == "a"
@@ -215,12 +220,13 @@ def extract(html: str, sigma: float = 1.0) -> str:
     if not total:
         region = inside["article"] or inside["main"]
         return "\n".join(b[0] for b in blocks if (region & set(b[3]) if region else b[2] <= 0.5 * len(b[0])))
-    held: dict[int, float] = {}
-    for w, b in zip(weight, blocks, strict=True):
-        for n in b[3]:
-            held[n] = held.get(n, 0) + w
-    region_of = max((n for n, w in held.items() if w >= 0.7 * total), default=None)
-    return "\n".join(b[0] for b in blocks if (region_of is None or region_of in b[3]) and b[2] <= 0.5 * len(b[0]))
+    dense = [i for i, w in enumerate(weight) if w]
+    common = set.intersection(*(set(blocks[i][3]) for i in dense))
+    region_of = max((n for n in common if n in parser.containers), default=None)
+    narrow = parser.containers.get(region_of, "body") not in ("body", "html")
+    return "\n".join(
+        b[0] for i, b in enumerate(blocks) if (region_of is None or region_of in b[3]) and (narrow or b[2] <= 0.5 * len(b[0]) or dense[0] < i < dense[-1])
+    )
 
 
 def _extract_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -153,6 +153,22 @@ def test_content_by_name(name):
     assert not html_extract.named_furniture(name, None)
 
 
+@pytest.mark.parametrize(
+    ("body", "text"),
+    [
+        ("<div><h1>T</h1><p>%s</p><p>%s</p></div>", ["T", "a " * 450, "b " * 100]),
+        ("<div><div><p>%s</p></div><div><p>%s</p></div></div>", ["a " * 450, "b " * 150]),
+        ("<section><p>%s</p></section><section><p>%s</p></section>", ["a " * 450, "b " * 150]),
+        ("<div><p>%s</p><ul><li><a href=x>A linked item</a><li>Short</ul><p>%s</p></div>", ["a " * 450, "A linked item", "Short", "b " * 150]),
+        ("<div><p>%s</p><p>%s</p><ul><li><a href=x>A linked item</a></ul></div>", ["a " * 450, "b " * 150, "A linked item"]),
+        ("<table><tr><td><p>%s</p><td><p>%s</p></table>", ["a " * 450, "b " * 150]),
+    ],
+)
+def test_pages_without_article(body, text):
+    long = [t for t in text if len(t) > 100]
+    assert html_extract.extract(PAGE % (body % tuple(long))) == "\n".join(t.strip() for t in text)
+
+
 def test_odd_pages(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (None, "v", "<p>a<p>b"), (3, "w", "<" * 3000), (3, "w", "no markup")], "page_id long, url string, html string").withColumn("text", F.lit("x"))
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract_pages(pages).collect()]
