@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm.common import checkpoint_dir, checkpointed, packed, sized, unpacked
+from granary.llm.common import checkpoint_dir, checkpointed, packed, sized, stored_table, unpacked
 from granary.llm.decontamination import find_contaminated
 from granary.llm.jaccard_join import jaccard_components
 from granary.llm.line_dedup import dedup_lines
@@ -44,16 +44,20 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates (five-word shingles, similarity 0.8) the smallest doc_id stays.
 
-    Of rows with the same doc_id that belong together one stays, and rows without a doc_id all stay.
+    Of rows with the same doc_id that belong together one stays, and rows without a doc_id all stay. Where a doc_id is
+    repeated, rows are numbered once in a stored copy, and each row is judged by its own component.
     """
-    found = checkpointed(jaccard_components(docs, words=5, percent=80))
-    gone = checkpointed(found.filter("doc_id != component_id").select("doc_id"))
-    kept = docs.join(sized(gone), "doc_id", "left_anti")
-    repeated = checkpointed(found.filter("doc_id = component_id and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if not repeated.isEmpty():
-        twice = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(twice)
-    return kept.select(*docs.columns)
+    if docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        found = checkpointed(jaccard_components(docs, words=5, percent=80))
+        gone = checkpointed(found.filter("doc_id != component_id").select("doc_id"))
+        return docs.join(sized(gone), "doc_id", "left_anti").select(*docs.columns)
+    row = f"row_{uuid.uuid4().hex}"
+    numbered = stored_table(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = jaccard_components(numbered.select(row, "text"), words=5, percent=80, id_col=row).select(row, "component_id")
+    named = checkpointed(found.join(numbered.filter("doc_id is not null").select(row, "doc_id"), row))
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", row))[row].alias("first"))
+    gone = checkpointed(named.join(first, "component_id").filter(F.col(row) != F.col("first")).select(row))
+    return numbered.join(sized(gone), row, "left_anti").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
