@@ -462,6 +462,15 @@ def test_toxicity_weighs_several_weak_matches_and_short_words(spark):
     assert sum(scored[i] >= 0.5 for i, y in labels if not y) <= 8
 
 
+def test_kernel_tolerates_inserted_letters():
+    """Letters that fold() leaves in place, so that the kernel itself has to bridge them."""
+    model = toxicity.Model(["^idiot", "^gronk", "worthles"], 6, 0.7, 0.4, np.zeros(3), 0.0, 1.0, 0.0)
+    tokens = ["^idxiot", "^idxioxt", "^grxonk", "^worxthless", "^wortxhlexss", "^river", "^wonder"]
+    value = model.kernel([toxicity.START + toxicity.fold(t[1:]) for t in tokens]).max(1)
+    assert (value[:5] >= model.least).all() and (value[5:] < model.least).all()
+    assert value[1] < value[0] < 1 and value[4] < value[3] < 1
+
+
 def test_toxicity_without_labels(spark):
     docs = documents(spark, ODD)
     model = toxicity.train(docs, spark.createDataFrame([], "doc_id long, toxic int"))
