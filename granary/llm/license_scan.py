@@ -2,19 +2,23 @@
 
 Every rolling pair of words of every document is hashed and joined to the positions of that pair in
 the templates (a fixed library, so its broadcast is bounded). A hit votes for a diagonal, its place in the document
-minus its place in the template. Votes are counted by document, template and diagonal; neighbouring
-diagonals (words added or left out) are merged, and a merged span is verified by the share of the template's
-pairs that it holds. A phrase stands somewhere word by word exactly if one diagonal has all its votes.
+minus its place in the template. Votes are gathered by document, template and diagonal, as the set of the template's
+places that have one; a place and a diagonal give the place in the document. Neighbouring
+diagonals (words added or left out) are merged, and a merged span is verified: each place of the template counts once, by
+its earliest hit, and only if that stands behind the hits of all places before it; the share of the places
+that count decides. A phrase stands somewhere word by word exactly if one diagonal has all its places.
 """
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from granary.llm.common import text_rows, with_ids
 
-#: What parts words: every ASCII character but digits and letters; text is lower-cased first.
+#: What parts words: every ASCII character but digits and letters; A-Z are lower-cased first.
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 # The base phrases of the contract, and usual notices by label.
@@ -45,7 +49,7 @@ NOTICES = [
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), BREAKS), lambda w: w != "")
+    return F.filter(F.split(F.translate(text, ascii_uppercase, ascii_lowercase), BREAKS), lambda w: w != "")
 
 
 def templates(spark: SparkSession, phrases: dict[str, str], notices: list[tuple[str, str]]) -> DataFrame:
@@ -59,13 +63,21 @@ def templates(spark: SparkSession, phrases: dict[str, str], notices: list[tuple[
     return frame.select(F.xxhash64("a", "b").alias("pair"), F.col("a").alias("ta"), F.col("b").alias("tb"), "template", "at", "pairs", "label", "is_base")
 
 
+def in_order(merged: Column, pairs: Column) -> Column:
+    """How many places of a template count in merged diagonals, an array of (diagonal, places)."""
+    first = lambda at: F.array_min(F.transform(F.filter(merged, lambda d: F.array_contains(d["places"], at)), lambda d: d["diagonal"])) + at
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0).alias("n"))
+    step = lambda s, at: F.when(first(at) > s["last"], F.struct(first(at).alias("last"), (s["n"] + 1).alias("n"))).otherwise(s)
+    return F.aggregate(F.sequence(F.lit(0), pairs - 1), start, step, lambda s: s["n"])
+
+
 def scan_licenses(
     docs: DataFrame, phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES, least: float = 0.9, slack: int = 3, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per row of docs: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    A notice is found where neighbouring diagonals (at most `slack` apart, hits within twice the
-    template's length) hold at least the share `least` of its pairs; score is the largest such share, 1 for a base phrase, 0 without any.
+    A notice is found where a diagonal and those up to `slack` above it together hold at least the share `least` of its
+    pairs, in the template's order; score is the largest such share, 1 for a base phrase, 0 without any.
     Templates have two words or more. Null, empty and wordless texts have n_words 0 and no label. Repeated rows
     and null ids stay rows of their own; other columns are ignored.
     """
@@ -79,29 +91,26 @@ def scan_licenses(
     hits = hits.withColumn("hit", F.coalesce((F.col("a") == F.col("ta")) & (F.col("b") == F.col("tb")), F.lit(False)))
     who = ["uid", "id", "n_words"]
     what = ["template", "label", "is_base", "pairs"]
-    voted = hits.select(*who, *(F.when(F.col("hit"), F.col(c)).alias(c) for c in what), F.when(F.col("hit"), F.col("pos") - F.col("at")).alias("diagonal"), F.when(F.col("hit"), F.col("at")).alias("at"), "pos")
-    votes = voted.groupBy(*who, *what, "diagonal").agg(F.count("at").alias("votes"), F.min("pos").alias("lo"), F.max("pos").alias("hi"))
-    by_place = Window.partitionBy("uid", "template").orderBy("diagonal")
-    apart = F.coalesce((F.col("diagonal") - F.lag("diagonal").over(by_place) > slack) | (F.col("lo") - F.lag("hi").over(by_place) > F.col("pairs")), F.lit(True))
-    merged = votes.withColumn("cluster", F.sum(apart.cast("int")).over(by_place))
-    exact = F.col("is_base") & (F.col("votes") == F.col("pairs"))
-    spans = merged.groupBy(*who, *what, "cluster").agg(
-        F.least(F.sum("votes") / F.first("pairs"), F.lit(1.0)).alias("share"),
-        F.sum(exact.cast("long")).alias("places"),
-        F.min(F.when(exact, F.col("diagonal"))).alias("first"),
-        F.max(F.when(exact, F.col("diagonal"))).alias("last"),
-    )
-    is_found = (F.col("is_base") & (F.col("places") > 0)) | (~F.col("is_base") & (F.col("share") >= least))
+    voted = hits.select(*who, *(F.when(F.col("hit"), F.col(c)).alias(c) for c in what), F.when(F.col("hit"), F.col("pos") - F.col("at")).alias("diagonal"), F.when(F.col("hit"), F.col("at")).alias("at"))
+    votes = voted.groupBy(*who, *what, "diagonal").agg(F.collect_set("at").alias("places"))
+    near = Window.partitionBy("uid", "template").orderBy("diagonal").rangeBetween(0, slack)
+    merged = votes.withColumn("merged", F.collect_list(F.struct("diagonal", "places")).over(near))
+    exact = F.coalesce(F.col("is_base") & (F.size("places") == F.col("pairs")), F.lit(False))
+    held = F.aggregate("merged", F.lit(0), lambda n, d: n + F.size(d["places"]))
+    # most diagonals hold too few votes to be looked at
+    share = F.when(~F.col("is_base") & (held >= least * F.col("pairs")), in_order(F.col("merged"), F.col("pairs")) / F.col("pairs"))
+    spans = merged.select(*who, "label", "diagonal", exact.alias("exact"), F.coalesce(share, F.lit(0.0)).alias("share"))
+    is_found = F.col("exact") | (F.col("share") >= least)
     named = lambda test: F.concat_ws(",", F.sort_array(F.collect_set(F.when(test, F.col("label")))))
     return (
         spans.groupBy(*who)
         .agg(
-            F.coalesce(F.sum("places"), F.lit(0)).cast("long").alias("n_base"),
-            F.min("first").cast("long").alias("first_word"),
-            F.max("last").cast("long").alias("last_word"),
-            named(F.col("places") > 0).alias("base_labels"),
+            F.count_if("exact").alias("n_base"),
+            F.min(F.when(F.col("exact"), F.col("diagonal"))).cast("long").alias("first_word"),
+            F.max(F.when(F.col("exact"), F.col("diagonal"))).cast("long").alias("last_word"),
+            named(F.col("exact")).alias("base_labels"),
             named(is_found).alias("labels"),
-            F.coalesce(F.max(F.when(is_found, F.when(F.col("is_base"), 1.0).otherwise(F.col("share")))), F.lit(0.0)).alias("score"),
+            F.coalesce(F.max(F.when(F.col("exact"), 1.0).when(is_found, F.col("share"))), F.lit(0.0)).alias("score"),
         )
         .select(F.col("id").alias(id_col), F.col("n_words").cast("long"), "n_base", "first_word", "last_word", "base_labels", "labels", "score")
     )

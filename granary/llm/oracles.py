@@ -48,15 +48,18 @@ def _templates() -> str:
 
 
 LICENSES = f"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
 p AS (SELECT doc_id, unnest(range(1, len(ws))) AS i, ws FROM w),
-v AS (SELECT doc_id, template, label, base, pairs, i - 1 - place AS diagonal, count(*) AS votes, min(i) AS lo, max(i) AS hi FROM p JOIN {_templates()} ON ws[i] = t.a AND ws[i + 1] = t.b GROUP BY ALL),
-g AS (SELECT *, coalesce(diagonal - lag(diagonal) OVER o > 3 OR lo - lag(hi) OVER o > pairs, true) AS apart FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-k AS (SELECT *, sum(apart::INT) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS cluster FROM g),
-s AS (SELECT doc_id, label, base, least(sum(votes) / pairs, 1.0) AS share, count(*) FILTER (base AND votes = pairs) AS places, min(diagonal) FILTER (base AND votes = pairs) AS first, max(diagonal) FILTER (base AND votes = pairs) AS last FROM k GROUP BY doc_id, template, label, base, pairs, cluster),
-f AS (SELECT *, base AND places > 0 OR NOT base AND share >= 0.9 AS found FROM s),
-d AS (SELECT doc_id, sum(places) AS n_base, min(first) AS first_word, max(last) AS last_word, list_sort(list(DISTINCT label) FILTER (places > 0)) AS bl, list_sort(list(DISTINCT label) FILTER (found)) AS al, max(CASE WHEN base THEN 1.0 ELSE share END) FILTER (found) AS score FROM f GROUP BY doc_id)
-SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(bl, ','), '') AS base_labels, coalesce(array_to_string(al, ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM w LEFT JOIN d USING (doc_id)
+h AS (SELECT doc_id, template, label, base, pairs, place, i - 1 AS pos, i - 1 - place AS diagonal FROM p JOIN {_templates()} ON ws[i] = t.a AND ws[i + 1] = t.b),
+b AS (SELECT doc_id, label, diagonal FROM h WHERE base GROUP BY doc_id, label, template, pairs, diagonal HAVING count(*) = pairs),
+s AS (SELECT DISTINCT doc_id, template, diagonal AS low FROM h WHERE NOT base),
+e AS (SELECT doc_id, template, low, label, pairs, place, min(pos) AS pos FROM s JOIN h USING (doc_id, template) WHERE diagonal BETWEEN low AND low + 3 GROUP BY ALL),
+o AS (SELECT *, coalesce(pos > max(pos) OVER (PARTITION BY doc_id, template, low ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS behind FROM e),
+n AS (SELECT doc_id, label, count(*) FILTER (behind) / pairs AS share FROM o GROUP BY doc_id, template, low, label, pairs HAVING count(*) FILTER (behind) / pairs >= 0.9),
+f AS (SELECT doc_id, label, 1.0::DOUBLE AS share FROM b UNION ALL FROM n),
+bd AS (SELECT doc_id, count(*) AS n_base, min(diagonal) AS first_word, max(diagonal) AS last_word, list_sort(list(DISTINCT label)) AS bl FROM b GROUP BY doc_id),
+fd AS (SELECT doc_id, list_sort(list(DISTINCT label)) AS al, max(share) AS score FROM f GROUP BY doc_id)
+SELECT w.doc_id, len(ws) AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word, last_word, coalesce(array_to_string(bl, ','), '') AS base_labels, coalesce(array_to_string(al, ','), '') AS labels, coalesce(score, 0.0)::DOUBLE AS score FROM w LEFT JOIN bd USING (doc_id) LEFT JOIN fd USING (doc_id)
 """
 
 
