@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from granary.llm import common, html_extract, jaccard_join, line_dedup, quality_rules, secrets, substring_dedup, toxicity
+from granary.llm import common, decontamination, html_extract, jaccard_join, line_dedup, quality_rules, secrets, substring_dedup, toxicity
 from granary.llm.decontamination import find_contaminated
 from granary.llm.license_scan import scan_licenses
 from granary.llm.source_mixing import mix_sources
@@ -494,10 +494,119 @@ def test_licenses(spark):
     assert scan_licenses(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "the mit license license x mit license under the",
+        "under the the mit license mit license",
+        "mit license the mit under the released under license mit",
+        "license the under released license mit the released under",
+    ],
+)
+def test_notices_need_distinct_places_in_order(spark, text):
+    row = scan_licenses(documents(spark, [text, "it is released under the mit license", "É ALL RIGHTS RESERVED"])).orderBy("doc_id").collect()
+    assert (row[0].labels, row[0].score) == ("", 0.0) and (row[1].labels, row[1].score) == ("mit", 1.0)
+    assert row[2].base_labels == "reserved" and row[2].first_word == 1
+
+
 # decontamination
 
 
-def test_decontamination(spark):
+def template(text):
+    """(kind, value) of words: L, number, unit or name."""
+    out = []
+    for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", text or ""):
+        kind = "#" if re.search("[0-9]", w) else "N" if re.fullmatch("[A-Z][^A-Z]+", w) else "L"
+        if kind != "#" and out and out[-1][0] == "#" and w.lower() in decontamination.UNITS:
+            kind = "U"
+        out.append((kind, w.lower()))
+    return out
+
+
+def forms(words, literals):
+    plain, named = (sum(k == x for k, _ in words) for x in "LN")
+    if plain + named < literals:
+        return {tuple(v for _, v in words)}
+    out = {tuple(v if k == "L" else "<" + k for k, v in words)} if plain >= literals else set()
+    return out | ({tuple(v if k in "LN" else "<" + k for k, v in words)} if named else set())
+
+
+def one_to_one(starts, width, item, doc, shift):
+    there, back, bad = {}, {}, set()
+    for k in sorted({p + i for p in starts for i in range(width)}):
+        (kind, a), b = item[k], doc[k + shift][1]
+        if kind != "L" and (there.setdefault(a, b) != b or back.setdefault(b, a) != a):
+            bad.add(k)
+    return [p for p in starts if not any(p <= k < p + width for k in bad)]
+
+
+def contaminated(doc, item, width=8, literals=4, least=13, share=0.5):
+    """Every pair of windows compared word by word."""
+    size = len(item)
+    width = min(width, size)
+    covered, longest = set(), 0
+    for shift in range(-size, len(doc)):
+        starts = [p for p in range(size - width + 1) if 0 <= p + shift <= len(doc) - width and forms(item[p : p + width], literals) & forms(doc[p + shift : p + shift + width], literals)]
+        for p in one_to_one(starts, width, item, doc, shift):
+            covered |= set(range(p, p + width))
+        runs = []
+        for p in starts:
+            if runs and p - runs[-1][-1] <= width:
+                runs[-1].append(p)
+            else:
+                runs.append([p])
+        for run in runs:
+            words = sorted({p + i for p in one_to_one(run, width, item, doc, shift) for i in range(width)})
+            for i, k in enumerate(words):
+                length = 1
+                while i + length < len(words) and words[i + length] == k + length:
+                    length += 1
+                longest = max(longest, length)
+    if size and (longest >= min(size, least) or len(covered) >= min(size, max(least, share * size))):
+        return max(len(covered), longest)
+    return 0
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_decontamination_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    vocabulary = ["apples", "does", "he", "give", "many", "Anna", "Bert", "Carl", "12", "7", "30", "kg", "miles", "a", "b", "left", "how"]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [some(rng.choice([1, 3, 5, 8, 12, 20, 45])) for _ in range(24)]
+    swap = {"Anna": "Dora", "Bert": "Emil", "12": "15", "7": "9", "kg": "lb"}
+    texts = []
+    for _ in range(60):
+        x = list(rng.choice(items))
+        change = rng.random()
+        if change < 0.3:
+            x = [swap.get(w, w) for w in x]
+        elif change < 0.6:
+            for _ in range(rng.randint(1, 3)):
+                x[rng.randrange(len(x))] = rng.choice(vocabulary)
+        elif change < 0.8:
+            x = x[rng.randint(0, len(x) // 2) :][: rng.randint(1, 30)]
+        x = some(rng.randint(0, 9)) + x + some(rng.randint(0, 9))
+        texts.append((str.upper if rng.random() < 0.1 else str)(" ".join(x)))
+    texts += ODD[:-1]
+    benchmark = spark.createDataFrame([(f"i{n}", " ".join(x)) for n, x in enumerate(items)], "item_id string, text string")
+    got = find_contaminated(documents(spark, texts), benchmark).orderBy("doc_id").collect()
+    for row, text in zip(got, texts, strict=True):
+        doc = template(text)
+        want = {f"i{n}": c for n, x in enumerate(items) if (c := contaminated(doc, template(" ".join(x))))}
+        assert (row["items"], row.n_shared_words) == (sorted(want), max(want.values(), default=0)), text
+
+
+def test_decontamination_of_ties_repeats_and_a_long_text(spark):
+    item = "why do the seven birds sing so early on a cold spring morning in the north"
+    long = " ".join(f"word{n % 977}x" for n in range(250_000)) + " " + item
+    docs = documents(spark, [item, item, long, item], [4, 4, 5, None])
+    benchmark = spark.createDataFrame([("b", item), ("a", item), ("a", item), (None, item)], "item_id string, text string")
+    got = find_contaminated(docs, benchmark).collect()
+    assert sorted((r.doc_id or 0, tuple(r["items"]), r.n_shared_words) for r in got) == [(0, ("a", "b"), 16), (4, ("a", "b"), 16), (4, ("a", "b"), 16), (5, ("a", "b"), 16)]
+    assert find_contaminated(docs.limit(0), benchmark).count() == 0
+
+
+def test_decontamination(spark, monkeypatch):
     benchmark = spark.createDataFrame(
         [(1, "If John has 12 apples and gives 5 kg to Mary how many apples does he have left after giving 5 away today"), (2, None), (3, "short one"), (2**40, "the quick brown fox jumps over the lazy dog again and again until 7 pm comes around")],
         "item_id long, text string",
@@ -508,8 +617,10 @@ def test_decontamination(spark):
         "the quick brown fox jumps over something else entirely and nothing more is shared here",
         *ODD,
     ]
-    for block in (1, 20_000):
-        rows = find_contaminated(documents(spark, texts), benchmark, block_items=block).orderBy("doc_id").collect()
+    for broadcast in (True, False):
+        if not broadcast:
+            monkeypatch.setattr(decontamination, "sized", lambda df, most_rows=0: df)
+        rows = find_contaminated(documents(spark, texts), benchmark).orderBy("doc_id").collect()
         assert [r["items"] for r in rows[:3]] == [[1], [2**40], []]
         assert len(rows) == len(texts) and not any(r["items"] for r in rows[3:])
     assert find_contaminated(documents(spark, ODD), benchmark.limit(0)).count() == len(ODD)
