@@ -6,8 +6,8 @@ The join then goes in two steps over *groups* that hold every pair it can link:
 1. Groups by small shingles. Two sets with similarity t or more share one of the k smallest hashes of either,
    k being the prefix length n - ceil(t n) + 1, or less: a hash among the smallest of the union is in both with
    probability t, so k stops where (1 - t) ** k is below 1e-12, beyond the chance of a hash collision. Only
-   bitmaps travel. Each group is a signature tree: nodes hold OR- and AND-combined bitmaps and a range of sizes, and
-   a frontier is matched with the unmatched rest node by node; a pair of nodes goes when even its
+   bitmaps travel. Each group is a signature tree: nodes hold OR- and AND-combined bitmaps and a range of sizes, up to
+   one root. Batches of rows, as trees of their own, are matched with it by dual traversal; a pair of nodes goes when even its
    largest possible overlap is too small. What stays are candidate links, kept as connected stars.
 2. Groups by candidate component. Here the full sets travel, once each; the same traversal verifies links
    exactly. Rows already in one component aren't compared again, so a group of m near copies costs about m
@@ -32,6 +32,7 @@ from granary.llm.common import LOWER, byte_prefix, checkpointed, mix, segment_ha
 
 WIDEST = 1 << 14
 FANOUT = 16
+WALK = 1 << 21  # bytes of bitmaps that a level of a traversal compares at once
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> Iterator[np.ndarray]:
@@ -63,13 +64,13 @@ def bitmap(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits, bitorder="little")
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """How many of a set's smallest hashes meet those of any set that it links to."""
+def prefix_length(n: int, percent: int, miss: float = 1e-12) -> int:
+    """How many of a set's smallest hashes meet those of any set that it links to, but for a chance of `miss`; 0 for no miss."""
     sure = n - -(-percent * n // 100) + 1
-    return min(sure, math.ceil(12 / -math.log10(1 - percent / 100))) if percent < 100 else 1
+    return min(sure, math.ceil(math.log(miss) / math.log(1 - percent / 100))) if percent < 100 and miss > 0 else sure
 
 
-def _summary_rows(words: int, percent: int):
+def _summary_rows(words: int, percent: int, miss: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in tiles(batch.column("text")):
@@ -79,7 +80,7 @@ def _summary_rows(words: int, percent: int):
                     digest = np.frombuffer(xxhash.xxh3_128_digest(tokens_of.tobytes()), np.int64)
                     s1.append(digest[0])
                     s2.append(digest[1])
-                    tokens.append(tokens_of[: prefix_length(len(tokens_of), percent)].view(np.int64) if len(tokens_of) else [])
+                    tokens.append(tokens_of[: prefix_length(len(tokens_of), percent, miss)].view(np.int64) if len(tokens_of) else [])
                     bits.append(bitmap(tokens_of).tobytes() if len(tokens_of) else b"")
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("uid").slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
@@ -89,56 +90,74 @@ def _summary_rows(words: int, percent: int):
     return run
 
 
-class Tree:
-    """A two-level signature tree over rows sorted by size: leaves, and nodes of up to FANOUT rows."""
+def levels(size: np.ndarray, bits: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+    """A signature tree from its leaves up to one root: (first, last size, OR bitmap, AND bitmap) of the nodes of each level.
+
+    Rows come sorted by size; a node stands for FANOUT neighbours of the level below.
+    """
+    out = [(size, size, bits, bits)]
+    while len(out[-1][0]) > 1:
+        first, last, any_of, all_of = out[-1]
+        at = np.arange(0, len(first), FANOUT)
+        out.append((first[at], last[np.minimum(at + FANOUT, len(first)) - 1], np.bitwise_or.reduceat(any_of, at, axis=0), np.bitwise_and.reduceat(all_of, at, axis=0)))
+    return out
+
 
-    def __init__(self, size: np.ndarray, bits: np.ndarray, least: float) -> None:
-        """bits: rows of 64-bit words, all of one width."""
-        self.size, self.bits, self.least = size, bits, least
+class Tree:
+    """The signature tree of a group's rows that can be compared in bitmaps of one width."""
 
-    def nodes(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(first, last size, OR bitmap, AND bitmap) of runs of FANOUT of these rows, which are sorted by size."""
-        at = np.arange(0, len(rows), FANOUT)
-        size = self.size[rows]
-        last = np.minimum(at + FANOUT, len(rows)) - 1
-        return size[at], size[last], np.bitwise_or.reduceat(self.bits[rows], at, axis=0), np.bitwise_and.reduceat(self.bits[rows], at, axis=0)
+    def __init__(self, rows: np.ndarray, size: np.ndarray, bits: np.ndarray, least: float) -> None:
+        """rows: their numbers, sorted by size; size of all rows; bits: a bitmap of 64-bit words for each of `rows`."""
+        self.rows, self.bits, self.least = rows, bits, least
+        self.size = size[rows]
+        self.levels = levels(self.size, bits)
 
-    def _fits(self, least_a, most_a, any_a, all_a, least_b, most_b, any_b, all_b) -> np.ndarray:
-        """Whether pairs of nodes (or rows, being nodes of one) can hold a link."""
+    def _fits(self, a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> np.ndarray:
+        """Whether pairs of nodes can hold a link, by the largest overlap that their sizes and bitmaps allow."""
+        (least_a, most_a, any_a, all_a), (least_b, most_b, any_b, all_b) = a, b
         share = self.least / (1 + self.least)
-        ok = (most_b >= self.least * least_a - 1e-9) & (most_a >= self.least * least_b - 1e-9)
-        if ok.any():
-            need = share * (least_a + least_b) - 1e-9
-            at = np.flatnonzero(ok)
-            only_a = np.bitwise_count(all_a[at] & ~any_b[at]).sum(1, dtype=np.int64)
-            only_b = np.bitwise_count(all_b[at] & ~any_a[at]).sum(1, dtype=np.int64)
-            ok[at] = np.minimum(most_a[at] - only_a, most_b[at] - only_b) >= need[at]
-        return ok
-
-    def candidates(self, frontier: np.ndarray, rest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Row pairs of frontier x rest that can be links; both are sorted by size. Comes in bounded parts."""
-        a, b = self.nodes(frontier), self.nodes(rest)
-        lo = np.searchsorted(b[1], self.least * a[0] - 1e-9, "left")
-        hi = np.searchsorted(b[0], a[1] / self.least + 1e-9, "right")
-        counts = np.maximum(hi - lo, 0)
-        step = max(1, 20_000 // max(1, int(counts.max(initial=1))))
-        for k in range(0, len(a[0]), step):
-            n = counts[k : k + step]
-            x = np.repeat(np.arange(k, k + len(n)), n)
-            y = np.repeat(lo[k : k + step], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
-            keep = self._fits(*(v[x] for v in a), *(v[y] for v in b))
-            x, y = x[keep], y[keep]
-            for m in range(0, len(x), 64):
-                p = (x[m : m + 64, None] * FANOUT + np.arange(FANOUT)).ravel()
-                q = (y[m : m + 64, None] * FANOUT + np.arange(FANOUT)).ravel()
-                p = np.repeat(p.reshape(-1, FANOUT), FANOUT, axis=1).ravel()
-                q = np.tile(q.reshape(-1, FANOUT), (1, FANOUT)).ravel()
-                inside = (p < len(frontier)) & (q < len(rest))
-                f, r = frontier[p[inside]], rest[q[inside]]
-                s, t, u, v = self.size[f], self.size[r], self.bits[f], self.bits[r]
-                fit = self._fits(s, s, u, u, t, t, v, v)
-                if fit.any():
-                    yield f[fit], r[fit]
+        only_a = np.bitwise_count(all_a & ~any_b).sum(1, dtype=np.int64)
+        only_b = np.bitwise_count(all_b & ~any_a).sum(1, dtype=np.int64)
+        return np.minimum(most_a - only_a, most_b - only_b) >= share * (least_a + least_b) - 1e-9
+
+    def candidates(self, chosen: np.ndarray, rest: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of a chosen row and one of the rest that can be links (both are flags of all rows), by dual traversal.
+
+        Pairs of nodes are walked from the two roots down; a pair goes with all below it when its sizes are too far
+        apart, no row of the rest is in it or its largest overlap is too small. The walk holds some 2 MB of bitmaps a level.
+        """
+        own = np.flatnonzero(chosen[self.rows])
+        alive = [rest[self.rows]]
+        if not len(own) or not alive[0].any():
+            return
+        left, right = levels(self.size[own], self.bits[own]), list(self.levels)
+        for level in right[:-1]:
+            alive.append(np.logical_or.reduceat(alive[-1], np.arange(0, len(level[0]), FANOUT)))
+        height = max(len(left), len(right))
+        left += [left[-1]] * (height - len(left))
+        alive += [alive[-1]] * (height - len(right))
+        right += [right[-1]] * (height - len(right))
+        step = max(1, WALK // (8 * self.bits.shape[1] * FANOUT * FANOUT))
+        fan = np.arange(FANOUT)
+
+        def walk(at: int, x: np.ndarray, y: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            a, b = left[at], right[at]
+            near = alive[at][y] & (b[1][y] >= self.least * a[0][x] - 1e-9) & (a[1][x] >= self.least * b[0][y] - 1e-9)
+            x, y = x[near], y[near]
+            fit = self._fits(tuple(v[x] for v in a), tuple(v[y] for v in b))
+            x, y = x[fit], y[fit]
+            if not at:
+                if len(x):
+                    yield self.rows[own[x]], self.rows[y]
+                return
+            n, m = len(left[at - 1][0]), len(right[at - 1][0])
+            for k in range(0, len(x), step):
+                p = np.repeat(x[k : k + step, None] * FANOUT + fan, FANOUT, axis=1).ravel()
+                q = np.tile(y[k : k + step, None] * FANOUT + fan, (1, FANOUT)).ravel()
+                inside = (p < n) & (q < m)
+                yield from walk(at - 1, p[inside], q[inside])
+
+        yield from walk(height - 1, np.zeros(1, np.int64), np.zeros(1, np.int64))
 
 
 def fold(bits: np.ndarray, words: int) -> np.ndarray:
@@ -158,8 +177,6 @@ def components(size: np.ndarray, maps: list[bytes], percent: int, sets: list[np.
     decided once.
     """
     n = len(size)
-    if n <= 8:
-        return _few(size, maps, percent, sets)
     order = np.argsort(size, kind="stable")
     back = np.empty(n, np.int64)
     back[order] = np.arange(n)
@@ -170,12 +187,13 @@ def components(size: np.ndarray, maps: list[bytes], percent: int, sets: list[np.
     reach = 2 ** math.ceil(math.log2(100 / percent))
     trees: list[tuple[Tree, np.ndarray, np.ndarray]] = []
     for w in np.unique(widths):
-        bits = np.zeros((n, w // 8), np.uint64)
         members = (widths >= w) & (widths <= reach * w)
-        for wide in np.unique(widths[members]):
-            at = np.flatnonzero(widths == wide)
-            bits[at] = fold(np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1), w // 8)
-        trees.append((Tree(size, bits, percent / 100), widths == w, members))
+        rows = np.flatnonzero(members)
+        bits = np.zeros((len(rows), w // 8), np.uint64)
+        for wide in np.unique(widths[rows]):
+            at = np.flatnonzero(widths[rows] == wide)
+            bits[at] = fold(np.frombuffer(b"".join(maps[i] for i in rows[at]), np.uint64).reshape(len(at), -1), w // 8)
+        trees.append((Tree(rows, size, bits, percent / 100), widths == w, members))
     label = np.arange(n)
     done, reached = np.zeros(n, bool), np.zeros(n, bool)
     while not done.all():
@@ -192,10 +210,8 @@ def components(size: np.ndarray, maps: list[bytes], percent: int, sets: list[np.
         for tree, own, members in trees:
             # pairs of one width belong to its own tree, pairs of two to that of the smaller
             for side, other in ((own, members), (members & ~own, own)):
-                f, r = np.flatnonzero(chosen & side), np.flatnonzero(rest & other)
-                if len(f) and len(r):
-                    for a, b in tree.candidates(f, r):
-                        _link(a, b, label, reached, sets, percent)
+                for a, b in tree.candidates(chosen & side, rest & other):
+                    _link(a, b, label, reached, sets, percent)
         done |= chosen
     least = np.full(n, n)
     np.minimum.at(least, label, order)
@@ -230,32 +246,6 @@ def linked(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(p) + len(q) - common)
 
 
-def _few(size: np.ndarray, maps: list[bytes], percent: int, sets: list[np.ndarray] | None) -> np.ndarray:
-    """components() of a handful of rows, pair by pair on whole numbers."""
-    n, least = len(size), percent / 100
-    share = least / (1 + least)
-    sizes = size.tolist()
-    numbers = [int.from_bytes(m, "little") for m in maps]
-    label = list(range(n))
-    for j in range(1, n):
-        for i in range(j):
-            if label[i] == label[j] or min(sizes[i], sizes[j]) < least * max(sizes[i], sizes[j]) - 1e-9:
-                continue
-            a, b, wa, wb = numbers[i], numbers[j], len(maps[i]), len(maps[j])
-            while wa > wb:
-                wa //= 2
-                a = (a & ((1 << 8 * wa) - 1)) | (a >> 8 * wa)
-            while wb > wa:
-                wb //= 2
-                b = (b & ((1 << 8 * wb) - 1)) | (b >> 8 * wb)
-            if min(sizes[i] - (a & ~b).bit_count(), sizes[j] - (b & ~a).bit_count()) < share * (sizes[i] + sizes[j]) - 1e-9:
-                continue
-            if sets is None or linked(sets[i], sets[j], percent):
-                lo, hi = sorted((label[i], label[j]))
-                label = [lo if x == hi else x for x in label]
-    return np.array(label)
-
-
 def _group_rows(percent: int, exact: bool):
     """Stars (member, smallest member) of the components of each group; rows come sorted by group."""
 
@@ -347,7 +337,8 @@ def connected(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
         least = checkpointed(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(least.select("a", F.col("m").alias("b"))).distinct()
         edges = checkpointed(small)
-        now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first())
+        # edges are distinct, so the exclusive or of 128 bits an edge tells whether any has changed
+        now = tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
         if now == state:
             return edges.select(F.col("a").alias("uid"), F.col("b").alias("root"))
         state = now
@@ -367,19 +358,20 @@ def _set_rows(words: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, most_rows: int = 4096, most_shingles: int = 4_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80, most_rows: int = 4096, most_shingles: int = 2_000_000, miss: float = 1e-12, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (smallest id reachable by links) of every row of docs.
 
     Two texts link when 100 * |A and B| >= percent * |A or B| for their sets of `words`-word shingles, words being
     runs of other characters than ASCII white space with A-Z lower-cased; a text with fewer words has its whole sequence as its
     one shingle. Null, empty and wordless texts have an empty set and link with nothing. Rows with
     repeated or null ids are vertices of their own; component_id is then the smallest id among the
-    component's rows. Other columns are ignored.
+    component's rows. Other columns are ignored. miss is the chance that the grouping by small hashes overlooks a
+    pair (its order of magnitude is that of a hash collision); 0 takes whole prefixes, at several times the shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = text_rows(docs, id_col, text_col)
     own_ids = "id" not in rows.columns
-    summary = checkpointed(rows.select("uid", "text").mapInArrow(_summary_rows(words, percent), "uid long, n long, s1 long, s2 long, tokens array<long>, bits binary"))
+    summary = checkpointed(rows.select("uid", "text").mapInArrow(_summary_rows(words, percent, miss), "uid long, n long, s1 long, s2 long, tokens array<long>, bits binary"))
     full = summary.filter("n > 0")
     # stored, as a join with a stored side is a plain shuffle on both sides, which AQE splits where a set has many copies
     reps = checkpointed(full.groupBy("s1", "s2").agg(F.min("uid").alias("rep")))

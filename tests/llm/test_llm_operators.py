@@ -229,6 +229,33 @@ def test_components_match_brute_force(spark, n, percent, rows, shingles):
     assert sorted(map(tuple, got.collect())) == clusters(texts, n, percent)
 
 
+def test_whole_prefixes_give_the_same_components(spark):
+    texts = near_copies(7)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(documents(spark, texts), 5, 80, miss=0).collect())) == clusters(texts, 5, 80)
+    assert jaccard_join.prefix_length(1000, 80) == 18 and jaccard_join.prefix_length(1000, 80, 0) == 201 and jaccard_join.prefix_length(10, 80) == 3
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 16, 17, 300])
+def test_traversal_finds_all_links_of_a_group(n):
+    """Groups from one row to several levels of nodes, with bitmaps of several widths."""
+    rng = np.random.default_rng(n)
+    base = [np.unique(rng.integers(0, 1 << 62, size, np.uint64)) for size in (5, 40, 150)]
+    sets = []
+    for k in range(n):
+        x = base[k % 3].copy()
+        x[rng.random(len(x)) < 0.06] = rng.integers(0, 1 << 62)
+        sets.append(np.unique(np.r_[x, rng.integers(0, 1 << 62, k % 4, np.uint64)]))
+    size, maps = np.array([len(x) for x in sets]), [jaccard_join.bitmap(x).tobytes() for x in sets]
+    label = list(range(n))
+    for i in range(n):
+        for j in range(i):
+            if label[i] != label[j] and jaccard_join.linked(sets[i], sets[j], 80):
+                lo, hi = sorted((label[i], label[j]))
+                label = [lo if x == hi else x for x in label]
+    for seeds in (3, 128):
+        assert jaccard_join.components(size, maps, 80, sets, seeds).tolist() == label
+
+
 def test_components_of_repeated_and_missing_ids(spark):
     got = jaccard_join.jaccard_components(documents(spark, ["a b c d", "a b c d", "a b c d", ""], [7, 7, None, 9]), 3, 90).collect()
     assert sorted((r.doc_id or -1, r.n_shingles, r.component_id) for r in got) == [(-1, 2, 7), (7, 2, 7), (7, 2, 7), (9, 0, 9)]
