@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from granary.llm.common import LOWER, SPACE, byte_prefix, checkpointed, segment_hash, text_rows, tiles, with_ids
+from granary.llm.common import LOWER, SPACE, byte_prefix, checkpointed, segment_hash, stored_table, text_rows, tiles, with_ids
 
 def line_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, number in the row, start, end) of every line of a tile, split at line feeds."""
@@ -142,7 +142,8 @@ def _pack_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def drop_bitmaps(rows: DataFrame, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, copies_once: bool = False) -> DataFrame:
     """(uid, bitmap) of the rows that lose lines; rows has uid (unique, not null) and text."""
-    lines = rows.select("uid", "text").mapInArrow(_line_rows(min_chars, copies_once), "h1 long, h2 long, doc long, uid long, line int")
+    # stored, as finding the ranges and dealing the rows would read the texts twice
+    lines = stored_table(rows.select("uid", "text").mapInArrow(_line_rows(min_chars, copies_once), "h1 long, h2 long, doc long, uid long, line int"))
     ranged = lines.repartitionByRange("h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "uid", "line")
     found = checkpointed(ranged.mapInArrow(_stream_runs(min_docs), "h1 long, h2 long, doc long, uid long, line int, first boolean, open boolean"))
     # at most two keys a range are open, each in fewer than min_docs documents there
