@@ -204,7 +204,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = 20_000, id_col
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("label")).filter("id is not null and label is not null")
     known = known.groupBy("id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
-    rows = text_statistics(texts, "id").join(F.broadcast(known), "id").select(F.col("label").cast("int"), *features()).orderBy(*FEATURES).toPandas()
+    rows = text_statistics(texts, "id").join(F.broadcast(known), "id").select(F.col("label").cast("int"), *features()).toPandas().sort_values([*FEATURES, "label"])
     if rows.empty:
         return []
     return learn(rows[list(FEATURES)].to_numpy(float), rows["label"].to_numpy() == 0)
