@@ -15,7 +15,7 @@ the whole corpus can't be sharded, so suffixes are first brought to where their
    blocks of whole gram groups; each block builds the suffix order of its positions, truncated at
    `length`, by prefix doubling. Previous smaller (and next smaller) positions of that order give the
    truncated LPF: whether an equal window starts earlier, or anywhere else.
-4. A gram with more than `hot` different contexts (about 7 MB of them) isn't collected: its windows are
+4. A gram with more than `hot` different contexts (about 1 MB of them) isn't collected: its windows are
    hashed and counted by a shuffle with map-side combining.
 
 Nothing is capped; the union of the spans is exact up to 64-bit (in blocks: no) hash equality.
@@ -146,25 +146,32 @@ def truncated_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.nda
     return np.unique(key, return_inverse=True)[1]
 
 
+def previous_smaller(place: np.ndarray, new_class: np.ndarray) -> np.ndarray:
+    """Index in suffix order of the nearest suffix before each, in its class, at a smaller place; -1 without one.
+
+    Within a class places don't fall, so that is the last of the places before, which may be given several times.
+    """
+    at = np.arange(len(place))
+    start = np.maximum.accumulate(np.where(new_class | np.r_[True, place[1:] != place[:-1]], at, 0))
+    return np.where(new_class[start], -1, start - 1)
+
+
 def lpf_marks(rank: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per suffix: does an equal prefix start at an earlier place, and at a later one?
+    """Per suffix: does its truncated longest previous factor reach the whole length, and does its next one?
 
-    In suffix order with ties by place, the previous smaller place of a suffix with the same truncated
-    prefix is its neighbour before, the next larger one its neighbour after. A place given twice
+    A class holds the suffixes with one truncated prefix. The suffix order breaks its ties by place, so the previous
+    smaller place in that order shares the whole prefix or lies in another class, and the next smaller one always lies in
+    another. The next larger place is the previous smaller one of the order read backwards. A place given twice
     (contexts overlap) is no match for itself.
     """
     order = np.lexsort((pos, uid, rank))
     r, u, p = rank[order], uid[order], pos[order]
     new_class = np.r_[True, r[1:] != r[:-1]]
-    new_place = new_class | np.r_[True, (u[1:] != u[:-1]) | (p[1:] != p[:-1])]
-    place = np.cumsum(new_place)
-    at = np.flatnonzero(new_class)
-    which = np.cumsum(new_class) - 1
-    last = np.r_[at[1:], len(r)] - 1
+    place = np.cumsum(new_class | np.r_[True, (u[1:] != u[:-1]) | (p[1:] != p[:-1])])
     earlier = np.empty(len(r), bool)
     later = np.empty(len(r), bool)
-    earlier[order] = place > place[at][which]
-    later[order] = place < place[last][which]
+    earlier[order] = previous_smaller(place, new_class) >= 0
+    later[order] = previous_smaller(-place[::-1], np.r_[new_class[1:], True][::-1])[::-1] >= 0
     return earlier, later
 
 
@@ -223,14 +230,15 @@ def _window_rows(length: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False, hot: int = 20_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False, hot: int = 3_000) -> DataFrame:
     """(uid, start, end): bytes of a row covered by strings of `length` bytes that also start elsewhere.
 
     With keep_first only the later copies: those for which an equal string starts at a smaller (uid,
     position). rows has uid (unique, not null) and text. Spans may touch or overlap.
     """
     gram, side = _geometry(length)
-    anchors = rows.select("uid", "text").mapInArrow(_anchor_rows(length), "uid long, pos int, gram long, context long")
+    # stored, as they are counted and then joined with the counts
+    anchors = stored_table(rows.select("uid", "text").mapInArrow(_anchor_rows(length), "uid long, pos int, gram long, context long"))
     place = F.struct("uid", "pos")
     kinds = anchors.groupBy("gram").agg(F.count("*").alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"), *([F.min(place).alias("first")] if keep_first else []))
     # stored, both sides of the joins below are plain shuffles, which AQE splits where a gram is hot
