@@ -137,11 +137,16 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 2000) -> Iterat
 
 
 def checkpoint_dir(df: DataFrame) -> None:
-    """Uses the folder in spark.checkpoint.dir; sets one of its own only where none is named (tests)."""
+    """Uses the folder in spark.checkpoint.dir; sets one of its own only where none is named.
+
+    That is a temporary folder where all of Spark runs in one process (tests), and one in the warehouse on a cluster.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="granary-checkpoint-"))
+        if not named and context.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="granary-checkpoint-")
+        context.setCheckpointDir(named or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/granary-checkpoint")
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
