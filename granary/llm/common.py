@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TILE = 1 << 20
@@ -163,6 +163,12 @@ def stored_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a file or folder of shared storage, by the file system that Spark uses for it."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: dict[str, Column] | None = None) -> DataFrame:
     """(uid, text, extra columns) of every row, null texts as empty, and id where it differs from uid.
 

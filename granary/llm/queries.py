@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from granary.llm.decontamination import find_contaminated
 from granary.llm.html_extract import extract_pages
 from granary.llm.jaccard_join import jaccard_components
 from granary.llm.license_scan import scan_licenses
 from granary.llm.line_dedup import dedup_lines
 from granary.llm.oracles import ORACLES  # noqa: F401
+from granary.llm.pipeline import run
 from granary.llm.quality_rules import learn_rules, quality_verdicts
 from granary.llm.secrets import scan_secrets
 from granary.llm.source_mixing import mix_sources
@@ -69,7 +69,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return run(spark, sf_dir)
 
 
 QUERIES = {

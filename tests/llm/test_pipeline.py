@@ -3,7 +3,7 @@ import os
 import corpus_pipeline
 import duckdb
 import pytest
-from granary.llm import queries
+from granary.llm import pipeline, queries
 from pyspark.sql import functions as F
 
 TABLES = "documents pages benchmark labels".split()
@@ -56,12 +56,12 @@ def test_stages_survive_odd_rows(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES:
             out = stage(spark, frame, sf_dir)
             assert out.count() <= frame.count()
-    assert corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).filter("doc_id = 1").count() == 1
+    assert pipeline.drop_near_duplicates(spark, docs, sf_dir).filter("doc_id = 1").count() == 1
 
 
 def test_rows_of_a_repeated_id_are_judged_one_by_one(spark, sf_dir):
     text = lambda c: " ".join(f"{c}{i}" for i in range(30))
     rows = [(1, text("a")), (1, text("b")), (5, text("c")), (5, text("a")), (5, text("d")), (5, text("d")), (6, text("d")), (None, text("a")), (None, text("e")), (7, ""), (7, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = sorted((r.doc_id or 0, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf_dir).collect())
+    kept = sorted((r.doc_id or 0, r.text) for r in pipeline.drop_near_duplicates(spark, docs, sf_dir).collect())
     assert kept == sorted([(1, text("a")), (1, text("b")), (5, text("c")), (5, text("d")), (0, text("a")), (0, text("e")), (7, ""), (7, "")])
