@@ -267,7 +267,8 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False,
     spans = sure.unionAll(edges)
     if not flags.filter("hot").isEmpty():
         windows = contexts(flags.filter("hot")).mapInArrow(_window_rows(length), "h1 long, h2 long, uid long, pos int, own boolean")
-        ends = windows.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi")
+        # stored for the same reason: one window can be in very many contexts
+        ends = checkpointed(windows.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi"))
         found = windows.filter("own").join(ends, ["h1", "h2"])
         if keep_first:
             found = found.filter(place != F.col("lo"))
