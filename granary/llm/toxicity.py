@@ -10,7 +10,8 @@ toxic text has one toxic token at least, so the highest is found and the machine
 (multiple instances); tokens that nearly are a landmark of many toxic texts are taken as well. Where no token tells by itself, several do together: signs are
 strings and whole tokens of a lower ratio, and a text's evidence is the sum over signs of the log ratio of toxic to clean training texts
 with as many tokens of that sign. A text's score joins its highest sentence and its evidence, scaled to a probability on the
-training texts. Letters set apart by spaces count as one token too.
+training texts. Letters set apart by spaces count as one token too. So that letters put in between don't lower a score below the
+threshold, strong landmarks with one or two of them are virtual examples of the toxic class, for the machine and for the scaling.
 
 Scoring is a map without a shuffle; the model is a few thousand numbers.
 """
@@ -22,6 +23,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -430,6 +432,13 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, reach: int =
     return fitted(chosen, kept, signs, seen, n_toxic, n_clean, reach, decay, least, matches) if len(kept) < len(marks) and model.weights.max() > 0 else model
 
 
+def spread_letters(mark: str, most: int = 2) -> list[str]:
+    """A landmark with one to `most` letters put in between its own: at each gap alone, and at pairs of gaps."""
+    gaps_of = range(1 + mark.startswith(START), len(mark))
+    put = lambda where: "".join(("x" if i in where else "") + c for i, c in enumerate(mark))
+    return [put({*where}) for n in range(1, most + 1) for where in combinations(gaps_of, n)]
+
+
 def fitted(chosen: DataFrame, marks: list[str], signs: tuple[tuple[str, ...], np.ndarray], seen: dict[str, tuple[int, int]], n_toxic: int, n_clean: int, reach: int, decay: float, least: float, matches: int) -> Model:
     """The machine over given landmarks, trained on the chosen texts and labels."""
     model = Model(marks, reach, decay, least, np.zeros(len(marks)), 0.0, 1.0, 0.0, *signs)
@@ -447,14 +456,21 @@ def fitted(chosen: DataFrame, marks: list[str], signs: tuple[tuple[str, ...], np
     strong = np.array([a >= max(8, 0.03 * n_toxic) and b * n_toxic <= 0.002 * a * n_clean for a, b in (seen.get(m, (0, 0)) for m in marks)])
     sure = [b[(b * strong).max(1) >= 0.9] for b in bags]
     picks = [(s if len(s) else b[[int(np.argmax(b.max(1)))]]) if t > 0 else b for b, s, t in zip(bags, sure, y, strict=True)]
+    # virtual examples: strong landmarks with letters put in between are as toxic as they are themselves
+    broken = model.kernel([v for m, s in zip(marks, strong, strict=True) if s for v in spread_letters(m)]).astype(float)
+    broken = np.where(broken >= least, np.minimum(broken, 1), 0)[broken.max(1, initial=0) >= least]
     for _ in range(3):
-        used = [p for p, m in zip(picks, matched, strict=True) if m]
-        x, t = np.concatenate(used) @ mapped, np.repeat(y[matched], [len(p) for p in used])
+        used = [p for p, m in zip(picks, matched, strict=True) if m] + [broken]
+        x, t = np.concatenate(used) @ mapped, np.repeat([*y[matched], 1.0], [len(p) for p in used])
         w, bias = svm(x, t)
         picks = [np.concatenate([s, b[[int(np.argmax(b @ mapped @ w))]]]) if t > 0 else b for b, s, t in zip(bags, sure, y, strict=True)]
     model.weights, model.bias = mapped @ w, bias
     highest = np.array([(b @ model.weights).max() + bias for b in bags])
-    model.slope, model.trust, model.offset = map(float, _platt(np.c_[highest, rows.column("evidence").to_numpy()], y))
+    evidence = rows.column("evidence").to_numpy()
+    # a virtual example stands in a text that is clean otherwise
+    highest = np.r_[highest, broken @ model.weights + bias]
+    evidence = np.r_[evidence, np.full(len(broken), np.median(evidence[y < 0]))]
+    model.slope, model.trust, model.offset = map(float, _platt(np.c_[highest, evidence], np.r_[y, np.ones(len(broken))]))
     return model
 
 

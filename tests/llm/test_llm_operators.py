@@ -464,6 +464,10 @@ def test_toxicity_is_learned_and_tolerates_gaps(spark):
     probes = ["you g-r-o-n-k", "a gronk!", "la mi snarf", "g r o n k it", "la mi to", None, ""]
     got = [r.score >= 0.5 for r in toxicity.score_texts(documents(spark, probes), model, ["doc_id"]).collect()]
     assert got == [True, True, True, True, False, False, False]
+    # letters that fold() leaves in place, one and two of them at every gap
+    put = lambda word, *where: "".join(("q" if i in where else "") + c for i, c in enumerate(word))
+    probes = [f"la mi {put(w, i, j)} to" for w in rude for i in range(1, len(w)) for j in range(i, len(w))]
+    assert all(r.score >= 0.5 for r in toxicity.score_texts(documents(spark, probes), model, ["doc_id"]).collect())
 
 
 def test_toxicity_weighs_several_weak_matches_and_short_words(spark):
