@@ -141,48 +141,93 @@ def unary_subject(args: list[str]) -> str | None:
     return None
 
 
-def methods(source: str) -> list[dict]:
-    """Method and constructor declarations: name, modifiers, return_type, params, text, start_line, end_line (from 1)."""
-    found = tokens(source)
+def _outside(found: list[Token]) -> list[Token]:
+    """The tokens outside of round brackets."""
+    out, depth = [], 0
+    for t in found:
+        depth += (t.text == "(") - (t.text == ")")
+        if not depth and t.text != ")":
+            out.append(t)
+    return out
+
+
+def members(source: str, found: list[Token], start: int, end: int) -> list[dict]:
+    """Methods declared right between two tokens: name, modifiers, return_type, params, text, start_line, end_line (from 1).
+
+    Constructors, and what nested, local and anonymous classes declare, are none of them.
+    """
     out = []
-    for i, t in enumerate(found[:-1]):
-        if t.kind != "name" or found[i + 1].text != "(" or t.text in NOT_CALLS:
-            continue
-        if i and found[i - 1].text in (".", "new", "return", "=", "(", ",", "!", "->", "@"):
-            continue
-        end = closing(found, i + 1)
-        if end < 0:
-            continue
-        j = end + 1
-        if j < len(found) and found[j].text == "throws":
-            while j < len(found) and found[j].text not in "{;":
+    first = i = start
+    while i < end:
+        t = found[i]
+        if t.text in (";", "}"):
+            first = i + 1
+        elif t.text in OPENING:
+            stop = closing(found, i)
+            if stop < 0:
+                break
+            head = found[first:i]
+            is_value = any(x.text == "=" for x in _outside(head))
+            is_call = t.text != "(" or not head or head[-1].kind != "name" or (len(head) > 1 and head[-2].text in (".", "@", "new"))
+            if is_call or is_value:
+                # a block ends a declaration, but for the value of a field
+                first = stop + 1 if t.text == "{" and not is_value else first
+                i = stop + 1
+                continue
+            j = stop + 1
+            while j < end and found[j].text not in "{;=":
                 j += 1
-        if j >= len(found) or found[j].text != "{":
-            continue
-        stop = closing(found, j)
-        if stop < 0:
-            continue
-        first = i
-        while first and found[first - 1].text not in (";", "{", "}"):
-            first -= 1
-        head = found[first:i]
-        modifiers = [x.text for x in head if x.text in MODIFIERS]
-        notes = [found[k + 1].text for k in range(first, i - 1) if found[k].text == "@"]
-        kinds = [x for x in head if x.text not in MODIFIERS and x.text not in notes and x.text not in "@()"]
-        begin = found[first].start
-        out.append({
-            "name": t.text, "modifiers": modifiers + ["@" + x for x in notes], "return_type": source[kinds[0].start : kinds[-1].end] if kinds else "",
-            "params": arguments(source, found, i + 1, end), "text": source[begin : found[stop].end],
-            "start_line": source.count("\n", 0, begin) + 1, "end_line": source.count("\n", 0, found[stop].end) + 1,
-        })
+            last = closing(found, j) if j < end and found[j].text == "{" else j
+            if j >= end or found[j].text == "=" or last < 0:
+                i = stop + 1
+                continue
+            modifiers = [x.text for x in head if x.text in MODIFIERS]
+            notes = [head[k + 1].text for k in range(len(head) - 1) if head[k].text == "@"]
+            kinds = [x for x in _outside(head[:-1]) if x.text not in MODIFIERS and x.text not in notes and x.text != "@"]
+            if kinds and kinds[0].text == "<":  # type parameters
+                depth = 0
+                while kinds and (depth or kinds[0].text == "<"):
+                    depth += (kinds[0].text == "<") - (kinds[0].text == ">")
+                    kinds = kinds[1:]
+            if kinds:
+                begin = head[0].start
+                out.append({
+                    "name": head[-1].text, "modifiers": modifiers + ["@" + x for x in notes], "return_type": source[kinds[0].start : kinds[-1].end],
+                    "params": arguments(source, found, i, stop), "text": source[begin : found[last].end],
+                    "start_line": source.count("\n", 0, begin) + 1, "end_line": source.count("\n", 0, found[last].end) + 1,
+                })
+            i = last
+            first = last + 1
+        i += 1
     return out
 
 
+def methods(source: str) -> list[dict]:
+    """members() of the class that class_facts() takes, or of a text without a class."""
+    found = tokens(source)
+    body = class_body(found)
+    return members(source, found, body[1] + 1, body[2]) if body else members(source, found, 0, len(found))
+
+
 def invocations(source: str) -> list[str]:
-    """Names called in a method's body, in order."""
+    """Names of the methods called in a method's body, in order; constructors and declarations are none."""
     found = tokens(source)
     start = next((i for i, t in enumerate(found) if t.text == "{"), -1)
-    return [t.text for i, t in enumerate(found[:-1]) if i > start and t.kind == "name" and found[i + 1].text == "(" and t.text not in NOT_CALLS]
+    out = []
+    for i, t in enumerate(found[:-1]):
+        if i <= start or t.kind != "name" or found[i + 1].text != "(" or t.text in NOT_CALLS:
+            continue
+        k = i
+        while k >= 2 and found[k - 1].text == "." and found[k - 2].kind == "name":
+            k -= 2
+        before = found[k - 1].text
+        if before in ("new", "@"):
+            continue
+        after = closing(found, i + 1) + 1
+        if after < len(found) and found[after].text in ("{", "throws") and (found[k - 1].kind == "name" or before in (">", "]")):
+            continue  # a method of a local or anonymous class
+        out.append(t.text)
+    return out
 
 
 def body_statements(source: str) -> list[str]:
@@ -268,9 +313,8 @@ def assertion_prefixes(source: str) -> list[dict]:
     return out
 
 
-def class_facts(source: str, name: str | None = None) -> dict | None:
-    """Facts of a class: by name, else the first public one that is not abstract, else the first."""
-    found = tokens(source)
+def class_body(found: list[Token], name: str | None = None) -> tuple[int, int, int] | None:
+    """(its word class, opening, closing) of a class: by name, else the first public one that is not abstract, else the first."""
     heads = [i for i, t in enumerate(found[:-1]) if t.text in ("class", "interface", "enum") and found[i + 1].kind == "name" and (not i or found[i - 1].text != ".")]
     if not heads:
         return None
@@ -280,11 +324,18 @@ def class_facts(source: str, name: str | None = None) -> dict | None:
         chosen = next((i for i in heads if "public" in before(i) and "abstract" not in before(i)), heads[0])
     opening = next((i for i in range(chosen, len(found)) if found[i].text == "{"), -1)
     end = closing(found, opening) if opening >= 0 else -1
-    if end < 0:
+    return (chosen, opening, end) if end >= 0 else None
+
+
+def class_facts(source: str, name: str | None = None) -> dict | None:
+    """Facts of the class that class_body() finds."""
+    found = tokens(source)
+    body = class_body(found, name)
+    if body is None:
         return None
+    chosen, opening, end = body
     head = [t.text for t in found[chosen:opening]]
     after = lambda word: " ".join(head[head.index(word) + 1 :]).split(" implements ")[0] if word in head else ""
-    body = source[found[opening].end : found[end].start]
     fields, i = [], opening + 1
     begin = i
     while i < end:
@@ -304,7 +355,7 @@ def class_facts(source: str, name: str | None = None) -> dict | None:
     package = re.search(r"^\s*package\s+([\w.]+)\s*;", source, re.M)
     return {
         "name": found[chosen + 1].text, "package": package[1] if package else "", "imports": re.findall(r"^\s*(import\s+[^;]+;)", source, re.M),
-        "superclass": after("extends"), "interface": after("implements"), "fields": fields, "methods": methods(body),
+        "superclass": after("extends"), "interface": after("implements"), "fields": fields, "methods": members(source, found, opening + 1, end),
     }
 
 
@@ -313,7 +364,7 @@ METHOD_TYPE = "array<struct<name:string,modifiers:array<string>,return_type:stri
 CLASS_TYPE = f"struct<name:string,package:string,imports:array<string>,superclass:string,interface:string,fields:array<string>,methods:{METHOD_TYPE}>"
 
 
-def _each(function, kind: str):
+def each(function, kind: str):
     """A column function that applies a Python function batch-wise; made on use, as modules are imported on executors too."""
 
     def run(source: pd.Series) -> pd.Series:
@@ -322,15 +373,15 @@ def _each(function, kind: str):
     return lambda column: F.pandas_udf(run, kind)(column)
 
 
-assertions_of = _each(assertions, ASSERTION_TYPE)
-methods_of = _each(methods, METHOD_TYPE)
-invocations_of = _each(invocations, "array<string>")
-statements_of = _each(body_statements, "array<string>")
-variables_of = _each(local_variables, "array<string>")
-name_of = _each(method_name, "string")
-variants_of = _each(split_by_assertion, "array<string>")
-prefixes_of = _each(assertion_prefixes, "array<struct<assertion:string,ut:string>>")
-kind_of = _each(argument_kind, "string")
+assertions_of = each(assertions, ASSERTION_TYPE)
+methods_of = each(methods, METHOD_TYPE)
+invocations_of = each(invocations, "array<string>")
+statements_of = each(body_statements, "array<string>")
+variables_of = each(local_variables, "array<string>")
+name_of = each(method_name, "string")
+variants_of = each(split_by_assertion, "array<string>")
+prefixes_of = each(assertion_prefixes, "array<struct<assertion:string,ut:string>>")
+kind_of = each(argument_kind, "string")
 
 
 def class_of(source) -> Column:
@@ -342,6 +393,19 @@ def class_of(source) -> Column:
     return F.pandas_udf(run, CLASS_TYPE)(source)
 
 
+def facts_of(source) -> Column:
+    """name, n (top-level statements), called and single (a body of one return) of a method, from one pass over the column."""
+
+    def run(sources: pd.Series) -> pd.DataFrame:
+        rows = []
+        for s in sources:
+            body = body_statements(s or "")
+            rows.append((method_name(s or ""), len(body), invocations(s or ""), len(body) == 1 and body[0].startswith("return")))
+        return pd.DataFrame(rows, columns=["name", "n", "called", "single"])
+
+    return F.pandas_udf(run, "struct<name:string,n:int,called:array<string>,single:boolean>")(source)
+
+
 def expected_of(args) -> Column:
     def run(found: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([expected_actual(list(a)) if a is not None else (None, None) for a in found], columns=["expected", "actual"])
@@ -382,4 +446,4 @@ def answered_assertion(answer: Column) -> Column:
     """The assertion in a model's answer, without white space outside of literals; '' without one."""
     from granary.functions.text import fenced_lines, strip_outside_literals
 
-    return strip_outside_literals(_each(lambda lines: generated_assertion(list(lines)), "string")(fenced_lines(answer)))
+    return strip_outside_literals(each(lambda lines: generated_assertion(list(lines)), "string")(fenced_lines(answer)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.session import table
@@ -32,3 +32,21 @@ def histories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, history) with the messages in order."""
     turns = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.sort_array(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("h"))
     return turns.select("id", F.transform("h", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("history"))
+
+
+#: parts: two words, a size, and the number of assertions of the test that is made of a part.
+PARTS = (
+    "p AS (SELECT p_partkey AS id, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b, p_size AS z, "
+    "CASE WHEN p_partkey % 5 = 4 THEN 0 ELSE (p_partkey % 4)::INT END AS n FROM part)"
+)
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    return table(spark, sf_dir, "part").select(k.alias("id"), word(1).alias("a"), word(2).alias("b"), F.col("p_size").alias("z"), F.when(k % 5 == 4, 0).otherwise((k % 4).cast("int")).alias("n"))
+
+
+def joined(*pieces: str | Column) -> Column:
+    """A text of pieces: literals, columns, and names of columns after a dollar sign."""
+    return F.concat(*(x if isinstance(x, Column) else F.col(x[1:]).cast("string") if x.startswith("$") else F.lit(x) for x in pieces))
