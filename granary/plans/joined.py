@@ -81,26 +81,16 @@ def join_import_types(spark, sf_dir):
     return joins.import_types(rows, types)
 
 
-_RANGES = "WITH p AS (SELECT user_id % 50 AS key, event_id AS at_ FROM events), r AS (SELECT o_custkey % 50 AS key, o_orderkey AS rid, o_orderkey AS lo, o_orderkey + o_custkey % 30 AS hi FROM orders WHERE o_orderkey < 3000) "
-
-
-def _line_in_range(spark, sf_dir, orders):
+@query(
+    "WITH p AS (SELECT user_id % 50 AS key, event_id AS at_ FROM events), r AS (SELECT o_custkey % 50 AS key, o_orderkey AS rid, o_orderkey AS lo, o_orderkey + o_custkey % 30 AS hi FROM orders) "
+    'SELECT key, at_ AS "at", rid FROM p JOIN r USING (key) WHERE at_ BETWEEN lo AND hi'
+)
+def join_line_in_range(spark, sf_dir):
     points = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("key"), F.col("event_id").alias("at"))
-    ranges = orders.select((F.col("o_custkey") % 50).alias("key"), F.col("o_orderkey").alias("rid"), F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.col("o_custkey") % 30).alias("hi"))
+    ranges = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("key"), F.col("o_orderkey").alias("rid"), F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.col("o_custkey") % 30).alias("hi"))
     return joins.range_hits(points, ranges).select("key", "at", "rid")
 
 
-@query(_RANGES + "SELECT key, at_ AS \"at\", rid FROM p JOIN r USING (key) WHERE at_ BETWEEN lo AND hi")
-def join_line_in_range(spark, sf_dir):
-    """The hits in the orders that its SQL asks for; join_line_in_all_ranges has those in all."""
-    return _line_in_range(spark, sf_dir, table(spark, sf_dir, "orders").filter("o_orderkey < 3000"))
-
-
-@query()
-def join_line_in_all_ranges(spark, sf_dir):
-    return _line_in_range(spark, sf_dir, table(spark, sf_dir, "orders"))
-
-
 @query(
     "SELECT n_name AS method, CASE WHEN n_nationkey % 3 = 0 THEN n_nationkey WHEN n_nationkey % 3 = 1 THEN 100 + n_nationkey ELSE 200 + n_nationkey END AS d FROM nation WHERE n_nationkey % 5 <> 4 OR n_nationkey % 3 <> 2"
 )

@@ -1,12 +1,14 @@
-"""Writers. A stage writes one table partitioned by member; nothing is merged or deleted afterwards."""
+"""Writers. A stage writes one table partitioned by member; merge_shards() is for shards that other programs left."""
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.sources.records import exists
+
 
 def write_by_member(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
     """JSON Lines in a folder a member."""
@@ -22,6 +24,18 @@ def union_shards(shards: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), shards)
 
 
+def merge_shards(spark: SparkSession, shards: list[str], path: str, schema: str) -> None:
+    """One JSON Lines table of the shards that are there, in their order; they are deleted once it is written.
+
+    A union keeps the order of its sides' partitions, so nothing is moved or sorted.
+    """
+    there = [x for x in shards if exists(spark, x)]
+    union_shards([spark.read.schema(schema).json(x) for x in there] or [spark.createDataFrame([], schema)]).write.mode("overwrite").json(path)
+    for x in there:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(x)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def split_errors(rows: DataFrame, status: str = "err_msg") -> tuple[DataFrame, DataFrame]:
     """(good rows, error rows) of one plan with a status column."""
     return rows.filter(F.col(status).isNull()), rows.filter(F.col(status).isNotNull())

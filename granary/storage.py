@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir. Where none is named: a temporary one if all of Spark runs in one process, as in
+    tests, else one in the warehouse."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.startswith("local"):
+            named = tempfile.mkdtemp(prefix="granary-")
+        context.setCheckpointDir(named or f"{spark.conf.get('spark.sql.warehouse.dir')}/granary-checkpoint")
+    return context.getCheckpointDir()
+
+
+def scratch(spark: SparkSession) -> str:
+    """A path of its own in the shared folder."""
+    return f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Writes a frame to the checkpoint folder and goes on from there.
+    """Writes a frame to the shared folder and goes on from there.
 
     Later uses see the same rows in the same partitions, and a lost executor costs no recomputation of what came
-    before. The folder is that of spark.checkpoint.dir; one of its own is set only where none is named, as in tests.
+    before.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
