@@ -25,4 +25,4 @@ def query(sql: str | None = None):
     return put
 
 
-from granary.plans import aggregates, code, files, joined, retrievals, rows, texts, votes  # noqa: E402, F401
+from granary.plans import aggregates, code, commands, files, joined, retrievals, rows, texts, votes  # noqa: E402, F401

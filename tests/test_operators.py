@@ -84,6 +84,21 @@ def test_commands_run_apart_and_never_fail_the_job(spark):
     assert got[0] == (0, "hello") and got[1][0] == 127 and "leaves the working folder" in got[2][1]
 
 
+def test_a_run_that_is_stopped_keeps_what_it_printed(spark):
+    rows = spark.createDataFrame([({"x": "1"},)], "files map<string,string>")
+    got = runner.compile_and_test(rows, "echo built", "sleep 20", seconds=1).first()
+    assert (got.compiled, got.passed, got.reason, got.exit_code) == (True, False, "timeout", None)
+    assert "built" in got.log
+
+
+def test_classes_are_repaired_once(spark):
+    """A method whose loss doesn't help, a class without methods, a method of several lines."""
+    compile_ = r"echo; echo; grep -n BAD T | sed 's/^\([0-9]*\):.*/[javac] T:\1: error: bad/'; ! grep -q -e BAD -e WORSE T"
+    rows = spark.createDataFrame([(1, "h", ["BAD", "WORSE"], "t"), (2, "h", [], "t"), (3, "h", ["a\nBAD\nb", "c", "BAD"], "t")], "id int, head string, methods array<string>, tail string")
+    got = {r.id: (r.rounds, r.n_lost, r.compiled, r.passed, r.methods) for r in runner.compile_repaired(rows, compile_, "true", "T").collect()}
+    assert got == {1: (2, 1, False, False, ["WORSE"]), 2: (1, 0, True, True, []), 3: (2, 2, True, True, ["c"])}
+
+
 def test_streamed_votes(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
