@@ -167,4 +167,28 @@ def boolean_equivalent(expected: Column, text: Column) -> Column:
 
 def candidate_values(kind: Column) -> Column:
     """The values to choose from for a type; null where there are none."""
-    return F.try_element_at(F.create_map(*[F.lit(x) for pair in CANDIDATES.items() for x in pair]), kind)
\ No newline at end of file
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in CANDIDATES.items() for x in pair]), kind)
+
+def field_definition(modifier: Column, kind: Column, name: Column, value: Column) -> Column:
+    """A field or parameter as declared; modifier and value may be empty or null."""
+    lead = F.when(F.coalesce(modifier, F.lit("")) != "", F.concat(modifier, F.lit(" "))).otherwise("")
+    tail = F.when(F.coalesce(value, F.lit("")) != "", F.concat(F.lit(" = "), value)).otherwise("")
+    return F.concat(lead, kind, F.lit(" "), name, tail)
+
+
+def field_signature(kind: Column, name: Column) -> Column:
+    return F.concat_ws("#", kind, name)
+
+
+def method_definition(modifier: Column, returned: Column, name: Column, parameters: Column) -> Column:
+    """A method's head with its parameters' definitions (an array)."""
+    return F.concat(modifier, F.lit(" "), returned, F.lit(" "), name, F.lit("("), F.array_join(parameters, ","), F.lit(");"))
+
+
+def method_signature(returned: Column, owner: Column, name: Column, parameters: Column) -> Column:
+    """A method's name in its class with its parameters' signatures (an array)."""
+    return F.concat(returned, F.lit(" "), owner, F.lit("#"), name, F.lit("("), F.array_join(parameters, ","), F.lit(")"))
+
+
+def class_signature(package: Column, name: Column) -> Column:
+    return F.concat_ws(".", package, name)

@@ -114,3 +114,23 @@ def scan_embedding_file(spark, sf_dir):
     path = scratch(spark)
     sinks.write_jsonl(table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("key"), "embedding"), path)
     return records.open_dataset("Embeddings", spark, path).select("key", F.col("embedding")[0].cast("double").alias("first"))
+
+
+@query("SELECT 'bug-' || p_partkey % 200 || '.tar.bz2' AS archive, 'T' || p_partkey || '.java' AS name, p_name AS text FROM part")
+def sink_archives(spark, sf_dir):
+    """A table's texts as files in archives, stored and unpacked again."""
+    part = table(spark, sf_dir, "part")
+    files = part.select(views.joined("bug-", (F.col("p_partkey") % 200).cast("string")).alias("group"), F.concat(F.lit("T"), "p_partkey", F.lit(".java")).alias("name"), F.col("p_name").alias("content"))
+    path = scratch(spark)
+    sinks.archives(files).write.parquet(path)
+    return records.read_archives(spark.read.parquet(path)).select("archive", "name", F.col("content").cast("string").alias("text"))
+
+
+@query("SELECT o_custkey AS id, CAST(count(*) + 1 AS BIGINT) AS n FROM orders GROUP BY o_custkey")
+def scan_saved_state(spark, sf_dir):
+    """State that isn't there is empty; it is saved, read, changed and saved in its place again."""
+    path, schema = scratch(spark), "id long, n long"
+    counts = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count("*").alias("n"))
+    sinks.write_state(records.read_state(spark, path, schema).unionByName(counts), path)
+    sinks.write_state(records.read_state(spark, path, schema).withColumn("n", F.col("n") + 1), path)
+    return records.read_state(spark, path, schema)

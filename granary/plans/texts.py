@@ -161,3 +161,19 @@ def log_status(spark, sf_dir):
     build = F.when(m == 0, "[ERROR] COMPILATION ERROR : x").when(m == 1, views.joined("$a", "\nBUILD SUCCESS")).when(m == 2, views.joined("Tests run: ", "$z", ", Failures: 1")).otherwise("")
     rows = views.parts(spark, sf_dir)
     return rows.select("id", logs.failing_count(count).alias("n"), logs.failure_class(listing).alias("failure"), logs.compile_result(build).alias("compiled"), logs.test_result(build, k == 0).alias("tested"))
+
+
+@query(
+    "WITH p AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'private' END AS modifier, CASE WHEN p_size % 3 = 0 THEN '' ELSE p_size::varchar END AS v, replace(p_name, ' ', '') AS n, replace(p_type, ' ', '') AS t FROM part) "
+    "SELECT p_partkey, CASE WHEN modifier IS NULL THEN '' ELSE modifier || ' ' END || t || ' ' || n || CASE WHEN v = '' THEN '' ELSE ' = ' || v END AS field, t || '#' || n AS field_sign, "
+    "'public ' || t || ' ' || n || '(int a,' || t || ' b);' AS method, t || ' C' || p_partkey || '#' || n || '(int#a,' || t || '#b)' AS method_sign, 'a.b.C' || p_partkey AS class_sign FROM p"
+)
+def text_entity_strings(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.when(F.col("p_size") % 2 == 0, "private").alias("modifier"), F.when(F.col("p_size") % 3 == 0, "").otherwise(F.col("p_size").cast("string")).alias("v"), F.replace("p_name", F.lit(" "), F.lit("")).alias("n"), F.replace("p_type", F.lit(" "), F.lit("")).alias("t"))
+    kind, name, owner, none = F.col("t"), F.col("n"), F.concat(F.lit("C"), F.col("p_partkey").cast("string")), F.lit(None).cast("string")
+    ab = [(F.lit("int"), F.lit("a")), (kind, F.lit("b"))]
+    return rows.select(
+        "p_partkey", t.field_definition(F.col("modifier"), kind, name, F.col("v")).alias("field"), t.field_signature(kind, name).alias("field_sign"),
+        t.method_definition(F.lit("public"), kind, name, F.array(*(t.field_definition(none, *x, none) for x in ab))).alias("method"),
+        t.method_signature(kind, owner, name, F.array(*(t.field_signature(*x) for x in ab))).alias("method_sign"), t.class_signature(F.lit("a.b"), owner).alias("class_sign"),
+    )

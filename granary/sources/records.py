@@ -6,8 +6,11 @@ broken lines go to a column instead of failing a job.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import io
+import tarfile
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +29,37 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(full).option("mode", "PERMISSIVE").json(path) if exists(spark, path) else spark.createDataFrame([], full)
 
 
+def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """State that sinks.write_state() left: empty if there is none; broken lines are left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def read_settings(spark: SparkSession, path: str) -> dict:
+    """A YAML file of settings, small by nature, as a dictionary; an empty or missing file gives none. Needs PyYAML."""
+    try:
+        import yaml
+    except ImportError as error:
+        raise RuntimeError("settings in YAML need the package PyYAML") from error
+    if not exists(spark, path):
+        return {}
+    text = spark.read.text(path, wholetext=True).first()
+    return (yaml.safe_load(text.value) if text else None) or {}
+
+
+def read_archives(found: DataFrame) -> DataFrame:
+    """(archive, name, content) of the files in tar archives of any compression; found: archive, content."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for archive, content in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
+                    for entry in tar:
+                        if entry.isfile():
+                            yield pa.RecordBatch.from_pydict({"archive": [archive], "name": [entry.name], "content": [tar.extractfile(entry).read()]})
+
+    return found.select("archive", "content").filter("content is not null").mapInArrow(unpack, "archive string, name string, content binary")
+
+
 def number_lines(lines: DataFrame, name: str = "line_no", start: int = 0) -> DataFrame:
     """Dense numbers in file order, without bringing rows together.
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import tarfile
+import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,3 +65,37 @@ def tool_input(rows: DataFrame) -> DataFrame:
 def write_texts(rows: DataFrame, path: str, name: str = "name", text: str = "text") -> None:
     """A text folder a name, written by executors through Spark's own writer."""
     rows.select(F.col(name).alias("name"), F.col(text).alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+
+
+def write_state(rows: DataFrame, path: str) -> None:
+    """State as JSON Lines for records.read_state(). It is written beside the old state and then takes its place, so rows
+    may stem from that state."""
+    spark = rows.sparkSession
+    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    rows.write.json(new)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    if not files.rename(hadoop.Path(new), target):
+        raise OSError(f"state stays in {new}: it can't be moved to {path}")
+
+
+def archives(files: DataFrame, group: str = "group", name: str = "name", content: str = "content") -> DataFrame:
+    """(archive, content): a tar.bz2 of the files of each group, in the order of their names, without times and owners.
+
+    An archive is one value made in one task, so the files of a group have to fit a worker; groups are spread
+    over the cluster. Files without a name or group are left out, null contents are empty.
+    """
+
+    def pack(found: pd.DataFrame) -> pd.DataFrame:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w:bz2") as tar:
+            for n, c in sorted(zip(found["name"], found["content"], strict=True)):
+                entry = tarfile.TarInfo(n)
+                entry.size = len(c)
+                tar.addfile(entry, io.BytesIO(c))
+        return pd.DataFrame({"archive": [f"{found['group'].iloc[0]}.tar.bz2"], "content": [out.getvalue()]})
+
+    rows = files.select(F.col(group).cast("string").alias("group"), F.col(name).alias("name"), F.coalesce(F.col(content).cast("binary"), F.lit(b"")).alias("content"))
+    return rows.filter("`group` is not null and name is not null").groupBy("group").applyInPandas(pack, "archive string, content binary")

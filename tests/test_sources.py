@@ -86,3 +86,19 @@ def test_positional_and_nested_maps(spark):
     rows = spark.createDataFrame([("t", [("a", None, 0.5), (None, "b", 0.25)])], schemas.RETRIEVED)
     assert [tuple(r) for r in records.retrieval_map(rows, 1).collect()] == [("t", 1, "a", 0.5)]
     assert [r.src for r in records.retrieval_map(rows, 5).orderBy("rank").collect()] == ["a", "b"]
+
+
+def test_settings_and_broken_state(spark, tmp_path):
+    pytest.importorskip("yaml")
+    assert records.read_settings(spark, write(tmp_path / "c.yaml", ["a:", "  b: 1", "c: [x, y]"])) == {"a": {"b": 1}, "c": ["x", "y"]}
+    assert records.read_settings(spark, str(tmp_path / "none.yaml")) == {}
+    state = write(tmp_path / "s.json", ['{"id": 1}', '{"id": '])
+    assert [r.id for r in records.read_state(spark, state, "id long").collect()] == [1]
+
+
+def test_archives_of_null_contents_and_names(spark):
+    files = spark.createDataFrame([("g", "b", None), ("g", "a", b"x"), ("g", None, b"y"), (None, "c", b"z")], "`group` string, name string, content binary")
+    packed = sinks.archives(files).cache()
+    assert [r.archive for r in packed.collect()] == ["g.tar.bz2"]
+    assert [(r.name, bytes(r.content)) for r in records.read_archives(packed).collect()] == [("a", b"x"), ("b", b"")]
+    assert sinks.archives(files.limit(0)).count() == 0
