@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from granary.llm.funnel import FUNNELS, WITHIN
 from granary.llm.license_scan import NOTICES, PHRASES
 from granary.llm.source_mixing import SECTIONS
+from granary.llm.url_filter import BASE, PATTERNS
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -98,4 +100,78 @@ def mixing(entropy_share: float = 0.97, max_repeats: float = 4.0, budget_share:
     )
 
 
-ORACLES = {"op1_suffix_dedup": SUBSTRINGS, "op3_jaccard_join": JACCARD, "op4_line_dedup": LINES, "op5_source_mixing": mixing(), "op8_license_scan": LICENSES}
+def codes(parts: int = 8, entries: int = 16, rounds: int = 6, scale: int = 4096) -> str:
+    """Assignment and averaging unrolled, every distance taken."""
+    cut = f"v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}]"
+    distance = "list_sum(list_transform(list_zip(x, e), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    ctes = [
+        f"k AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"q AS MATERIALIZED (SELECT r, p, {cut} AS x FROM k, range({parts}) AS t(p))",
+        f"c0 AS MATERIALIZED (SELECT p, r - 1 AS i, x AS e FROM q WHERE r <= {entries})",
+    ]
+    for n in range(rounds + 1):
+        ctes.append(f"a{n} AS MATERIALIZED (SELECT r, p, any_value(x) AS x, arg_min(i, (d, i)) AS i, min(d) AS d FROM (SELECT r, p, x, i, {distance} AS d FROM q JOIN c{n} USING (p)) GROUP BY r, p)")
+        if n < rounds:
+            ctes += [
+                f"s{n} AS (SELECT p, i, j, sum(x)::HUGEINT AS s, count(*) AS n FROM (SELECT p, i, generate_subscripts(x, 1) AS j, unnest(x) AS x FROM a{n}) GROUP BY ALL)",
+                f"f{n} AS (SELECT p, i, list((CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END)::BIGINT ORDER BY j) AS m FROM s{n} GROUP BY p, i)",
+                f"c{n + 1} AS MATERIALIZED (SELECT p, i, coalesce(m, e) AS e FROM c{n} LEFT JOIN f{n} USING (p, i))",
+            ]
+    ctes += [
+        f"o AS (SELECT r, string_agg(printf('%02x', i), '' ORDER BY p) AS code, sum(d)::BIGINT AS error FROM a{rounds} GROUP BY r)",
+        f"h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY p, i)) AS codebooks_sha256 FROM c{rounds})",
+    ]
+    return "WITH " + ", ".join(ctes) + " SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM k JOIN o USING (r), h"
+
+
+def funnels() -> str:
+    """Each step's next event and next excluded event by nearest-match joins."""
+    rows = "(VALUES " + ", ".join(f"('{f.name}', {s}, '{k}')" for f in FUNNELS for s, k in enumerate(f.steps, 1)) + ") AS d(funnel, step, kind)"
+    barred = "(VALUES " + ", ".join(f"('{f.name}', '{k}')" for f in FUNNELS for k in f.excluded) + ") AS x(funnel, kind)"
+    ctes = [
+        "e AS MATERIALIZED (SELECT DISTINCT client_id, kind, epoch_us(arrived_at) AS at_ FROM clicks WHERE client_id IS NOT NULL AND kind IS NOT NULL AND arrived_at IS NOT NULL)",
+        f"b AS MATERIALIZED (SELECT funnel, client_id, at_ FROM e JOIN {barred} USING (kind))",
+        f"s1 AS MATERIALIZED (SELECT funnel, client_id, at_ AS began, at_ FROM e JOIN {rows} USING (kind) WHERE step = 1)",
+    ]
+    for n in range(2, 5):
+        ctes += [
+            f"n{n} AS (SELECT funnel, client_id, at_, step, kind FROM e JOIN {rows} USING (kind) WHERE step = {n})",
+            f"m{n} AS (SELECT a.funnel, a.client_id, began, a.at_ AS before, n.at_ AS at_ FROM s{n - 1} a ASOF JOIN n{n} n ON a.funnel = n.funnel AND a.client_id = n.client_id AND a.at_ < n.at_)",
+            f"x{n} AS (SELECT m.*, b.at_ AS bar FROM m{n} m ASOF LEFT JOIN b ON m.funnel = b.funnel AND m.client_id = b.client_id AND m.before < b.at_)",
+            f"s{n} AS MATERIALIZED (SELECT funnel, client_id, began, at_, at_ - before AS took FROM x{n} WHERE at_ - began <= {WITHIN} AND (bar IS NULL OR bar > at_))",
+            f"g{n} AS (SELECT funnel, client_id, count(*) AS n{n}, list_sort(list(took))[(90 * count(*) + 99) // 100] AS t{n} FROM s{n} GROUP BY ALL)",
+        ]
+    return (
+        "WITH " + ", ".join(ctes) + ", g1 AS (SELECT funnel, client_id, count(*) AS n1 FROM s1 GROUP BY ALL), "
+        "w AS (SELECT funnel, client_id, n1, coalesce(n2, 0) AS n2, coalesce(n3, 0) AS n3, coalesce(n4, 0) AS n4, t2, t3, t4 FROM g1 LEFT JOIN g2 USING (funnel, client_id) LEFT JOIN g3 USING (funnel, client_id) LEFT JOIN g4 USING (funnel, client_id)), "
+        "z AS (SELECT *, 1 + (n2 > 0)::INT + (n3 > 0)::INT + (n4 > 0)::INT AS deepest FROM w) "
+        "SELECT funnel, client_id, n1, n2, n3, n4, deepest, t2, t3, t4, count(*) OVER (PARTITION BY funnel, deepest) AS same_depth FROM z"
+    )
+
+
+def _regex(pattern: str) -> str:
+    """A pattern as a regular expression over `//`, host and the rest of the url."""
+    start, body = ("^//([^/?#]*[.])?", pattern[2:]) if pattern.startswith("||") else ("", pattern)
+    end, body = ("$", body[:-1]) if body.endswith("|") else ("", body)
+    inner = "".join({"*": ".*", "^": "([^A-Za-z0-9_.%-]|$)"}.get(c, f"[{c}]" if c in ".?+" else c) for c in body)
+    return f"(?is){start}{inner}{end}"
+
+
+def urls() -> str:
+    """Hosts and paths compared as text for the base rules, and every pattern tried on every address."""
+    base = "(VALUES " + ", ".join(f"('{r}', '{r[: r.index('/')]}', '{r[r.index('/') :]}', '{v}')" for r, v in BASE) + ") AS b(rule, rule_host, rule_path, verdict)"
+    more = "(VALUES " + ", ".join(f"('{p}', '{_regex(p)}', '{v}')" for p, v in PATTERNS) + ") AS r(pattern, regex, verdict)"
+    return f"""
+WITH u AS (SELECT row_number() OVER () AS r, page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS a FROM pages),
+p AS (SELECT r, page_id, translate(regexp_extract(a, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, substr(a, length(regexp_extract(a, '^[^/?#]*')) + 1) AS rest FROM u),
+q AS (SELECT r, page_id, host, regexp_extract(rest, '^[^?#]*') AS path, CASE WHEN host || rest = '' THEN '' ELSE '//' || host || rest END AS address FROM p),
+f AS (SELECT r, rule, verdict FROM q JOIN {base} ON (host = rule_host OR suffix(host, '.' || rule_host)) AND starts_with(path, rule_path) QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC) = 1),
+g AS (SELECT r, pattern, verdict FROM q JOIN {more} ON regexp_matches(address, regex) QUALIFY row_number() OVER (PARTITION BY r ORDER BY length(pattern) DESC, verdict, pattern) = 1)
+SELECT page_id, host, path, rule, coalesce(f.verdict, g.verdict, 'allow') AS verdict, CASE WHEN rule IS NULL THEN pattern END AS pattern FROM q LEFT JOIN f USING (r) LEFT JOIN g USING (r)
+"""
+
+
+ORACLES = {
+    "op1_suffix_dedup": SUBSTRINGS, "op3_jaccard_join": JACCARD, "op4_line_dedup": LINES, "op5_source_mixing": mixing(), "op8_license_scan": LICENSES,
+    "op11_vector_codes": codes(), "op12_funnel": funnels(), "op13_url_filter": urls(),
+}

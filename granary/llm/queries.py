@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm.decontamination import find_contaminated
+from granary.llm.funnel import count_funnels
 from granary.llm.html_extract import extract_pages
 from granary.llm.jaccard_join import jaccard_components
 from granary.llm.license_scan import scan_licenses
@@ -17,6 +18,8 @@ from granary.llm.secrets import scan_secrets
 from granary.llm.source_mixing import mix_sources
 from granary.llm.substring_dedup import dedup_substrings
 from granary.llm.toxicity import held_out, score_texts, train
+from granary.llm.url_filter import filter_urls, rules_table
+from granary.llm.vector_codes import compress_vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +71,23 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.array_join("items", ",").alias("item_ids"), "n_shared_words")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable row's code of 8 parts and 16 entries, its error and its label's."""
+    return compress_vectors(_table(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096).drop("exact_share")
+
+
+def op12_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three funnels over all clicks, a row a funnel and client with attempts."""
+    return count_funnels(_table(spark, sf_dir, "clicks"))
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict for every page's url: of a base rule, else of a pattern, else allow."""
+    judged = filter_urls(_table(spark, sf_dir, "pages"), rules_table(spark))
+    of = lambda priority: F.when(F.col("priority") == priority, F.col("rule"))
+    return judged.select("page_id", "host", "path", of(1).alias("rule"), "verdict", of(0).alias("pattern"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir)
 
@@ -83,5 +103,8 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_vector_codes": op11_vector_codes,
+    "op12_funnel": op12_funnel,
+    "op13_url_filter": op13_url_filter,
     "pipeline": pipeline,
 }
