@@ -91,7 +91,7 @@ def indexed(rules: DataFrame, addresses: DataFrame) -> DataFrame:
 
     Frequencies are counted over all addresses (column tokens). Of equally rare tokens the longest is taken, then the first.
     """
-    known = rules.filter("pattern is not null and verdict is not null").distinct()
+    known = rules.withColumn("any_case", F.coalesce("any_case", F.lit(False))).dropna(subset=["rule", "pattern", "verdict", "priority"]).distinct()
     parts = known.select("*", F.explode_outer(literals_of(F.col("pattern"))).alias("token"))
     wanted = parts.filter("token is not null").select("token").distinct()
     seen = addresses.select(F.explode("tokens").alias("token")).join(sized(wanted), "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
@@ -108,8 +108,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", id_c
     n_regex is the number of rules whose regular expression ran.
 
     A null url, or one without `://`, has an empty host, path and address; only rules without a literal that fit an empty text could fit.
-    Rows of equal or null ids are judged each by itself. Without rules every row gets the default. Rules without a pattern or
-    verdict don't count; repeated ones count once. Other columns of pages don't matter.
+    Rows of equal or null ids are judged each by itself. Without rules every row gets the default. Rules with a null
+    don't count (a null any_case is false); repeated ones count once. Other columns of pages don't matter.
     """
     rows = text_rows(pages, id_col, url_col)
     rows = rows.withColumn("address", address_of(F.col("text")))
