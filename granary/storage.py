@@ -33,3 +33,10 @@ def stored(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def stored_table(df: DataFrame) -> DataFrame:
+    """As stored(), but as a Parquet table of its own: columnar, compressed, written in one pass and of known size."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

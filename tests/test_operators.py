@@ -108,3 +108,57 @@ def test_streamed_votes(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r.answer, r.n) for r in spark.table("running_votes").collect()} == {("x", 2), ("y", 1)}
+
+
+def pairwise(a, b):
+    mean = (len(a) + len(b)) / 2
+    part = lambda f, n: 2.5 * f / (f + 1.5 * (0.25 + 0.75 * n / mean))
+    return math.log(1.2) / 2 * sum(a.count(t) * part(b.count(t), len(b)) + b.count(t) * part(a.count(t), len(a)) for t in {*a} & {*b})
+
+
+def test_bm25_ties_go_to_the_smallest_id_however_terms_are_ordered(spark):
+    """Sources that are permutations of each other score alike, whatever the order of their sums."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(30)]
+    targets, sources, want = [], [], {}
+    for case in range(60):
+        text = [words[i] for i in rng.integers(0, 30, 25)]
+        targets.append((f"g{case}", case, [words[i] for i in rng.integers(0, 30, 12)]))
+        ids = rng.permutation(3) + 3 * case
+        sources += [(f"g{case}", int(i), [text[k] for k in rng.permutation(25)]) for i in ids]
+        want[case] = 3 * case
+    sides = [spark.createDataFrame(x, "grp string, id long, terms array<string>") for x in (targets, sources)]
+    for nearest in (1, 1024):
+        assert {r.tgt: r.src for r in retrieval.bm25_top1(*sides, nearest=nearest).collect()} == want
+
+
+@pytest.mark.parametrize("nearest", [1, 3, 1024])
+def test_bm25_leaves_one_out_by_name_and_visits_only_what_can_win(spark, nearest):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(0, 4)), i, int(rng.integers(0, 9)), [f"w{k}" for k in rng.zipf(1.5, rng.integers(0, 40)) if k < 50]) for i in range(120)]
+    rows += [(9, 500, 1, ["a"]), (9, 501, 1, ["a"]), (8, 600, 1, ["a"]), (7, 700, 1, None), (7, 701, 2, ["a"]), (7, 702, 3, ["b"]), (None, 703, 1, ["a"]), (7, None, 1, ["a"])]
+    side = spark.createDataFrame(rows, "grp long, id long, skip long, terms array<string>")
+    got = {r.tgt: (r.src, round(r.sim, 9)) for r in retrieval.bm25_top1(side, side, same=True, nearest=nearest, block=5).collect()}
+    want = {}
+    for g, i, name, terms in rows:
+        others = [(round(pairwise(terms or [], t or []), 9), -j) for h, j, n, t in rows if None not in (g, h, i, j) and h == g and n != name]
+        if others:
+            want[i] = (-max(others)[1], max(others)[0])
+    assert {i: s for i, (s, _) in got.items()} == {i: s for i, (s, _) in want.items()}
+    assert {i: x for i, (_, x) in got.items()} == pytest.approx({i: x for i, (_, x) in want.items()}, abs=2e-9)
+
+
+def test_most_similar_other_text(spark):
+    """Equal texts are skipped, repeated ones count once, nothing in common gives no source and 0."""
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join("abcdefgh"[i] for i in rng.integers(0, 8, rng.integers(0, 6)))
+    sources = [(f"b{rng.integers(0, 3)}", i, text()) for i in range(60)] + [("b0", 100, None), (None, 101, "a"), ("b0", 102, "z z")]
+    targets = [(g, i + 1000, t) for g, i, t in sources[:40]] + [("other", 2000, "a b"), ("b0", 2001, None), (None, 2002, "a"), ("b0", 2003, "y"), ("b1", 2004, "")]
+    frames = [spark.createDataFrame(x, "grp string, id long, text string") for x in (targets, sources)]
+    got = {r.tgt: (r.src, round(r.sim, 9)) for r in retrieval.other_text_top1(*frames, lambda t: F.filter(F.split(t, " "), lambda x: x != "")).collect()}
+    want = {}
+    for g, i, t in targets:
+        a = set((t or "").split())
+        seen = [(round(len(a & {*u.split()}) / len(a | {*u.split()}), 9), -j) for h, j, u in sources if h == g and None not in (g, t, u) and u != t and a & {*u.split()}]
+        want[i] = (-max(seen)[1], max(seen)[0]) if seen else (None, 0.0)
+    assert got == want
