@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import checkpointed
 
 PIECE = 24
-LETTERS = 28  # a-z, one for any other letter, one for the start of a token
+LETTERS = 64  # a-z, one for the start of a token, and 36 that the letters of all other scripts are dealt to
 START = "^"
 END = "$"
 TIMES = 6  # tokens of a sign in a text are counted up to this
@@ -65,9 +65,12 @@ def gaps(reach: int, decay: float) -> list[tuple[int, int, float]]:
 
 
 def codes(tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The letter codes of all tokens in a row, and the token that each belongs to."""
-    x = np.frombuffer("".join(tokens).encode("utf-32-le"), np.uint32).astype(np.int32) - 97
-    x = np.where((x >= 0) & (x < 26), x, np.where(x == ord(START) - 97, 27, 26))
+    """The letter codes of all tokens in a row, and the token that each belongs to.
+
+    Letters beside a-z go by their code point, so that neighbours in an alphabet have different codes.
+    """
+    point = np.frombuffer("".join(tokens).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int32)
+    x = np.where((point >= 97) & (point < 123), point - 97, np.where(point == ord(START), 27, 28 + point % 36))
     return x, np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
 
 
@@ -95,15 +98,18 @@ class Model:
 
     def __post_init__(self) -> None:
         self.pattern = gaps(self.reach, self.decay)
-        self.table = np.zeros((LETTERS**3, max(1, len(self.landmarks))), np.float32)
-        for j, mark in enumerate(self.landmarks):
-            for code, _, weight in triples(*codes([mark]), self.pattern):
-                np.maximum.at(self.table[:, j], code, np.float32(weight))
+        self.place = np.full(LETTERS**3, -1, np.int32)  # rows of the table: triples that a landmark has
+        found = [list(triples(*codes([mark]), self.pattern)) for mark in self.landmarks]
+        seen = np.unique(np.concatenate([code for marks in found for code, _, _ in marks] or [np.zeros(0, np.int32)]))
+        self.place[seen] = np.arange(len(seen))
+        self.table = np.zeros((len(seen), max(1, len(self.landmarks))), np.float32)
+        for j, marks in enumerate(found):
+            for code, _, weight in marks:
+                np.maximum.at(self.table[:, j], self.place[code], np.float32(weight))
         norms = (self.table.astype(np.float64) ** 2).sum(0)
         self.scaled = (self.table / np.where(norms, norms, 1)).astype(np.float32)
-        self.known = self.table.any(1)
         # a kernel value of `least` needs triples of this weight together
-        self.fewest = self.least * float((norms / np.maximum(self.table.max(0), 1e-9)).min(initial=np.inf, where=norms > 0)) * 0.999
+        self.fewest = self.least * float((norms / np.maximum(self.table.max(0, initial=0), 1e-9)).min(initial=np.inf, where=norms > 0)) * 0.999
 
     def kernel(self, tokens: list[str]) -> np.ndarray:
         """Kernel values of folded tokens with the landmarks, over the landmarks' own; 1 for a landmark itself."""
@@ -115,14 +121,15 @@ class Model:
             letters, owner = codes(some)
             token, code, weight = [], [], []
             for found, whole, w in triples(letters, owner, self.pattern):
-                hit = np.flatnonzero(self.known[found] & whole)
+                at = self.place[found]
+                hit = np.flatnonzero((at >= 0) & whole)
                 token.append(owner[hit])
-                code.append(found[hit])
+                code.append(at[hit])
                 weight.append(np.full(len(hit), w, np.float32))
             if not token:
                 continue
             token, code, weight = (np.concatenate(x) for x in (token, code, weight))
-            key = token.astype(np.int64) * LETTERS**3 + code
+            key = token.astype(np.int64) * len(self.table) + code
             order_in = np.lexsort((-weight, key))
             key = key[order_in]
             first = order_in[np.r_[True, key[1:] != key[:-1]]] if len(key) else order_in
@@ -283,8 +290,8 @@ def choose_signs(toxic: Counter, counts: dict[str, np.ndarray], marks: list[str]
     """Signs and what each number of their tokens tells; counts has the clean and toxic texts by number of tokens, 0 to TIMES.
 
     A sign needs, at some number of tokens or more, four toxic texts and least_ratio times the share of toxic texts that it
-    has of clean ones. Greedy by mutual information with the label, on the tokens without a landmark; a sign whose tokens
-    mostly are another's is passed over.
+    has of clean ones. Greedy by mutual information with the label, on the tokens without a landmark; a string whose tokens
+    mostly are another's is passed over, a whole token is not: it tells more than its stem.
     """
     tokens: dict[str, list[str]] = {}
     left = {t: 0 if any(m in START + t for m in marks) else n for t, n in toxic.items()}
@@ -301,7 +308,7 @@ def choose_signs(toxic: Counter, counts: dict[str, np.ndarray], marks: list[str]
     for s in sorted(gain, key=lambda s: (-gain[s], -len(s), s)):
         if len(chosen) == most:
             break
-        if sum(left[t] for t in tokens[s]) >= 0.5 * sum(toxic[t] for t in tokens[s]):
+        if (s.endswith(END) and not any(m in s for m in marks)) or sum(left[t] for t in tokens[s]) >= 0.5 * sum(toxic[t] for t in tokens[s]):
             chosen.append(s)
             left.update(dict.fromkeys(tokens[s], 0))
     smooth = [(c + 0.5) / (c.sum(1, keepdims=True) + 0.5 * (TIMES + 1)) for c in (counts[s] for s in chosen)]
@@ -350,14 +357,19 @@ def svm(x: np.ndarray, y: np.ndarray, c: float = 1.0, steps: int = 30) -> tuple[
 
 
 def _platt(f: np.ndarray, y: np.ndarray, steps: int = 50) -> np.ndarray:
-    """Slopes and offset of a logistic curve, lightly ridged so that separable scores stay finite."""
+    """Slopes and offset of a logistic curve, lightly ridged so that separable scores stay finite.
+
+    The rarer class weighs more, by the cube root of the ratio, so that 0.5 lies between the classes rather than near the rare one.
+    """
     a = np.c_[f, np.ones(len(f))]
-    t = np.where(y > 0, ((y > 0).sum() + 1) / ((y > 0).sum() + 2), 1 / ((y < 0).sum() + 2))
+    n_bad, n_good = max(1, (y > 0).sum()), max(1, (y < 0).sum())
+    t = np.where(y > 0, (n_bad + 1) / (n_bad + 2), 1 / (n_good + 2))
+    weight = np.where(y > 0, (n_good / n_bad) ** (1 / 3), 1.0)
     w = np.zeros(a.shape[1])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        h = (a.T * (p * (1 - p))) @ a + 1e-3 * np.eye(len(w))
-        step = np.linalg.solve(h, a.T @ (p - t) + 1e-3 * w)
+        h = (a.T * (weight * p * (1 - p))) @ a + 1e-3 * np.eye(len(w))
+        step = np.linalg.solve(h, a.T @ (weight * (p - t)) + 1e-3 * w)
         w -= np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-8:
             break
@@ -423,13 +435,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 10_000, reach: int =
         counts_of[r.sign] = np.c_[np.maximum([n_clean, n_toxic] - n.sum(1), 0), n]
     signs = choose_signs(toxic, counts_of, marks, n_toxic, n_clean)
     # without a landmark of the high ratio the first sign is one
-    marks = marks or [s for s in (x.removesuffix(END) for x in signs[0]) if len(s) > 3][:1]
+    first = lambda signs: [s for s in (x.removesuffix(END) for x in signs[0]) if len(s) > 3][:1]
+    marks = marks or first(signs)
     if not marks:
         return empty
     model = fitted(chosen, marks, signs, seen, n_toxic, n_clean, reach, decay, least, matches)
-    # landmarks that the machine gives no weight were chance; without them scoring is cheaper and surer
-    kept = [m for m, w in zip(marks, model.weights, strict=True) if w >= 0.25 * model.weights.max()]
-    return fitted(chosen, kept, signs, seen, n_toxic, n_clean, reach, decay, least, matches) if len(kept) < len(marks) and model.weights.max() > 0 else model
+    # landmarks that the machine gives no weight were chance; without them scoring is cheaper and surer, and what they covered can be signs
+    kept = [m for m, w in zip(marks, model.weights, strict=True) if w > 0 and w >= 0.25 * model.weights.max()]
+    if len(kept) == len(marks):
+        return model
+    signs = choose_signs(toxic, counts_of, kept, n_toxic, n_clean)
+    kept = kept or first(signs) or marks
+    return fitted(chosen, kept, signs, seen, n_toxic, n_clean, reach, decay, least, matches)
 
 
 def spread_letters(mark: str, most: int = 2) -> list[str]:

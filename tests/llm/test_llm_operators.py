@@ -685,3 +685,24 @@ def test_decontamination_finds_short_items_slots_and_passages(spark):
     assert [r["items"] for r in rows[:8]] == [[1], [], [2], [], [3], [], [], [4]]
     assert rows[4].n_shared_words == 60
     assert not any(r["items"] for r in rows[8:])
+
+
+def test_insults_of_other_scripts_are_learned(spark):
+    """Every toxic text has one word that no clean text has; words of the same script, length and letters don't match it."""
+    rng = random.Random(1)
+    invented = lambda letters: ["".join(rng.choice(letters) for _ in range(rng.randint(3, 8))) for _ in range(300)]
+    for letters, insult in (("абвгдежзиклмнопрст", "дурак"), ("αβγδεζηθικλμνο", "βλακας"), ("가나다라마바사아자차카타파하", "바보자식")):
+        words_of = [invented("abcdefghij"), invented(letters)]
+        rows, labels = [], []
+        for i in range(600):
+            text = [rng.choice(words_of[i % 2]) for _ in range(30)]
+            if i % 10 == 1:
+                text.insert(rng.randint(0, 30), insult)
+            rows.append((i, " ".join(text)))
+            labels.append((i, int(i % 10 == 1)))
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        model = toxicity.train(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+        probes = spark.createDataFrame([*rows, (1000, f"a b {insult[:2]}{letters[0]}{insult[2:]} c")], "doc_id long, text string")
+        score = {r.doc_id: r.score for r in toxicity.score_texts(probes, model, ["doc_id"]).collect()}
+        assert all((score[i] >= 0.5) == bool(label) for i, label in labels)
+        assert score[1000] >= 0.5
