@@ -30,6 +30,9 @@ DROPPED = frozenset(
     "head title script style noscript template nav aside footer form button select option textarea input iframe object embed "
     "svg math canvas audio video map dialog menu label fieldset search".split()
 )
+#: Elements that may hold a whole page, and such that name a part of a page; where no text is left without them, they count.
+FORMS = frozenset("form fieldset".split())
+PAGE_PARTS = frozenset("nav aside footer menu search".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - {"body", "html", "option", "optgroup", "caption", "td", "th", "tr", "tbody", "thead", "tfoot"}
 FURNITURE = frozenset(
@@ -46,6 +49,14 @@ LAYOUT = frozenset("with without has no layout open".split())
 #: Classes of the content itself, and what a header of the content is named after.
 CONTENT = frozenset("post entry article content main story hentry post-content entry-content article-content article-body post-body story-body main-content".split())
 OF_CONTENT = frozenset("post entry article story content".split())
+#: Words that only say what part of a page's furniture an element is.
+PARTS = frozenset(
+    "area bar block body bottom box button buttons card col column container content element entries field frame group heading holder icon icons inner item items label left link links list "
+    "message module outer page panel post posts primary region right row secondary section site slot stories story text title toggle top unit wrap wrapper".split()
+)
+#: What may stand in a head; any other element's start ends it.
+OF_HEAD = frozenset("head title meta link base script style noscript template".split())
+LEAST = 100
 #: What an end tag of these may not close beyond.
 SCOPES = frozenset("article aside nav header footer form table td th section main div li ul ol dialog body".split())
 
@@ -63,11 +74,12 @@ def _parts(name: str) -> list[str]:
     return [x for x in [*out, word.lower()] if x]
 
 
-def named_furniture(classes: str | None, element_id: str | None) -> bool:
+def named_furniture(classes: str | None, element_id: str | None, inside: bool = False, other_than: frozenset = frozenset()) -> bool:
     """Whether an element's class names or id call it page furniture.
 
     The first or the last word of a name decides: page-footer and comments-list are furniture,
-    content-with-sidebar is a layout, and a header of an article belongs to the article.
+    content-with-sidebar is a layout, and a header of an article belongs to the article. Inside an article, a name that
+    only starts like furniture and goes on with a subject, such as social-history, is content. Words in other_than don't count.
     """
     names = [*(classes or "").split(), *([element_id] if element_id else [])]
     if any(x.lower() in CONTENT for x in names):
@@ -76,7 +88,9 @@ def named_furniture(classes: str | None, element_id: str | None) -> bool:
         parts = _parts(name)
         if not parts or LAYOUT & set(parts):
             continue
-        found = {parts[0], parts[-1]} & FURNITURE
+        found = ({parts[0], parts[-1]} & FURNITURE) - other_than
+        if inside and parts[-1] not in FURNITURE and not all(x in FURNITURE or x in PARTS or x.isdigit() for x in parts):
+            continue
         if found and not (found == {"header"} and OF_CONTENT & set(parts)):
             return True
     return False
@@ -85,8 +99,12 @@ def named_furniture(classes: str | None, element_id: str | None) -> bool:
 class _Blocks(HTMLParser):
     """Turns events into blocks: [text parts, tags, characters in links, path of containers]."""
 
-    def __init__(self) -> None:
+    def __init__(self, level: int = 0) -> None:
+        """level: 1 takes forms as plain containers, 2 also all that the page calls furniture."""
         super().__init__(convert_charrefs=True)
+        self.level = level
+        self.forms = 0  # of the open elements that hide text, those that are forms
+        self.in_forms = 0  # characters that forms alone hide
         self.blocks: list[tuple[str, int, int, tuple]] = []
         self.stack: list[tuple[str, int, bool]] = []  # tag, element number, furniture
         self.kinds: dict[int, str] = {}
@@ -109,8 +127,12 @@ class _Blocks(HTMLParser):
 
     def _furniture(self, tag: str, attrs: list) -> bool:
         inside = any(t == "article" for t, _, _ in self.stack)
-        if tag in DROPPED:
+        if tag in FORMS and self.level == 0:
             return True
+        if tag in DROPPED - FORMS and (self.level < 2 or tag not in PAGE_PARTS):
+            return True
+        if self.level == 2:
+            return False
         if tag == "header":
             return not inside
         if not attrs or tag in ("html", "body", "main"):
@@ -121,12 +143,19 @@ class _Blocks(HTMLParser):
             return True
         if (named.get("role") or "").lower() in FURNITURE_ROLES or named.get("itemprop") == "comment":
             return True
-        return tag not in HEADINGS and named_furniture(named.get("class"), named.get("id"))
+        return tag not in HEADINGS and named_furniture(named.get("class"), named.get("id"), inside, FORMS if tag in FORMS else frozenset())
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
+        if tag not in OF_HEAD and self.stack and any(t == "head" for t, _, _ in self.stack):
+            self._close("head", frozenset(("html",)))
+        # the content ends what was left open before it
+        if tag in ("article", "main", "body") and self.hidden:
+            self._close("nav", frozenset(("article",)))
+            if tag != "article":
+                self._open_up()
         if tag in BLOCK:
             if not self.hidden:
                 self._flush()
@@ -152,6 +181,7 @@ class _Blocks(HTMLParser):
             self.containers[self.number] = tag
         self.stack.append((tag, self.number, furniture))
         self.hidden += furniture
+        self.forms += furniture and tag in FORMS
         self.links += tag == "a"
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -164,12 +194,20 @@ class _Blocks(HTMLParser):
                     self._flush()
                 for t, _, furniture in self.stack[i:]:
                     self.hidden -= furniture
+                    self.forms -= furniture and t in FORMS
                     self.links -= t == "a"
                 del self.stack[i:]
                 return
             if self.stack[i][0] in until:
                 return
 
+    def _open_up(self) -> None:
+        """Furniture around a main element or a body is none, forms apart."""
+        for i, (t, n, furniture) in enumerate(self.stack):
+            if furniture and t not in FORMS:
+                self.stack[i] = (t, n, False)
+                self.hidden -= 1
+
     def handle_endtag(self, tag: str) -> None:
         self.tags += 1
         if tag in BLOCK and not self.hidden:
@@ -181,6 +219,8 @@ class _Blocks(HTMLParser):
             self.parts.append(data)
             if self.links:
                 self.link_chars += len(data.strip())
+        elif self.hidden == self.forms:
+            self.in_forms += len(data.strip())
 
     def finish(self) -> None:
         self.close()
@@ -200,11 +240,32 @@ def smoothed(values: list[float], sigma: float) -> list[float]:
     return out
 
 
-def extract(html: str, sigma: float = 1.0) -> str:
-    """The main text of one page; empty when there is none."""
-    parser = _Blocks()
+def parsed(html: str, level: int = 0) -> _Blocks:
+    parser = _Blocks(level)
     parser.feed(html)
     parser.finish()
+    return parser
+
+
+def extract(html: str, sigma: float = 1.0) -> str:
+    """The main text of one page; empty when there is none.
+
+    Where forms hide most of the text they are containers, and where nothing is left the page's own names for its parts
+    don't count; such a page needs a block of text of LEAST characters that isn't mostly links.
+    """
+    page = parsed(html)
+    seen = sum(len(b[0]) for b in page.blocks)
+    if page.in_forms > 4 * seen + LEAST:
+        page = parsed(html, 1)
+    if not page.blocks:
+        page = parsed(html, 2)
+        if not any(len(b[0]) >= LEAST and b[2] <= 0.5 * len(b[0]) for b in page.blocks):
+            return ""
+    return region_text(page, sigma)
+
+
+def region_text(parser: _Blocks, sigma: float) -> str:
+    """The blocks of the content region, one a line."""
     blocks = parser.blocks
     if not blocks:
         return ""

@@ -706,3 +706,27 @@ def test_insults_of_other_scripts_are_learned(spark):
         score = {r.doc_id: r.score for r in toxicity.score_texts(probes, model, ["doc_id"]).collect()}
         assert all((score[i] >= 0.5) == bool(label) for i, label in labels)
         assert score[1000] >= 0.5
+
+
+SENTENCES = "This is a sentence of the article with enough words to count as text. " * 4
+
+
+@pytest.mark.parametrize(
+    ("page", "n"),
+    [
+        ("<head><title>x</title><body><div>{p}{p}</div>", 2),  # a head without its end tag
+        ("<html><body><form id='form1' action='x'><nav><a href='/'>home</a></nav><div>{p}{p}</div><input></form></body>", 2),
+        ("<html><body><div>Site</div><form id='aspnetForm'><article>{p}{p}</article></form></body>", 2),
+        ("<body><nav><ul><li><a href='/'>home</a></li></ul><article>{p}{p}</article></body>", 2),  # an open nav
+        ("<body><nav><ul><li><a href='/'>home</a></li></ul><div>{p}{p}</div></body>", 2),
+        ("<body><article><div class='social-history'>{p}</div><div class='notice-board-history'>{p}</div><div class='social-share'>{p}</div></article></body>", 2),
+        ("<body><article>{p}</article><div class='comments'>{p}</div></body>", 1),
+        ("<body><div><form class='search'><p>Search here</p></form>{p}</div></body>", 1),
+        ("<body><main>{p}</main><aside><article>{p}</article></aside></body>", 1),
+        ("<body><nav><a href='/'>home</a></nav><footer>(c) 2024 Example</footer></body>", 0),
+    ],
+)
+def test_unusual_pages_keep_their_article(page, n):
+    found = html_extract.extract(page.replace("{p}", f"<p>{SENTENCES}</p>")).split("\n")
+    assert [x.strip() for x in found if "sentence" in x] == [SENTENCES.strip()] * n
+    assert len([x for x in found if x]) - n in (0, 1)  # a linked word of an open menu at most
