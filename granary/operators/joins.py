@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +49,26 @@ def siblings(rows: DataFrame, group: str, key: str = "id") -> DataFrame:
     return a.join(b, group).filter("tgt <> src")
 
 
-def stem_match(tests: DataFrame, sources: DataFrame) -> DataFrame:
+def stem_match(tests: DataFrame, sources: DataFrame, q: int = 3) -> DataFrame:
     """(test, source): the first source by name whose stem is part of the test's class name.
 
-    Stems are found by equality with the test name's substrings, so nothing is compared pair by pair.
+    A stem is looked up by the rarest of its grams of q letters (a shorter one by itself), and what shares that gram with a
+    name is verified. A name makes a row a letter, for each width that stems need. An empty stem is part of no name.
     """
-    n = F.length("test")
-    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr("test", i, k))))
-    exploded = tests.select("test", F.explode(F.array_distinct(parts)).alias("stem"))
-    return exploded.join(sources.select("stem", "source"), "stem").groupBy("test").agg(F.min("source").alias("source"))
+    stems = sources.filter("length(stem) > 0").select("stem", "source").groupBy("stem").agg(F.min("source").alias("source"))
+    width = F.least(F.length("stem"), F.lit(q))
+    grams = lambda text, width: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - width + 1), lambda i: F.substr(text, i, width)))
+    widths = [r.width for r in stems.select(width.alias("width")).distinct().collect()]  # q of them at most
+    names = tests.filter("test is not null").select("test").distinct()
+    cut = [names.filter(F.length("test") >= w).select("test", F.explode(grams(F.col("test"), F.lit(w))).alias("gram")) for w in widths]
+    if not cut:
+        return names.select("test", F.lit(None).cast("string").alias("source")).limit(0)
+    spread = reduce(DataFrame.unionByName, cut)
+    held = stems.select("stem", "source", F.explode(grams(F.col("stem"), width)).alias("gram"))
+    often = spread.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = held.join(often, "gram").groupBy("stem").agg(F.min_by(F.struct("gram", "source"), F.struct("n", "gram")).alias("r"))
+    index = rarest.select("stem", "r.gram", "r.source")
+    return spread.join(index, "gram").filter(F.contains("test", F.col("stem"))).groupBy("test").agg(F.min("source").alias("source"))
 
 
 def resolved_call(called: Column, declared: Column) -> Column:
@@ -72,10 +85,46 @@ def import_types(rows: DataFrame, types: DataFrame) -> DataFrame:
     return by_name.unionByName(imports.join(package, "i").select("id", "type")).distinct()
 
 
-def range_hits(points: DataFrame, ranges: DataFrame, width: int = 64) -> DataFrame:
-    """Points inside [lo, hi] of the ranges of their key, by buckets of `width`, so the join is on equality."""
-    cut = ranges.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("lo") / width), F.floor(F.col("hi") / width))))
-    return points.withColumn("bucket", F.floor(F.col("at") / width)).join(cut, ["key", "bucket"]).filter("at >= lo and at <= hi").drop("bucket")
+def _nodes(ranges: DataFrame) -> DataFrame:
+    """A row for each aligned block of 2 ** level numbers that [lo, hi] is made of; two a level at most."""
+
+    def at_level(k: Column) -> Column:
+        first, end = -F.call_function("shiftright", -F.col("lo"), k), F.call_function("shiftright", F.col("hi") + 1, k)
+        left = F.when((first < end) & (first.bitwiseAND(F.lit(1)) == 1), first)
+        right = F.when((first < end) & (end.bitwiseAND(F.lit(1)) == 1), end - 1)
+        return F.transform(F.filter(F.array(left, right), lambda x: x.isNotNull()), lambda x: F.struct(k.alias("level"), x.alias("node")))
+
+    levels = F.sequence(F.lit(0), F.floor(F.log2((F.col("hi") - F.col("lo") + 1).cast("double"))).cast("int") + 1)
+    whole = ranges.filter("lo <= hi").withColumns({"lo": F.col("lo").cast("long"), "hi": F.col("hi").cast("long")})
+    return whole.withColumn("_n", F.explode(F.flatten(F.transform(levels, at_level)))).select("*", "_n.level", "_n.node").drop("_n")
+
+
+def _point_nodes(points: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Points with the block around them at each level that some range uses; the levels are 64 at most."""
+    used = sorted(r.level for r in nodes.select("level").distinct().collect())
+    level = F.explode(F.array(*map(F.lit, used)).cast("array<int>"))
+    return points.withColumn("level", level).withColumn("node", F.call_function("shiftright", F.col("at").cast("long"), F.col("level")))
+
+
+def range_hits(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Points inside [lo, hi] of the ranges of their key, both ends included.
+
+    A range is cut into aligned blocks of powers of two, some 2 log2(length) of them whatever its place, and a point is in one block a
+    level; so the join is on equality, there is no width to choose, and each pair is met once.
+    """
+    nodes = _nodes(ranges)
+    return _point_nodes(points, nodes).join(nodes, ["key", "level", "node"]).drop("level", "node")
+
+
+def ranges_hit(ranges: DataFrame, points: DataFrame, rid: str, hit: bool = True) -> DataFrame:
+    """The ranges that hold a point of their key, or (hit=False) those that hold none; rid: a column that tells ranges apart.
+
+    However many points a range holds, it comes out once. A range without a number at either end holds none.
+    """
+    nodes = _nodes(ranges.select("key", rid, "lo", "hi"))
+    marks = _point_nodes(points.select("key", "at"), nodes).select("key", "level", "node").distinct()
+    found = nodes.join(marks, ["key", "level", "node"], "left_semi").select(rid).distinct()
+    return ranges.join(found, rid, "left_semi" if hit else "left_anti")
 
 
 def signature_match(wanted: DataFrame, found: DataFrame) -> DataFrame:

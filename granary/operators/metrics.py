@@ -25,9 +25,9 @@ def all_correct(rows: DataFrame, members: int, correct: str = "correct") -> Data
 
 
 def by_member_and_kind(rows: DataFrame) -> DataFrame:
-    """Correct ids by member and kind, with 'all' for the kinds together."""
-    rolled = rows.filter("correct").rollup("member", "kind").agg(F.count("*").alias("n")).filter("member is not null")
-    return rolled.select("member", F.coalesce("kind", F.lit("all")).alias("kind"), "n")
+    """Correct ids by member and kind, with 'all' for the kinds together; a null kind or member is one of its own."""
+    rolled = rows.filter("correct").rollup("member", "kind").agg(F.count("*").alias("n"), F.grouping_id().alias("_all")).filter("_all < 3")
+    return rolled.select("member", F.when(F.col("_all") == 1, F.lit("all")).otherwise(F.col("kind")).alias("kind"), "n")
 
 
 def unique_by_member(rows: DataFrame) -> DataFrame:
@@ -64,9 +64,10 @@ def only_by(rows: DataFrame, member: str) -> DataFrame:
     return mine.join(rows.filter((F.col("member") != member) & F.col("correct")).select("id").distinct(), "id", "left_anti")
 
 
-def most_common(rows: DataFrame, column: str, n: int) -> DataFrame:
-    """The n most frequent values; of equal ones the smallest."""
-    return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)
+def most_common(rows: DataFrame, column: str, n: int, seen: Column) -> DataFrame:
+    """The n most frequent values; of equal ones the one seen first, by the order `seen`."""
+    counted = rows.groupBy(column).agg(F.count("*").alias("n"), F.min(seen).alias("_seen"))
+    return counted.orderBy(F.desc("n"), "_seen", column).limit(n).drop("_seen")
 
 
 def pass_rate(rows: DataFrame, denied: list[str]) -> DataFrame:
@@ -104,9 +105,9 @@ def verdict_accuracy(outcome: DataFrame) -> DataFrame:
 
 
 def bug_detection(rows: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:
-    """(ids that fail on the buggy version, most frequent reasons)."""
+    """(ids that fail on the buggy version, most frequent reasons; of equally frequent ones that of the smallest id)."""
     failed = rows.filter(~F.col("passed"))
-    return failed.select("id").distinct(), most_common(failed, "reason", top)
+    return failed.select("id").distinct(), most_common(failed, "reason", top, F.col("id"))
 
 
 def detected_bugs(fixed: DataFrame, buggy: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def metric_verdict_accuracy(spark, sf_dir):
     return _flat(m.verdict_accuracy(m.verdict_outcome(first, second)))
 
 
-@query(f"WITH {_RUNS} SELECT reason, count(*) AS n FROM buggy WHERE NOT passed GROUP BY reason ORDER BY n DESC, reason LIMIT 3")
+@query(f"WITH {_RUNS} SELECT reason, count(*) AS n FROM buggy WHERE NOT passed GROUP BY reason ORDER BY n DESC, min(id), reason LIMIT 3")
 def metric_failure_reasons(spark, sf_dir):
     return m.bug_detection(_runs(spark, sf_dir, 60), 3)[1]
 
@@ -192,3 +192,14 @@ def metric_without_judge(spark, sf_dir):
     kind = F.col("event_type")
     rows = e.select(F.when(kind == "view", "true").otherwise(kind).alias("expected"), F.when(F.col("event_id") % 3 == 0, "x true").otherwise(kind).alias("response"), F.concat(kind, F.col("user_id").cast("string")).alias("prompt"))
     return _flat(m.without_judge(rows))
+
+
+@query(
+    f"WITH {views.VOTES}, m AS (SELECT expected, count(*) AS missed, min(id * 10 + ord) AS seen FROM judged WHERE NOT correct GROUP BY expected) "
+    "SELECT expected, missed, (SELECT sum(missed)::BIGINT FROM m) AS total FROM m ORDER BY missed DESC, seen LIMIT 3"
+)
+def metric_most_missed(spark, sf_dir):
+    """The values missed most often, of equal ones the first seen, and how many answers missed theirs."""
+    missed = views.votes(spark, sf_dir).filter(~F.col("correct"))
+    top = m.most_common(missed, "expected", 3, F.struct("id", "ord")).withColumnRenamed("n", "missed")
+    return top.join(F.broadcast(missed.agg(F.count("*").alias("total"))))

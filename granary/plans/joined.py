@@ -105,3 +105,38 @@ def join_signature_match(spark, sf_dir):
     by_arity = nation.filter(k % 3 == 1).select(*names, F.explode(F.array(F.struct(types().cast("array<string>").alias("types"), k.alias("d")), F.struct(types("x", "y").alias("types"), (k + 100).alias("d")))).alias("o")).select("package", "class", "method", "o.types", "o.d")
     by_type = nation.filter(k % 3 == 2).select(*names, F.explode(F.array(F.struct(types("java.util.map", "java.lang.integer").alias("types"), k.alias("d")), F.struct(types("java.util.list", "java.lang.integer").alias("types"), (k + 200).alias("d")))).alias("o")).select("package", "class", "method", "o.types", "o.d")
     return joins.signature_match(wanted, one.unionByName(by_arity).unionByName(by_type)).select("method", "d")
+
+
+_METHODS = (
+    "p AS (SELECT user_id % 50 AS key, event_id AS at_ FROM events), r AS (SELECT o_custkey % 50 AS key, o_orderkey AS rid, o_orderkey AS lo, CASE WHEN o_orderkey % 1000 = 1 THEN o_orderkey + 1000000000 ELSE o_orderkey + o_custkey % 5 - 1 END AS hi FROM orders) "
+    "SELECT key, rid FROM r WHERE {0} EXISTS (SELECT 1 FROM p WHERE p.key = r.key AND at_ BETWEEN lo AND hi)"
+)
+
+
+def _methods(spark, sf_dir):
+    """Error lines, and methods as ranges of lines: some empty, some of 10 ** 9 lines."""
+    lines = table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("key"), F.col("event_id").alias("at"))
+    key = F.col("o_orderkey")
+    hi = F.when(key % 1000 == 1, key + 1_000_000_000).otherwise(key + F.col("o_custkey") % 5 - 1)
+    return lines, table(spark, sf_dir, "orders").select((F.col("o_custkey") % 50).alias("key"), key.alias("rid"), key.alias("lo"), hi.alias("hi"))
+
+
+@query("WITH " + _METHODS.format(""))
+def join_methods_with_errors(spark, sf_dir):
+    lines, methods = _methods(spark, sf_dir)
+    return joins.ranges_hit(methods, lines, "rid").select("key", "rid")
+
+
+@query("WITH " + _METHODS.format("NOT"))
+def join_methods_without_errors(spark, sf_dir):
+    lines, methods = _methods(spark, sf_dir)
+    return joins.ranges_hit(methods, lines, "rid", hit=False).select("key", "rid")
+
+
+@query("SELECT p_name || '_' || p_partkey AS test, min(n_name) AS source FROM part JOIN (SELECT substr(n_name, 2, 2 + n_nationkey % 4) AS stem, n_name FROM nation) ON contains(upper(p_name || '_' || p_partkey), stem) GROUP BY 1")
+def join_longer_stem_in_name(spark, sf_dir):
+    """Stems of two to five letters in longer names."""
+    name = F.concat_ws("_", "p_name", "p_partkey")
+    names = table(spark, sf_dir, "part").select(name.alias("name"), F.upper(name).alias("test"))
+    stems = table(spark, sf_dir, "nation").select(F.expr("substr(n_name, 2, 2 + n_nationkey % 4)").alias("stem"), F.col("n_name").alias("source"))
+    return joins.stem_match(names.select("test"), stems).join(names, "test").select(F.col("name").alias("test"), "source")

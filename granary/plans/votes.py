@@ -53,11 +53,11 @@ def seeded_shuffle(spark, sf_dir):
     return v.shuffled(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 888)
 
 
-@query(f"WITH {views.VOTES} SELECT answer, count(*) AS n FROM votes GROUP BY answer ORDER BY n DESC, answer LIMIT 3")
+@query(f"WITH {views.VOTES} SELECT answer, count(*) AS n FROM votes GROUP BY answer ORDER BY n DESC, min(id * 10 + ord), answer LIMIT 3")
 def most_common_values(spark, sf_dir):
     from granary.operators.metrics import most_common
 
-    return most_common(views.votes(spark, sf_dir), "answer", 3)
+    return most_common(views.votes(spark, sf_dir), "answer", 3, F.struct("id", "ord"))
 
 
 def _right(spark, sf_dir, member):

@@ -162,3 +162,39 @@ def test_most_similar_other_text(spark):
         seen = [(round(len(a & {*u.split()}) / len(a | {*u.split()}), 9), -j) for h, j, u in sources if h == g and None not in (g, t, u) and u != t and a & {*u.split()}]
         want[i] = (-max(seen)[1], max(seen)[0]) if seen else (None, 0.0)
     assert got == want
+
+
+def test_ranges_of_any_length_meet_points_in_few_rows(spark):
+    """Ranges of one number and of 10 ** 9 in one table, also below zero, empty, repeated and null ones."""
+    rng = np.random.default_rng(2)
+    ranges = [(int(k), i, int(lo), int(lo + n)) for i, (k, lo, n) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(-200, 200, 60), rng.choice([-1, 0, 1, 5, 63, 64, 300, 10**9], 60), strict=True))]
+    ranges += [(1, 100, None, 5), (1, 101, 5, None), (None, 102, 0, 5), (1, 103, -(2**62), 2**62 - 2), ranges[0]]
+    points = [(int(k), int(at)) for k, at in zip(rng.integers(0, 4, 80), rng.integers(-300, 600, 80), strict=True)] + [(1, 10**9), (1, None), (None, 1), (2, 7), (2, 7)]
+    r = spark.createDataFrame(ranges, "key long, rid long, lo long, hi long")
+    p = spark.createDataFrame(points, "key long, at long")
+    inside = [(k, at, i) for k, at in points for j, i, lo, hi in ranges if None not in (k, at, lo, hi) and j == k and lo <= at <= hi]
+    assert sorted((x.key, x["at"], x.rid) for x in joins.range_hits(p, r).collect()) == sorted(inside)
+    made = [x["count"] for x in joins._nodes(r).distinct().groupBy("rid", "lo", "hi").count().collect()]
+    assert max(made) <= 2 * 63 and max(x["count"] for x in joins._nodes(r.filter("hi - lo <= 1000000000")).distinct().groupBy("rid").count().collect()) <= 64
+    hit = {i for _, _, i in inside}
+    assert sorted(x.rid for x in joins.ranges_hit(r, p, "rid").collect()) == sorted(i for _, i, _, _ in ranges if i in hit)
+    assert sorted(x.rid for x in joins.ranges_hit(r, p, "rid", hit=False).collect()) == sorted(i for _, i, _, _ in ranges if i not in hit)
+    assert joins.range_hits(p, r.limit(0)).count() == joins.range_hits(p.limit(0), r).count() == 0
+
+
+def test_stems_in_names(spark):
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join("abc"[i] for i in rng.integers(0, 3, n))
+    names = [word(n) for n in rng.integers(0, 12, 60)] + ["", "x" * 200 + "abcabc", None]
+    stems = [(word(n), f"s{i}") for i, n in enumerate(rng.integers(0, 7, 30))] + [("", "s"), (None, "n"), ("x" * 50, "long"), ("abcabcabcabcabcabc", "longer")]
+    got = {r.test: r.source for r in joins.stem_match(spark.createDataFrame([(n,) for n in names], "test string"), spark.createDataFrame(stems, "stem string, source string")).collect()}
+    assert got == {n: min(s for t, s in stems if t and t in n) for n in names if n and any(t and t in n for t, _ in stems)}
+    assert joins.stem_match(spark.createDataFrame([("a",)], "test string"), spark.createDataFrame([], "stem string, source string")).count() == 0
+
+
+def test_most_common_prefers_what_was_seen_first_and_null_kinds_stay_apart(spark):
+    rows = spark.createDataFrame([(0, "z"), (1, "b"), (2, "a"), (3, "b"), (4, "a"), (5, None)], "at long, v string")
+    assert [(r.v, r.n) for r in metrics.most_common(rows, "v", 3, F.col("at")).collect()] == [("b", 2), ("a", 2), ("z", 1)]
+    votes_ = spark.createDataFrame([("a", None, True), ("a", "x", True), ("a", None, True), (None, "x", True)], "member string, kind string, correct boolean")
+    got = sorted(((r.member, r.kind, r.n) for r in metrics.by_member_and_kind(votes_).collect()), key=str)
+    assert got == sorted([("a", None, 2), ("a", "x", 1), ("a", "all", 3), (None, "x", 1), (None, "all", 1)], key=str)
