@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from granary.plans import views
 from granary.plans.registry import query
 from granary.session import table
-from granary.sources import records, sinks
+from granary.sources import named_files, records, sinks
 from granary.storage import scratch
 
 TURNS = "conv_id long, turn long, role string, text string"
@@ -134,3 +134,57 @@ def scan_saved_state(spark, sf_dir):
     sinks.write_state(records.read_state(spark, path, schema).unionByName(counts), path)
     sinks.write_state(records.read_state(spark, path, schema).withColumn("n", F.col("n") + 1), path)
     return records.read_state(spark, path, schema)
+
+
+@query(
+    f"WITH {views.PARTS}, l AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS line_no FROM p) "
+    "SELECT line_no AS id, 'assertEquals(' || z || ', x)' AS assertion, a AS focal_method_name FROM l WHERE id % 7 <> 0"
+)
+def scan_numbered_sources(spark, sf_dir):
+    """Numbers count every pair of lines, also those that are left out for want of a name."""
+    rows = views.parts(spark, sf_dir)
+    focal = F.when(F.col("id") % 7 != 0, views.joined(' "<FocalMethod>" int ', "$a", "() {}")).otherwise(' "<FocalMethod>" int x;')
+    left = rows.select("id", F.explode(F.array(views.joined("assertEquals(", "$z", ", x)"), F.lit("  "))).alias("value"))
+    right = rows.select("id", views.joined("void test", "$id", '() { "<AssertPlaceHolder>"; }', focal).alias("value"))
+    found = records.read_paired_sources(spark, _written_lines(left, ["id"], scratch(spark)), _written_lines(right, ["id"], scratch(spark)))
+    return found.select("id", "assertion", "focal_method_name")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS tgt, o_custkey::VARCHAR AS src FROM orders")
+def scan_positional_map(spark, sf_dir):
+    """A retrieval map by position: line numbers are targets, blank lines don't count."""
+    line = F.to_json(F.struct(F.col("o_custkey").cast("string").alias("id"), F.lit(0.5).alias("sim")))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.explode(F.array(F.lit(" "), line)).alias("value"))
+    return records.read_positional(spark, _written_lines(rows, ["o_orderkey"], scratch(spark)))
+
+
+@query("WITH n AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS id, item_id, text FROM benchmark) SELECT id, item_id AS target_bug, item_id AS retrieved_bug, text AS target_test, 'r ' || text AS retrieved_test FROM n")
+def scan_target_pairs(spark, sf_dir):
+    """Each line is a target and what was retrieved for it, under one number."""
+    record = F.struct(F.col("item_id").alias("bug_id"), F.col("text").alias("test_case"), F.concat(F.lit("r "), "text").alias("retrieved_test_case"))
+    path = _written_lines(table(spark, sf_dir, "benchmark").select("item_id", F.to_json(record).alias("value")), ["item_id"], scratch(spark))
+    pairs = records.read_target_pairs(spark, path, "bug_id long, test_case string, retrieved_test_case string")
+    return pairs.select("id", *(F.col(f"{side}.{f}").alias(f"{side}_{n}") for side in ("target", "retrieved") for f, n in (("bug_id", "bug"), ("test_case", "test"))))
+
+
+@query("SELECT 'p' || s_nationkey || '_' || s_suppkey AS id, 'p' || s_nationkey AS project, s_name AS body FROM supplier")
+def scan_record_files(spark, sf_dir):
+    """A JSON document a file in folders of a tree, each under its own name."""
+    path = scratch(spark)
+    supplier = table(spark, sf_dir, "supplier")
+    stem = F.concat(F.lit("p"), "s_nationkey", F.lit("_"), "s_suppkey")
+    text = F.to_json(F.struct(F.struct(F.col("s_name").alias("body")).alias("test_case")), {"pretty": "true"})
+    named_files.write_files(supplier, path, F.concat(F.lit("d"), F.col("s_suppkey") % 5, F.lit("/"), stem, F.lit(".json")), text)
+    return records.read_record_files(spark, path, "test_case struct<body:string>").select("id", "project", F.col("test_case.body").alias("body"))
+
+
+@query("SELECT 'Bug_' || n_nationkey AS bug, v AS version, 'class ' || n_name || chr(10) || '}' AS text FROM nation, (VALUES ('buggy'), ('fixed')) AS t(v)")
+def sink_named_files(spark, sf_dir):
+    """Generated test classes under their own path, byte for byte."""
+    path = scratch(spark)
+    rows = table(spark, sf_dir, "nation").withColumn("version", F.explode(F.array(F.lit("buggy"), F.lit("fixed"))))
+    bug = F.concat(F.lit("Bug_"), "n_nationkey")
+    named_files.write_files(rows, path, named_files.class_path(bug, F.col("version"), F.lit("/src/test/java")), F.concat(F.lit("class "), "n_name", F.lit("\n}")))
+    found = records.read_files(spark, path, ".java")
+    place = lambda k: F.regexp_extract("path", r"(Bug_\d+)/(buggy|fixed)/src/test/java/org/llm/LLMTests\.java$", k)
+    return found.select(place(1).alias("bug"), place(2).alias("version"), "text")

@@ -95,3 +95,21 @@ def union_of_shards(spark, sf_dir):
 @query("SELECT DISTINCT user_id FROM events")
 def dedupe_into_set(spark, sf_dir):
     return table(spark, sf_dir, "events").select("user_id").distinct()
+
+
+@query("SELECT conv_id, turn, text || '!' AS answer, text IN (SELECT text FROM conversations WHERE turn < 2) AS known FROM conversations")
+def agents_remembered(spark, sf_dir):
+    """What the first two turns of conversations asked isn't asked again when all turns do, nor is a repeated question."""
+    from granary.agents import client, memo
+    from granary.storage import scratch
+
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lit("m").alias("member"), F.array(client.user(F.col("text"))).alias("history"))
+    model = client.scripted(_exclaim)
+    path = scratch(spark)
+    memo.remembered(rows.filter("turn < 2"), model, path)
+    found = memo.remembered(rows, model, path)
+    return found.select("conv_id", "turn", F.element_at("history", -1)["content"].alias("answer"), "known")
+
+
+def _exclaim(member: str, history: list[dict], row: dict) -> str:
+    return history[-1]["content"] + "!"

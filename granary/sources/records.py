@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from granary.sources import schemas
+from granary.sources import schemas, snapshots
+from granary.storage import stored_table
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,8 +31,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def read_state(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """State that sinks.write_state() left: empty if there is none; broken lines are left out."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    """State that sinks.write_state() left, or JSON Lines of another program: empty if there is none; broken lines are left out."""
+    version, folders = snapshots.current(spark, path)
+    if not version and not exists(spark, path) or version and not folders:
+        return spark.createDataFrame([], schema)
+    found = [f"{path}/{x}" for x in folders] if version else path
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(found)
 
 
 def read_settings(spark: SparkSession, path: str) -> dict:
@@ -60,19 +65,30 @@ def read_archives(found: DataFrame) -> DataFrame:
     return found.select("archive", "content").filter("content is not null").mapInArrow(unpack, "archive string, name string, content binary")
 
 
+def running_totals(rows: DataFrame, order: list[str], size: str, name: str) -> DataFrame:
+    """Adds the sum of `size` over the rows before each, in an order that tells rows apart.
+
+    Rows are sorted by ranges: sums within a range, and before it those of whole ranges, of which there are as many as
+    shuffle partitions. No task gets more than a range or a row a range.
+    """
+    ranged = stored_table(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    upto = F.sum(size).over(Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    before = F.coalesce(F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    whole = ranged.groupBy("_range").agg(F.sum(size).alias("_sum")).select("_range", before.alias("_before"))
+    return ranged.join(whole, "_range").withColumn(name, F.col("_before") + upto - F.col(size)).drop("_range", "_before")
+
+
 def number_lines(lines: DataFrame, name: str = "line_no", start: int = 0) -> DataFrame:
     """Dense numbers in file order, without bringing rows together.
 
-    lines comes from a file source with _metadata. Each block of a file counts its rows; the running
-    totals of blocks (a row a block) give the number of a block's first line. Both scans of the query must cut files
-    alike, which holds where files are large for the cluster (blocks of maxPartitionBytes) or the cluster keeps its
-    size during the query.
+    lines comes from a file source with _metadata. They are stored once with their file, block and place in it, so that
+    the numbers hold however files are cut; each block's rows are counted, and the blocks' running totals give the
+    number of a block's first line.
     """
-    tagged = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    tagged = stored_table(lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at")))
     blocks = tagged.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
-    before = F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = blocks.select("_file", "_block", "_first", F.coalesce(before, F.lit(0)).alias("_before"))
-    return tagged.join(F.broadcast(offsets), ["_file", "_block"]).withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + start).select(*lines.columns, name)
+    offsets = running_totals(blocks, ["_file", "_block"], "_n", "_base").select("_file", "_block", "_first", "_base")
+    return tagged.join(offsets, ["_file", "_block"]).withColumn(name, F.col("_base") + F.col("_at") - F.col("_first") + start).select(*lines.columns, name)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -122,9 +138,7 @@ def zip_lines(left: DataFrame, right: DataFrame) -> DataFrame:
     def dense(lines: DataFrame, name: str) -> DataFrame:
         # blocks of numbers, so that no task sees all lines: counts by block, then a rank within it
         solid = lines.filter(F.trim("value") != "").withColumn("block", F.floor(F.col("line_no") / 100_000))
-        sizes = solid.groupBy("block").count()
-        before = F.coalesce(F.sum("count").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        offsets = F.broadcast(sizes.select("block", before.alias("before")))
+        offsets = running_totals(solid.groupBy("block").count(), ["block"], "count", "before").select("block", "before")
         rank = F.row_number().over(Window.partitionBy("block").orderBy("line_no")) - 1
         return solid.withColumn("rank", rank).join(offsets, "block").select((F.col("before") + F.col("rank")).alias("line_no"), F.col("value").alias(name))
 
@@ -210,6 +224,29 @@ def _triggering(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.col("line_no").alias("id"), F.from_json("value", schemas.TRIGGERING).alias("row")).select("id", "row.*")
 
 
+def read_paired_sources(spark: SparkSession, assertions: str, methods: str, marker: str = '"<FocalMethod>"', hole: str = '"<AssertPlaceHolder>"') -> DataFrame:
+    """The paired corpus as sources of retrieval: numbers count all pairs, also those whose focal method has no name."""
+    parts = F.split(F.col("test_method"), F.lit(_quoted(marker)), 2)
+    rows = read_paired(spark, assertions, methods).select(
+        F.col("line_no").alias("id"), "assertion", F.replace(parts[0], F.lit(hole), F.col("assertion")).alias("test_case"), F.coalesce(F.try_element_at(parts, F.lit(2)), F.lit("")).alias("focal_method"),
+    )
+    name = F.regexp_extract("focal_method", r"([A-Za-z_$][A-Za-z0-9_$]*)\s*\(", 1)
+    return rows.withColumn("focal_method_name", name).filter("focal_method_name != ''")
+
+
+def read_positional(spark: SparkSession, path: str, schema: str = "id string") -> DataFrame:
+    """(tgt, src): the line number of each solid line and the id that it holds."""
+    lines = number_lines(spark.read.text(path).filter(F.trim("value") != ""))
+    return lines.select(F.col("line_no").alias("tgt"), F.from_json("value", schema)["id"].alias("src"))
+
+
+def read_target_pairs(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(id, target, retrieved): of each line, by its running number, the row itself and the row with its retrieved test in its place."""
+    rows = number_lines(spark.read.text(path).filter(F.trim("value") != "")).select(F.col("line_no").alias("id"), F.from_json("value", schema).alias("r"))
+    other = F.col("r").withField("test_case", F.col("r.retrieved_test_case"))
+    return rows.select("id", F.col("r").dropFields("retrieved_test_case").alias("target"), other.dropFields("retrieved_test_case").alias("retrieved"))
+
+
 @register("paired")
 def _paired(spark: SparkSession, assertions: str, methods: str) -> DataFrame:
     return split_methods(read_paired(spark, assertions, methods))

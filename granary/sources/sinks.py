@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import io
 import tarfile
-import uuid
 from functools import reduce
 
 import pandas as pd
@@ -12,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.sources.records import exists
+from granary.sources.snapshots import write_snapshot
 
 
 def write_by_member(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -68,17 +68,9 @@ def write_texts(rows: DataFrame, path: str, name: str = "name", text: str = "tex
 
 
 def write_state(rows: DataFrame, path: str) -> None:
-    """State as JSON Lines for records.read_state(). It is written beside the old state and then takes its place, so rows
-    may stem from that state."""
-    spark = rows.sparkSession
-    new = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
-    rows.write.json(new)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(target, True)
-    if not files.rename(hadoop.Path(new), target):
-        raise OSError(f"state stays in {new}: it can't be moved to {path}")
+    """State as JSON Lines for records.read_state(): the next version of a table in versions, so that a lost driver leaves the
+    old state or the new one. Rows may stem from the old state; of two writers of the same state one fails."""
+    write_snapshot(rows, path, file_format="json")
 
 
 def archives(files: DataFrame, group: str = "group", name: str = "name", content: str = "content") -> DataFrame:
