@@ -2,8 +2,10 @@
 
 The base kinds are patterns. The lexer then reads assignments, mappings and key-value lines (`a = "b"`,
 `"a": 'b'`, `a := b`, `a => b`), follows constants by name (`x = "..."` and later `api_key = x`),
-joins adjacent literals (`"a" + "b"`), and scores each literal by how sensitive the target name is and how
-random the literal looks. Literals that score at least `least` add spans of kind `literal`.
+joins literals and constants (`"a" + "b"`, `BASE + "b"`), and scores each literal by how sensitive the target name is and how
+random the literal looks. Other forms that give a name to a literal are read beside it: subscripts (`env["NAME"] = "..."`), prefixed and
+triple-quoted strings, arguments (`define("NAME", "...")`), attributes and elements of XML, indented blocks of YAML, and pairs inside a connection
+string or query. Literals that score at least `least` add spans of kind `literal`.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +32,24 @@ PAIR = re.compile(
     rf"""(?P<q>["']?)(?<![A-Za-z0-9_.$-])(?P<name>{NAME})(?P=q)[\x20\t]*+(?::=|=>|==?|:)[\x20\t]*+"""
     rf"""(?:(?P<text>"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')|(?=(?P<bare>[^\s,;"'<>(){{}}\[\]])))""",
 )
-MORE = re.compile(r"""\s*+\+?\s*+("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')""")
+LITERAL = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+')"""
+MORE = re.compile(rf"""\s*+\+\s*+(?:({LITERAL})|({NAME}))""")
+SIGN = r"[\x20\t]*+(?::=|=>|==?|:)[\x20\t]*+"
+#: Forms that name a literal, by a text that each needs.
+FORMS = [
+    (("]",), re.compile(rf"""\[[\x20\t]*+["'](?P<name>{NAME})["'][\x20\t]*+\]{SIGN}(?P<text>[rbfuRBFU]{{0,2}}{LITERAL})""")),
+    (('"', "'"), re.compile(rf"""(?<![A-Za-z0-9_.$-])(?P<name>{NAME})["']?{SIGN}(?P<text>[rbfuRBFU]{{1,2}}{LITERAL})""")),
+    (("(",), re.compile(rf"""\(\s*+["'](?P<name>{NAME})["']\s*+,\s*+(?P<text>{LITERAL})""")),
+    (('"""', "'''"), re.compile(rf"""(?<![A-Za-z0-9_.$-])(?P<name>{NAME})["']?\]?{SIGN}[rbfuRBFU]{{0,2}}(?P<q>\"\"\"|''')(?P<text>.*?)(?P=q)""", re.DOTALL)),
+    (("|", ">"), re.compile(rf"""^(?P<indent>[\x20\t]*+)(?:-[\x20\t]+)?["']?(?P<name>{NAME})["']?[\x20\t]*+:[\x20\t]*+[|>][+-]?[0-9]?[\x20\t]*+\n(?P<text>(?:(?P=indent)[\x20\t]+\S.*\n?|[\x20\t]*+\n)+)""", re.MULTILINE)),
+    ((";", "&", "?"), re.compile(rf"""(?<=[;&?"'])\x20*+(?P<name>{NAME})\x20*+=\x20*+(?P<text>[^;&"'\s<>]+)""")),
+    (("</",), re.compile(rf"""<(?P<name>{NAME})(?:\s[^<>]*+)?>\s*+(?P<text>[^<>\s][^<>]*+)</(?P=name)\s*>""")),
+]
+#: Pieces of constants joined of constants; one of more isn't followed further, so that chains of them take linear time.
+PIECES = 64
+TAG = re.compile(r"<[A-Za-z][^<>]*+>")
+ATTRIBUTE = re.compile(r"""([A-Za-z_:][A-Za-z0-9_.:-]*+)\s*+=\s*+("[^"<>]*+"|'[^'<>]*+')""")
+ENCODED = re.compile(r"(?:-----[A-Z0-9 ]+-----|[A-Za-z0-9+/=_-]{16,}|[A-Za-z0-9+/_-]*=*$)")
 BARE = re.compile(r"""[^\s,;"'<>(){}\[\]]++""")
 PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 # Name parts and their weights.
@@ -79,25 +99,28 @@ def literal_score(name: str, literal: str) -> float:
     return weight * literal_likeness(literal) if weight else 0.0
 
 
-def lexed(text: str) -> Iterator[tuple[str, str | None, int, int]]:
-    """(target name, literal, start, end) of every pair, constants followed; the span is the literal's.
+def literal_of(text: str) -> tuple[str, int, int]:
+    """(content, characters before it, characters after it) of a quoted literal, with its prefix if any."""
+    start = 0
+    while text[start : start + 1].isalpha():
+        start += 1
+    quoted = text[start : start + 1] in ('"', "'")
+    return (text[start + 1 : -1], start + 1, 1) if quoted else (text, 0, 0)
+
+
+def lexed(text: str) -> Iterator[tuple[str, str | None, list[tuple[int, int]]]]:
+    """(target name, literal, spans) of every pair, constants followed; the spans are those of the literal's pieces.
 
     A bare literal with a sign in it is a chain (`a=b=c`), which is read again from its start; its literal is None,
-    the text between start and end, so that long chains take linear time.
+    the text of its span, so that long chains take linear time.
     """
-    known: dict[str, tuple[str | None, int, int]] = {}
+    known: dict[str, tuple[str | None, list[tuple[int, int]]]] = {}
     at = stop = stripped = sign = 0
     while m := PAIR.search(text, at):
         name = m["name"]
         if m["text"] is not None:
-            parts, start, end = [m["text"][1:-1]], m.start("text") + 1, m.end("text") - 1
-            at = m.end()
-            while more := MORE.match(text, at):
-                if "+" not in text[at : more.start(1)]:
-                    break
-                parts.append(more[1][1:-1])
-                end, at = more.end(1) - 1, more.end()
-            value = "".join(parts)
+            value, spans = m["text"][1:-1], [(m.start("text") + 1, m.end("text") - 1)]
+            at, joins = m.end(), True
         else:
             start = m.start("bare")
             if start >= stop:
@@ -107,11 +130,60 @@ def lexed(text: str) -> Iterator[tuple[str, str | None, int, int]]:
                 sign = max(text.rfind(c, start, stripped) for c in ":=")
             end = max(start, stripped)
             value, at = (None, start) if sign >= start else (text[start:end], stop)
-            if value in known:
-                value, start, end = known[value]
-        if end > start:
-            known[name] = (value, start, end)
-            yield name, value, start, end
+            spans, joins = [(start, end)], value in known
+            if joins:
+                value, spans = known[value]
+        if joins and value is not None:
+            pieces, spans, here = [value], list(spans), m["text"] is not None
+            while more := MORE.match(text, at):
+                if more[1] is not None:
+                    pieces.append(more[1][1:-1])
+                    # a literal right after another one makes its span longer
+                    place = (spans.pop()[0] if here else more.start(1) + 1, more.end(1) - 1)
+                    spans.append(place)
+                    here = True
+                else:
+                    other, places = known.get(more[2], (None, []))
+                    if other is None or len(spans) + len(places) > PIECES:
+                        break
+                    pieces.append(other)
+                    spans += places
+                    here = False
+                at = more.end()
+            value, spans = "".join(pieces), list(dict.fromkeys(spans))
+        spans = [(a, b) for a, b in spans if b > a]
+        if spans:
+            known[name] = (value, spans)
+            yield name, value, spans
+
+
+def named_literals(text: str) -> Iterator[tuple[str, str, list[tuple[int, int]]]]:
+    """(name, literal, spans) of the other forms that name a literal."""
+    for needs, form in FORMS:
+        if any(x in text for x in needs):
+            for m in form.finditer(text):
+                value, before, after = literal_of(m["text"])
+                kept = value.rstrip()
+                if kept:
+                    start = m.start("text") + before
+                    yield m["name"], kept, [(start, start + len(kept))]
+    if "<" in text:
+        for tag in TAG.finditer(text):
+            found = {a[1].lower(): a for a in ATTRIBUTE.finditer(tag[0])}
+            name = next((found[x][2][1:-1] for x in ("name", "key", "id") if x in found), None)
+            if name and "value" in found and len(found["value"][2]) > 2:
+                start = tag.start() + found["value"].start(2) + 1
+                yield name, found["value"][2][1:-1], [(start, start + len(found["value"][2]) - 2)]
+
+
+def spaced_likeness(name: str, literal: str) -> float:
+    """The likeness of a literal with white space: of the words of a passphrase, or of lines of encoded key material."""
+    lines = [x.strip() for x in literal.split("\n") if x.strip()]
+    if len(lines) > 1 and all(ENCODED.fullmatch(x) for x in lines):
+        return literal_likeness("".join(x for x in lines if not x.startswith("-----")))
+    if "passphrase" in name.lower() and len(literal.split()) > 2:
+        return likeness(Counter("".join(literal.split())))
+    return 0.0
 
 
 def found_literals(text: str, least: float) -> Iterator[tuple[int, int]]:
@@ -119,22 +191,23 @@ def found_literals(text: str, least: float) -> Iterator[tuple[int, int]]:
     seen: dict[str, float] = {}
     counts: Counter = Counter()
     begin = stop = 0
-    for name, value, start, end in lexed(text):
+    for name, value, spans in chain(lexed(text), named_literals(text)):
         weight = name_weight(name)
         if weight < least:
             continue
         if value is not None:
             if value not in seen:
                 seen[value] = literal_likeness(value)
-            alike = seen[value]
+            alike = seen[value] or spaced_likeness(name, value)
         else:
+            (start, end) = spans[0]
             if stop != end or start < begin:
                 counts, begin, stop = Counter(text[start:end]), start, end
             counts.subtract(text[begin:start])
             counts, begin = +counts, start
             alike = 0.0 if end - start < 6 or MINE.match(text, start, end) else likeness(counts)
         if weight * alike >= least:
-            yield start, end
+            yield from spans
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -152,7 +225,7 @@ def scan(text: str, least: float = 0.5) -> tuple[list[tuple[int, int, int]], lis
     """(base spans, spans the lexer adds), each sorted by start, then kind."""
     base = sorted(base_spans(text))
     added = set()
-    if ":" in text or "=" in text:
+    if any(x in text for x in ":=(<"):
         added = {(start, 3, end) for start, end in found_literals(text, least)}
     return base, sorted(added)
 
