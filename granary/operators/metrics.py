@@ -70,11 +70,27 @@ def most_common(rows: DataFrame, column: str, n: int, seen: Column) -> DataFrame
     return counted.orderBy(F.desc("n"), "_seen", column).limit(n).drop("_seen")
 
 
+def pass_outcome(rows: DataFrame, denied: list[str]) -> DataFrame:
+    """Rows of bugs that aren't denied with right (the answer counts as correct) and fixed (the run counts as passed).
+
+    rows: id, bug_id, correct, passed, is_argument, executed. A right answer whose run failed counts as passed if the value is an
+    argument of the assertion, and as wrong otherwise.
+    """
+    kept = rows.filter(~F.col("bug_id").isin(*denied)) if denied else rows
+    right = F.col("correct") & (F.col("passed") | F.col("is_argument"))
+    return kept.withColumns({"right": right, "fixed": F.col("passed") | (F.col("correct") & F.col("is_argument"))})
+
+
+def pass_counts(rows: DataFrame, denied: list[str]) -> DataFrame:
+    """Counts of pass_outcome(), for id sets of any size."""
+    names = {"right": "corrected", "passed": "passed", "fixed": "fixed", "executed": "compiled"}
+    return pass_outcome(rows, denied).agg(F.count("*").alias("total"), *(F.count_if(c).alias(n) for c, n in names.items()))
+
+
 def pass_rate(rows: DataFrame, denied: list[str]) -> DataFrame:
     """rows: id, bug_id, correct, passed, is_argument, executed. Denied bugs leave the denominator.
 
-    A right answer whose run failed counts as passed in fixed_pass_rate if the value is an argument of the assertion, and as
-    wrong otherwise. Ids are arrays, as results of an evaluation are; counts are what to use on large sets.
+    Ids are arrays, as results of an evaluation are; pass_counts() and pass_outcome() are what to use on large sets.
     """
     kept = rows.filter(~F.col("bug_id").isin(*denied)) if denied else rows
     right = F.col("correct") & (F.col("passed") | F.col("is_argument"))

@@ -203,3 +203,39 @@ def metric_most_missed(spark, sf_dir):
     missed = views.votes(spark, sf_dir).filter(~F.col("correct"))
     top = m.most_common(missed, "expected", 3, F.struct("id", "ord")).withColumnRenamed("n", "missed")
     return top.join(F.broadcast(missed.agg(F.count("*").alias("total"))))
+
+
+@query(
+    f"WITH {views.VOTES}, p AS (SELECT id, count(*) FILTER (correct) AS n, bool_or(member = 'a' AND correct) AS a, bool_or(member = 'b' AND correct) AS b, bool_or(member = 'c' AND correct) AS c FROM judged GROUP BY id) "
+    "SELECT unnest(['total', 'any', 'all', 'right', 'right', 'right', 'only', 'only', 'only']) AS metric, unnest([NULL, NULL, NULL, 'a', 'b', 'c', 'a', 'b', 'c']) AS member, "
+    "unnest([count(*), count(*) FILTER (n > 0), count(*) FILTER (a AND b AND c), count(*) FILTER (a), count(*) FILTER (b), count(*) FILTER (c), count(*) FILTER (a AND NOT b AND NOT c), count(*) FILTER (b AND NOT a AND NOT c), count(*) FILTER (c AND NOT a AND NOT b)]) AS n FROM p"
+)
+def metric_sets_in_one_pass(spark, sf_dir):
+    from granary.operators.bitmaps import set_metrics
+
+    return set_metrics(views.votes(spark, sf_dir), list(views.MEMBERS))
+
+
+@query("WITH p AS (SELECT o_orderkey AS id, o_totalprice > 50000 AS a, o_custkey % 3 = 0 AS b, o_orderstatus = 'F' AS c FROM orders) SELECT a, b, c, count(*) AS n FROM p WHERE a OR b OR c GROUP BY ALL")
+def set_regions_by_bitmap(spark, sf_dir):
+    """Ids by the sets that they are in, from a bitmap a bucket of ids and set."""
+    from granary.operators import bitmaps
+
+    o = table(spark, sf_dir, "orders")
+    tests = {"a": F.col("o_totalprice") > 50000, "b": F.col("o_custkey") % 3 == 0, "c": F.col("o_orderstatus") == "F"}
+    named = o.select(F.col("o_orderkey").alias("id"), F.explode(F.array(*(F.when(t, n) for n, t in tests.items()))).alias("set"))
+    return bitmaps.regions(bitmaps.id_bitmaps(named, F.col("set")), list(tests))
+
+
+@query(
+    f"WITH {_RUNS}, k AS (SELECT * FROM runs WHERE bug_id NOT IN ('bug1', 'bug2')) SELECT count(*) AS total, count(*) FILTER (correct AND (passed OR is_argument)) AS corrected, "
+    "count(*) FILTER (passed) AS passed, count(*) FILTER (passed OR correct AND is_argument) AS fixed, count(*) FILTER (executed) AS compiled FROM k"
+)
+def metric_pass_counts(spark, sf_dir):
+    """Counts beside the rates, whatever the number of ids."""
+    return m.pass_counts(_runs(spark, sf_dir, 20), ["bug1", "bug2"])
+
+
+@query(f"WITH {_RUNS} SELECT id FROM runs WHERE bug_id NOT IN ('bug1', 'bug2') AND correct AND (passed OR is_argument)")
+def metric_corrected_ids(spark, sf_dir):
+    return m.pass_outcome(_runs(spark, sf_dir, 20), ["bug1", "bug2"]).filter("right").select("id")

@@ -198,3 +198,26 @@ def test_most_common_prefers_what_was_seen_first_and_null_kinds_stay_apart(spark
     votes_ = spark.createDataFrame([("a", None, True), ("a", "x", True), ("a", None, True), (None, "x", True)], "member string, kind string, correct boolean")
     got = sorted(((r.member, r.kind, r.n) for r in metrics.by_member_and_kind(votes_).collect()), key=str)
     assert got == sorted([("a", None, 2), ("a", "x", 1), ("a", "all", 3), (None, "x", 1), (None, "all", 1)], key=str)
+
+
+def test_regions_of_sets_by_bitmap(spark):
+    """Ids over several buckets, repeated, null and negative ones."""
+    from granary.operators import bitmaps
+
+    rng = np.random.default_rng(7)
+    rows = [(int(i), n) for n in "abcd" for i in rng.integers(-5, 100_000, 400)] + [(1, "a"), (1, "a"), (None, "a"), (2, None), (32_768, "a"), (32_768, "b"), (32_769, "other")]
+    frame = spark.createDataFrame(rows, "id long, of string")
+    names = ["a", "b", "c", "d"]
+    held = {}
+    for i, n in rows:
+        if i is not None and n in names:
+            held.setdefault(i, set()).add(n)
+    want = {}
+    for s in held.values():
+        key = tuple(n in s for n in names)
+        want[key] = want.get(key, 0) + 1
+    got = {tuple(r[n] for n in names): r.n for r in bitmaps.regions(bitmaps.id_bitmaps(frame, F.col("of")), names).collect()}
+    assert got == want
+    assert bitmaps.regions(bitmaps.id_bitmaps(frame.limit(0), F.col("of")), names).count() == 0
+    empty = {(r.metric, r.member): r.n for r in bitmaps.set_metrics(spark.createDataFrame([], "id long, member string, correct boolean"), ["a", "b"]).collect()}
+    assert set(empty.values()) == {0} and len(empty) == 7
