@@ -13,10 +13,12 @@ the whole corpus can't be sharded, so suffixes are first brought to where their
    copies is settled without moving text.
 3. What is left are edges of copies: a gram with several contexts. One context of each kind goes to
    blocks of whole gram groups; each block builds the suffix order of its positions, truncated at
-   `length`, by prefix doubling. Previous smaller (and next smaller) positions of that order give the
-   truncated LPF: whether an equal window starts earlier, or anywhere else.
-4. A gram with more than `hot` different contexts (about 7 MB of them) isn't collected: its windows are
-   hashed and counted by a shuffle with map-side combining.
+   `length`, by prefix doubling, and the common prefixes of neighbours in it. The previous and the next smaller position in
+   suffix order, with the least common prefix on the way to them, give the LPF array; the same of the places read backwards says
+   what starts later. Where a factor reaches `length`, an equal window starts elsewhere.
+4. A gram with more than `hot` different contexts (about 1 MB of them) is cut: an equal window also shares the half
+   of it that lies before the gram, or the half after it, so contexts go to groups by either half. A half that still has
+   more than `hot` contexts isn't collected: its windows are hashed and counted by a shuffle with map-side combining.
 
 Nothing is capped; the union of the spans is exact up to 64-bit (in blocks: no) hash equality.
 """
@@ -91,35 +93,61 @@ def _anchor_rows(length: int):
 
 
 def _context_rows(length: int):
-    """Contexts of the flagged anchors: (gram, uid, start in the row, own, bytes)."""
+    """Contexts of the flagged anchors: (gram, uid, start in the row, own, place of the gram in it, bytes)."""
     gram, side = _geometry(length)
+    names = ["gram", "uid", "start", "own", "at", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column("uid").to_pylist()
             texts = batch.column("text")
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             for k, flags in enumerate(batch.column("flags").to_pylist()):
                 text = texts[k].as_buffer().to_pybytes() if texts[k].is_valid else b""
                 for x in flags:
                     start = max(0, x["pos"] - side)
-                    for o, v in zip(out, (x["gram"], uids[k], start, x["own"], text[start : x["pos"] + gram + side]), strict=True):
+                    for o, v in zip(out, (x["gram"], uids[k], start, x["own"], x["pos"] - start, text[start : x["pos"] + gram + side]), strict=True):
                         o.append(v)
-                if sum(map(len, out[4][-64:])) and len(out[0]) >= 4096:
+                if len(out[0]) >= 4096:
                     yield _batch(out)
-                    out = [[], [], [], [], []]
+                    out = [[] for _ in names]
             if out[0]:
                 yield _batch(out)
 
     def _batch(out: list[list]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["gram", "uid", "start", "own", "bytes"])
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names)
 
     return run
 
 
-def truncated_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """Rank of data[s : s + length] in suffix order for each start; equal strings have equal ranks.
+def _half_rows(length: int):
+    """Contexts of a crowded gram under new grams: the bytes before it, and those after it, that half of the windows share.
+
+    A window that holds the gram has `side` bytes beside it, so at least half of them on one side.
+    """
+    gram, side = _geometry(length)
+    half = -(-side // 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[], [], [], [], []]
+            for g, uid, start, own, at, text in zip(*(batch.column(c).to_pylist() for c in ("gram", "uid", "start", "own", "at", "bytes")), strict=True):
+                end = at + gram
+                for which, shared, lo, hi in ((b"<", text[max(0, at - half) : at], 0, at - half + length), (b">", text[end : end + half], max(0, at - (side - half)), len(text))):
+                    cut = text[lo:hi]
+                    if len(shared) == half and len(cut) >= length:
+                        key = hashlib.blake2b(which + g.to_bytes(8, "little", signed=True) + shared, digest_size=8).digest()
+                        for o, v in zip(out, (int.from_bytes(key, "little", signed=True), uid, start + lo, own, cut), strict=True):
+                            o.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["gram", "uid", "start", "own", "bytes"])
+
+    return run
+
+
+def truncated_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(rank of data[s : s + length] in suffix order for each start, ranks of all places by shorter spans); equal strings have equal ranks.
 
     Prefix multiplying: ranks of a span give those of three spans in a row, or of two where three don't fit 63 bits.
     """
@@ -130,6 +158,7 @@ def truncated_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.nda
     for j in range(span):
         key = (key << np.uint64(8)) | padded[j : j + n]
     rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
+    levels = [(1, data), (span, rank.astype(np.uint32))] if span > 1 else [(1, data)]
     base = np.uint64(n + 1)
     times = 3 if (n + 1) ** 3 < 1 << 63 else 2
     while span * times <= length:
@@ -139,40 +168,79 @@ def truncated_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.nda
             key[: max(0, n - k * span)] += rank[k * span :]
         rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
         span *= times
+        levels.append((span, rank.astype(np.uint32)))
     # the last step covers the rest with spans that may overlap
     key = rank[starts]
     for shift in [min(span, length - span), length - span][3 - times :]:
         key = key * base + rank[starts + shift]
-    return np.unique(key, return_inverse=True)[1]
-
-
-def previous_smaller(place: np.ndarray, new_class: np.ndarray) -> np.ndarray:
-    """Index in suffix order of the nearest suffix before each, in its class, at a smaller place; -1 without one.
-
-    Within a class places don't fall, so that is the last of the places before, which may be given several times.
+    return np.unique(key, return_inverse=True)[1], levels
+
+
+def common_prefixes(starts: np.ndarray, same: np.ndarray, levels: list[tuple[int, np.ndarray]], length: int) -> np.ndarray:
+    """The common prefix, up to length, of each place in suffix order with the one before it; same: their truncated ranks are equal."""
+    out = np.where(same, length, 0)
+    i = np.flatnonzero(~same)
+    i = i[i > 0]
+    a, b = starts[i - 1].copy(), starts[i].copy()
+    n = len(levels[0][1])
+    found = np.zeros(len(i), np.int64)
+    step = length
+    for span, rank in reversed(levels):
+        for _ in range(-(-step // span)):
+            inside = np.maximum(a, b) + span <= n
+            equal = np.zeros(len(i), bool)
+            equal[inside] = rank[a[inside]] == rank[b[inside]]
+            if not equal.any():
+                break
+            found += span * equal
+            a += span * equal
+            b += span * equal
+        step = span
+    out[i] = np.minimum(found, length)
+    return out
+
+
+def _towards(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The common prefix with the nearest suffix before each, in suffix order, that has a smaller place; 0 without one.
+
+    Links lead to the suffix before; those that end at no smaller place take over the links of where they end, and
+    with them the least common prefix on the way.
     """
-    at = np.arange(len(place))
-    start = np.maximum.accumulate(np.where(new_class | np.r_[True, place[1:] != place[:-1]], at, 0))
-    return np.where(new_class[start], -1, start - 1)
-
+    link, least = np.arange(len(place)) - 1, lcp.copy()
+    open_ = np.flatnonzero((link >= 0) & (place[link] >= place))
+    while len(open_):
+        via = link[open_]
+        least[open_] = np.minimum(least[open_], least[via])
+        link[open_] = link[via]
+        to = link[open_]
+        open_ = open_[(to >= 0) & (least[open_] > 0) & (place[to] >= place[open_])]
+    return np.where((link >= 0) & (place[link] < place), least, 0)
+
+
+def previous_factors(place: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix in suffix order: its longest common prefix with one at a smaller place.
+
+    That is the one of the previous or of the next smaller place in suffix order. lcp: common prefixes with the suffix before.
+    A place that is given twice is no match for itself.
+    """
+    before = _towards(place, lcp)
+    after = _towards(place[::-1], np.r_[lcp[1:], 0][::-1])[::-1]
+    return np.maximum(before, after)
 
-def lpf_marks(rank: np.ndarray, uid: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Per suffix: does its truncated longest previous factor reach the whole length, and does its next one?
 
-    A class holds the suffixes with one truncated prefix. The suffix order breaks its ties by place, so the previous
-    smaller place in that order shares the whole prefix or lies in another class, and the next smaller one always lies in
-    another. The next larger place is the previous smaller one of the order read backwards. A place given twice
-    (contexts overlap) is no match for itself.
-    """
+def factors(rank: np.ndarray, uid: np.ndarray, pos: np.ndarray, starts: np.ndarray, levels: list[tuple[int, np.ndarray]], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per suffix, the longest previous and the longest later factor, truncated at length."""
     order = np.lexsort((pos, uid, rank))
     r, u, p = rank[order], uid[order], pos[order]
-    new_class = np.r_[True, r[1:] != r[:-1]]
-    place = np.cumsum(new_class | np.r_[True, (u[1:] != u[:-1]) | (p[1:] != p[:-1])])
-    earlier = np.empty(len(r), bool)
-    later = np.empty(len(r), bool)
-    earlier[order] = previous_smaller(place, new_class) >= 0
-    later[order] = previous_smaller(-place[::-1], np.r_[new_class[1:], True][::-1])[::-1] >= 0
-    return earlier, later
+    in_text = np.lexsort((p, u))
+    moved = np.r_[True, (u[in_text][1:] != u[in_text][:-1]) | (p[in_text][1:] != p[in_text][:-1])]
+    place = np.empty(len(r), np.int64)
+    place[in_text] = np.cumsum(moved)
+    lcp = common_prefixes(starts[order], np.r_[False, r[1:] == r[:-1]], levels, length)
+    previous, later = np.empty(len(r), np.int64), np.empty(len(r), np.int64)
+    previous[order] = previous_factors(place, lcp)
+    later[order] = previous_factors(-place, lcp)
+    return previous, later
 
 
 def _block_rows(length: int, keep_first: bool, block: int = 1 << 16):
@@ -185,8 +253,10 @@ def _block_rows(length: int, keep_first: bool, block: int = 1 << 16):
         inner = np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts)
         uid = np.array([x[0] for x in parts])[which]
         pos = np.array([x[1] for x in parts])[which] + inner
-        earlier, later = lpf_marks(truncated_ranks(data, base[which] + inner, length), uid, pos)
-        hit = (earlier if keep_first else earlier | later) & np.array([x[2] for x in parts])[which]
+        starts = base[which] + inner
+        rank, levels = truncated_ranks(data, starts, length)
+        previous, later = factors(rank, uid, pos, starts, levels, length)
+        hit = ((previous if keep_first else np.maximum(previous, later)) >= length) & np.array([x[2] for x in parts])[which]
         at = np.flatnonzero(hit)
         if not len(at):
             return None
@@ -230,7 +300,7 @@ def _window_rows(length: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False, hot: int = 20_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False, hot: int = 3_000) -> DataFrame:
     """(uid, start, end): bytes of a row covered by strings of `length` bytes that also start elsewhere.
 
     With keep_first only the later copies: those for which an equal string starts at a smaller (uid,
@@ -261,12 +331,20 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False,
 
     def contexts(of: DataFrame) -> DataFrame:
         wanted = of.groupBy("uid").agg(F.collect_list("flag").alias("flags"))
-        return rows.select("uid", "text").join(wanted, "uid").mapInArrow(_context_rows(length), "gram long, uid long, start int, own boolean, bytes binary")
-
-    edges = contexts(flags.filter("not hot")).repartition("gram").sortWithinPartitions("gram").mapInArrow(_block_rows(length, keep_first), "uid long, start int, end int")
-    spans = sure.unionAll(edges)
-    if not flags.filter("hot").isEmpty():
-        windows = contexts(flags.filter("hot")).mapInArrow(_window_rows(length), "h1 long, h2 long, uid long, pos int, own boolean")
+        return rows.select("uid", "text").join(wanted, "uid").mapInArrow(_context_rows(length), "gram long, uid long, start int, own boolean, at int, bytes binary")
+
+    def in_blocks(of: DataFrame) -> DataFrame:
+        return of.select("gram", "uid", "start", "own", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(_block_rows(length, keep_first), "uid long, start int, end int")
+
+    spans = sure.unionAll(in_blocks(contexts(flags.filter("not hot"))))
+    if flags.filter("hot").isEmpty():
+        return spans
+    halves = stored_table(contexts(flags.filter("hot")).mapInArrow(_half_rows(length), "gram long, uid long, start int, own boolean, bytes binary"))
+    sizes = stored_table(halves.groupBy("gram").agg((F.count("*") > hot).alias("crowded")))
+    halves = stored_table(halves.join(sizes, "gram"))
+    spans = spans.unionAll(in_blocks(halves.filter("not crowded")))
+    if not sizes.filter("crowded").isEmpty():
+        windows = halves.filter("crowded").mapInArrow(_window_rows(length), "h1 long, h2 long, uid long, pos int, own boolean")
         # stored for the same reason: one window can be in very many contexts
         ends = checkpointed(windows.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("lo != hi"))
         found = windows.filter("own").join(ends, ["h1", "h2"])

@@ -1,6 +1,7 @@
 """The operators against brute force, exact round trips and held-out accuracy, with nulls, ties, repeats and clashing names."""
 
 import hashlib
+import os
 import random
 import re
 import time
@@ -73,11 +74,12 @@ def test_substrings_match_brute_force(spark, length, keep_first):
     assert sorted(tuple(r)[:5] for r in got.collect()) == removed(texts, length, keep_first)
 
 
+@pytest.mark.parametrize("hot", [1, 3])
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_substrings_of_hot_groups_take_the_shuffle_path(spark, monkeypatch, keep_first):
+def test_crowded_grams_are_cut_by_halves_and_then_by_windows(spark, monkeypatch, keep_first, hot):
     whole = substring_dedup.repeated_spans
-    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda rows, length, first: whole(rows, length, first, hot=1))
-    texts = copied_texts(5)
+    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda rows, length, first: whole(rows, length, first, hot=hot))
+    texts = copied_texts(5 + hot)
     got = substring_dedup.dedup_substrings(documents(spark, texts), 30, keep_first, keep_text=False)
     assert sorted(map(tuple, got.collect())) == removed(texts, 30, keep_first)
 
@@ -111,12 +113,35 @@ def test_truncated_order_finds_equal_prefixes(texts, length):
     starts = np.arange(max(0, len(data) - length + 1))
     if not len(starts):
         return
-    rank = substring_dedup.truncated_ranks(data, starts, length)
+    rank, levels = substring_dedup.truncated_ranks(data, starts, length)
     pieces = [data[s : s + length].tobytes() for s in starts]
     assert [pieces[i] for i in np.argsort(rank, kind="stable")] == sorted(pieces)
-    earlier, later = substring_dedup.lpf_marks(rank, np.zeros(len(starts), int), starts)
-    assert earlier.tolist() == [p in pieces[:i] for i, p in enumerate(pieces)]
-    assert later.tolist() == [p in pieces[i + 1 :] for i, p in enumerate(pieces)]
+    previous, later = substring_dedup.factors(rank, np.zeros(len(starts), int), starts, starts, levels, length)
+    common = lambda a, b: next((k for k in range(length) if a[k] != b[k]), length)
+    assert previous.tolist() == [max((common(p, x) for x in pieces[:i]), default=0) for i, p in enumerate(pieces)]
+    assert later.tolist() == [max((common(p, x) for x in pieces[i + 1 :]), default=0) for i, p in enumerate(pieces)]
+
+
+@pytest.mark.parametrize("length", [24, 72, 200])
+def test_factor_arrays_of_longer_strings(length):
+    """Copies with changes, over all spans of the doubling, and places that are given twice."""
+    rng = random.Random(length)
+    text = "".join(rng.choice("ab") for _ in range(400))
+    parts = [text, text[50:300] + "x" + text[301:], "a" * 260, text[:length], "b" * length]
+    data = np.frombuffer("".join(parts).encode(), np.uint8)
+    starts, uid, at = [], [], 0
+    for k, part in enumerate(parts):
+        starts += range(at, at + len(part) - length + 1)
+        uid += [k] * (len(part) - length + 1)
+        at += len(part)
+    starts, uid = np.array([*starts, *starts[:40]]), np.array([*uid, *uid[:40]])
+    rank, levels = substring_dedup.truncated_ranks(data, starts, length)
+    previous, later = substring_dedup.factors(rank, uid, starts, starts, levels, length)
+    pieces = [data[s : s + length].tobytes() for s in starts]
+    common = lambda a, b: len(os.path.commonprefix([a, b]))
+    for i in rng.sample(range(len(starts)), 60):
+        assert previous[i] == max((common(pieces[i], pieces[j]) for j in range(len(starts)) if starts[j] < starts[i]), default=0)
+        assert later[i] == max((common(pieces[i], pieces[j]) for j in range(len(starts)) if starts[j] > starts[i]), default=0)
 
 
 # html
