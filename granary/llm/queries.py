@@ -27,46 +27,56 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every document, the bytes covered by 200-byte strings that start anywhere else are removed; every copy goes."""
     return dedup_substrings(_table(spark, sf_dir, "documents"), length=200, keep_text=False)
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return extract_pages(_table(spark, sf_dir, "pages"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose three-word shingles agree by 90 % or more."""
     return jaccard_components(_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that stand in ten documents or more are dropped everywhere."""
     return dedup_lines(_table(spark, sf_dir, "documents"), min_docs=10, keep_text=False)
 
 
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies of every document in a mix of sources at 97 % of the highest entropy, repeated four times at most."""
     return mix_sources(_table(spark, sf_dir, "documents"), entropy_share=0.97, max_repeats=4.0, budget_share=1.0)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document: base patterns and literals of sensitive names."""
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document by a machine trained on labelled rows of the training folds."""
     docs = _table(spark, sf_dir, "documents")
     scored = score_texts(docs, train(docs, _table(spark, sf_dir, "labels")), ["doc_id"])
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases and notices of licenses in every document."""
     return scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of every document, the base rules' verdict and that of rules learned from all labels."""
     docs = _table(spark, sf_dir, "documents")
     verdicts = quality_verdicts(docs, learn_rules(docs, _table(spark, sf_dir, "labels")))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items that every document holds."""
     found = find_contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", (F.size("items") > 0).alias("contaminated"), F.array_join("items", ",").alias("item_ids"), "n_shared_words")
 
@@ -89,6 +99,7 @@ def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages over documents, one after the other."""
     return run(spark, sf_dir)
 
 
