@@ -18,7 +18,7 @@ the whole corpus can't be sharded, so suffixes are first brought to where their
    what starts later. Where a factor reaches `length`, an equal window starts elsewhere.
 4. A gram with more than `hot` different contexts (about 1 MB of them) is cut: an equal window also shares the half
    of it that lies before the gram, or the half after it, so contexts go to groups by either half. A half that still has
-   more than `hot` contexts isn't collected: its windows are hashed and counted by a shuffle with map-side combining.
+   more than `crowded` contexts (about 5 MB) isn't collected: its windows are hashed and counted by a shuffle with map-side combining.
 
 Nothing is capped; the union of the spans is exact up to 64-bit (in blocks: no) hash equality.
 """
@@ -300,7 +300,7 @@ def _window_rows(length: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False, hot: int = 3_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False, hot: int = 3_000, crowded: int = 20_000) -> DataFrame:
     """(uid, start, end): bytes of a row covered by strings of `length` bytes that also start elsewhere.
 
     With keep_first only the later copies: those for which an equal string starts at a smaller (uid,
@@ -340,7 +340,7 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False,
     if flags.filter("hot").isEmpty():
         return spans
     halves = stored_table(contexts(flags.filter("hot")).mapInArrow(_half_rows(length), "gram long, uid long, start int, own boolean, bytes binary"))
-    sizes = stored_table(halves.groupBy("gram").agg((F.count("*") > hot).alias("crowded")))
+    sizes = stored_table(halves.groupBy("gram").agg((F.count("*") > crowded).alias("crowded")))
     halves = stored_table(halves.join(sizes, "gram"))
     spans = spans.unionAll(in_blocks(halves.filter("not crowded")))
     if not sizes.filter("crowded").isEmpty():

@@ -74,12 +74,12 @@ def test_substrings_match_brute_force(spark, length, keep_first):
     assert sorted(tuple(r)[:5] for r in got.collect()) == removed(texts, length, keep_first)
 
 
-@pytest.mark.parametrize("hot", [1, 3])
+@pytest.mark.parametrize(("hot", "crowded"), [(1, 1), (1, 3), (3, 20)])
 @pytest.mark.parametrize("keep_first", [False, True])
-def test_crowded_grams_are_cut_by_halves_and_then_by_windows(spark, monkeypatch, keep_first, hot):
+def test_crowded_grams_are_cut_by_halves_and_then_by_windows(spark, monkeypatch, keep_first, hot, crowded):
     whole = substring_dedup.repeated_spans
-    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda rows, length, first: whole(rows, length, first, hot=hot))
-    texts = copied_texts(5 + hot)
+    monkeypatch.setattr(substring_dedup, "repeated_spans", lambda rows, length, first: whole(rows, length, first, hot, crowded))
+    texts = copied_texts(5 + hot + crowded)
     got = substring_dedup.dedup_substrings(documents(spark, texts), 30, keep_first, keep_text=False)
     assert sorted(map(tuple, got.collect())) == removed(texts, 30, keep_first)
 
