@@ -46,6 +46,12 @@ NOTICES = [
     ("unlicense", "this is free and unencumbered software released into the public domain"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
 ]
+# Identifiers as in `SPDX-License-Identifier: MIT`, by label.
+IDENTIFIERS = {
+    "mit": "MIT", "apache-2.0": "Apache-2.0", "gpl-2.0": "GPL-2.0", "gpl-3.0": "GPL-3.0", "lgpl": "LGPL-2.1 LGPL-3.0", "agpl": "AGPL-3.0", "bsd": "BSD-2-Clause BSD-3-Clause",
+    "mpl-2.0": "MPL-2.0", "isc": "ISC", "unlicense": "Unlicense", "cc0": "CC0-1.0", "cc-by-4.0": "CC-BY-4.0", "cc-by-sa-4.0": "CC-BY-SA-4.0",
+}
+NOTICES += [(label, f"spdx license identifier {i.lower().replace('-', ' ').replace('.', ' ')}") for label, ids in IDENTIFIERS.items() for i in ids.split()]
 
 
 def words(text: Column) -> Column:

@@ -460,6 +460,12 @@ def test_secret_rows(spark):
     assert rows[0].base_sha256 == hashlib.sha256(b"").hexdigest() and rows[0].spans == ""
 
 
+def test_license_identifiers(spark):
+    texts = ["# spdx-license-identifier: MIT", "// SPDX-License-Identifier: Apache-2.0", "# SPDX-License-Identifier: GPL-3.0-or-later", "SPDX-License-Identifier: BSD-3-Clause", "an identifier of a license", "under the license of MIT"]
+    got = {r.doc_id: r.labels for r in scan_licenses(documents(spark, texts)).collect()}
+    assert got == {0: "mit", 1: "apache-2.0", 2: "gpl-3.0", 3: "bsd", 4: "", 5: ""}
+
+
 # quality
 
 
