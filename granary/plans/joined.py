@@ -70,14 +70,14 @@ def join_resolved_call(spark, sf_dir):
 
 
 @query(
-    "WITH p AS (SELECT p_partkey AS id, ['x.' || replace(p_name, ' ', '.'), 'y.' || split_part(p_name, ' ', 1) || '.*'] AS imports FROM part), t AS (SELECT DISTINCT unnest(['x.' || replace(p_name, ' ', '.'), 'y.' || replace(p_name, ' ', '.')]) AS type FROM part WHERE p_size < 5), "
+    "WITH p AS (SELECT p_partkey AS id, ['x.' || replace(p_name, ' ', '.'), 'y.' || split_part(p_name, ' ', 1) || '.*'] AS imports FROM part), t AS (SELECT DISTINCT unnest(['x.' || replace(p_name, ' ', '.'), 'y.' || replace(p_name, ' ', '.')]) AS type FROM part), "
     "e AS (SELECT id, unnest(imports) AS i FROM p) SELECT DISTINCT id, type FROM e JOIN t ON i = type OR i = regexp_replace(type, '\\.[^.]*$', '') || '.*'"
 )
 def join_import_types(spark, sf_dir):
     name = F.replace("p_name", F.lit(" "), F.lit("."))
     part = table(spark, sf_dir, "part")
     rows = part.select(F.col("p_partkey").alias("id"), F.array(F.concat(F.lit("x."), name), F.concat(F.lit("y."), F.split_part("p_name", F.lit(" "), F.lit(1)), F.lit(".*"))).alias("imports"))
-    types = part.filter("p_size < 5").select(F.explode(F.array(F.concat(F.lit("x."), name), F.concat(F.lit("y."), name))).alias("type")).distinct()
+    types = part.select(F.explode(F.array(F.concat(F.lit("x."), name), F.concat(F.lit("y."), name))).alias("type")).distinct()
     return joins.import_types(rows, types)
 
 
