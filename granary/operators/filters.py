@@ -74,3 +74,29 @@ def same_digest(text: Column, digest: Column) -> Column:
 def allow_deny(rows: DataFrame, column: str, allow: list[str] | None = None, deny: list[str] | None = None) -> DataFrame:
     kept = rows.filter(F.col(column).isin(*allow)) if allow is not None else rows
     return kept.filter(~F.col(column).isin(*deny)) if deny else kept
+
+
+def in_ids(rows: DataFrame, ids: DataFrame, key: str = "id", keep: bool = True) -> DataFrame:
+    """Rows whose key is in a fixed set of ids, or (keep=False) isn't; a set of any size, repeated ids count once.
+
+    A null key is in no set.
+    """
+    return rows.join(ids.select(F.col(key).alias("_id")), F.col(key) == F.col("_id"), "left_semi" if keep else "left_anti")
+
+
+def mentions_any(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether a text has one of the words as a part; false for a null text."""
+    found = F.lit(False)
+    for w in words:
+        found = found | F.contains(text, F.lit(w))
+    return F.coalesce(found, F.lit(False))
+
+
+def asserts_bug(flag: Column, label: Column, wanted: tuple[str, ...] = ASSERTIONS[:5]) -> Column:
+    """Rows of a labelled set that are worth a try: the flag says that the assertion shows the bug, and the label has a known assertion."""
+    return F.coalesce(flag != "0", F.lit(False)) & mentions_any(label, wanted)
+
+
+def return_kind(return_type: Column) -> Column:
+    """Methods that return nothing apart from those with a value."""
+    return F.when(F.trim(return_type) == "void", "void").otherwise("value")

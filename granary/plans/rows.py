@@ -39,10 +39,10 @@ def scan_paired_lines(spark, sf_dir):
     return side("role = 'user' and turn < 4", "assertion").join(side("role = 'assistant'", "test_method"), "line_no")
 
 
-@query("SELECT doc_id AS id, trim(split_part(text, 'Licensed', 1)) AS test_case, trim(split_part(text, 'Licensed', 2)) AS focal_method FROM documents WHERE trim(split_part(text, 'Licensed', 2)) <> ''")
+@query("WITH d AS (SELECT doc_id AS id, text, strpos(text, 'Licensed') AS at_ FROM documents) SELECT id, trim(substr(text, 1, at_ - 1)) AS test_case, trim(substr(text, at_ + 8)) AS focal_method FROM d WHERE at_ > 0 AND trim(substr(text, at_ + 8)) <> ''")
 def scan_split_at_marker(spark, sf_dir):
-    part = lambda k: F.trim(F.split_part("text", F.lit("Licensed"), F.lit(k)))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), part(1).alias("test_case"), part(2).alias("focal_method")).filter("focal_method <> ''")
+    pairs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_no"), F.lit("x").alias("assertion"), F.col("text").alias("test_method"))
+    return records.split_methods(pairs, marker="Licensed", hole="<none>").select(F.col("line_no").alias("id"), "test_case", "focal_method")
 
 
 @query("SELECT DISTINCT trim(unnest(string_split(text, ','))) AS item FROM benchmark EXCEPT SELECT ''")
@@ -54,7 +54,7 @@ def scan_exploded_list(spark, sf_dir):
 def scan_exploded_map(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.split("text", " ")).alias("word"))
     maps = words.groupBy("item_id", "word").agg(F.count("*").alias("n")).groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "n"))).alias("uts"))
-    return maps.select("item_id", F.explode("uts").alias("word", "n"))
+    return records.exploded_map(maps, "uts", "word", "n")
 
 
 _TOP = "WITH f AS (SELECT o_custkey AS tgt, o_orderkey AS src, o_totalprice AS sim, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders) "
@@ -133,7 +133,7 @@ def filter_allow_deny(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
 def filter_by_id_set(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").filter("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    return filters.in_ids(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").filter("quality = 1"), "doc_id")
 
 
 @query("SELECT doc_id, md5(text) AS digest, md5(text) = md5(trim(text)) AS same FROM documents")
@@ -147,9 +147,22 @@ def filter_calls_any(spark, sf_dir):
     return groups.filter(filters.calls_any(F.col("names"), ("error", "signup"))).select("user_id", "part")
 
 
-@query("SELECT doc_id, CASE WHEN contains(text, 'est') THEN 'void' ELSE 'value' END AS kind FROM documents WHERE regexp_matches(text, 'tion|ment')")
+@query("SELECT doc_id, CASE WHEN contains(text, 'est') THEN 'void' ELSE 'value' END AS kind FROM documents WHERE contains(text, 'tion') OR contains(text, 'ment')")
 def filter_tagged(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter(F.col("text").rlike("tion|ment")).select("doc_id", F.when(F.contains("text", F.lit("est")), "void").otherwise("value").alias("kind"))
+    kept = table(spark, sf_dir, "documents").filter(filters.mentions_any(F.col("text"), ("tion", "ment")))
+    return kept.select("doc_id", filters.return_kind(F.when(F.contains("text", F.lit("est")), " void ").otherwise("int")).alias("kind"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def filter_without_id_set(spark, sf_dir):
+    return filters.in_ids(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", keep=False)
+
+
+@query("SELECT event_id, event_type FROM events WHERE user_id % 3 <> 0 AND (contains(event_type, 'urch') OR contains(event_type, 'lick'))")
+def filter_asserts_bug(spark, sf_dir):
+    """Flagged rows whose label has one of the wanted names."""
+    events = table(spark, sf_dir, "events")
+    return events.filter(filters.asserts_bug((F.col("user_id") % 3).cast("string"), F.col("event_type"), ("urch", "lick"))).select("event_id", "event_type")
 
 
 @query("SELECT p_partkey, CASE WHEN contains(p_type, 'SMALL') THEN starts_with(p_name, 'red') ELSE contains(p_brand, '#1') END AS is_test FROM part")

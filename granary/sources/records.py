@@ -200,6 +200,12 @@ def exploded_list(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.explode(F.split(column, ",")).alias("item")).select(F.trim("item").alias("item")).filter("item != ''")
 
 
+def exploded_map(rows: DataFrame, column: str, key: str = "key", value: str = "value") -> DataFrame:
+    """A row an entry of a map column, beside the other columns; rows with an empty or null map have none."""
+    others = [c for c in rows.columns if c != column]
+    return rows.select(*others, F.explode(column).alias(key, value))
+
+
 REGISTRY: dict[str, Callable[..., DataFrame]] = {}
 
 
@@ -260,7 +266,7 @@ def _record_files(spark: SparkSession, path: str) -> DataFrame:
 @register("test_corpus")
 def _test_corpus(spark: SparkSession, path: str) -> DataFrame:
     """(bug_id, key, test) rows of maps from digest to test."""
-    return read_jsonl(spark, path, schemas.TEST_CORPUS).select("bug_id", F.explode("uts").alias("key", "test"))
+    return exploded_map(read_jsonl(spark, path, schemas.TEST_CORPUS).select("bug_id", "uts"), "uts", "key", "test")
 
 
 @register("embeddings")
