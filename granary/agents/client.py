@@ -26,6 +26,12 @@ class ModelClient(Protocol):
     def samples(self, row: dict, n: int) -> list[tuple[str, list[float]]]:
         """n answers with the log probabilities of their tokens."""
 
+    def continued(self, history: list[dict], prefix: str) -> str:
+        """The answer that begins with prefix, which is part of it."""
+
+    def filled(self, before: str, after: str) -> str:
+        """What stands between two texts."""
+
 
 class Scripted:
     """A client that answers by functions; for tests and dry runs."""
@@ -89,6 +95,39 @@ def draw(rows: DataFrame, factory: Callable[[], ModelClient], n: int) -> DataFra
     return rows.mapInArrow(run, f"{schema}, sampled array<struct<response:string,logprobs:array<double>>>")
 
 
+def _called(rows: DataFrame, factory: Callable[[], ModelClient], call: Callable[[ModelClient, dict], str], name: str) -> DataFrame:
+    """Adds a call's text as `name`, and err_msg; one retry, then an empty text with the error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = factory()
+        for batch in batches:
+            texts, errors = [], []
+            for row in batch.to_pylist():
+                text, error = "", None
+                for _ in range(2):
+                    try:
+                        text, error = call(model, row), None
+                        break
+                    except Exception as e:  # noqa: BLE001  any failure of a remote model is a row's error
+                        error = f"{type(e).__name__}: {e}"
+                texts.append(text)
+                errors.append(error)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], [*batch.schema.names, name, "err_msg"])
+
+    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
+    return rows.mapInArrow(run, f"{schema}, `{name}` string, err_msg string")
+
+
+def continue_answers(rows: DataFrame, factory: Callable[[], ModelClient], name: str = "response") -> DataFrame:
+    """Answers that begin with a given text. rows: history, prefix, and others; a null prefix is empty."""
+    return _called(rows, factory, lambda model, row: model.continued(row["history"], row["prefix"] or ""), name)
+
+
+def fill(rows: DataFrame, factory: Callable[[], ModelClient], name: str = "middle") -> DataFrame:
+    """What stands between two texts. rows: before, after, and others; null texts are empty."""
+    return _called(rows, factory, lambda model, row: model.filled(row["before"] or "", row["after"] or ""), name)
+
+
 def user(content: Column) -> Column:
     """A user's message."""
     return F.struct(F.lit("user").alias("role"), content.alias("content"))
