@@ -6,7 +6,7 @@ import pytest
 from granary.llm import pipeline, queries
 from pyspark.sql import functions as F
 
-TABLES = "documents pages benchmark labels".split()
+TABLES = "documents pages benchmark labels embeddings clicks".split()
 
 
 def same(values):
