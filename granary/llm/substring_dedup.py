@@ -16,8 +16,9 @@ the whole corpus can't be sharded, so suffixes are first brought to where their
    `length`, by prefix doubling, and the common prefixes of neighbours in it. The previous and the next smaller position in
    suffix order, with the least common prefix on the way to them, give the LPF array; the same of the places read backwards says
    what starts later. Where a factor reaches `length`, an equal window starts elsewhere.
-4. A gram with more than `hot` different contexts (about 1 MB of them) is cut: an equal window also shares the half
-   of it that lies before the gram, or the half after it, so contexts go to groups by either half. A half that still has
+   In a task, a gram with over CONTEXTS contexts (1 MB) is first cut: an equal window also shares the half of it that lies before the
+   gram, or the half after it, so contexts are dealt by either half, and again, until groups are small or their windows are all equal.
+4. A gram with more than `hot` different contexts (about 7 MB of them) is cut like that by a shuffle, once. A half that still has
    more than `crowded` contexts (about 5 MB) isn't collected: its windows are hashed and counted by a shuffle with map-side combining.
 
 Nothing is capped; the union of the spans is exact up to 64-bit (in blocks: no) hash equality.
@@ -37,6 +38,7 @@ from pyspark.sql import functions as F
 from granary.llm.common import byte_prefix, checkpointed, mix, powers, rolling_hash, segment_hash, sliding_minimum, stored_table, text_rows, tiles, with_ids
 
 _PLACE = np.uint64((1 << 24) - 1)
+CONTEXTS = 3_000
 SPANS = "array<struct<start:int,end:int>>"
 
 
@@ -128,20 +130,21 @@ def _half_rows(length: int):
     """
     gram, side = _geometry(length)
     half = -(-side // 2)
+    names = ["gram", "uid", "start", "own", "at", "bytes"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[] for _ in names]
             for g, uid, start, own, at, text in zip(*(batch.column(c).to_pylist() for c in ("gram", "uid", "start", "own", "at", "bytes")), strict=True):
                 end = at + gram
                 for which, shared, lo, hi in ((b"<", text[max(0, at - half) : at], 0, at - half + length), (b">", text[end : end + half], max(0, at - (side - half)), len(text))):
                     cut = text[lo:hi]
                     if len(shared) == half and len(cut) >= length:
                         key = hashlib.blake2b(which + g.to_bytes(8, "little", signed=True) + shared, digest_size=8).digest()
-                        for o, v in zip(out, (int.from_bytes(key, "little", signed=True), uid, start + lo, own, cut), strict=True):
+                        for o, v in zip(out, (int.from_bytes(key, "little", signed=True), uid, start + lo, own, at - lo, cut), strict=True):
                             o.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], ["gram", "uid", "start", "own", "bytes"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds, strict=True)], names)
 
     return run
 
@@ -243,10 +246,42 @@ def factors(rank: np.ndarray, uid: np.ndarray, pos: np.ndarray, starts: np.ndarr
     return previous, later
 
 
-def _block_rows(length: int, keep_first: bool, block: int = 1 << 16):
+def small_groups(parts: list[tuple], low: int, high: int, length: int, most: int) -> Iterator[list[tuple]]:
+    """Contexts of one gram, cut into groups of at most `most` that together hold every pair of equal windows.
+
+    parts: (uid, start, own, place of the gram, bytes). Their windows have `low` to `high` bytes before the gram. Those with
+    at least the middle of that share so many bytes before it, the others so many after it. At the end a group's windows are all equal;
+    the first of them goes with each part of the others.
+    """
+    gram, side = _geometry(length)
+    if len(parts) <= most:
+        yield parts
+    elif low == high:
+        ordered = sorted(parts)
+        for i in range(1, len(ordered), most):
+            yield [ordered[0], *ordered[i : i + most]]
+    else:
+        middle = (low + high + 1) // 2
+        after = side - middle + 1
+        for first, last, before in ((middle, high, True), (low, middle - 1, False)):
+            groups: dict[bytes, list[tuple]] = {}
+            for uid, start, own, at, text in parts:
+                shared = text[max(0, at - middle) : at] if before else text[at + gram : at + gram + after]
+                lo = max(0, at - last)
+                cut = text[lo : at - first + length] if at >= first else b""
+                if len(shared) == (middle if before else after) and len(cut) >= length:
+                    groups.setdefault(shared, []).append((uid, start + lo, own, at - lo, cut))
+            for group in groups.values():
+                if len(group) > 1:
+                    yield from small_groups(group, first, last, length, most)
+
+
+def _block_rows(length: int, keep_first: bool, block: int = 1 << 16, most: int = CONTEXTS):
+    _, side = _geometry(length)
+
     def settle(parts: list[tuple]) -> pa.RecordBatch | None:
-        data = np.frombuffer(b"".join(x[3] for x in parts), np.uint8)
-        sizes = np.array([len(x[3]) for x in parts])
+        data = np.frombuffer(b"".join(x[4] for x in parts), np.uint8)
+        sizes = np.array([len(x[4]) for x in parts])
         base = np.r_[0, np.cumsum(sizes)[:-1]]
         counts = sizes - length + 1
         which = np.repeat(np.arange(len(parts)), counts)
@@ -267,16 +302,27 @@ def _block_rows(length: int, keep_first: bool, block: int = 1 << 16):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
+        own: list[tuple] = []  # of the present gram
         held, gram = 0, None
-        for batch in batches:
-            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("gram", "uid", "start", "own", "bytes")), strict=True):
-                if g != gram and held >= block:
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            nonlocal parts, held
+            for group in small_groups(own, 0, side, length, most):
+                parts += group
+                held += sum(len(x[4]) for x in group)
+                if held >= block:
                     if out := settle(parts):
                         yield out
                     parts, held = [], 0
+
+        for batch in batches:
+            for g, *row in zip(*(batch.column(c).to_pylist() for c in ("gram", "uid", "start", "own", "at", "bytes")), strict=True):
+                if g != gram:
+                    yield from closed()
+                    own.clear()
                 gram = g
-                parts.append(tuple(row))
-                held += len(row[3])
+                own.append(tuple(row))
+        yield from closed()
         if parts and (out := settle(parts)):
             yield out
 
@@ -300,7 +346,7 @@ def _window_rows(length: int):
     return run
 
 
-def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False, hot: int = 3_000, crowded: int = 20_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False, hot: int = 20_000, crowded: int = 20_000) -> DataFrame:
     """(uid, start, end): bytes of a row covered by strings of `length` bytes that also start elsewhere.
 
     With keep_first only the later copies: those for which an equal string starts at a smaller (uid,
@@ -334,12 +380,12 @@ def repeated_spans(rows: DataFrame, length: int = 200, keep_first: bool = False,
         return rows.select("uid", "text").join(wanted, "uid").mapInArrow(_context_rows(length), "gram long, uid long, start int, own boolean, at int, bytes binary")
 
     def in_blocks(of: DataFrame) -> DataFrame:
-        return of.select("gram", "uid", "start", "own", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(_block_rows(length, keep_first), "uid long, start int, end int")
+        return of.select("gram", "uid", "start", "own", "at", "bytes").repartition("gram").sortWithinPartitions("gram").mapInArrow(_block_rows(length, keep_first), "uid long, start int, end int")
 
     spans = sure.unionAll(in_blocks(contexts(flags.filter("not hot"))))
     if flags.filter("hot").isEmpty():
         return spans
-    halves = stored_table(contexts(flags.filter("hot")).mapInArrow(_half_rows(length), "gram long, uid long, start int, own boolean, bytes binary"))
+    halves = stored_table(contexts(flags.filter("hot")).mapInArrow(_half_rows(length), "gram long, uid long, start int, own boolean, at int, bytes binary"))
     sizes = stored_table(halves.groupBy("gram").agg((F.count("*") > crowded).alias("crowded")))
     halves = stored_table(halves.join(sizes, "gram"))
     spans = spans.unionAll(in_blocks(halves.filter("not crowded")))

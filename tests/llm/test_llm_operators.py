@@ -84,6 +84,36 @@ def test_crowded_grams_are_cut_by_halves_and_then_by_windows(spark, monkeypatch,
     assert sorted(map(tuple, got.collect())) == removed(texts, 30, keep_first)
 
 
+@pytest.mark.parametrize("keep_first", [False, True])
+@pytest.mark.parametrize("length", [9, 30])
+def test_blocks_of_crowded_grams_are_cut_in_the_task(spark, monkeypatch, keep_first, length):
+    whole = substring_dedup._block_rows
+    monkeypatch.setattr(substring_dedup, "_block_rows", lambda length, first: whole(length, first, 64, 2))
+    texts = copied_texts(40 + length)
+    got = substring_dedup.dedup_substrings(documents(spark, texts), length, keep_first, keep_text=False)
+    assert sorted(map(tuple, got.collect())) == removed(texts, length, keep_first)
+
+
+def test_small_groups_hold_every_pair_of_equal_windows():
+    rng = random.Random(12)
+    length = 30
+    gram, side = substring_dedup._geometry(length)
+    core = "g" * gram
+    around = lambda: "".join(rng.choice("ab") for _ in range(side))
+    lefts, rights = [around() for _ in range(6)], [around() for _ in range(6)]
+    parts = [(i, 0, True, side - k, (rng.choice(lefts)[k:] + core + rng.choice(rights)[: rng.randint(side // 2, side)]).encode()) for i in range(80) for k in [rng.randint(0, side // 2)]]
+    windows = lambda x: {x[4][j : j + length]: x[1] + j for j in range(len(x[4]) - length + 1) if j <= x[3] <= j + length - gram}
+    def pairs(groups):
+        return {(a[0], b[0], w) for g in groups for a in g for b in g if a[0] < b[0] for w in windows(a).keys() & windows(b).keys()}
+    groups = list(substring_dedup.small_groups(parts, 0, side, length, 4))
+    assert max(map(len, groups)) <= 5 and pairs(groups) <= pairs([parts])
+    # of windows that all are equal the first goes with every part of the others
+    found = {w for _, _, w in pairs(groups)}
+    assert found == {w for _, _, w in pairs([parts])}
+    by = lambda ps: {(x, w) for a, b, w in ps for x in (a, b)}
+    assert by(pairs(groups)) == by(pairs([parts]))
+
+
 def test_anchors_of_very_long_rows_are_found_piece_by_piece(monkeypatch):
     """Positions are packed beside hashes; rows beyond the packed range are walked in overlapping pieces."""
     rng = random.Random(8)
