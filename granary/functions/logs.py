@@ -48,5 +48,9 @@ def test_result(log: Column, has_report: Column) -> Column:
 
 def methods_hit(errors: DataFrame, methods: DataFrame, keep: bool) -> DataFrame:
     """Methods whose lines (first and last included, from 1) hold an error of their file, or, with keep, the others."""
-    inside = (errors["file"] == methods["file"]) & (errors["line"] >= methods["start_line"]) & (errors["line"] <= methods["end_line"])
-    return methods.join(errors, inside, "left_anti" if keep else "left_semi")
+    from granary.operators.joins import ranges_hit
+
+    place = ["file", "start_line", "end_line"]
+    ranges = methods.select(F.col("file").alias("key"), F.struct(*place).alias("rid"), F.col("start_line").alias("lo"), F.col("end_line").alias("hi")).distinct()
+    hit = ranges_hit(ranges, errors.select(F.col("file").alias("key"), F.col("line").alias("at")), "rid").select("rid.*")
+    return methods.join(hit, place, "left_anti" if keep else "left_semi")
