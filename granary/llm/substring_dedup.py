@@ -276,6 +276,19 @@ def small_groups(parts: list[tuple], low: int, high: int, length: int, most: int
                     yield from small_groups(group, first, last, length, most)
 
 
+def merged_spans(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(uid, start, end) of several batches with overlapping and touching spans of a row joined."""
+    uid, start, end = (np.concatenate([b.column(c).to_numpy() for b in batches]) for c in ("uid", "start", "end"))
+    order = np.lexsort((start, uid))
+    uid, start, end = uid[order], start[order].astype(np.int64), end[order].astype(np.int64)
+    row = np.cumsum(np.r_[0, uid[1:] != uid[:-1]])
+    # rows are 2**32 apart, so the furthest end so far is one of the own row, or before it
+    reach = np.maximum.accumulate(end + (row << 32))
+    first = np.flatnonzero(np.r_[True, (start + (row << 32))[1:] > reach[:-1]])
+    last = np.r_[first[1:], len(uid)] - 1
+    return pa.RecordBatch.from_arrays([pa.array(uid[first]), pa.array(start[first].astype(np.int32)), pa.array((reach - (row << 32))[last].astype(np.int32))], ["uid", "start", "end"])
+
+
 def _block_rows(length: int, keep_first: bool, block: int = 1 << 16, most: int = CONTEXTS):
     _, side = _geometry(length)
 
@@ -305,15 +318,29 @@ def _block_rows(length: int, keep_first: bool, block: int = 1 << 16, most: int =
         own: list[tuple] = []  # of the present gram
         held, gram = 0, None
 
-        def closed() -> Iterator[pa.RecordBatch]:
+        def flushed() -> Iterator[pa.RecordBatch]:
             nonlocal parts, held
-            for group in small_groups(own, 0, side, length, most):
+            if parts and (out := settle(parts)):
+                yield out
+            parts, held = [], 0
+
+        def added(groups: Iterator[list[tuple]]) -> Iterator[pa.RecordBatch]:
+            nonlocal parts, held
+            for group in groups:
                 parts += group
                 held += sum(len(x[4]) for x in group)
                 if held >= block:
-                    if out := settle(parts):
-                        yield out
-                    parts, held = [], 0
+                    yield from flushed()
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            if len(own) <= most:
+                yield from added(iter([own]))
+                return
+            # pieces of a crowded gram give spans in pieces, which are joined before they leave the task
+            yield from flushed()
+            found = [*added(small_groups(own, 0, side, length, most)), *flushed()]
+            if found:
+                yield merged_spans(found)
 
         for batch in batches:
             for g, *row in zip(*(batch.column(c).to_pylist() for c in ("gram", "uid", "start", "own", "at", "bytes")), strict=True):
@@ -323,8 +350,7 @@ def _block_rows(length: int, keep_first: bool, block: int = 1 << 16, most: int =
                 gram = g
                 own.append(tuple(row))
         yield from closed()
-        if parts and (out := settle(parts)):
-            yield out
+        yield from flushed()
 
     return run
 
