@@ -1,9 +1,11 @@
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from granary import storage
 from granary.agents import client, discussion
 from granary.execution import runner
 from granary.operators import joins, metrics, retrieval, sets, votes
@@ -221,3 +223,23 @@ def test_regions_of_sets_by_bitmap(spark):
     assert bitmaps.regions(bitmaps.id_bitmaps(frame.limit(0), F.col("of")), names).count() == 0
     empty = {(r.metric, r.member): r.n for r in bitmaps.set_metrics(spark.createDataFrame([], "id long, member string, correct boolean"), ["a", "b"]).collect()}
     assert set(empty.values()) == {0} and len(empty) == 7
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_blocks_of_a_group_are_stored_once(spark, monkeypatch, few):
+    """All pairs of many blocks, with and without the nested loop: right, and each row is stored once."""
+    rng = random.Random(5)
+    docs = {i: [f"w{int(rng.paretovariate(0.6)) % 90}" for _ in range(rng.choice([0, 3, 40]))] for i in range(120)}
+    frame = spark.createDataFrame([(i % 2, i, t) for i, t in docs.items()], "grp long, id long, terms array<string>")
+    stored = []
+    monkeypatch.setattr(retrieval, "FEW", few)
+    monkeypatch.setattr(retrieval, "stored_table", lambda df: stored.append(storage.stored_table(df)) or stored[-1])
+    side = frame.select("grp", "id", retrieval.token_hashes(F.col("terms")).alias("value"))
+    sets = {i: set(t) for i, t in docs.items()}
+    near = lambda a, b: round(len(sets[a] & sets[b]) / (len(sets[a] | sets[b]) or 1), 9)
+    want = {i: max((j for j in docs if j != i and (j - i) % 2 == 0), key=lambda j: (near(i, j), -j)) for i in docs}
+    assert {r.tgt: r.src for r in retrieval.top1(side, side, "jaccard", True, 7).collect()} == want
+    assert sum(len(r.ids) // 8 for r in stored[0].collect()) == len(docs) and stored[0].count() > 10
+    pairs = {(r.tgt, r.src): round(r.sim, 9) for r in retrieval.bm25_all(frame.filter("grp = 0").drop("grp"), frame.filter("grp = 1").drop("grp"), 7).collect()}
+    terms = [retrieval.term_counts(frame.filter(f"grp = {g}"), "id", "terms").withColumnRenamed("id", n) for g, n in enumerate(("tgt", "src"))]
+    assert pairs == {(r.tgt, r.src): pytest.approx(r.sim, abs=2e-9) for r in retrieval.bm25_pairs(*terms).collect()}
