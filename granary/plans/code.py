@@ -25,7 +25,7 @@ def _tests(spark, sf_dir):
     lines = F.array_join(F.transform(F.slice(F.array(*map(F.lit, "123")), F.lit(1), F.col("n")), line), "")
     test = views.joined("public void test", "$id", '() {\n  Foo x = new Foo(f("', "$a", ", ", "$b", '"));\n', lines, "}")
     getter = views.joined("public int get", "$id", "() { return ", "$z", "; }")
-    return views.parts(spark, sf_dir).select("id", F.when(F.col("id") % 5 == 4, getter).otherwise(test).alias("code"))
+    return views.dealt(views.parts(spark, sf_dir)).select("id", F.when(F.col("id") % 5 == 4, getter).otherwise(test).alias("code"))
 
 
 @query(_S + "SELECT id, (i - 1)::INT AS ord, 'assertEquals' AS name, (2 + id % 2)::INT AS n_args, CASE WHEN id % 2 = 1 THEN '\"' || a || '\"' ELSE z::VARCHAR END AS first FROM s, unnest(range(1, n + 1)) AS u(i)")
@@ -40,14 +40,14 @@ def code_expected_actual(spark, sf_dir):
     k, z, call = F.col("id") % 8, F.col("z").cast("string"), views.joined("$b", "()")
     args = F.when(k == 0, F.array(z, call)).when(k == 1, F.array(views.joined('"', "$a", '"'), z, call)).when(k == 2, F.array(views.joined("$z", ".25"), call, F.lit("0.1"))).when(k == 3, F.array(views.joined('"', "$a", '" + ', "$b"), z, call))
     args = args.when(k == 4, F.array(views.joined("$a", " + ", "$z"), z, call)).when(k == 5, F.array(views.joined('"', "$a", '"'), z, call, F.lit("0.1"))).when(k == 6, F.array(call)).otherwise(F.array("a", "b", views.joined("$z", ".5f")))
-    rows = views.parts(spark, sf_dir).select("id", args.alias("args"))
+    rows = views.dealt(views.parts(spark, sf_dir)).select("id", args.alias("args"))
     return rows.select("id", java.expected_of("args").alias("e")).select("id", "e.expected", "e.actual")
 
 
 @query(_P + "SELECT id, ['string', 'number', 'float', 'concat', 'arithmetic', 'boolean', 'null', 'other', 'number'][id % 9 + 1] AS kind FROM p")
 def code_argument_kinds(spark, sf_dir):
     args = [views.joined('"', "$a", '"'), F.col("z").cast("string"), views.joined("$z", ".5"), views.joined('"', "$a", '" + ', "$b"), views.joined("$a", " * ", "$z"), F.when(F.col("z") > 20, "true").otherwise("false"), F.lit("null"), views.joined("$a", "(", "$z", " + 2)"), views.joined("-", "$z")]
-    rows = views.parts(spark, sf_dir).select("id", F.element_at(F.array(*args), (F.col("id") % 9 + 1).cast("int")).alias("arg"))
+    rows = views.dealt(views.parts(spark, sf_dir)).select("id", F.element_at(F.array(*args), (F.col("id") % 9 + 1).cast("int")).alias("arg"))
     return rows.select("id", java.kind_of("arg").alias("kind"))
 
 
@@ -81,7 +81,7 @@ def _class_sources(spark, sf_dir):
         ";\n  List<String> names;\n  public C", "$id", "() { init(); }\n  public int getX() { return x; }\n  Runnable r = new Runnable() { public void inner() { go(); } };\n  static class Nested { void deep() {} }\n  void run", "$id",
         '() {\n    if (x > ', "$z", ') { x--; }\n    helper("}");\n  }\n  @Test\n  protected static void ', "$a", "(String s) {}\n}\n",
     )
-    return views.parts(spark, sf_dir).select("id", source.alias("source"))
+    return views.dealt(views.parts(spark, sf_dir)).select("id", source.alias("source"))
 
 
 @query(_P + "SELECT id, 'C' || id AS name, 'p.' || a AS package, 'Base' || z AS superclass, 'Runnable' AS interface, ['import java.util.List;', 'import q.' || b || '.*;'] AS imports, 3 AS n_fields, ['getX', 'run' || id, a] AS methods FROM p")
@@ -108,11 +108,11 @@ def code_first_assertion(spark, sf_dir):
 def code_answered_assertion(spark, sf_dir):
     k = F.col("id") % 4
     answer = F.when(k == 0, views.joined("assertTrue(", "$a", ")")).when(k == 1, views.joined("$a", "\n```java\nassertTrue( x", "$z", " );\n```")).when(k == 2, views.joined('```\nint y;\nassertEquals("', "$a", " ", "$b", '", y);\n```\n```\nassertNull(z);\n```')).otherwise(views.joined("```\nx = ", "$z", ";"))
-    return views.parts(spark, sf_dir).select("id", answer.alias("answer")).select("id", java.answered_assertion(F.col("answer")).alias("found"))
+    return views.dealt(views.parts(spark, sf_dir)).select("id", answer.alias("answer")).select("id", java.answered_assertion(F.col("answer")).alias("found"))
 
 
 def _questions(spark, sf_dir):
-    return views.votes(spark, sf_dir).filter("ord = 0").select(F.col("id").cast("string").alias("id"), F.col("expected").alias("expected_value"), "kind", views.joined("int f", "$id", "() { return ", "$user_id", "; }").alias("focal_method"), views.joined("assertEquals(<expected_value>, f", "$id", "());").alias("test_prefix"))
+    return views.dealt(views.votes(spark, sf_dir).filter("ord = 0").select("id", "expected", "kind", "user_id")).select(F.col("id").cast("string").alias("id"), F.col("expected").alias("expected_value"), "kind", views.joined("int f", "$id", "() { return ", "$user_id", "; }").alias("focal_method"), views.joined("assertEquals(<expected_value>, f", "$id", "());").alias("test_prefix"))
 
 
 @query(f"WITH {views.VOTES}, m AS (SELECT unnest(['a', 'b', 'c']) AS member) SELECT id::VARCHAR AS id, m.member, 'answer ' || CASE WHEN m.member = 'c' AND id % 2 = 1 THEN 'no' ELSE expected END AS response, 2::BIGINT AS messages FROM votes, m WHERE ord = 0")

@@ -47,6 +47,12 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("id"), word(1).alias("a"), word(2).alias("b"), F.col("p_size").alias("z"), F.when(k % 5 == 4, 0).otherwise((k % 4).cast("int")).alias("n"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Short rows dealt to all cores, for costly functions of a row: a file of few row groups is read by as few tasks."""
+    spark = rows.sparkSession
+    return rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def joined(*pieces: str | Column) -> Column:
     """A text of pieces: literals, columns, and names of columns after a dollar sign."""
     return F.concat(*(x if isinstance(x, Column) else F.col(x[1:]).cast("string") if x.startswith("$") else F.lit(x) for x in pieces))

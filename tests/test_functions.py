@@ -54,3 +54,12 @@ def test_unary_subject():
 def test_replace_assertion():
     assert java.replace_assertion("void t() { f(); assertEquals(1, g()); }", "assertEquals(2, g())") == "void t() { f(); assertEquals(2, g()); }"
     assert java.replace_assertion("none", "x") == "none"
+
+
+def test_costly_functions_of_a_file_with_one_row_group_run_on_all_cores(spark, sf_dir):
+    from granary.plans import code
+
+    cores = spark.sparkContext.defaultParallelism
+    for rows in (code._tests(spark, sf_dir), code._class_sources(spark, sf_dir), code._questions(spark, sf_dir)):
+        assert rows.rdd.getNumPartitions() >= cores
+        assert sum(n > 0 for n in rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()) >= cores
