@@ -42,11 +42,19 @@ def enrich(rows: DataFrame, side: DataFrame, column: str, key: str = "id") -> Da
     return rows.join(extra, key, "left").withColumn(column, F.coalesce("_new", old)).drop("_new")
 
 
-def siblings(rows: DataFrame, group: str, key: str = "id") -> DataFrame:
-    """(tgt, src) pairs of a group without itself; for groups of a few rows, such as the tests of one run."""
-    a = rows.select(group, F.col(key).alias("tgt"))
-    b = rows.select(group, F.col(key).alias("src"))
-    return a.join(b, group).filter("tgt <> src")
+def siblings(rows: DataFrame, group: str, key: str = "id", part: int = 1024) -> DataFrame:
+    """(tgt, src) pairs of a group without itself.
+
+    The targets of a group are dealt into parts of some `part` rows, and the sources are copied once a part, so that a group of any
+    size is spread; the copies are a part-th of the pairs. The number of partitions is given, as by their few bytes they would be merged into one.
+    """
+    spark = rows.sparkSession
+    number = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / part).alias("_n"))
+    sized = rows.select(group, key).join(sizes, group)
+    a = sized.select(group, F.col(key).alias("tgt"), F.pmod(F.xxhash64(key), F.col("_n")).alias("_part")).repartition(number, group, "_part")
+    b = sized.select(group, F.col(key).alias("src"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_part")).repartition(number, group, "_part")
+    return a.join(b, [group, "_part"]).filter("tgt <> src").drop("_part")
 
 
 def stem_match(tests: DataFrame, sources: DataFrame, q: int = 3) -> DataFrame:
@@ -78,11 +86,23 @@ def resolved_call(called: Column, declared: Column) -> Column:
 
 
 def import_types(rows: DataFrame, types: DataFrame) -> DataFrame:
-    """(id, type) of the known types that a source imports by name or by the wildcard of their package."""
-    imports = rows.select("id", F.explode("imports").alias("i"))
-    by_name = imports.join(types, F.col("i") == F.col("type")).select("id", "type")
-    package = types.select("type", F.concat(F.regexp_extract("type", r"^(.*)\.[^.]*$", 1), F.lit(".*")).alias("i"))
-    return by_name.unionByName(imports.join(package, "i").select("id", "type")).distinct()
+    """(id, type) of the known types that a source imports by name or by the wildcard of their package.
+
+    An import that more than one in a thousand are (so there are fewer than a thousand such) is dealt by the id to as many parts as
+    the shuffle has, and its types are copied to each of them. Imports are shuffled even where the types are broadcast, else the pairs
+    of a file of one row group would be held by one task.
+    """
+    spark = rows.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    imports = rows.select("id", F.explode("imports").alias("i")).filter("i is not null")
+    package = F.concat(F.regexp_extract("type", r"^(.*)\.[^.]*$", 1), F.lit(".*"))
+    known = types.select("type").distinct().select("type", F.explode(F.array_distinct(F.array(F.col("type"), package))).alias("i"))
+    often = imports.groupBy("i").agg(F.count("*").alias("n"))
+    hot = often.join(often.agg(F.sum("n").alias("_all"))).filter(F.col("n") * 1000 > F.col("_all")).select("i", F.lit(True).alias("hot"))
+    marked = lambda side: side.join(F.broadcast(hot), "i", "left")
+    a = marked(imports).select("id", "i", F.when(F.col("hot"), F.pmod(F.xxhash64("id"), F.lit(parts))).otherwise(0).alias("_part")).repartition(parts, "i", "_part")
+    b = marked(known).select("type", "i", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))).cast("array<bigint>")).alias("_part"))
+    return a.join(b, ["i", "_part"]).select("id", "type").distinct()
 
 
 def _nodes(ranges: DataFrame) -> DataFrame:

@@ -243,3 +243,16 @@ def test_blocks_of_a_group_are_stored_once(spark, monkeypatch, few):
     pairs = {(r.tgt, r.src): round(r.sim, 9) for r in retrieval.bm25_all(frame.filter("grp = 0").drop("grp"), frame.filter("grp = 1").drop("grp"), 7).collect()}
     terms = [retrieval.term_counts(frame.filter(f"grp = {g}"), "id", "terms").withColumnRenamed("id", n) for g, n in enumerate(("tgt", "src"))]
     assert pairs == {(r.tgt, r.src): pytest.approx(r.sim, abs=2e-9) for r in retrieval.bm25_pairs(*terms).collect()}
+
+
+def test_large_groups_and_frequent_imports_are_spread(spark):
+    """One nation, one wildcard: all pairs, over more tasks than groups."""
+    rows = spark.range(60).select(F.lit(7).alias("g"), "id")
+    found = joins.siblings(rows, "g", part=4)
+    assert sorted((r.tgt, r.src) for r in found.collect()) == [(a, b) for a in range(60) for b in range(60) if a != b]
+    assert sum(n > 0 for n in found.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()) > 2
+    sources = spark.range(60).select("id", F.array(F.lit("p.*"), F.lit("p.B"), F.lit("q.*")).alias("imports"))
+    types = spark.createDataFrame([("p.A",), ("p.B",), ("p.B",), ("r.C",)], "type string")
+    assert sorted((r.id, r.type) for r in joins.import_types(sources, types).collect()) == [(i, t) for i in range(60) for t in ("p.A", "p.B")]
+    plan = joins.import_types(sources, types)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_part" in plan
