@@ -7,16 +7,16 @@ then an empty answer with its error in a column; a failed call never fails the j
 from __future__ import annotations
 
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MESSAGE = "struct<role:string,content:string>"
 HISTORY = f"array<{MESSAGE}>"
-_ARROW = pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))
 
 
 class ModelClient(Protocol):
@@ -54,6 +54,46 @@ def scripted_samples(draw: Callable) -> Callable[[], Scripted]:
     return lambda: Scripted(draw=draw)
 
 
+def plain(column: pa.Array) -> list:
+    """As to_pylist(), but lists and structs are cut from whole columns of values, not made value by value."""
+    if pa.types.is_list(column.type):
+        values, found, at = plain(column.flatten()), [], 0
+        for n in pc.list_value_length(column).to_pylist():
+            found.append(None if n is None else values[at : at + n])
+            at += n or 0
+        return found
+    if pa.types.is_struct(column.type) and column.type.num_fields:
+        names = [field.name for field in column.type]
+        found = [dict(zip(names, values)) for values in zip(*map(plain, column.flatten()))]
+        return [x if valid else None for x, valid in zip(found, column.is_valid().to_pylist())] if column.null_count else found
+    return column.to_numpy(zero_copy_only=False).tolist() if pa.types.is_string(column.type) else column.to_pylist()
+
+
+def _rows(batch: pa.RecordBatch, names: list[str]) -> list[dict]:
+    return [dict(zip(names, values)) for values in zip(*(plain(batch.column(n)) for n in names))] if names else [{} for _ in range(batch.num_rows)]
+
+
+def _answers(model: ModelClient, rows: Iterable[dict]) -> list[pa.Array]:
+    """Contents, errors and seconds of a call a row."""
+    contents, errors, seconds = [], [], []
+    for row in rows:
+        began, answer, error = time.perf_counter(), "", None
+        for _ in range(2):
+            try:
+                answer, error = model.chat(row["member"], row["history"], row), None
+                break
+            except Exception as e:  # noqa: BLE001  any failure of a remote model is a row's error
+                error = f"{type(e).__name__}: {e}"
+        contents.append(answer)
+        errors.append(error)
+        seconds.append(time.perf_counter() - began)
+    return [pa.array(contents, pa.string()), pa.array(errors, pa.string()), pa.array(seconds, pa.float64())]
+
+
+def _fields(rows: DataFrame) -> str:
+    return ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in rows.columns)
+
+
 def speak(rows: DataFrame, factory: Callable[[], ModelClient]) -> DataFrame:
     """Appends the answer to `history` of each row, and adds err_msg and seconds. rows: member, history, and others."""
     names = rows.columns
@@ -61,48 +101,57 @@ def speak(rows: DataFrame, factory: Callable[[], ModelClient]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
         for batch in batches:
-            data = batch.to_pylist()
-            histories, errors, seconds = [], [], []
-            for row in data:
-                began, answer, error = time.perf_counter(), "", None
-                for _ in range(2):
-                    try:
-                        answer, error = model.chat(row["member"], row["history"], row), None
-                        break
-                    except Exception as e:  # noqa: BLE001  any failure of a remote model is a row's error
-                        error = f"{type(e).__name__}: {e}"
-                histories.append([*row["history"], {"role": "assistant", "content": answer}])
-                errors.append(error)
-                seconds.append(time.perf_counter() - began)
-            columns = [pa.array(histories, _ARROW) if n == "history" else batch.column(n) for n in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(errors, pa.string()), pa.array(seconds, pa.float64())], [*names, "err_msg", "seconds"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_answers(model, _rows(batch, names))], [*names, "_said", "err_msg", "seconds"])
 
-    schema = ", ".join(f"`{n}` {rows.schema[n].dataType.simpleString()}" for n in names)
-    return rows.mapInArrow(run, f"{schema}, err_msg string, seconds double")
+    said = rows.mapInArrow(run, f"{_fields(rows)}, _said string, err_msg string, seconds double")
+    return said.withColumn("history", F.array_append("history", assistant(F.col("_said")))).drop("_said")
+
+
+def speak_together(rows: DataFrame, factory: Callable[[], ModelClient]) -> DataFrame:
+    """As speak(), for rows that hold all members' conversations, so that none has to be brought together later.
+
+    rows: talks, an array of (member, history), and others. Adds `said`: an array of (content, err_msg, seconds), a call a talk.
+    """
+    names = rows.columns
+    others = [n for n in names if n != "talks"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = factory()
+        for batch in batches:
+            talks = plain(batch.column("talks"))
+            answers = _answers(model, (row | talk for row, held in zip(_rows(batch, others), talks) for talk in held))
+            ends = [0]
+            for held in talks:
+                ends.append(ends[-1] + len(held))
+            said = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(answers, ["content", "err_msg", "seconds"]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, said], [*names, "said"])
+
+    return rows.mapInArrow(run, f"{_fields(rows)}, said array<struct<content:string,err_msg:string,seconds:double>>")
 
 
 def draw(rows: DataFrame, factory: Callable[[], ModelClient], n: int) -> DataFrame:
     """Adds `sampled`: an array of (response, logprobs) of n answers."""
+    names = rows.columns
     kind = pa.list_(pa.struct([("response", pa.string()), ("logprobs", pa.list_(pa.float64()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
         for batch in batches:
-            found = [[{"response": r, "logprobs": list(p)} for r, p in model.samples(row, n)] for row in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*batch.schema.names, "sampled"])
+            found = [[{"response": r, "logprobs": list(p)} for r, p in model.samples(row, n)] for row in _rows(batch, names)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, kind)], [*names, "sampled"])
 
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
-    return rows.mapInArrow(run, f"{schema}, sampled array<struct<response:string,logprobs:array<double>>>")
+    return rows.mapInArrow(run, f"{_fields(rows)}, sampled array<struct<response:string,logprobs:array<double>>>")
 
 
 def _called(rows: DataFrame, factory: Callable[[], ModelClient], call: Callable[[ModelClient, dict], str], name: str) -> DataFrame:
     """Adds a call's text as `name`, and err_msg; one retry, then an empty text with the error."""
+    names = rows.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = factory()
         for batch in batches:
             texts, errors = [], []
-            for row in batch.to_pylist():
+            for row in _rows(batch, names):
                 text, error = "", None
                 for _ in range(2):
                     try:
@@ -112,10 +161,9 @@ def _called(rows: DataFrame, factory: Callable[[], ModelClient], call: Callable[
                         error = f"{type(e).__name__}: {e}"
                 texts.append(text)
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], [*batch.schema.names, name, "err_msg"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string()), pa.array(errors, pa.string())], [*names, name, "err_msg"])
 
-    schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
-    return rows.mapInArrow(run, f"{schema}, `{name}` string, err_msg string")
+    return rows.mapInArrow(run, f"{_fields(rows)}, `{name}` string, err_msg string")
 
 
 def continue_answers(rows: DataFrame, factory: Callable[[], ModelClient], name: str = "response") -> DataFrame:
@@ -131,3 +179,8 @@ def fill(rows: DataFrame, factory: Callable[[], ModelClient], name: str = "middl
 def user(content: Column) -> Column:
     """A user's message."""
     return F.struct(F.lit("user").alias("role"), content.alias("content"))
+
+
+def assistant(content: Column) -> Column:
+    """A model's message."""
+    return F.struct(F.lit("assistant").alias("role"), content.alias("content"))

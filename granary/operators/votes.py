@@ -14,6 +14,12 @@ def majority(votes: DataFrame) -> DataFrame:
     return counted.groupBy("id").agg(F.max_by("answer", F.struct("n", -F.col("first"))).alias("answer"), F.max("n").alias("n"))
 
 
+def majority_of(answers: Column) -> Column:
+    """The answer of majority() among a row's own answers, which are in member order."""
+    counted = F.transform(answers, lambda x, i: F.struct(F.size(F.filter(answers, lambda y: y.eqNullSafe(x))).alias("n"), (-i).alias("first"), x.alias("answer")))
+    return F.array_max(counted)["answer"]
+
+
 def unanimous(votes: DataFrame) -> DataFrame:
     """(id, agreed): whether all trimmed answers are the same."""
     return votes.groupBy("id").agg((F.count_distinct(F.trim("answer")) == 1).alias("agreed"))

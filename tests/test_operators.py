@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -80,6 +81,61 @@ def test_judged_discussion_and_chain(spark):
     assert [m.content for m in chained.first().history] == ["one", "1", "two", "3"]
 
 
+def test_consensus_agrees_with_brute_force_without_shuffles(spark):
+    """Questions that settle at once, later, never (most votes, or the first member's), whose calls fail, and equal ids."""
+    members = ["b", "a", "c"]
+
+    def say(member, history, row):
+        turn, kind = len(history) // 2, row["expected_value"]
+        if kind == "fails" and member == "c":
+            raise OSError("down")
+        if kind == "none" and member == "a":
+            return None
+        if kind == "votes":
+            return " x" if member != "b" else f"y{turn}"
+        if kind == "apart":
+            return f"{member} of {row['focal_method']}"
+        if kind == "heard":  # the first member ends with what it was asked last, so with what the others said
+            return history[-1]["content"] if turn == 2 and member == "b" else f"{member}{turn} "
+        return member if kind == "later" and not turn else " same "
+
+    def brute(kind, focal):
+        talks = {m: [{"role": "user", "content": None}] for m in members}
+        for number in range(3):
+            for m, history in talks.items():
+                try:
+                    said = say(m, history, {"expected_value": kind, "focal_method": focal})
+                except OSError:
+                    said = ""
+                history.append({"role": "assistant", "content": said})
+            heard = [None if h[-1]["content"] is None else h[-1]["content"].strip(" ") for h in talks.values()]
+            known = {x for x in heard if x is not None}
+            if len(known) == 1:
+                return known.pop(), number
+            last = {m: h[-1]["content"] for m, h in talks.items()}
+            for m, history in talks.items():
+                others = [last[k] for k in sorted(members) if k != m]
+                history.append({"role": "user", "content": "\n".join(["Other members answered:", *(f"Member {i}: {x}" for i, x in enumerate(others, 1))])})
+        return max(heard, key=lambda x: (heard.count(x), -heard.index(x))), number
+
+    asked = [(str(i), kind, f"m{i}") for i, kind in enumerate(["votes", "apart", "heard", "later", "fails", "none", "settled"] * 2)] + [("0", "settled", "m"), ("1", "apart", "n")]
+    questions = spark.createDataFrame(asked, "id string, expected_value string, focal_method string").withColumn("test_prefix", F.lit("t"))
+    found = discussion.consensus(questions, members, client.scripted(say), most_rounds=2)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = [(i, *brute(kind, focal)) for i, kind, focal in asked]
+    assert {number for _, _, number in want} == {0, 1, 2}
+    assert sorted((r.id, r.response, r.rounds) for r in found.collect()) == sorted(want)
+    assert discussion.consensus(questions.limit(0), members, client.scripted(say)).count() == 0
+
+
+def test_columns_are_read_as_by_to_pylist():
+    kind = pa.list_(pa.struct([("member", pa.string()), ("history", pa.list_(pa.struct([("role", pa.string()), ("n", pa.int64())])))]))
+    rows = [[{"member": "a", "history": [{"role": "x", "n": 1}, None, {"role": None, "n": None}]}, {"member": None, "history": None}], None, [], [None], [{"member": "", "history": []}]]
+    column = pa.array(rows, kind)
+    for part in (column, column[1:], column[2:4], column[:0]):
+        assert client.plain(part) == part.to_pylist()
+
+
 def test_commands_run_apart_and_never_fail_the_job(spark):
     rows = spark.createDataFrame([("cat a/b.txt", {"a/b.txt": "hello"}), ("no-such-tool", {}), ("cat x", {"../x": "no"})], "command string, files map<string,string>")
     got = [(r.exit_code, r.log) for r in runner.run_commands(rows, files="files").collect()]
