@@ -312,3 +312,52 @@ def test_large_groups_and_frequent_imports_are_spread(spark):
     assert sorted((r.id, r.type) for r in joins.import_types(sources, types).collect()) == [(i, t) for i in range(60) for t in ("p.A", "p.B")]
     plan = joins.import_types(sources, types)._jdf.queryExecution().optimizedPlan().toString()
     assert "_part" in plan
+
+
+@pytest.mark.parametrize("often", [0.08, 2])
+def test_common_tokens_are_counted_in_every_way(monkeypatch, often):
+    """Frequent, middling and rare tokens, more than 255 of a set, tables in parts; each set's best partner of either block."""
+    from granary.operators import set_blocks
+
+    monkeypatch.setattr(set_blocks, "OFTEN", often)
+    rng = np.random.default_rng(3)
+    made = []
+    for block in range(2):
+        sets_ = [np.unique(np.append(rng.zipf(1.2, k) % 5000, rng.integers(0, 300, k))) for k in rng.choice([0, 1, 9, 60, 600], 300)]
+        made.append((np.arange(300) * 2 + block, sets_, set_blocks.made(np.arange(300) * 2 + block, np.array([len(x) for x in sets_]), np.ones(300, bool), np.concatenate(sets_))))
+    (ids, sets_, left), (more, others, right) = made
+    for limit in (1 << 26, 1 << 16):
+        monkeypatch.setattr(set_blocks, "TABLE", limit)
+        i, j = set_blocks._shared(left, right)
+        counts = np.concatenate([x.copy() for _, x in set_blocks._counts(left, right, i, j, np.arange(300), np.arange(299))])
+        assert (counts == [[len(np.intersect1d(a, b)) for b in others[:299]] for a in sets_]).all()
+    set_blocks.met(left, right)
+    everything = list(zip([*ids, *more], [set(x) for x in sets_ + others], strict=True))
+    for block in (left, right):
+        for i, near, src in zip(block.ids, block.near, block.src, strict=True):
+            own = dict(everything)[i]
+            sim, at = max((round(len(own & x) / (len(own | x) or 1), 9), -j) for j, x in everything if j != i)
+            assert round(near, 9) == sim and (sim == 0 or src == -at)
+
+
+@pytest.mark.parametrize("few", [0, 16])
+def test_equal_sets_are_compared_once(spark, monkeypatch, few):
+    stored = []
+    monkeypatch.setattr(retrieval, "FEW", few)
+    monkeypatch.setattr(retrieval, "CHUNK", 40)
+    monkeypatch.setattr(retrieval, "stored_table", lambda df: stored.append(storage.stored_table(df)) or stored[-1])
+    rng = random.Random(9)
+    kinds = [[rng.randrange(40) for _ in range(rng.choice([1, 5, 12]))] for _ in range(12)]
+    rows = [("g", i, sorted({*rng.choice(kinds)})) for i in range(150)] + [("g", 150, []), ("g", 151, None), ("h", 200, [1]), (None, 201, [1]), ("g", 7, None)]
+    rows[-1] = rows[7]  # a row that is there twice
+    side = spark.createDataFrame(rows, "grp string, id long, value array<long>")
+    got = {r.tgt: (r.src, round(r.sim, 9)) for r in retrieval.top1(side, side, "jaccard", True, 3).collect()}
+    near = lambda a, b: round(len({*(a or [])} & {*(b or [])}) / (len({*(a or [])} | {*(b or [])}) or 1), 9)
+    want = {}
+    for g, i, v in rows:
+        others = [(near(v, w), -j) for h, j, w in rows if g is not None and h == g and j != i]
+        if others:
+            want[i] = (-max(others)[1], max(others)[0])
+    assert got == want
+    held = stored[0].collect()
+    assert sum(len(r.sizes) // 4 for r in held) < 100 < sum(len(r.ids) // 8 for r in held) == 152 + 1
