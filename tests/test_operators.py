@@ -341,7 +341,7 @@ def test_common_tokens_are_counted_in_every_way(monkeypatch, often):
 
 
 @pytest.mark.parametrize("few", [0, 16])
-def test_equal_sets_are_compared_once(spark, monkeypatch, few):
+def test_equal_sets_are_compared_once_and_texts_of_both_sides_are_stored_once(spark, monkeypatch, few):
     stored = []
     monkeypatch.setattr(retrieval, "FEW", few)
     monkeypatch.setattr(retrieval, "CHUNK", 40)
@@ -361,3 +361,7 @@ def test_equal_sets_are_compared_once(spark, monkeypatch, few):
     assert got == want
     held = stored[0].collect()
     assert sum(len(r.sizes) // 4 for r in held) < 100 < sum(len(r.ids) // 8 for r in held) == 152 + 1
+    stored.clear()
+    texts = spark.createDataFrame([("g", i, f"a w{i % 20} w{i % 7}") for i in range(60)], "grp string, id long, text string")
+    assert retrieval.other_text_top1(texts, texts, lambda t: F.split(t, " ")).count() == 60
+    assert sum(len(r.ids) // 8 for df in stored if "ids" in df.columns for r in df.collect()) == 60
