@@ -365,3 +365,30 @@ def test_equal_sets_are_compared_once_and_texts_of_both_sides_are_stored_once(sp
     texts = spark.createDataFrame([("g", i, f"a w{i % 20} w{i % 7}") for i in range(60)], "grp string, id long, text string")
     assert retrieval.other_text_top1(texts, texts, lambda t: F.split(t, " ")).count() == 60
     assert sum(len(r.ids) // 8 for df in stored if "ids" in df.columns for r in df.collect()) == 60
+
+
+def test_bm25_bounds_leave_out_no_best_source(spark):
+    """Frequent, middling and rare terms, long and short texts, sources to be passed over; with a best score so far, only what reaches it is found."""
+    from granary.operators import term_blocks
+
+    rng = np.random.default_rng(12)
+    docs = [[f"w{k % 400}" for k in rng.zipf(1.3, size)] + [f"x{k}" for k in rng.integers(0, 900, size // 2)] for size in rng.choice([0, 1, 20, 150, 900], 90)]
+    side = spark.createDataFrame([(0, i, i // 2, d) for i, d in enumerate(docs)], "grp long, id long, skip long, terms array<string>")
+    made = [retrieval._terms_of(x, False).withColumn("floor", F.lit(0.0)) for x in (side.filter("id % 3 > 0"), side.filter("id % 3 < 2"))]
+    tiles = retrieval._dealt(made, "bm25", 16)
+    cut = [np.frombuffer(r.l_lengths, np.int64) for r in tiles.select("l_lengths").distinct().collect()]
+    assert max(map(len, cut)) <= 16 and all((np.diff(x) <= 0).all() for x in cut)
+    checked = 0
+    for row in tiles.collect():
+        left, right = (retrieval.Block(*(np.frombuffer(row[p + c], t) for c, t in retrieval._KINDS.items())) for p in ("l_", "r_"))
+        want = np.array([[-1.0 if i // 2 == j // 2 else pairwise(docs[i], docs[j]) * 2 / retrieval.IDF for j in right.ids] for i in left.ids])
+        for share in (0.0, 0.9, 1.1):
+            floor = np.maximum(want.max(1) * share, 0)
+            found = {}
+            for r, c, score in zip(*term_blocks.best(left, right, *retrieval._shared(left, right), floor, True), strict=True):
+                assert score == pytest.approx(want[r, c])
+                found[r] = max(found.get(r, 0), score)
+            for r, most in enumerate(want.max(1)):
+                assert (share > 1 and found.get(r, 0) <= floor[r]) or most <= 0 or found[r] == pytest.approx(most)
+                checked += 1
+    assert checked > 3 * 60
